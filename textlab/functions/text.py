@@ -75,12 +75,15 @@ def eda_tokens(col) -> Column:
 
 
 def adjacent_pairs(tokens) -> Column:
-    """Array of ``struct(w1, w2)`` for adjacent tokens; fewer than 2 -> empty."""
+    """Array of ``struct(w1, w2)`` for adjacent tokens; fewer than 2 -> empty.
+
+    ``tokens`` should be a materialised array column: the pairs are built by
+    zipping two slices, so the array expression is referenced a few times.
+    """
     t = _c(tokens)
-    n = F.size(t)
-    pairs = F.transform(F.sequence(F.lit(0), n - 2),
-                        lambda i: F.struct(t[i].alias("w1"), t[i + 1].alias("w2")))
-    return F.when(n >= 2, pairs).otherwise(F.array().cast("array<struct<w1:string,w2:string>>"))
+    m = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.zip_with(F.slice(t, 1, m), F.slice(t, 2, m),
+                      lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
 
 
 def vector_unigrams(col) -> Column:
@@ -88,16 +91,20 @@ def vector_unigrams(col) -> Column:
     return F.regexp_extract_all(F.lower(_c(col)), F.lit(VECTOR_TOKEN_RE), F.lit(0))
 
 
-def vector_terms(col, ngram_max: int = 2) -> Column:
-    """Unigrams followed by space-joined bigrams (when ``ngram_max`` is 2)."""
-    uni = vector_unigrams(col)
+def joined_bigrams(tokens) -> Column:
+    """Space-joined adjacent pairs of a materialised token array column."""
+    t = _c(tokens)
+    m = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.zip_with(F.slice(t, 1, m), F.slice(t, 2, m), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def vector_terms(unigrams, ngram_max: int = 2) -> Column:
+    """Unigrams followed by space-joined bigrams (when ``ngram_max`` is 2);
+    ``unigrams`` is a materialised column of :func:`vector_unigrams`."""
+    uni = _c(unigrams)
     if ngram_max == 1:
         return uni
-    n = F.size(uni)
-    bi = F.transform(F.sequence(F.lit(0), n - 2),
-                     lambda i: F.concat(uni[i], F.lit(" "), uni[i + 1]))
-    bi = F.when(n >= 2, bi).otherwise(F.array().cast("array<string>"))
-    return F.concat(uni, bi)
+    return F.concat(uni, joined_bigrams(uni))
 
 
 def has_non_ascii(col) -> Column:

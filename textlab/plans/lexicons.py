@@ -50,3 +50,14 @@ WEAK_LABELS = [
 
 # per-language quota table for the quota sample
 LANG_QUOTAS = {"en": 30, "fr": 22, "de": 22, "es": 25}
+
+# targets that exceed availability for some languages (quota gap report)
+LANG_TARGETS = {"en": 700, "fr": 150, "de": 100, "es": 120, "it": 5}
+
+# hint column for the audit: the "model guess" per language
+LANG_HINTS = {"en": "info_request", "fr": "complaint", "de": "account_access", "es": "other"}
+
+# event type -> intent field of the synthetic model responses ('clickthrough'
+# is not an intent and must be coerced to the default)
+EVENT_INTENTS = {"error": "product_issue", "purchase": "billing_payment",
+                 "signup": "account_access", "view": "info_request", "click": "clickthrough"}

@@ -187,3 +187,173 @@ GROUP BY lab.label"""
 
 
 SQL = _sql()
+
+
+# ---------------------------------------------------------------------------
+# corpus, sampling, tables
+
+def _case_sql(col: str, mapping: dict, default) -> str:
+    parts = " ".join(f"WHEN {col} = {q(k)} THEN {v if isinstance(v, int) else q(v)}"
+                     for k, v in mapping.items())
+    d = default if isinstance(default, int) else ("NULL" if default is None else q(default))
+    return f"CASE {parts} ELSE {d} END"
+
+
+def md5_order(key: str, seed) -> str:
+    return f"md5('{seed}:' || CAST({key} AS VARCHAR))"
+
+
+def eda_tokens(c: str) -> str:
+    return (f"list_filter(regexp_extract_all(lower({c}), {q(TX.TOKEN_RE)}), "
+            f"lambda x: regexp_full_match(x, '[a-z]{{3,}}'))")
+
+
+def non_english(c: str) -> str:
+    return (f"(coalesce(regexp_matches({c}, {q(P.NON_ASCII)}), false) AND "
+            f"coalesce(regexp_matches({c}, {q(P.LATIN_OR_CJK_LETTER)}), false))")
+
+
+CLEAN_DOCS = f"SELECT doc_id, {clean('text')} AS c FROM documents"
+DEDUP_POOL = """SELECT doc_id, text, lang FROM
+  (SELECT doc_id, text, lang, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents)
+WHERE k = 1"""
+
+
+def tagged_sample_sql(pool: str, tags: list[tuple[str, str, int, int]]) -> str:
+    """tags: (tag, predicate sql over c, n, seed) in priority order."""
+    arms = " UNION ALL ".join(
+        f"SELECT doc_id, c, {i} AS prio, {q(tag)} AS tag, {md5_order('doc_id', seed)} AS h "
+        f"FROM p WHERE coalesce({pred}, false)"
+        for i, (tag, pred, _n, seed) in enumerate(tags))
+    quota = _case_sql("tag", {t: n for t, _p, n, _s in tags}, 0)
+    return f"""
+WITH p AS ({pool}),
+t AS ({arms}),
+r AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY h, doc_id) AS rn FROM t),
+s AS (SELECT * FROM r WHERE rn <= {quota}),
+d AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY prio, h, doc_id) AS k FROM s)
+SELECT doc_id, tag FROM d WHERE k = 1"""
+
+
+def _edge_tags_sql() -> list:
+    n = "length(c)"
+    preds = {
+        "multi_intent": f"({words('c', P.EDGE_MULTI_JOINERS)} AND {words('c', P.EDGE_MULTI_TOPICS)} AND {n} > 80)",
+        "anger_sarcasm": f"({words('c', '|'.join(P.EDGE_ANGER_WORDS))} OR "
+                         f"coalesce(regexp_matches(c, {q(P.EDGE_ANGER_PUNCT)}), false))",
+        "short_fragment": f"({n} BETWEEN 2 AND 10)",
+        "very_long": f"({n} > 240)",
+        "image_reference": words("c", "|".join(P.EDGE_IMAGE_WORDS)),
+        "non_english": non_english("c"),
+    }
+    return [(tag, preds[tag], cnt, seed) for tag, cnt, seed in P.EDGE_TAGS]
+
+
+def _sql_corpus() -> dict[str, str]:
+    s: dict[str, str] = {}
+    stats = ", ".join(
+        f"round({fn}, 6) AS {name}_len" for name, fn in [
+            ("mean", "avg(len)"), ("std", "stddev_samp(len)"), ("min", "min(len)"),
+            ("q25", "quantile_cont(len, 0.25)"), ("q50", "quantile_cont(len, 0.5)"),
+            ("q75", "quantile_cont(len, 0.75)"), ("max", "max(len)")])
+    s["text_profile"] = f"""
+WITH d AS (SELECT lang, c, CAST(length(c) AS DOUBLE) AS len
+           FROM (SELECT lang, {clean('text')} AS c FROM documents))
+SELECT lang, count(*) AS n_docs,
+       count(*) FILTER (WHERE c IS NULL OR trim(c) = '') AS n_blank,
+       count(*) FILTER (WHERE {non_english('c')}) AS n_non_english,
+       {stats}
+FROM d GROUP BY lang"""
+    s["length_histogram"] = f"""
+WITH l AS (SELECT CAST(length(c) AS BIGINT) AS v FROM ({CLEAN_DOCS})),
+e AS (SELECT min(v) AS lo, max(v) AS hi FROM l),
+b AS (SELECT CAST(least(floor((v - lo) * 30 / greatest(hi - lo, 1)), 29) AS BIGINT) AS bin
+      FROM l CROSS JOIN e WHERE v IS NOT NULL),
+c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin)
+SELECT r.range AS bin,
+       round(CAST(e.lo AS DOUBLE) + r.range * (e.hi - e.lo) / CAST(30 AS DOUBLE), 6) AS lo,
+       round(CAST(e.lo AS DOUBLE) + (r.range + 1) * (e.hi - e.lo) / CAST(30 AS DOUBLE), 6) AS hi,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS count
+FROM range(30) r CROSS JOIN e LEFT JOIN c ON c.bin = r.range"""
+    s["value_counts"] = "SELECT event_type, count(*) AS count FROM events GROUP BY event_type"
+    s["counts_having"] = """
+SELECT user_id, count(*) AS count FROM events WHERE user_id IS NOT NULL
+GROUP BY user_id HAVING count(*) >= 70"""
+    s["top_unigrams"] = f"""
+WITH t AS (SELECT unnest({eda_tokens('c')}) AS term FROM ({CLEAN_DOCS}))
+SELECT term, count(*) AS count FROM t GROUP BY term ORDER BY count DESC, term LIMIT 50"""
+    s["top_bigrams"] = f"""
+WITH t AS (SELECT {eda_tokens('c')} AS toks FROM ({CLEAN_DOCS})),
+p AS (SELECT toks[i] AS w1, toks[i + 1] AS w2
+      FROM (SELECT toks, unnest(range(1, len(toks))) AS i FROM t))
+SELECT w1, w2, count(*) AS count FROM p GROUP BY w1, w2 ORDER BY count DESC, w1, w2 LIMIT 30"""
+    s["length_stratified_sample"] = f"""
+WITH b AS (SELECT doc_id, CAST(length(c) AS BIGINT) AS length,
+                  CASE WHEN length(c) < 80 THEN 'short' WHEN length(c) < 160 THEN 'medium'
+                       ELSE 'long' END AS band
+           FROM ({CLEAN_DOCS}) WHERE c IS NOT NULL AND trim(c) <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY {md5_order('doc_id', 42)}, doc_id) AS rn FROM b),
+p AS (SELECT * FROM r WHERE rn <= CASE band WHEN 'short' THEN 300 WHEN 'medium' THEN 125
+                                             WHEN 'long' THEN 75 ELSE 0 END)
+SELECT row_number() OVER (ORDER BY {md5_order('doc_id', '42s')}, doc_id) AS id, doc_id, length, band FROM p"""
+    s["quota_sample"] = f"""
+WITH pool AS ({DEDUP_POOL}),
+r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {md5_order('doc_id', 42)}, doc_id) AS rn
+      FROM pool)
+SELECT doc_id, lang FROM r WHERE rn <= {_case_sql('lang', LX.LANG_QUOTAS, 0)}"""
+    targets = ", ".join(f"({q(k)}, {v})" for k, v in LX.LANG_TARGETS.items())
+    s["quota_gap"] = f"""
+WITH pool AS ({DEDUP_POOL}),
+t(lang, target) AS (VALUES {targets}),
+a AS (SELECT lang, count(*) AS available FROM pool GROUP BY lang)
+SELECT t.lang, CAST(t.target AS BIGINT) AS target, CAST(coalesce(a.available, 0) AS BIGINT) AS available,
+       CAST(least(coalesce(a.available, 0), t.target) AS BIGINT) AS taken,
+       CAST(t.target - least(coalesce(a.available, 0), t.target) AS BIGINT) AS shortfall
+FROM t LEFT JOIN a ON a.lang = t.lang"""
+    s["proportional_sample"] = f"""
+WITH c AS (SELECT lang, count(*) AS nc FROM documents GROUP BY lang),
+tot AS (SELECT sum(nc) AS n FROM c),
+qt AS (SELECT lang, greatest(2, CAST(round_even(nc * 30 / tot.n, 0) AS BIGINT)) AS qn FROM c CROSS JOIN tot),
+r AS (SELECT d.doc_id, d.lang, qt.qn, {md5_order('d.doc_id', 99)} AS h,
+             row_number() OVER (PARTITION BY d.lang ORDER BY {md5_order('d.doc_id', 99)}, d.doc_id) AS rn
+      FROM documents d JOIN qt ON qt.lang = d.lang)
+SELECT doc_id, lang FROM r ORDER BY CASE WHEN rn <= qn THEN 1 ELSE 0 END DESC, h, doc_id LIMIT 30"""
+    s["edge_cases"] = tagged_sample_sql(CLEAN_DOCS, _edge_tags_sql())
+    weak = [(label, f"({words('c', pat)} AND length(c) >= {P.MIN_MINED_LENGTH})", P.RARE_INTENT_CAP, 42)
+            for label, pat in LX.WEAK_LABELS]
+    s["weak_labels"] = tagged_sample_sql(CLEAN_DOCS, weak).replace(
+        "SELECT doc_id, tag FROM d WHERE k = 1", "SELECT doc_id, tag AS keyword_label FROM d WHERE k = 1")
+    s["dedupe_keep_first"] = f"SELECT doc_id, lang FROM ({DEDUP_POOL})"
+    s["merge_topup"] = """
+WITH m AS (SELECT 'main' AS origin, 0 AS prio, doc_id AS src_id, CAST(0 AS BIGINT) AS src_turn, text, lang
+           FROM documents
+           UNION ALL
+           SELECT 'topup', 1, conv_id, turn, text, '' FROM conversations WHERE role = 'user'),
+k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY prio, src_id, src_turn) AS r FROM m)
+SELECT row_number() OVER (ORDER BY prio, src_id, src_turn) AS id, origin, src_id, src_turn, lang
+FROM k WHERE r = 1"""
+    s["exclude_used"] = """
+SELECT d.doc_id FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM documents u JOIN labels l ON l.doc_id = u.doc_id WHERE u.text = d.text)"""
+    s["resume_remaining"] = """
+SELECT doc_id, CAST(quality AS VARCHAR) AS prediction, 'kept' AS status FROM labels
+WHERE quality IS NOT NULL AND trim(CAST(quality AS VARCHAR)) <> ''
+UNION ALL
+SELECT d.doc_id, CASE WHEN d.n_chars >= 300 THEN '1' ELSE '0' END, 'new' FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality IS NOT NULL)"""
+    s["apply_corrections"] = """
+WITH c AS (SELECT 1 AS seq, doc_id, 0 AS quality FROM labels WHERE toxic = 1
+           UNION ALL
+           SELECT 2, l.doc_id, 1 FROM labels l JOIN documents d ON d.doc_id = l.doc_id
+           WHERE l.toxic = 1 AND d.n_chars < 1000
+           UNION ALL
+           SELECT 3, d.doc_id, 0 FROM documents d
+           WHERE d.n_chars > 15000 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)),
+lst AS (SELECT doc_id, arg_max(quality, seq) AS quality FROM c GROUP BY doc_id)
+SELECT l.doc_id, CAST(CASE WHEN lst.doc_id IS NOT NULL THEN lst.quality ELSE l.quality END AS INTEGER) AS quality,
+       l.toxic, lst.doc_id IS NOT NULL AS corrected
+FROM labels l LEFT JOIN lst ON lst.doc_id = l.doc_id"""
+    return s
+
+
+SQL.update(_sql_corpus())

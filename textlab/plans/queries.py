@@ -158,6 +158,8 @@ def confusion_matrix_q(spark, sf_dir):
     return cm.select(F.col("label").alias("truth"), *QUALITY_LABELS)
 
 
+from . import corpus, labelling  # noqa: E402
+
 QUERIES = {
     "reply_pairs": reply_pairs_q,
     "clean_text": clean_text_q,
@@ -168,6 +170,33 @@ QUERIES = {
     "eval_metrics": eval_metrics_q,
     "per_class_metrics": per_class_metrics_q,
     "confusion_matrix": confusion_matrix_q,
+    "text_profile": corpus.text_profile_q,
+    "length_histogram": corpus.length_histogram_q,
+    "value_counts": corpus.value_counts_q,
+    "counts_having": corpus.counts_having_q,
+    "top_unigrams": corpus.top_unigrams_q,
+    "top_bigrams": corpus.top_bigrams_q,
+    "length_stratified_sample": corpus.length_stratified_sample_q,
+    "quota_sample": corpus.quota_sample_q,
+    "quota_gap": corpus.quota_gap_q,
+    "proportional_sample": corpus.proportional_sample_q,
+    "edge_cases": corpus.edge_cases_q,
+    "weak_labels": corpus.weak_labels_q,
+    "dedupe_keep_first": corpus.dedupe_keep_first_q,
+    "merge_topup": corpus.merge_topup_q,
+    "exclude_used": corpus.exclude_used_q,
+    "resume_remaining": corpus.resume_remaining_q,
+    "apply_corrections": corpus.apply_corrections_q,
+    "label_audit": labelling.label_audit_q,
+    "audit_summary": labelling.audit_summary_q,
+    "difficulty_downgrade": labelling.downgrade_q,
+    "kappa": labelling.kappa_q,
+    "rank_agreement": labelling.rank_agreement_q,
+    "compare_systems": labelling.compare_systems_q,
+    "majority_baseline": labelling.majority_baseline_q,
+    "response_parse": labelling.response_parse_q,
+    "rubric_scores": labelling.rubric_scores_q,
+    "rubric_by_class": labelling.rubric_by_class_q,
 }
 
 FLAGSHIP = "policy_decision"
