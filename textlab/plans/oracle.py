@@ -357,3 +357,249 @@ FROM labels l LEFT JOIN lst ON lst.doc_id = l.doc_id"""
 
 
 SQL.update(_sql_corpus())
+
+
+# ---------------------------------------------------------------------------
+# labelling: audit, agreement, baselines, responses, rubric
+
+GOLDEN = f"""
+SELECT d.doc_id AS id, c AS customer_msg_clean,
+       {first_label('c', LX.INTENT_LEXICON, LX.INTENT_DEFAULT)} AS intent,
+       CASE WHEN l.toxic = 1 THEN 'escalate' ELSE 'auto_handle' END AS escalation_ground_truth,
+       CASE WHEN l.quality = 0 THEN 'kb_unavailable' WHEN l.toxic = 1 THEN 'low_risk'
+            ELSE 'deterministic_action' END AS escalation_reason,
+       CASE WHEN d.n_chars < 500 THEN 'easy' WHEN d.n_chars < 3000 THEN 'medium' ELSE 'hard' END AS difficulty,
+       {_case_sql('d.lang', LX.LANG_HINTS, 'other')} AS intent_llm_guess,
+       CAST(NULL AS VARCHAR) AS intent_llm_guess_v2
+FROM (SELECT doc_id, lang, n_chars, {clean('text')} AS c FROM documents) d
+JOIN labels l ON l.doc_id = d.doc_id"""
+
+HINT = ("CASE WHEN trim(intent_llm_guess_v2) <> '' THEN intent_llm_guess_v2 "
+        "WHEN trim(intent_llm_guess) <> '' THEN intent_llm_guess ELSE '' END")
+
+
+def _audit_arms() -> list[tuple[str, str, str]]:
+    i, e, r, d = "intent", "escalation_ground_truth", "escalation_reason", "difficulty"
+    m, n = "coalesce(customer_msg_clean, '')", "length(coalesce(customer_msg_clean, ''))"
+    return [
+        ("R1-escalation-mismatch", f"{e} = 'auto_handle' AND {in_list(r, P.ESC_REASONS)}",
+         f"'auto_handle with escalate reason \"' || {r} || '\"'"),
+        ("R1-escalation-mismatch", f"{e} = 'escalate' AND {in_list(r, P.AUTO_REASONS)}",
+         f"'escalate with auto reason \"' || {r} || '\"'"),
+        ("R2-complaint-topic", f"{i} = 'complaint' AND {words(m, P.AUDIT_TOPIC_WORDS)}",
+         q("complaint but message mentions a topic word — could be a different intent")),
+        ("R3-info-but-problem", f"{i} = 'info_request' AND {words(m, P.AUDIT_PROBLEM_WORDS)}",
+         q("info_request but message describes an active problem")),
+        ("R4-product-but-money", f"{i} = 'product_issue' AND {words(m, P.AUDIT_MONEY_WORDS)}",
+         q("product_issue but message mentions money — could be refund/billing")),
+        ("R5-order-status-dispute", f"{i} = 'order_status' AND {words(m, P.AUDIT_DISPUTE_WORDS)}",
+         q("order_status but seems to dispute tracking — check complaint")),
+        ("R6-short-fragment", f"{n} < {P.AUDIT_SHORT_LEN} AND {i} NOT IN ('other', 'complaint')",
+         f"{i} || ' but message is only ' || CAST({n} AS VARCHAR) || ' chars — fragment risk'"),
+        ("R7-account-access-auto", f"{i} = 'account_access' AND {e} IS DISTINCT FROM 'escalate'",
+         q("account_access should always be escalate")),
+        ("R8-complaint-auto", f"{i} = 'complaint' AND {e} IS DISTINCT FROM 'escalate'",
+         q("complaint should always be escalate")),
+        ("R9-billing-auto", f"{i} = 'billing_payment' AND {e} IS DISTINCT FROM 'escalate'",
+         q("billing_payment should always be escalate")),
+        ("R10-easy-but-override",
+         f"{d} = 'easy' AND {i} <> '' AND ({HINT}) <> '' AND ({HINT}) <> {i}",
+         f"'marked easy but overrode LLM hint (\"' || ({HINT}) || '\" -> \"' || {i} || '\")'"),
+        ("R11-non-english-complaint",
+         f"{i} = 'complaint' AND coalesce(regexp_matches({m}, {q(P.NON_ASCII)}), false)",
+         q("non-English labelled complaint — verify not other/info_request")),
+        ("R12-suspicious-kb",
+         f"{r} = 'kb_unavailable' AND NOT {words(m, P.AUDIT_KB_WORDS)} AND {n} < {P.AUDIT_KB_SHORT_LEN}",
+         q("kb_unavailable on a short/simple message — verify")),
+    ]
+
+
+AUDIT = "WITH g AS (" + GOLDEN + ")\n" + "\nUNION ALL\n".join(
+    f"SELECT id, intent, escalation_ground_truth AS escalation, escalation_reason AS reason, difficulty, "
+    f"substr(coalesce(customer_msg_clean, ''), 1, {P.AUDIT_MESSAGE_CHARS}) AS message, "
+    f"{q(rule)} AS rule, {why} AS why FROM g WHERE coalesce({pred}, false)"
+    for rule, pred, why in _audit_arms())
+
+
+def _raw_responses_sql() -> str:
+    intent = _case_sql("event_type", LX.EVENT_INTENTS, "other")
+    plain = f"""('{{"intent": "' || {intent} || '", ' || substr(props, 2))"""
+    return f"""
+SELECT event_id, CAST(((event_id % 5) + 5) % 5 AS INTEGER) AS variant,
+       CASE ((event_id % 5) + 5) % 5
+         WHEN 0 THEN {plain}
+         WHEN 1 THEN '```json' || chr(10) || {plain} || chr(10) || '```'
+         WHEN 2 THEN '"' || replace({plain}, '"', '\\"') || '"'
+         WHEN 3 THEN 'Sure, here it is: ' || {plain} || ' Hope this helps.'
+         ELSE substr({plain}, 1, 12) END AS raw_response
+FROM events"""
+
+
+def _fence(t: str) -> str:
+    from ..operators.responses import FENCE_RE
+    return (f"CASE WHEN starts_with(trim({t}), '```') THEN trim(regexp_replace(trim({t}), {q(FENCE_RE)}, '', 'g')) "
+            f"ELSE trim({t}) END")
+
+
+def _jtype(t: str) -> str:
+    return f"(CASE WHEN json_valid({t}) THEN json_type({t}) END)"
+
+
+def _sql_labelling() -> dict[str, str]:
+    s: dict[str, str] = {}
+    s["label_audit"] = AUDIT
+    s["audit_summary"] = f"""
+WITH a AS ({AUDIT})
+SELECT rule, count(*) AS n_flags, count(DISTINCT id) AS n_ids FROM a GROUP BY rule
+UNION ALL
+SELECT '(all)', count(*), count(DISTINCT id) FROM a"""
+    s["difficulty_downgrade"] = f"""
+SELECT id, difficulty,
+       CASE WHEN coalesce(difficulty = 'easy' AND intent <> '' AND ({HINT}) <> '' AND ({HINT}) <> intent, false)
+            THEN 'medium' ELSE difficulty END AS difficulty_after
+FROM ({GOLDEN})"""
+    s["kappa"] = """
+WITH j AS (SELECT quality AS a, 1 - toxic AS b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+t AS (SELECT count(*) AS n, count(*) FILTER (WHERE a = b) AS agree FROM j),
+ma AS (SELECT a AS label, count(*) AS na FROM j GROUP BY a),
+mb AS (SELECT b AS label, count(*) AS nb FROM j GROUP BY b),
+ch AS (SELECT coalesce(sum(na * nb), 0) AS chance FROM ma JOIN mb ON ma.label = mb.label)
+SELECT CAST(n AS BIGINT) AS n,
+       round(agree / CAST(n AS DOUBLE), 6) AS p_observed,
+       round(chance / (CAST(n AS DOUBLE) * n), 6) AS p_expected,
+       round(CASE WHEN CAST(n AS DOUBLE) * n - chance <> 0
+                  THEN (CAST(agree AS DOUBLE) * n - chance) / (CAST(n AS DOUBLE) * n - chance) END, 6) AS kappa
+FROM t CROSS JOIN ch"""
+    bands = " ".join(f"WHEN rho >= {lo} THEN {q(name)}" for lo, name in P.RHO_BANDS)
+    s["rank_agreement"] = f"""
+WITH x AS (SELECT l_quantity AS a, l_discount AS b FROM lineitem
+           WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL),
+va AS (SELECT a, count(*) AS n FROM x GROUP BY a),
+vb AS (SELECT b, count(*) AS n FROM x GROUP BY b),
+ra AS (SELECT a, coalesce(sum(n) OVER (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                 + CAST(n + 1 AS DOUBLE) / 2 AS ra FROM va),
+rb AS (SELECT b, coalesce(sum(n) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                 + CAST(n + 1 AS DOUBLE) / 2 AS rb FROM vb),
+j AS (SELECT x.a, x.b, ra.ra, rb.rb FROM x JOIN ra ON ra.a = x.a JOIN rb ON rb.b = x.b),
+t AS (SELECT count(*) AS n, avg(a) AS jm, avg(b) AS hm, corr(ra, rb) AS rho, avg(abs(a - b)) AS mae,
+             avg(CASE WHEN a = b THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS exact,
+             avg(CASE WHEN abs(a - b) <= 1 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS within1
+      FROM j)
+SELECT CAST(n AS BIGINT) AS n, round(jm, 9) AS judge_mean, round(hm, 9) AS human_mean, round(rho, 9) AS rho,
+       round(CASE WHEN abs(rho) < 1 THEN rho * sqrt((n - 2) / (1 - rho * rho)) END, 9) AS t_stat,
+       round(mae, 9) AS mae, round(exact, 9) AS exact, round(within1, 9) AS within1,
+       CASE WHEN rho IS NULL THEN NULL {bands} ELSE {q(P.RHO_BAND_ELSE)} END AS band,
+       CASE WHEN jm > hm + {P.BIAS_MARGIN} THEN 'generous' WHEN jm < hm - {P.BIAS_MARGIN} THEN 'harsh'
+            ELSE 'close' END AS bias
+FROM t"""
+    s["compare_systems"] = """
+WITH j AS (SELECT CASE WHEN l.quality = 1 THEN 'high' ELSE 'low' END AS truth,
+                  CASE WHEN d.n_chars >= 300 THEN 'high' ELSE 'low' END AS len300,
+                  CASE WHEN d.n_chars >= 1000 THEN 'high' ELSE 'low' END AS len1000
+           FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+lng AS (SELECT 'len300' AS system, truth, len300 AS pred FROM j
+        UNION ALL SELECT 'len1000', truth, len1000 FROM j),
+lab(label) AS (VALUES ('low'), ('high')),
+pc AS (SELECT sy.system, lab.label,
+              CAST(count(*) FILTER (WHERE lng.truth = lab.label AND lng.pred = lab.label) AS DOUBLE) AS tp,
+              CAST(count(*) FILTER (WHERE lng.truth = lab.label) AS DOUBLE) AS sup,
+              CAST(count(*) FILTER (WHERE lng.pred = lab.label) AS DOUBLE) AS prd
+       FROM (SELECT DISTINCT system FROM lng) sy CROSS JOIN lab
+       LEFT JOIN lng ON lng.system = sy.system AND (lng.truth = lab.label OR lng.pred = lab.label)
+       GROUP BY sy.system, lab.label)
+SELECT system, CAST(sum(sup) AS BIGINT) AS n, round(sum(tp) / sum(sup), 6) AS accuracy,
+       round(sum(CASE WHEN sup + prd > 0 THEN 2 * tp / (sup + prd) ELSE 0 END) / CAST(2 AS DOUBLE), 6) AS macro_f1,
+       CAST((SELECT count(*) FROM j WHERE len300 IS DISTINCT FROM len1000) AS BIGINT) AS n_changed
+FROM pc GROUP BY system"""
+    s["majority_baseline"] = f"""
+WITH m AS (SELECT event_type FROM events GROUP BY event_type
+           ORDER BY count(*) DESC, event_type ASC NULLS LAST LIMIT 1)
+SELECT e.event_id, (SELECT event_type FROM m) AS predicted_type,
+       {q(P.TRIVIAL_ESCALATION)} AS predicted_escalation, {q(P.TRIVIAL_REASON)} AS predicted_reason,
+       {q(P.TRIVIAL_REPLY)} AS predicted_reply
+FROM events e"""
+    unwrap = "({f})".format(f=_fence("json_extract_string(t, '$')"))
+    obj_of = (lambda t: f"CASE WHEN {_jtype(t)} = 'OBJECT' THEN {t} "
+                        f"WHEN {_jtype(t)} = 'VARCHAR' AND {_jtype(unwrap.replace('t,', t + ','))} = 'OBJECT' "
+                        f"THEN {unwrap.replace('t,', t + ',')} END")
+    d = P.RESPONSE_DEFAULTS
+    s["response_parse"] = f"""
+WITH r AS ({_raw_responses_sql()}),
+t AS (SELECT event_id, variant, {_fence('raw_response')} AS txt FROM r),
+sp AS (SELECT *, nullif(regexp_extract(txt, '(?s)\\{{.*\\}}', 0), '') AS span FROM t),
+o AS (SELECT event_id, variant, coalesce({obj_of('txt')}, {obj_of('span')}) AS obj FROM sp)
+SELECT event_id, variant, obj IS NOT NULL AS parsed,
+       CASE WHEN json_extract_string(obj, '$.intent') IN ({', '.join(q(x) for x in P.INTENTS)})
+            THEN json_extract_string(obj, '$.intent') ELSE {q(d['intent'])} END AS intent,
+       CASE WHEN json_extract_string(obj, '$.escalation') IN ({', '.join(q(x) for x in P.ESCALATIONS)})
+            THEN json_extract_string(obj, '$.escalation') ELSE {q(d['escalation'])} END AS escalation,
+       CASE WHEN json_extract_string(obj, '$.reason') IN ({', '.join(q(x) for x in P.REASONS)})
+            THEN json_extract_string(obj, '$.reason') ELSE {q(d['reason'])} END AS reason,
+       TRY_CAST(json_extract(obj, '$.k') AS BIGINT) AS k
+FROM o"""
+    s["rubric_scores"] = f"""
+WITH sc AS ({RUBRIC})
+SELECT conv_id, turn, intent, relevance, groundedness, tone, actionability, safety,
+       round(CAST(relevance + groundedness + tone + actionability + safety AS DOUBLE) / CAST(5 AS DOUBLE), 1) AS overall
+FROM sc"""
+    s["rubric_by_class"] = f"""
+WITH sc AS ({RUBRIC})
+SELECT intent,
+       CAST(sum(relevance + groundedness + tone + actionability + safety) AS DOUBLE)
+         / (count(*) * CAST(5 AS DOUBLE)) AS mean_overall,
+       count(*) AS count
+FROM sc GROUP BY intent"""
+    return s
+
+
+def _contains_any(col: str, needles) -> str:
+    return "(" + " OR ".join(f"contains({col}, {q(x)})" for x in needles) + ")"
+
+
+def _count_contained(col: str, needles) -> str:
+    return "(" + " + ".join(f"(CASE WHEN contains({col}, {q(x)}) THEN 1 ELSE 0 END)" for x in needles) + ")"
+
+
+def _rubric_sql() -> str:
+    from ..operators.rubric import GROUND_WORD_RE
+    r, f, lo = "coalesce(reply, '')", "coalesce(reference, '')", "lower(coalesce(reply, ''))"
+    short = f"length({r}) < {P.RUBRIC_MIN_LEN}"
+    hits = "CASE " + " ".join(f"WHEN intent = {q(k)} THEN {_count_contained(lo, v)}"
+                              for k, v in P.RUBRIC_TOPICS.items()) + " ELSE 0 END"
+    relevance = (f"CASE WHEN {short} THEN 1 WHEN ({hits}) >= 2 THEN 5 WHEN ({hits}) = 1 THEN 4 "
+                 f"WHEN {_contains_any(lo, P.RUBRIC_GENERIC)} THEN 3 ELSE 2 END")
+    rw = f"list_distinct(regexp_extract_all({lo}, {q(GROUND_WORD_RE)}))"
+    fw = f"list_distinct(regexp_extract_all(lower({f}), {q(GROUND_WORD_RE)}))"
+    share = f"(CAST(len(list_intersect({rw}, {fw})) AS DOUBLE) / CAST(len({rw}) AS DOUBLE))"
+    steps = " ".join(f"WHEN {share} >= {lo_} THEN {sc}" for lo_, sc in P.GROUNDED_STEPS)
+    grounded = f"CASE WHEN {r} = '' OR {f} = '' THEN 3 WHEN len({rw}) = 0 THEN 2 {steps} ELSE 2 END"
+    shout = f"(upper({r}) = {r} AND lower({r}) <> {r} AND length({r}) > {P.TONE_SHOUT_LEN})"
+    score = (f"(CAST(3 AS DOUBLE) + CASE WHEN {_contains_any(lo, P.TONE_EMPATHY)} THEN 1 ELSE 0 END "
+             f"+ CASE WHEN {_contains_any(lo, P.TONE_POLITE)} THEN CAST(0.5 AS DOUBLE) ELSE 0 END "
+             f"- CASE WHEN {_contains_any(lo, P.TONE_ABUSE)} THEN 3 ELSE 0 END "
+             f"- CASE WHEN {shout} THEN 1 ELSE 0 END)")
+    tone = f"CASE WHEN {short} THEN 1 ELSE CAST(greatest(1, least(5, round_even({score}, 0))) AS INTEGER) END"
+    act = (f"CASE WHEN {short} THEN 1 "
+           f"WHEN escalation = 'escalate' AND {_contains_any(lo, P.ACT_ESC_CONTACT)} THEN 5 "
+           f"WHEN escalation = 'escalate' AND {_contains_any(lo, P.ACT_ESC_FOLLOW)} THEN 4 "
+           f"WHEN escalation = 'escalate' THEN 2 "
+           f"WHEN {_contains_any(lo, P.ACT_AUTO_STEPS)} THEN 5 "
+           f"WHEN {_contains_any(lo, P.ACT_AUTO_HELP)} THEN 4 ELSE 3 END")
+    code = f"(?:^|{P.NOT_WORD}){P.SAFETY_CODE}(?:$|{P.NOT_WORD})"
+    promise = P.words("|".join(P.SAFETY_PROMISE_WORDS))
+    pct = f"(?:^|{P.NOT_WORD}){P.SAFETY_PROMISE_PERCENT}"
+    safety = (f"CASE WHEN {r} = '' THEN 1 WHEN regexp_matches({r}, {q(code)}) THEN 2 "
+              f"WHEN regexp_matches({r}, {q(P.SAFETY_MONEY)}) AND NOT contains({lo}, 'refund') THEN 3 "
+              f"WHEN regexp_matches({lo}, {q(promise)}) OR regexp_matches({lo}, {q(pct)}) THEN 3 ELSE 5 END")
+    return f"""
+WITH s AS (SELECT *, {escalation('intent', 'msg')} AS escalation FROM ({SCORED})),
+j AS (SELECT s.*, n.reply AS reference FROM s LEFT JOIN s n ON n.conv_id = s.conv_id AND n.turn = s.turn + 2)
+SELECT conv_id, turn, intent,
+       CAST({relevance} AS INTEGER) AS relevance, CAST({grounded} AS INTEGER) AS groundedness,
+       CAST({tone} AS INTEGER) AS tone, CAST({act} AS INTEGER) AS actionability,
+       CAST({safety} AS INTEGER) AS safety
+FROM j"""
+
+
+RUBRIC = _rubric_sql()
+SQL.update(_sql_labelling())
