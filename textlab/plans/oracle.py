@@ -603,3 +603,84 @@ FROM j"""
 
 RUBRIC = _rubric_sql()
 SQL.update(_sql_labelling())
+
+
+# ---------------------------------------------------------------------------
+# TF-IDF, retrieval, stream
+
+
+def vector_terms_sql(c: str) -> str:
+    u = f"regexp_extract_all(lower({c}), {q(TX.VECTOR_TOKEN_RE)})"
+    return f"(list_concat({u}, list_transform(range(1, len({u})), lambda i: {u}[i] || ' ' || {u}[i + 1])))"
+
+
+def tfidf_sql(docs: str, key: str, text: str, min_df: int, max_features: int, out: str) -> str:
+    """CTEs <out>_tf, <out>_v (vocabulary) and <out> (key, term, w normalised)."""
+    return f"""
+{out}_docs AS ({docs}),
+{out}_tok AS (SELECT {key}, unnest({vector_terms_sql(text)}) AS term FROM {out}_docs),
+{out}_tf AS (SELECT {key}, term, count(*) AS tf FROM {out}_tok GROUP BY {key}, term),
+{out}_st AS (SELECT term, count(*) AS df, sum(tf) AS ttf FROM {out}_tf GROUP BY term HAVING count(*) >= {min_df}),
+{out}_v AS (SELECT term, df, ln((1 + (SELECT count(*) FROM {out}_docs)) / (df + CAST(1 AS DOUBLE))) + 1 AS idf
+            FROM {out}_st ORDER BY ttf DESC, term LIMIT {max_features}),
+{out}_w0 AS (SELECT t.{key}, t.term, t.tf * v.idf AS w FROM {out}_tf t JOIN {out}_v v ON v.term = t.term),
+{out} AS (SELECT {key}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM {out}_w0)"""
+
+
+def query_vectors_sql(docs: str, key: str, text: str, vocab: str, out: str) -> str:
+    return f"""
+{out}_docs AS ({docs}),
+{out}_tok AS (SELECT {key}, unnest({vector_terms_sql(text)}) AS term FROM {out}_docs),
+{out}_tf AS (SELECT {key}, term, count(*) AS tf FROM {out}_tok GROUP BY {key}, term),
+{out}_w0 AS (SELECT t.{key}, t.term, t.tf * v.idf AS w FROM {out}_tf t JOIN {vocab} v ON v.term = t.term),
+{out} AS (SELECT {key}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM {out}_w0)"""
+
+
+POOL = f"""
+SELECT pair_key, conv_id, turn, cm, br FROM (
+  SELECT conv_id * 1000 + turn AS pair_key, conv_id, turn,
+         {clean('customer_msg')} AS cm, {clean('brand_reply')} AS br
+  FROM ({PAIRS}))
+WHERE br IS NOT NULL AND trim(br) <> ''"""
+
+BENCH = f"SELECT item_id, {clean('text')} AS qt FROM benchmark"
+
+
+def retrieval_sql(min_df: int, max_features: int, k: int) -> str:
+    return f"""
+WITH {tfidf_sql(POOL, 'pair_key', 'cm', min_df, max_features, 'pv')},
+{query_vectors_sql(BENCH, 'item_id', 'qt', 'pv_v', 'qv')},
+sc AS (SELECT qv.item_id, pv.pair_key, sum(qv.w * pv.w) AS score
+       FROM qv JOIN pv ON pv.term = qv.term GROUP BY qv.item_id, pv.pair_key),
+rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, pair_key) AS rank
+       FROM sc WHERE score > 0),
+top AS (SELECT * FROM rk WHERE rank <= {k})"""
+
+
+def _sql_scoring() -> dict[str, str]:
+    s: dict[str, str] = {}
+    s["tfidf_weights"] = f"""
+WITH {tfidf_sql(CLEAN_DOCS, 'doc_id', 'c', 2, 5000, 'dw')}
+SELECT doc_id, term, round(w, 6) AS weight FROM dw"""
+    s["retrieve_top1"] = retrieval_sql(1, 5000, 1) + f"""
+SELECT b.item_id, p.conv_id, p.turn, round(top.score, 6) AS score, p.br AS reply
+FROM benchmark b LEFT JOIN top ON top.item_id = b.item_id
+LEFT JOIN ({POOL}) p ON p.pair_key = top.pair_key"""
+    line = (f"'- Customer: ' || substr(p.cm, 1, {P.PROMPT_CUSTOMER_CHARS}) || chr(10) || "
+            f"'  Brand reply: ' || substr(p.br, 1, {P.PROMPT_REPLY_CHARS})")
+    s["retrieve_top3_prompt"] = retrieval_sql(2, 8000, 3) + f""",
+lines AS (SELECT top.item_id, top.rank, {line} AS line FROM top JOIN ({POOL}) p ON p.pair_key = top.pair_key),
+agg AS (SELECT item_id, count(*) AS n, string_agg(line, chr(10) ORDER BY rank) AS prompt FROM lines GROUP BY item_id)
+SELECT b.item_id, CAST(coalesce(agg.n, 0) AS BIGINT) AS n_examples,
+       coalesce(agg.prompt, {q(P.PROMPT_EMPTY)}) AS prompt
+FROM benchmark b LEFT JOIN agg ON agg.item_id = b.item_id"""
+    s["stream_scoring"] = f"""
+WITH m AS (SELECT conv_id, turn, {clean('text')} AS msg FROM conversations WHERE role = 'user'),
+i AS (SELECT conv_id, turn, msg, {first_label('msg', LX.INTENT_LEXICON, LX.INTENT_DEFAULT)} AS intent FROM m),
+e AS (SELECT conv_id, turn, intent, {escalation('intent', 'msg')} AS escalation,
+             {reason('intent', 'msg', 'hybrid')} AS r0 FROM i)
+SELECT conv_id, turn, intent, escalation, {consistent_reason('escalation', 'r0', 'intent')} AS reason FROM e"""
+    return s
+
+
+SQL.update(_sql_scoring())

@@ -158,7 +158,7 @@ def confusion_matrix_q(spark, sf_dir):
     return cm.select(F.col("label").alias("truth"), *QUALITY_LABELS)
 
 
-from . import corpus, labelling  # noqa: E402
+from . import corpus, labelling, scoring  # noqa: E402
 
 QUERIES = {
     "reply_pairs": reply_pairs_q,
@@ -197,6 +197,13 @@ QUERIES = {
     "response_parse": labelling.response_parse_q,
     "rubric_scores": labelling.rubric_scores_q,
     "rubric_by_class": labelling.rubric_by_class_q,
+    "tfidf_weights": scoring.tfidf_weights_q,
+    "retrieve_top1": scoring.retrieve_top1_q,
+    "retrieve_top3_prompt": scoring.retrieve_top3_prompt_q,
+    "oof_classifier": scoring.oof_classifier_q,
+    "cv_accuracy": scoring.cv_accuracy_q,
+    "scoring_job": scoring.scoring_job_q,
+    "stream_scoring": scoring.stream_scoring_q,
 }
 
-FLAGSHIP = "policy_decision"
+FLAGSHIP = "scoring_job"
