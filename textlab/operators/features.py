@@ -37,12 +37,24 @@ class Vocabulary:
 def doc_terms(docs: DataFrame, key: str, text: str, ngram_max: int = 2) -> DataFrame:
     """(key, term) rows, one per token occurrence (1- and 2-grams)."""
     uni = docs.select(key, vector_unigrams(text).alias("_u"))
-    return uni.select(key, F.explode(vector_terms("_u", ngram_max)).alias("term"))
+    terms = uni.select(key, F.explode(vector_terms("_u", ngram_max)).alias("term"))
+    # explicit (instead of inferred later), so every use of this subtree is
+    # identical and Spark reuses its exchange
+    return terms.where(F.col("term").isNotNull())
 
 
-def term_counts(docs: DataFrame, key: str, text: str, ngram_max: int = 2) -> DataFrame:
-    """(key, term, tf)."""
-    return doc_terms(docs, key, text, ngram_max).groupBy(key, "term").agg(
+def term_counts(docs: DataFrame, key: str, text: str, ngram_max: int = 2,
+                cluster: bool = True) -> DataFrame:
+    """(key, term, tf).
+
+    ``cluster=True`` hash-partitions the *documents* by key first: one shuffle
+    of the raw text (smaller than the term rows it expands into) after which
+    the count per (key, term), the per-document L2 norm and the retrieval sum
+    all run without another exchange.  A table bucketed by the key needs no
+    shuffle at all.
+    """
+    src = docs.repartition(key) if cluster else docs
+    return doc_terms(src, key, text, ngram_max).groupBy(key, "term").agg(
         F.count(F.lit(1)).alias("tf"))
 
 

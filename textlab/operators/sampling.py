@@ -61,11 +61,16 @@ def length_quotas(n: int, shares=P.LENGTH_SHARES) -> dict[str, int]:
 def length_stratified_sample(df: DataFrame, text_col: str, key: str, n: int = 500,
                              seed: int = 42, id_col: str = "id") -> DataFrame:
     """Quotas 60/25/15 % of n by length band (<80, 80-159, >=160), each capped
-    by the band size; blank texts are dropped first; ids 1..m in shuffle order."""
+    by the band size; blank texts are never chosen; ids 1..m in shuffle order.
+
+    Blank rows get a null band (quota 0) instead of a separate filter: a
+    filter on a derived text column would be pushed below the projection and
+    re-evaluate an expensive text expression (e.g. cleaning) per reference.
+    """
     quotas = length_quotas(n)
-    base = tables.non_blank(df, text_col)
-    banded = base.withColumn("length", F.length(F.col(text_col)).cast("long")).withColumn(
-        "band", length_bands(F.col("length")))
+    banded = df.select(key, text_col, F.length(F.col(text_col)).cast("long").alias("length"),
+                       tables.is_blank_col(text_col).alias("_blank"))
+    banded = banded.select(key, "length", F.when(~F.col("_blank"), length_bands(F.col("length"))).alias("band"))
     quota = _case_map(F.col("band"), quotas, 0)
     picked = top_n_per_group(banded, ["band"], [hash_order(key, seed), F.col(key)], quota,
                              max_n=max(quotas.values())).drop("rank")

@@ -28,6 +28,11 @@ def label_progress(df: DataFrame, col: str = "intent") -> DataFrame:
                   F.count_if(~F.coalesce(lab, F.lit(False))).alias("n_unlabelled"))
 
 
+def is_blank_col(col: str):
+    """Null or whitespace-only, with a single reference to the column."""
+    return F.coalesce(F.length(F.trim(F.col(col))) == 0, F.lit(True))
+
+
 def non_blank(df: DataFrame, *cols: str) -> DataFrame:
     """Drop rows where any of ``cols`` is null or blank."""
     cond = F.lit(True)
