@@ -16,6 +16,9 @@ MENTION_RE = f"@{P.WORD}+"
 WS_RUN_RE = f"{P.WS}+"
 TOKEN_RE = f"{P.WORD}+"
 VECTOR_TOKEN_RE = f"{P.WORD}{{2,}}"
+# a maximal word run made only of ASCII lowercase letters, >= 3 long: the
+# same tokens as "word runs, then keep ^[a-z]{3,}$", in one regex pass
+EDA_TOKEN_RE = f"(?<!{P.WORD})[a-z]{{3,}}(?!{P.WORD})"
 
 
 def _c(col) -> Column:
@@ -71,7 +74,7 @@ def eda_tokens(col) -> Column:
     A word run containing any non-ASCII letter, digit or ``_`` yields nothing
     (``éclair`` gives no token), as the original ``\\b[a-z]{3,}\\b`` does.
     """
-    return F.filter(word_runs(col), lambda w: w.rlike("^[a-z]{3,}$"))
+    return F.regexp_extract_all(F.lower(_c(col)), F.lit(EDA_TOKEN_RE), F.lit(0))
 
 
 def adjacent_pairs(tokens) -> Column:
@@ -82,8 +85,8 @@ def adjacent_pairs(tokens) -> Column:
     """
     t = _c(tokens)
     m = F.greatest(F.size(t) - 1, F.lit(0))
-    return F.zip_with(F.slice(t, 1, m), F.slice(t, 2, m),
-                      lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
+    # arrays_zip is a native expression (no interpreted lambda)
+    return F.arrays_zip(F.slice(t, 1, m).alias("w1"), F.slice(t, 2, m).alias("w2"))
 
 
 def vector_unigrams(col) -> Column:

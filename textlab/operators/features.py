@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import vector_terms, vector_unigrams
+from ..functions.text import vector_unigrams
 
 BROADCAST_VOCAB_MAX = 2_000_000
 
@@ -37,7 +37,15 @@ class Vocabulary:
 def doc_terms(docs: DataFrame, key: str, text: str, ngram_max: int = 2) -> DataFrame:
     """(key, term) rows, one per token occurrence (1- and 2-grams)."""
     uni = docs.select(key, vector_unigrams(text).alias("_u"))
-    terms = uni.select(key, F.explode(vector_terms("_u", ngram_max)).alias("term"))
+    if ngram_max == 1:
+        terms = uni.select(key, F.explode("_u").alias("term"))
+    else:
+        # one row per position (token, next token), then the unigram and the
+        # bigram of that position; no interpreted lambda on the token array
+        n = F.size("_u")
+        nxt = F.concat(F.slice("_u", 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
+        pos = uni.select(key, F.inline(F.arrays_zip(F.col("_u").alias("_w"), nxt.alias("_n"))))
+        terms = pos.select(key, F.explode(F.array("_w", F.concat("_w", F.lit(" "), "_n"))).alias("term"))
     # explicit (instead of inferred later), so every use of this subtree is
     # identical and Spark reuses its exchange
     return terms.where(F.col("term").isNotNull())

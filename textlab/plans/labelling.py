@@ -49,6 +49,23 @@ def audit_summary_q(spark, sf_dir):
     return per_rule.unionByName(total)
 
 
+def audit_top_rows_q(spark, sf_dir):
+    """The review report: first 20 flags ordered by id (then rule)."""
+    flags = label_audit_q(spark, sf_dir)
+    return (flags.orderBy("id", "rule").limit(20)
+            .select("id", "intent", "escalation", "reason", "difficulty", "rule"))
+
+
+def label_drift_q(spark, sf_dir):
+    """Two label passes side by side: pass one = quality label, pass two =
+    the inverted toxicity label; counts of every changed (from, to) pair."""
+    from ..operators import profile
+    labels = load(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    two = labels.select(F.when(F.col("quality") == 1, "keep").when(F.col("quality") == 0, "drop").alias("pass1"),
+                        F.when(F.col("toxic") == 0, "keep").when(F.col("toxic") == 1, "drop").alias("pass2"))
+    return profile.label_drift(two, "pass1", "pass2")
+
+
 def downgrade_q(spark, sf_dir):
     g = golden_like(spark, sf_dir)
     return g.select("id", "difficulty", rules.downgrade_difficulty(

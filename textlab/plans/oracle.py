@@ -684,3 +684,22 @@ SELECT conv_id, turn, intent, escalation, {consistent_reason('escalation', 'r0',
 
 
 SQL.update(_sql_scoring())
+
+
+def _sql_extra() -> dict[str, str]:
+    s: dict[str, str] = {}
+    s["answered_messages"] = """
+SELECT m.conv_id, m.turn FROM conversations m
+WHERE m.role = 'user' AND EXISTS (SELECT 1 FROM conversations r
+  WHERE r.role = 'assistant' AND r.conv_id = m.conv_id AND r.turn = m.turn + 1)"""
+    s["audit_top_rows"] = f"""
+SELECT id, intent, escalation, reason, difficulty, rule FROM ({AUDIT}) ORDER BY id, rule LIMIT 20"""
+    s["label_drift"] = """
+WITH two AS (SELECT CASE WHEN quality = 1 THEN 'keep' WHEN quality = 0 THEN 'drop' END AS pass1,
+                    CASE WHEN toxic = 0 THEN 'keep' WHEN toxic = 1 THEN 'drop' END AS pass2 FROM labels)
+SELECT pass1 AS "from", pass2 AS "to", count(*) AS count FROM two
+WHERE pass1 IS DISTINCT FROM pass2 GROUP BY pass1, pass2"""
+    return s
+
+
+SQL.update(_sql_extra())

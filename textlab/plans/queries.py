@@ -35,6 +35,11 @@ def reply_pairs_q(spark, sf_dir):
     return pairing.conversation_reply_pairs(conv)
 
 
+def answered_messages_q(spark, sf_dir):
+    conv = load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return pairing.answered_messages(conv).select("conv_id", "turn")
+
+
 def clean_text_q(spark, sf_dir):
     docs = load(spark, sf_dir, "documents", "doc_id", "text")
     clean = TX.clean_text("text")
@@ -162,6 +167,7 @@ from . import corpus, labelling, scoring  # noqa: E402
 
 QUERIES = {
     "reply_pairs": reply_pairs_q,
+    "answered_messages": answered_messages_q,
     "clean_text": clean_text_q,
     "clean_pages": clean_pages_q,
     "policy_decision": policy_decision_q,
@@ -189,6 +195,8 @@ QUERIES = {
     "apply_corrections": corpus.apply_corrections_q,
     "label_audit": labelling.label_audit_q,
     "audit_summary": labelling.audit_summary_q,
+    "audit_top_rows": labelling.audit_top_rows_q,
+    "label_drift": labelling.label_drift_q,
     "difficulty_downgrade": labelling.downgrade_q,
     "kappa": labelling.kappa_q,
     "rank_agreement": labelling.rank_agreement_q,
