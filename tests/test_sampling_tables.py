@@ -83,3 +83,13 @@ def test_resume_skips_done(spark):
     prev = spark.createDataFrame([(1, "x"), (2, " ")], "id long, pred string")
     done, remaining = tables.resume(todo, prev, "id", "pred")
     assert rows(done, "id") == [(1,)] and rows(remaining) == [(2,), (3,)]
+
+
+def test_sequential_ids_after_aggregation_many_partitions(spark):
+    # ids over an aggregation output (row order inside partitions varies
+    # between evaluations) with adaptive coalescing on: must stay contiguous
+    src = spark.range(0, 40000).selectExpr("id % 20000 AS k", "id").repartition(13)
+    agg = src.groupBy("k").agg(F.max("id").alias("m"))
+    out = tables.sequential_ids(agg, ["k"], "sid", start=1)
+    got = rows(out, "k", "sid")
+    assert got == [(k, k + 1) for k in range(20000)]

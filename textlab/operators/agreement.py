@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import patterns as P
+from . import tables
 
 
 def joint_counts(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -47,24 +48,8 @@ def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 def running_total(df: DataFrame, order_col: str, value_col: str, out_col: str,
                   partitions: int | None = None) -> DataFrame:
     """Exclusive running sum of ``value_col`` in ``order_col`` order, without a
-    single-partition window: range-partition, sum each partition, turn the
-    (tiny) per-partition sums into offsets, add a within-partition running sum.
-    """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, F.col(order_col))
-              .withColumn("_pid", F.spark_partition_id()))
-    part_sums = ranged.groupBy("_pid").agg(F.sum(value_col).alias("_psum"))
-    # one row per partition: bounded by the partition count
-    offsets = part_sums.select(
-        "_pid",
-        (F.coalesce(F.sum("_psum").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)),
-                    F.lit(0))).alias("_offset"))
-    within = W.partitionBy("_pid").orderBy(order_col).rowsBetween(W.unboundedPreceding, -1)
-    return (ranged.withColumn("_before", F.coalesce(F.sum(value_col).over(within), F.lit(0)))
-            .join(F.broadcast(offsets), "_pid")
-            .withColumn(out_col, F.col("_offset") + F.col("_before"))
-            .drop("_pid", "_offset", "_before"))
+    single-partition window (see :func:`tables.exclusive_running_sum`)."""
+    return tables.exclusive_running_sum(df, [order_col], value_col, out_col, partitions)
 
 
 def average_ranks(values: DataFrame, value_col: str, count_col: str = "n") -> DataFrame:

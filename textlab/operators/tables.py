@@ -118,12 +118,24 @@ def exclusive_running_sum(df: DataFrame, order_cols: Sequence[str], value_col: s
     No single-partition window: the table is range-partitioned, each partition
     is summed, the per-partition sums (one row per partition) become offsets,
     and a within-partition running sum is added.
+
+    The range-partitioned table is materialised once with ``checkpoint()`` in
+    the shared checkpoint folder.  Partition ids are then fixed: two separate
+    evaluations of a range exchange can sample different boundaries, and
+    adaptive execution may coalesce its partitions differently per branch, so
+    ``spark_partition_id()`` is only stable on materialised data.  The
+    checkpoint also makes the ids identical when a lost task is recomputed.
     """
+    from ..session import checkpoint_root
+
     spark = df.sparkSession
+    checkpoint_root(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *[F.col(c) for c in order_cols]).withColumn(
-        "_pid", F.spark_partition_id())
+    ranged = (df.repartitionByRange(n, *[F.col(c) for c in order_cols])
+              .checkpoint(eager=True)
+              .withColumn("_pid", F.spark_partition_id()))
     sums = ranged.groupBy("_pid").agg(F.sum(value_col).alias("_psum"))
+    # one row per partition: the single-partition window here is bounded
     offsets = sums.select("_pid", F.coalesce(
         F.sum("_psum").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)),
         F.lit(0)).alias("_offset"))
