@@ -129,14 +129,22 @@ def _quality_eval_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 def eval_metrics_q(spark, sf_dir):
+    """All headline metrics from one grouped pass over truth ⋈ prediction:
+    (truth, pred) counts carry the reason-agreement and low-confidence
+    tallies, so the documents are scanned and matched once."""
     matched, missing = _quality_eval_rows(spark, sf_dir)
-    summ = M.summary(M.pair_counts(matched, "truth", "pred"), QUALITY_LABELS)
-    agree = M.masked_agreement(matched, "truth_reason", "pred_reason")
-    extra = matched.agg(F.count_if(F.col("confidence") < P.LOW_CONFIDENCE).alias("n_low_confidence"))
+    has = F.coalesce(F.col("pred_reason"), F.lit("")) != ""
+    counts = matched.groupBy(F.col("truth").alias("t"), F.col("pred").alias("p")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(has).alias("n_has"),
+        F.count_if(has & F.col("truth_reason").eqNullSafe(F.col("pred_reason"))).alias("n_hit"),
+        F.count_if(F.col("confidence") < P.LOW_CONFIDENCE).alias("n_low"))
+    summ = M.summary(counts.select("t", "p", "n"), QUALITY_LABELS)
+    extra = counts.agg(F.sum("n_has").alias("n_scored"), F.sum("n_hit").alias("n_hit"),
+                       F.sum("n_low").alias("n_low_confidence"))
     miss = missing.agg(F.count(F.lit(1)).alias("n_missing"))
     k = F.lit(1).alias("_k")
-    out = (summ.select(k, "*").join(agree.select(k, "*"), "_k")
-           .join(extra.select(k, "*"), "_k").join(miss.select(k, "*"), "_k"))
+    out = summ.select(k, "*").join(extra.select(k, "*"), "_k").join(miss.select(k, "*"), "_k")
     return out.select(
         F.col("n").alias("n_evaluated"), F.col("n_missing").cast("long").alias("n_missing"),
         _r6(F.col("accuracy")).alias("accuracy"),
@@ -144,7 +152,7 @@ def eval_metrics_q(spark, sf_dir):
         _r6(F.col("macro_recall")).alias("macro_recall"),
         _r6(F.col("macro_f1")).alias("macro_f1"),
         _r6(F.col("weighted_f1")).alias("weighted_f1"),
-        _r6(F.col("agreement")).alias("reason_agreement"),
+        _r6(F.when(F.col("n_scored") > 0, F.col("n_hit") / F.col("n_scored"))).alias("reason_agreement"),
         F.col("n_scored").cast("long").alias("n_reason_scored"),
         F.col("n_low_confidence").cast("long").alias("n_low_confidence"))
 
