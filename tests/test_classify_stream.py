@@ -40,3 +40,19 @@ def test_stream_equals_batch_and_is_idempotent(spark):
     again = rows(stream.run_available(*args))      # same checkpoint: nothing new
     batch = rows(scoring._stream_score(spark.read.parquet(f"{SF_SMALL}/conversations.parquet")))
     assert first == batch == again
+
+
+def test_stream_duplicate_delivery_scored_once(spark, tmp_path):
+    src = str(tmp_path / "in")
+    a = spark.createDataFrame([(1, 0, "user", "hello there"), (1, 1, "assistant", "hi")],
+                              stream.CONVERSATION_SCHEMA)
+    b = spark.createDataFrame([(1, 0, "user", "hello there"), (2, 0, "user", "was it")],
+                              stream.CONVERSATION_SCHEMA)
+    a.coalesce(1).write.parquet(src + "/part=a")
+    b.coalesce(1).write.parquet(src + "/part=b")
+    sink, ckpt = shared_path(spark, "t2-sink"), shared_path(spark, "t2-ckpt")
+    schema = stream.CONVERSATION_SCHEMA.add("part", "string")
+    out = stream.run_available(spark, src, "*.parquet", schema, scoring._stream_score,
+                               ["conv_id", "turn"], sink, ckpt, max_files_per_trigger=1)
+    got = rows(out.select("conv_id", "turn"))
+    assert got == [(1, 0), (2, 0)]

@@ -55,7 +55,9 @@ def exclude_keys(df: DataFrame, used: DataFrame, on: str | list[str]) -> DataFra
 def exclude_texts(df: DataFrame, text_col: str, used: DataFrame, used_text_col: str) -> DataFrame:
     """Anti join on long text: the shuffle key is md5(text), the text itself is
     compared too, so a hash collision can never drop a row."""
-    u = used.select(F.md5(F.col(used_text_col)).alias("_h"), F.col(used_text_col).alias("_t"))
+    # distinct first (partial aggregation map-side): copies of one used text
+    # never pile up on the build side of the join
+    u = used.select(F.md5(F.col(used_text_col)).alias("_h"), F.col(used_text_col).alias("_t")).distinct()
     d = df.withColumn("_h", F.md5(F.col(text_col)))
     return (d.join(u, (d["_h"] == u["_h"]) & (d[text_col] == u["_t"]), "left_anti").drop("_h"))
 
