@@ -59,32 +59,55 @@ def brute_force(k, max_features=None, min_df=1):
     return out
 
 
-def spark_top(spark, k, broadcast_rows, max_features=None, min_df=1):
+def spark_top(spark, k, strategy, common_df=None, queries=QUERIES, exclude_self=False):
     pool = spark.createDataFrame(POOL, "pid long, text string")
-    q = spark.createDataFrame(QUERIES, "qid long, text string")
-    m = retrieval.retrieve(q, "qid", "text", pool, "pid", "text", k=k, max_features=max_features,
-                           min_df=min_df, broadcast_rows=broadcast_rows)
+    q = spark.createDataFrame(queries, "qid long, text string")
+    m = retrieval.retrieve(q, "qid", "text", pool, "pid", "text", k=k, max_features=None,
+                           strategy=strategy, common_df=common_df, exclude_self=exclude_self)
     out = {}
     for r in m.orderBy("qid", "rank").collect():
         out.setdefault(r["qid"], []).append((r["pid"], r["score"]))
     return out
 
 
-@pytest.mark.parametrize("broadcast_rows", [10_000, 0])
-def test_retrieval_equals_brute_force(spark, broadcast_rows, monkeypatch):
-    # broadcast_rows=0 forces the shuffled plan; hot_df=1 salts every term
+def brute(k, queries=QUERIES, exclude_self=False):
+    tfs, idf = py_tfidf(POOL)
+    pv = {key: vec(c, idf) for key, c in tfs.items()}
+    out = {}
+    for qk, qt in queries:
+        qv = vec(Counter(py_terms(qt)), idf)
+        scores = [(sum(w * pv[p].get(t, 0.0) for t, w in qv.items()), p) for p in pv
+                  if not (exclude_self and p == qk)]
+        scores = sorted([(sc, p) for sc, p in scores if sc > 0], key=lambda x: (-round(x[0], 9), x[1]))
+        if scores:
+            out[qk] = [(p, sc) for sc, p in scores[:k]]
+    return out
+
+
+STRATEGIES = [("broadcast", None), ("salted", None), ("tiered", 1), ("tiered", 2), ("tiered", 100)]
+
+
+@pytest.mark.parametrize("strategy,common_df", STRATEGIES)
+def test_retrieval_equals_brute_force(spark, strategy, common_df, monkeypatch):
+    # salted: hot_df=1 salts every term into 3 buckets
     orig = retrieval.score_candidates
     monkeypatch.setattr(retrieval, "score_candidates",
                         lambda *a, **kw: orig(*a, **{**kw, "hot_df": 1, "salts": 3}))
     for k in (1, 3):
-        want = brute_force(k)
-        got = spark_top(spark, k, broadcast_rows)
-        assert set(got) == {q for q, v in want.items() if v}
+        want = brute(k)
+        got = spark_top(spark, k, strategy, common_df)
+        assert set(got) == set(want)
         for qk, lst in want.items():
-            if not lst:
-                continue
             assert [p for p, _ in got[qk]] == [p for p, _ in lst]
-            assert [s for _, s in got[qk]] == pytest.approx([s for _, s in lst], abs=1e-12)
+            assert [sc for _, sc in got[qk]] == pytest.approx([sc for _, sc in lst], abs=1e-12)
+
+
+@pytest.mark.parametrize("strategy,common_df", STRATEGIES)
+def test_retrieval_all_pairs_exclude_self(spark, strategy, common_df):
+    qs = [(k, t) for k, t in POOL]
+    want = brute(2, qs, exclude_self=True)
+    got = spark_top(spark, 2, strategy, common_df, qs, exclude_self=True)
+    assert {q: [p for p, _ in v] for q, v in got.items()} == {q: [p for p, _ in v] for q, v in want.items()}
 
 
 def test_tfidf_vocabulary_cut_and_weights(spark):

@@ -14,10 +14,19 @@ Two physical plans, chosen by a size check on the query side:
   inside the task (the aggregation needs no shuffle because the input is
   already clustered by pool id) and keeps only its local top-k per query
   (partial ``WindowGroupLimit``) before the single shuffle by query id.
-* **shuffled** (large query side): both sides shuffle on (term, salt).  Terms
-  whose pool document frequency exceeds ``hot_df`` are salted: the pool side
-  is split into ``salts`` buckets by pool id and the query side replicated per
-  bucket, so one very common term never lands in a single task.
+* **tiered** (large query side, the default there): terms are split at a
+  document-frequency threshold into rare and common.  Candidate pairs come
+  from rare terms only (each rare posting list is short, so this work is
+  bounded by threshold × postings); their common-term part is then added
+  exactly.  A pool document that shares no rare term with a query can score
+  at most UB(q) = Σ_{common t in q} w_q(t)·max_p w_p(t); queries whose k-th
+  candidate beats UB(q) are final, and only the remaining queries are scored
+  over all their terms.  The result is exact; the pairs through common terms
+  are only formed for the unresolved queries.
+* **salted** (``strategy='salted'``): both sides shuffle on (term, salt).
+  Terms whose pool document frequency exceeds ``hot_df`` are salted: the pool
+  side is split into ``salts`` buckets by pool id and the query side
+  replicated per bucket, so one very common term never lands in a single task.
 
 Exactness means every (query, pool doc) pair that shares a vocabulary term
 is scored; ``max_df`` on the vocabulary (off by default, it changes scores)
@@ -80,19 +89,78 @@ def top_k(scores: DataFrame, qkey: str, pkey: str, k: int) -> DataFrame:
             .where(F.col("rank") <= k))
 
 
+def _maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def tiered_top_k(qv: DataFrame, pv: DataFrame, pool_df: DataFrame, qkey: str, pkey: str, k: int,
+                 common_df: int, exclude_self: bool = False,
+                 broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Exact top-k per query with rare-term candidates and an upper bound for
+    the rest (see the module notes).  Returns (qkey, rank, pkey, score)."""
+    from ..session import checkpoint_root
+
+    checkpoint_root(qv.sparkSession)
+    # both vector tables are read several times below: materialise them once
+    q = qv.select(F.col(qkey).alias("_q"), "term", F.col("weight").alias("wq")).checkpoint(eager=True)
+    p = pv.select(F.col(pkey).alias("_p"), "term", F.col("weight").alias("wp")).checkpoint(eager=True)
+    common = _maybe_broadcast(pool_df.where(F.col("df") > common_df).select("term"), broadcast_rows)
+    q_rare, q_common = q.join(common, "term", "left_anti"), q.join(common, "term")
+    p_rare, p_common = p.join(common, "term", "left_anti"), p.join(common, "term")
+
+    def not_self(df):
+        return df.where(F.col("_q") != F.col("_p")) if exclude_self else df
+
+    # 1. candidates through rare terms (short posting lists)
+    s_rare = not_self(q_rare.join(p_rare, "term")).groupBy("_q", "_p").agg(
+        F.sum(F.col("wq") * F.col("wp")).alias("s_rare"))
+    # 2. their exact common-term part
+    s_common = (s_rare.select("_q", "_p").join(q_common, "_q").join(p_common, ["_p", "term"])
+                .groupBy("_q", "_p").agg(F.sum(F.col("wq") * F.col("wp")).alias("s_common")))
+    cand = s_rare.join(s_common, ["_q", "_p"], "left").select(
+        "_q", "_p", (F.col("s_rare") + F.coalesce(F.col("s_common"), F.lit(0.0))).alias("score"))
+    top_cand = top_k(cand, "_q", "_p", k)
+    # 3. upper bound of any document without a rare term in common
+    max_w = _maybe_broadcast(p_common.groupBy("term").agg(F.max("wp").alias("mw")), broadcast_rows)
+    ub = q_common.join(max_w, "term").groupBy("_q").agg(F.sum(F.col("wq") * F.col("mw")).alias("ub"))
+    kth = top_cand.groupBy("_q").agg(F.count(F.lit(1)).alias("nc"), F.min("score").alias("kth"))
+    status = q.select("_q").distinct().join(kth, "_q", "left").join(ub, "_q", "left")
+    ubv = F.coalesce(F.col("ub"), F.lit(0.0))
+    # strict, with a margin above the 9-decimal ranking precision
+    resolved = (ubv == 0) | ((F.col("nc") >= k) & (F.col("kth") - 1e-8 > ubv))
+    hard = status.where(~F.coalesce(resolved, F.lit(False))).select("_q")
+    # 4. exact scoring over all terms for the unresolved queries only
+    s_hard = (not_self(q.join(hard, "_q", "left_semi").join(p, "term"))
+              .groupBy("_q", "_p").agg(F.sum(F.col("wq") * F.col("wp")).alias("score")))
+    out = top_cand.join(hard, "_q", "left_anti").unionByName(top_k(s_hard, "_q", "_p", k))
+    return out.select(F.col("_q").alias(qkey), "rank", F.col("_p").alias(pkey), "score")
+
+
 def retrieve(queries: DataFrame, qkey: str, qtext: str, pool: DataFrame, pkey: str, ptext: str,
              k: int = 1, max_features: int | None = 5000, min_df: int = 1,
              max_df: float | None = None, exclude_self: bool = False,
-             broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+             broadcast_rows: int = BROADCAST_ROWS, strategy: str = "auto",
+             common_df: int | None = None) -> DataFrame:
     """Top-k pool documents for each query: (qkey, rank, pkey, score).
 
+    ``strategy``: 'auto' (broadcast when the query side's term rows fit under
+    ``broadcast_rows``, otherwise 'tiered'), 'broadcast', 'tiered' or
+    'salted'.  ``common_df``: document-frequency threshold of the tiered plan
+    (default: the larger of 100 and sqrt(pool size)).
     ``exclude_self`` drops pool documents whose key equals the query key
     (the query table was drawn from the pool).
     """
     pv, vocab = features.tfidf(pool, pkey, ptext, 2, min_df, max_df, max_features)
     qv = query_vectors(queries, qkey, qtext, vocab)
-    s = score_candidates(qv, pv, qkey, pkey, broadcast_rows=broadcast_rows,
-                         pool_df=vocab.terms.select("term", "df"))
+    pool_df = vocab.terms.select("term", "df")
+    if strategy == "auto":
+        strategy = "broadcast" if qv.count() <= broadcast_rows else "tiered"
+    if strategy == "tiered":
+        threshold = common_df if common_df is not None else max(100, int(vocab.n_docs ** 0.5))
+        return tiered_top_k(qv, pv, pool_df, qkey, pkey, k, threshold, exclude_self, broadcast_rows)
+    s = score_candidates(qv, pv, qkey, pkey,
+                         broadcast_rows=broadcast_rows if strategy == "broadcast" else -1,
+                         pool_df=pool_df)
     if exclude_self:
         s = s.where(F.col(qkey) != F.col(pkey))
     return top_k(s, qkey, pkey, k)

@@ -703,3 +703,22 @@ WHERE pass1 IS DISTINCT FROM pass2 GROUP BY pass1, pass2"""
 
 
 SQL.update(_sql_extra())
+
+
+def _sql_all_pairs() -> dict[str, str]:
+    pool_q = f"SELECT pair_key AS q_key, cm AS qt FROM ({POOL})"
+    return {"retrieve_all_pairs": f"""
+WITH {tfidf_sql(POOL, 'pair_key', 'cm', 1, 5000, 'pv')},
+{query_vectors_sql(pool_q, 'q_key', 'qt', 'pv_v', 'qv')},
+sc AS (SELECT qv.q_key, pv.pair_key, sum(qv.w * pv.w) AS score
+       FROM qv JOIN pv ON pv.term = qv.term WHERE qv.q_key <> pv.pair_key
+       GROUP BY qv.q_key, pv.pair_key),
+rk AS (SELECT *, row_number() OVER (PARTITION BY q_key ORDER BY round(score, 9) DESC, pair_key) AS rank
+       FROM sc WHERE score > 0)
+SELECT q.conv_id AS q_conv_id, q.turn AS q_turn, m.conv_id AS m_conv_id, m.turn AS m_turn,
+       round(rk.score, 6) AS score
+FROM rk JOIN ({POOL}) q ON q.pair_key = rk.q_key JOIN ({POOL}) m ON m.pair_key = rk.pair_key
+WHERE rk.rank = 1"""}
+
+
+SQL.update(_sql_all_pairs())

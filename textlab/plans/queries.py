@@ -216,6 +216,7 @@ QUERIES = {
     "tfidf_weights": scoring.tfidf_weights_q,
     "retrieve_top1": scoring.retrieve_top1_q,
     "retrieve_top3_prompt": scoring.retrieve_top3_prompt_q,
+    "retrieve_all_pairs": scoring.retrieve_all_pairs_q,
     "oof_classifier": scoring.oof_classifier_q,
     "cv_accuracy": scoring.cv_accuracy_q,
     "scoring_job": scoring.scoring_job_q,

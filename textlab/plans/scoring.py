@@ -69,6 +69,23 @@ def retrieve_top3_prompt_q(spark, sf_dir):
                       F.coalesce("prompt", F.lit(P.PROMPT_EMPTY)).alias("prompt"))
 
 
+def retrieve_all_pairs_q(spark, sf_dir):
+    """Every reply pair's message against all other pairs (self excluded):
+    the case where both sides grow with the data, so the tiered exact plan
+    (rare-term candidates + upper bound + exact fallback) is used."""
+    pool = reply_pool(spark, sf_dir)
+    queries = pool.select(F.col("pair_key").alias("q_key"), "customer_msg_clean")
+    m = retrieval.retrieve(queries, "q_key", "customer_msg_clean", pool, "pair_key",
+                           "customer_msg_clean", k=1, max_features=5000, min_df=1,
+                           exclude_self=True, strategy="tiered")
+    keys = pool.select("pair_key", "conv_id", "turn")
+    out = (m.join(keys.withColumnRenamed("pair_key", "q_key"), "q_key")
+           .select(F.col("conv_id").alias("q_conv_id"), F.col("turn").alias("q_turn"), "pair_key", "score")
+           .join(keys, "pair_key"))
+    return out.select("q_conv_id", "q_turn", F.col("conv_id").alias("m_conv_id"),
+                      F.col("turn").alias("m_turn"), r6(F.col("score")).alias("score"))
+
+
 def oof_classifier_q(spark, sf_dir):
     docs = load(spark, sf_dir, "documents", "doc_id", "text", "lang").select(
         "doc_id", TX.clean_text("text").alias("c"), "lang")
