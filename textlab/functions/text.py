@@ -6,6 +6,8 @@ Null policy: null in, null out, unless stated.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,12 +134,23 @@ def hint_coalesce(v2, v1) -> Column:
             .otherwise(F.lit("")))
 
 
+_LITERAL = re.compile(r"^[a-z0-9 '%!,-]+$")
+
+
 def contains_words(col, alternation: str) -> Column:
     """Case-insensitive ``\\b(alternation)\\b`` test on the text; null -> false.
 
-    The text is lowercased and the alternation must be lowercase.
+    The text is lowercased and the alternation must be lowercase.  When every
+    alternative is a plain word or phrase, a literal substring test runs
+    first and the boundary regex only on texts that contain one of them (a
+    regex match implies the substring, so the result is unchanged).
     """
-    return F.coalesce(F.lower(_c(col)).rlike(P.words(alternation)), F.lit(False))
+    lo = F.lower(_c(col))
+    match = lo.rlike(P.words(alternation))
+    alts = alternation.split("|")
+    if all(_LITERAL.match(a) for a in alts):
+        match = F.when(contains_any(lo, alts), match).otherwise(F.lit(False))
+    return F.coalesce(match, F.lit(False))
 
 
 def contains_any(col, needles: list[str]) -> Column:

@@ -46,7 +46,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     Only when it is unset (local tests) a private folder is created and
     registered as the checkpoint directory.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: the server owns the folder
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     current = sc.getCheckpointDir()
     if current:
         return current
