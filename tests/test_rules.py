@@ -99,3 +99,31 @@ def test_keyword_labels_dictionary_order(spark):
     df = spark.createDataFrame([("I want a refund and my password reset",)], "t string")
     got = df.select(rules.keyword_labels("t", P.RARE_INTENT_PATTERNS).alias("x")).first()["x"]
     assert got == ["refund_return", "account_access"]
+
+
+def test_documented_amount_thresholds(spark):
+    df = spark.createDataFrame([
+        ("refund_return", "please refund ₹1500 now", "escalate"),
+        ("refund_return", "please refund $900 now", "escalate"),
+        ("order_status", "order worth rs 6000 lost", "escalate"),
+        ("order_status", "order worth rs 6000 lost, lawsuit", "escalate"),
+    ], "intent string, msg string, esc string")
+    got = [r["x"] for r in df.select(rules.policy_reason(
+        "intent", "msg", "esc", amount_thresholds=P.AMOUNT_THRESHOLDS).alias("x")).collect()]
+    # financial words outrank high_value in the documented priority
+    assert got == ["financial_risk", "financial_risk", "high_value", "legal_threat"]
+    amounts = [r["a"] for r in df.select(rules.message_amount("msg").alias("a")).collect()]
+    assert amounts == [1500, 900, 6000, 6000]
+
+
+def test_review_workbook_shape(spark):
+    from textlab.operators import tables
+    df = spark.createDataFrame([(1, "msg", "rep", "complaint", "very_long")],
+                               "k long, m string, r string, g string, tag string")
+    wb = tables.review_workbook(df, "k", "m", "r", "g").first()
+    assert list(wb.asDict()) == ["id", "customer_msg_clean", "brand_reply_clean", "intent_llm_guess",
+                                 "intent", "escalation_ground_truth", "escalation_reason",
+                                 "golden_reply", "difficulty", "is_edge_case", "notes"]
+    assert wb["intent_llm_guess"] == "complaint" and wb["is_edge_case"] is False
+    edge = tables.review_workbook(df, "k", "m", "r", "g", edge=True, edge_tag_col="tag").first()
+    assert (edge["intent_llm_guess"], edge["difficulty"], edge["notes"]) == ("", "hard", "very_long")

@@ -73,6 +73,11 @@ POLICY_PRIORITY = ["legal_threat", "safety_issue", "security_sensitive", "financ
                    "high_value", "repeat_failure", "high_emotion", "kb_unavailable",
                    "deterministic_action", "low_risk"]
 
+# documented amount thresholds (policy text; not applied by the coded rules):
+# intent -> amount above which the case escalates as high_value
+AMOUNT_THRESHOLDS = {"refund_return": 1000, "order_status": 5000, "product_issue": 5000}
+AMOUNT_RE = r"(?:₹|\$|rs\.? ?|inr ?)(\p{Nd}+)"
+
 # post-processor fallbacks
 AUTO_FALLBACK = {
     "order_status": "deterministic_action",

@@ -83,13 +83,30 @@ def reason_for(intent, msg, variant: str = "hybrid",
     raise ValueError(f"unknown variant {variant!r}")
 
 
+def message_amount(msg) -> Column:
+    """First currency amount in the message (₹ / $ / rs / inr), as a long."""
+    a = F.regexp_extract(F.lower(F.coalesce(_c(msg), F.lit(""))), P.AMOUNT_RE, 1)
+    return F.when(a != "", a.cast("long"))
+
+
+def over_amount(intent, msg, thresholds=P.AMOUNT_THRESHOLDS) -> Column:
+    """True when the message's amount exceeds the intent's documented threshold."""
+    i, amt = _c(intent), message_amount(msg)
+    cond = F.lit(False)
+    for name, limit in thresholds.items():
+        cond = cond | ((i == name) & (amt > limit))
+    return F.coalesce(cond, F.lit(False))
+
+
 def policy_reason(intent, msg, escalation, priority=P.POLICY_PRIORITY,
-                  rules=P.REASON_RULES, by_intent=P.REASON_BY_INTENT) -> Column:
+                  rules=P.REASON_RULES, by_intent=P.REASON_BY_INTENT,
+                  amount_thresholds: dict | None = None) -> Column:
     """Reason under the documented priority (policy v1.1): every candidate tag
     that applies is collected, the one with the best priority wins.
 
-    Candidates: the keyword rules and intent defaults; ``kb_unavailable`` never
-    fires (no knowledge base), ``high_value`` needs an amount (not available),
+    Candidates: the keyword rules and intent defaults; ``high_value`` when
+    ``amount_thresholds`` are given and the message's amount exceeds its
+    intent's threshold; ``kb_unavailable`` never fires (no knowledge base);
     then deterministic_action / low_risk for auto-handled rows.
     """
     i, e = _c(intent), _c(escalation)
@@ -99,6 +116,8 @@ def policy_reason(intent, msg, escalation, priority=P.POLICY_PRIORITY,
         cands.append(F.when(contains_words(msg, alternation), F.lit(rank[tag])))
     for name, tag in by_intent:
         cands.append(F.when(i == name, F.lit(rank[tag])))
+    if amount_thresholds:
+        cands.append(F.when(over_amount(i, msg, amount_thresholds), F.lit(rank["high_value"])))
     cands.append(F.when((e == "auto_handle") & ~i.isin(*P.HYBRID_LOW_RISK_INTENTS),
                         F.lit(rank["deterministic_action"])))
     cands.append(F.lit(rank["low_risk"]))

@@ -190,3 +190,26 @@ def apply_corrections(table: DataFrame, corrections: DataFrame, key: str, seq_co
         hit.alias("corrected"))
     unknown = last.join(table.select(key), on=key, how="left_anti").select(key)
     return out, unknown
+
+
+REVIEW_COLUMNS = ["intent", "escalation_ground_truth", "escalation_reason", "golden_reply",
+                  "difficulty", "is_edge_case", "notes"]
+
+
+def review_workbook(df: DataFrame, id_col: str, text_col: str, reply_col: str | None,
+                    guess_col: str | None, edge: bool = False, edge_tag_col: str | None = None) -> DataFrame:
+    """Shape rows as a review workbook in the fixed column order: id, message,
+    reply, the model guess kept as ``intent_llm_guess``, empty review columns,
+    ``is_edge_case``; for edge cases the tag goes to ``notes``, the guess is
+    blanked and difficulty starts at 'hard'."""
+    blank = F.lit("")
+    return df.select(
+        F.col(id_col).alias("id"),
+        F.col(text_col).alias("customer_msg_clean"),
+        (F.col(reply_col) if reply_col else blank).alias("brand_reply_clean"),
+        (blank if edge else (F.col(guess_col) if guess_col else blank)).alias("intent_llm_guess"),
+        blank.alias("intent"), blank.alias("escalation_ground_truth"), blank.alias("escalation_reason"),
+        blank.alias("golden_reply"),
+        F.lit("hard" if edge else "").alias("difficulty"),
+        F.lit(edge).alias("is_edge_case"),
+        (F.col(edge_tag_col) if (edge and edge_tag_col) else blank).alias("notes"))

@@ -71,6 +71,20 @@ def quota_sample_q(spark, sf_dir):
     return s.select("doc_id", "lang")
 
 
+def review_workbook_q(spark, sf_dir):
+    """Build a review workbook: de-duplicated pool -> per-language quota sample
+    -> ids in shuffle order -> fixed review columns (empty labels)."""
+    picked = sampling.quota_sample(_dedup_pool(spark, sf_dir), "lang", "doc_id", LX.LANG_QUOTAS, seed=42)
+    hint = F.lit(None).cast("string")
+    for lang_, guess in LX.LANG_HINTS.items():
+        hint = F.when(F.col("lang") == lang_, F.lit(guess)).otherwise(hint)
+    shaped = picked.select("doc_id", TX.clean_text("text").alias("c"),
+                           F.coalesce(hint, F.lit("other")).alias("guess"),
+                           TX.hash_order("doc_id", "42w").alias("_h"))
+    ided = tables.sequential_ids(shaped, ["_h", "doc_id"], "id", bounded=True)  # <= sum of quotas
+    return tables.review_workbook(ided, "id", "c", None, "guess")
+
+
 def quota_gap_q(spark, sf_dir):
     return sampling.quota_gap(_dedup_pool(spark, sf_dir), "lang", LX.LANG_TARGETS)
 

@@ -722,3 +722,20 @@ WHERE rk.rank = 1"""}
 
 
 SQL.update(_sql_all_pairs())
+
+
+def _sql_workbook() -> dict[str, str]:
+    return {"review_workbook": f"""
+WITH pool AS ({DEDUP_POOL}),
+r AS (SELECT doc_id, text, lang, row_number() OVER (PARTITION BY lang ORDER BY {md5_order('doc_id', 42)}, doc_id) AS rn
+      FROM pool),
+p AS (SELECT * FROM r WHERE rn <= {_case_sql('lang', LX.LANG_QUOTAS, 0)})
+SELECT row_number() OVER (ORDER BY {md5_order('doc_id', '42w')}, doc_id) AS id,
+       {clean('text')} AS customer_msg_clean, '' AS brand_reply_clean,
+       {_case_sql('lang', LX.LANG_HINTS, 'other')} AS intent_llm_guess,
+       '' AS intent, '' AS escalation_ground_truth, '' AS escalation_reason, '' AS golden_reply,
+       '' AS difficulty, false AS is_edge_case, '' AS notes
+FROM p"""}
+
+
+SQL.update(_sql_workbook())

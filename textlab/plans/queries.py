@@ -193,6 +193,7 @@ QUERIES = {
     "length_stratified_sample": corpus.length_stratified_sample_q,
     "quota_sample": corpus.quota_sample_q,
     "quota_gap": corpus.quota_gap_q,
+    "review_workbook": corpus.review_workbook_q,
     "proportional_sample": corpus.proportional_sample_q,
     "edge_cases": corpus.edge_cases_q,
     "weak_labels": corpus.weak_labels_q,
