@@ -23,7 +23,8 @@ HEADLINE = [
     "reply_pairs", "clean_text", "policy_decision", "text_profile", "top_bigrams",
     "length_stratified_sample", "dedupe_keep_first", "merge_topup", "label_audit",
     "rubric_scores", "eval_metrics", "kappa", "rank_agreement", "response_parse",
-    "tfidf_weights", "retrieve_top3_prompt", "scoring_job", "stream_scoring",
+    "tfidf_weights", "retrieve_top3_prompt", "retrieve_all_pairs", "weak_labels",
+    "scoring_job", "stream_scoring",
 ]
 
 

@@ -14,7 +14,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def join_truth_predictions(truth: DataFrame, preds: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
