@@ -151,6 +151,22 @@ AUDIT_PROBLEM_WORDS = "not working|broken|locked|hacked|charged|late|missing|stu
 AUDIT_MONEY_WORDS = "refund|money back|charge|billing|credit card"
 AUDIT_DISPUTE_WORDS = "said delivered|claimed|but i didn.?t|isn.?t right|lying|false"
 AUDIT_KB_WORDS = "unusual|strange|weird|specific|particular|complex|how does|why does"
+# rule names and messages, in rule order; {placeholders} are filled per row
+AUDIT_MESSAGES = [
+    ("R1-escalation-mismatch", 'auto_handle with escalate reason "{reason}"'),
+    ("R1-escalation-mismatch", 'escalate with auto reason "{reason}"'),
+    ("R2-complaint-topic", "complaint but message mentions a topic word — could be a different intent"),
+    ("R3-info-but-problem", "info_request but message describes an active problem"),
+    ("R4-product-but-money", "product_issue but message mentions money — could be refund/billing"),
+    ("R5-order-status-dispute", "order_status but seems to dispute tracking — check complaint"),
+    ("R6-short-fragment", "{intent} but message is only {length} chars — fragment risk"),
+    ("R7-account-access-auto", "account_access should always be escalate"),
+    ("R8-complaint-auto", "complaint should always be escalate"),
+    ("R9-billing-auto", "billing_payment should always be escalate"),
+    ("R10-easy-but-override", 'marked easy but overrode LLM hint ("{hint}" -> "{intent}")'),
+    ("R11-non-english-complaint", "non-English labelled complaint — verify not other/info_request"),
+    ("R12-suspicious-kb", "kb_unavailable on a short/simple message — verify"),
+]
 AUDIT_SHORT_LEN = 20
 AUDIT_KB_SHORT_LEN = 60
 AUDIT_MESSAGE_CHARS = 150
@@ -187,6 +203,7 @@ GROUNDED_STEPS = [(0.3, 5), (0.15, 4), (0.05, 3)]
 
 # --- fixed values: retrieval prompt ---------------------------------------
 
+PROMPT_LINE = "- Customer: {customer}\n  Brand reply: {reply}"
 PROMPT_CUSTOMER_CHARS = 120
 PROMPT_REPLY_CHARS = 180
 PROMPT_EMPTY = "(no close examples found)"
@@ -202,3 +219,13 @@ LOW_CONFIDENCE = 0.6
 RHO_BANDS = [(0.8, "almost perfect"), (0.6, "substantial"), (0.4, "moderate"), (0.2, "weak")]
 RHO_BAND_ELSE = "negligible"
 BIAS_MARGIN = 0.3
+
+
+def template_parts(template: str) -> list[tuple[str, str]]:
+    """Split a message template into ('text', literal) / ('field', name) parts."""
+    import re as _re
+    parts = []
+    for i, piece in enumerate(_re.split(r"\{(\w+)\}", template)):
+        if piece:
+            parts.append(("field" if i % 2 else "text", piece))
+    return parts

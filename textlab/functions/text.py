@@ -177,3 +177,9 @@ def hash_order(key, seed: int | str) -> Column:
     Same value in Spark and DuckDB, independent of partitioning.
     """
     return F.md5(F.concat(F.lit(f"{seed}:"), _c(key).cast("string")))
+
+
+def fill_template(template: str, **fields) -> Column:
+    """A message template with {placeholders} filled from Columns."""
+    return F.concat(*[F.lit(v) if kind == "text" else _c(fields[v]).cast("string")
+                      for kind, v in P.template_parts(template)])

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import _c, contains_words, has_non_ascii, hint_coalesce
+from ..functions.text import _c, contains_words, fill_template, has_non_ascii, hint_coalesce
 
 # ---------------------------------------------------------------------------
 # keyword weak labelling (O65, O23)
@@ -178,35 +178,24 @@ def audit_rules(intent="intent", escalation="escalation_ground_truth",
     m = F.coalesce(_c(message), F.lit(""))
     n = F.length(m)
     hint = hint_coalesce(hint_v2, hint_v1)
-    rules = [
-        ("R1-escalation-mismatch", (e == "auto_handle") & r.isin(*P.ESC_REASONS),
-         F.concat(F.lit('auto_handle with escalate reason "'), r, F.lit('"'))),
-        ("R1-escalation-mismatch", (e == "escalate") & r.isin(*P.AUTO_REASONS),
-         F.concat(F.lit('escalate with auto reason "'), r, F.lit('"'))),
-        ("R2-complaint-topic", (i == "complaint") & contains_words(m, P.AUDIT_TOPIC_WORDS),
-         F.lit("complaint but message mentions a topic word — could be a different intent")),
-        ("R3-info-but-problem", (i == "info_request") & contains_words(m, P.AUDIT_PROBLEM_WORDS),
-         F.lit("info_request but message describes an active problem")),
-        ("R4-product-but-money", (i == "product_issue") & contains_words(m, P.AUDIT_MONEY_WORDS),
-         F.lit("product_issue but message mentions money — could be refund/billing")),
-        ("R5-order-status-dispute", (i == "order_status") & contains_words(m, P.AUDIT_DISPUTE_WORDS),
-         F.lit("order_status but seems to dispute tracking — check complaint")),
-        ("R6-short-fragment", (n < P.AUDIT_SHORT_LEN) & ~i.isin("other", "complaint"),
-         F.concat(i, F.lit(" but message is only "), n.cast("string"), F.lit(" chars — fragment risk"))),
-        ("R7-account-access-auto", (i == "account_access") & ~e.eqNullSafe("escalate"),
-         F.lit("account_access should always be escalate")),
-        ("R8-complaint-auto", (i == "complaint") & ~e.eqNullSafe("escalate"),
-         F.lit("complaint should always be escalate")),
-        ("R9-billing-auto", (i == "billing_payment") & ~e.eqNullSafe("escalate"),
-         F.lit("billing_payment should always be escalate")),
-        ("R10-easy-but-override", (d == "easy") & (i != "") & (hint != "") & (hint != i),
-         F.concat(F.lit('marked easy but overrode LLM hint ("'), hint, F.lit('" -> "'), i, F.lit('")'))),
-        ("R11-non-english-complaint", (i == "complaint") & has_non_ascii(m),
-         F.lit("non-English labelled complaint — verify not other/info_request")),
-        ("R12-suspicious-kb", (r == "kb_unavailable") & ~contains_words(m, P.AUDIT_KB_WORDS)
-         & (n < P.AUDIT_KB_SHORT_LEN),
-         F.lit("kb_unavailable on a short/simple message — verify")),
+    preds = [
+        (e == "auto_handle") & r.isin(*P.ESC_REASONS),
+        (e == "escalate") & r.isin(*P.AUTO_REASONS),
+        (i == "complaint") & contains_words(m, P.AUDIT_TOPIC_WORDS),
+        (i == "info_request") & contains_words(m, P.AUDIT_PROBLEM_WORDS),
+        (i == "product_issue") & contains_words(m, P.AUDIT_MONEY_WORDS),
+        (i == "order_status") & contains_words(m, P.AUDIT_DISPUTE_WORDS),
+        (n < P.AUDIT_SHORT_LEN) & ~i.isin("other", "complaint"),
+        (i == "account_access") & ~e.eqNullSafe("escalate"),
+        (i == "complaint") & ~e.eqNullSafe("escalate"),
+        (i == "billing_payment") & ~e.eqNullSafe("escalate"),
+        (d == "easy") & (i != "") & (hint != "") & (hint != i),
+        (i == "complaint") & has_non_ascii(m),
+        (r == "kb_unavailable") & ~contains_words(m, P.AUDIT_KB_WORDS) & (n < P.AUDIT_KB_SHORT_LEN),
     ]
+    fields = {"reason": r, "intent": i, "length": n, "hint": hint}
+    rules = [(name, pred, fill_template(msg, **fields))
+             for (name, msg), pred in zip(P.AUDIT_MESSAGES, preds)]
     return [(name, F.coalesce(pred, F.lit(False)), why) for name, pred, why in rules]
 
 

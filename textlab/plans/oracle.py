@@ -378,40 +378,31 @@ HINT = ("CASE WHEN trim(intent_llm_guess_v2) <> '' THEN intent_llm_guess_v2 "
         "WHEN trim(intent_llm_guess) <> '' THEN intent_llm_guess ELSE '' END")
 
 
+def template_sql(template: str, **fields) -> str:
+    return " || ".join(q(v) if kind == "text" else f"CAST({fields[v]} AS VARCHAR)"
+                       for kind, v in P.template_parts(template))
+
+
 def _audit_arms() -> list[tuple[str, str, str]]:
     i, e, r, d = "intent", "escalation_ground_truth", "escalation_reason", "difficulty"
     m, n = "coalesce(customer_msg_clean, '')", "length(coalesce(customer_msg_clean, ''))"
-    return [
-        ("R1-escalation-mismatch", f"{e} = 'auto_handle' AND {in_list(r, P.ESC_REASONS)}",
-         f"'auto_handle with escalate reason \"' || {r} || '\"'"),
-        ("R1-escalation-mismatch", f"{e} = 'escalate' AND {in_list(r, P.AUTO_REASONS)}",
-         f"'escalate with auto reason \"' || {r} || '\"'"),
-        ("R2-complaint-topic", f"{i} = 'complaint' AND {words(m, P.AUDIT_TOPIC_WORDS)}",
-         q("complaint but message mentions a topic word — could be a different intent")),
-        ("R3-info-but-problem", f"{i} = 'info_request' AND {words(m, P.AUDIT_PROBLEM_WORDS)}",
-         q("info_request but message describes an active problem")),
-        ("R4-product-but-money", f"{i} = 'product_issue' AND {words(m, P.AUDIT_MONEY_WORDS)}",
-         q("product_issue but message mentions money — could be refund/billing")),
-        ("R5-order-status-dispute", f"{i} = 'order_status' AND {words(m, P.AUDIT_DISPUTE_WORDS)}",
-         q("order_status but seems to dispute tracking — check complaint")),
-        ("R6-short-fragment", f"{n} < {P.AUDIT_SHORT_LEN} AND {i} NOT IN ('other', 'complaint')",
-         f"{i} || ' but message is only ' || CAST({n} AS VARCHAR) || ' chars — fragment risk'"),
-        ("R7-account-access-auto", f"{i} = 'account_access' AND {e} IS DISTINCT FROM 'escalate'",
-         q("account_access should always be escalate")),
-        ("R8-complaint-auto", f"{i} = 'complaint' AND {e} IS DISTINCT FROM 'escalate'",
-         q("complaint should always be escalate")),
-        ("R9-billing-auto", f"{i} = 'billing_payment' AND {e} IS DISTINCT FROM 'escalate'",
-         q("billing_payment should always be escalate")),
-        ("R10-easy-but-override",
-         f"{d} = 'easy' AND {i} <> '' AND ({HINT}) <> '' AND ({HINT}) <> {i}",
-         f"'marked easy but overrode LLM hint (\"' || ({HINT}) || '\" -> \"' || {i} || '\")'"),
-        ("R11-non-english-complaint",
-         f"{i} = 'complaint' AND coalesce(regexp_matches({m}, {q(P.NON_ASCII)}), false)",
-         q("non-English labelled complaint — verify not other/info_request")),
-        ("R12-suspicious-kb",
-         f"{r} = 'kb_unavailable' AND NOT {words(m, P.AUDIT_KB_WORDS)} AND {n} < {P.AUDIT_KB_SHORT_LEN}",
-         q("kb_unavailable on a short/simple message — verify")),
+    preds = [
+        f"{e} = 'auto_handle' AND {in_list(r, P.ESC_REASONS)}",
+        f"{e} = 'escalate' AND {in_list(r, P.AUTO_REASONS)}",
+        f"{i} = 'complaint' AND {words(m, P.AUDIT_TOPIC_WORDS)}",
+        f"{i} = 'info_request' AND {words(m, P.AUDIT_PROBLEM_WORDS)}",
+        f"{i} = 'product_issue' AND {words(m, P.AUDIT_MONEY_WORDS)}",
+        f"{i} = 'order_status' AND {words(m, P.AUDIT_DISPUTE_WORDS)}",
+        f"{n} < {P.AUDIT_SHORT_LEN} AND {i} NOT IN ('other', 'complaint')",
+        f"{i} = 'account_access' AND {e} IS DISTINCT FROM 'escalate'",
+        f"{i} = 'complaint' AND {e} IS DISTINCT FROM 'escalate'",
+        f"{i} = 'billing_payment' AND {e} IS DISTINCT FROM 'escalate'",
+        f"{d} = 'easy' AND {i} <> '' AND ({HINT}) <> '' AND ({HINT}) <> {i}",
+        f"{i} = 'complaint' AND coalesce(regexp_matches({m}, {q(P.NON_ASCII)}), false)",
+        f"{r} = 'kb_unavailable' AND NOT {words(m, P.AUDIT_KB_WORDS)} AND {n} < {P.AUDIT_KB_SHORT_LEN}",
     ]
+    fields = {"reason": r, "intent": i, "length": n, "hint": f"({HINT})"}
+    return [(name, pred, template_sql(msg, **fields)) for (name, msg), pred in zip(P.AUDIT_MESSAGES, preds)]
 
 
 AUDIT = "WITH g AS (" + GOLDEN + ")\n" + "\nUNION ALL\n".join(
@@ -666,8 +657,8 @@ SELECT doc_id, term, round(w, 6) AS weight FROM dw"""
 SELECT b.item_id, p.conv_id, p.turn, round(top.score, 6) AS score, p.br AS reply
 FROM benchmark b LEFT JOIN top ON top.item_id = b.item_id
 LEFT JOIN ({POOL}) p ON p.pair_key = top.pair_key"""
-    line = (f"'- Customer: ' || substr(p.cm, 1, {P.PROMPT_CUSTOMER_CHARS}) || chr(10) || "
-            f"'  Brand reply: ' || substr(p.br, 1, {P.PROMPT_REPLY_CHARS})")
+    line = template_sql(P.PROMPT_LINE, customer=f"substr(p.cm, 1, {P.PROMPT_CUSTOMER_CHARS})",
+                        reply=f"substr(p.br, 1, {P.PROMPT_REPLY_CHARS})")
     s["retrieve_top3_prompt"] = retrieval_sql(2, 8000, 3) + f""",
 lines AS (SELECT top.item_id, top.rank, {line} AS line FROM top JOIN ({POOL}) p ON p.pair_key = top.pair_key),
 agg AS (SELECT item_id, count(*) AS n, string_agg(line, chr(10) ORDER BY rank) AS prompt FROM lines GROUP BY item_id)

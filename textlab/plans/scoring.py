@@ -57,9 +57,9 @@ def retrieve_top3_prompt_q(spark, sf_dir):
                            k=3, max_features=8000, min_df=2)
     lines = m.join(pool, "pair_key").select(
         "item_id", "rank",
-        F.concat(F.lit("- Customer: "), F.substring("customer_msg_clean", 1, P.PROMPT_CUSTOMER_CHARS),
-                 F.lit("\n  Brand reply: "), F.substring("brand_reply_clean", 1, P.PROMPT_REPLY_CHARS)
-                 ).alias("line"))
+        TX.fill_template(P.PROMPT_LINE,
+                         customer=F.substring("customer_msg_clean", 1, P.PROMPT_CUSTOMER_CHARS),
+                         reply=F.substring("brand_reply_clean", 1, P.PROMPT_REPLY_CHARS)).alias("line"))
     per_q = lines.groupBy("item_id").agg(  # at most k rows per query
         F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("_l"))
     prompt = per_q.select("item_id", F.size("_l").cast("long").alias("n_examples"),
