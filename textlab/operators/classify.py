@@ -99,7 +99,12 @@ def out_of_fold(df: DataFrame, key: str, text: str, label: str, k: int = 5, seed
     for p in parts[1:]:
         out = out.unionByName(p)
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)
-    return back.transform(out).select(key, label, "fold", F.col("predicted").alias("prediction"))
+    result = back.transform(out).select(key, label, "fold", F.col("predicted").alias("prediction"))
+    # materialise the predictions (one row per input row) so the cached token
+    # table can be released instead of living for the rest of the session
+    result = result.checkpoint(eager=True)
+    base.unpersist()
+    return result
 
 
 def fold_accuracy(oof: DataFrame, label: str, pred: str = "prediction") -> DataFrame:
