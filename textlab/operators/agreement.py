@@ -24,17 +24,19 @@ def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 
     kappa = (n·agree − Σ n_a·n_b) / (n² − Σ n_a·n_b), an exact integer ratio;
     null when p_e = 1 (Cohen 1960).  Rows where either label is null are
-    dropped (both annotations are required).
+    dropped (both annotations are required).  One chain of aggregations: the
+    joint counts are split into per-label marginals (each joint cell feeds
+    its row label and its column label), then summed.
     """
     jc = joint_counts(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, b)
-    ma = jc.groupBy(F.col("a").alias("label")).agg(F.sum("n").alias("na"))
-    mb = jc.groupBy(F.col("b").alias("label")).agg(F.sum("n").alias("nb"))
-    chance = (ma.join(mb, "label", "inner")
-              .agg(F.sum(F.col("na") * F.col("nb")).alias("chance"), F.lit(1).alias("_k")))
-    obs = jc.agg(F.sum("n").alias("n"),
-                 F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("agree"),
-                 F.lit(1).alias("_k"))
-    j = obs.join(chance, "_k", "left").fillna(0, subset=["chance"])
+    cells = jc.select(F.explode(F.array(
+        F.struct(F.col("a").cast("string").alias("label"), F.col("n").alias("na"), F.lit(0).cast("long").alias("nb"),
+                 F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0).alias("agree")),
+        F.struct(F.col("b").cast("string").alias("label"), F.lit(0).cast("long").alias("na"), F.col("n").alias("nb"),
+                 F.lit(0).cast("long").alias("agree")))).alias("c")).select("c.*")
+    marg = cells.groupBy("label").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.sum("agree").alias("agree"))
+    j = marg.agg(F.sum("na").alias("n"), F.sum("agree").alias("agree"),
+                 F.sum(F.col("na") * F.col("nb")).alias("chance"))
     n = F.col("n").cast("double")
     num = F.col("agree").cast("double") * n - F.col("chance").cast("double")
     den = n * n - F.col("chance").cast("double")

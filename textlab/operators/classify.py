@@ -111,7 +111,7 @@ def fold_accuracy(oof: DataFrame, label: str, pred: str = "prediction") -> DataF
     """One row: per-fold accuracy mean and population std, overall accuracy."""
     per = oof.groupBy("fold").agg(F.avg(F.when(F.col(label) == F.col(pred), 1.0).otherwise(0.0)).alias("acc"))
     overall = oof.agg(F.avg(F.when(F.col(label) == F.col(pred), 1.0).otherwise(0.0)).alias("oof_accuracy"),
-                      F.count(F.lit(1)).alias("n"), F.lit(1).alias("_k"))
+                      F.count(F.lit(1)).alias("n"))
     folds = per.agg(F.avg("acc").alias("cv_mean"), F.stddev_pop("acc").alias("cv_std"),
-                    F.count(F.lit(1)).alias("k"), F.lit(1).alias("_k"))
-    return overall.join(folds, "_k").drop("_k")
+                    F.count(F.lit(1)).alias("k"))
+    return tables.combine_rows(overall, folds)

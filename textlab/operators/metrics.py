@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import combine_rows
+
 
 def join_truth_predictions(truth: DataFrame, preds: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """Inner join on the key; returns (matched rows, unmatched truth rows).
@@ -127,12 +129,7 @@ def eval_document(system: str, matched: DataFrame, intent_labels: Sequence[str],
         F.col("agreement").alias("reason_agreement"))
     pc = per_class(ci, intent_labels).where("in_list").agg(F.map_from_entries(F.collect_list(
         F.struct("label", F.struct("precision", "recall", "f1", "support")))).alias("per_intent"))
-    # four one-row frames, glued on a constant key (each side has one row)
-    k = F.lit(1).alias("_k")
-    parts = [si.select(k, "*"), se.select(k, "*"), ra.select(k, "*"), pc.select(k, "*")]
-    doc = parts[0]
-    for p in parts[1:]:
-        doc = doc.join(p, "_k")
+    doc = combine_rows(si, se, ra, pc)
     return doc.select(F.lit(system).alias("system"), F.col("n").alias("n_evaluated"),
                       "intent", "escalation", "reason_agreement", "per_intent")
 

@@ -106,11 +106,20 @@ def dedupe_keep_first(df: DataFrame, key_cols: Sequence[str], order_cols: Sequen
     return agg.select("_r.*")
 
 
+def combine_rows(*frames: DataFrame) -> DataFrame:
+    """Merge one-row results side by side without a join: union them (each
+    fills its own columns) and take the first non-null value per column."""
+    u = frames[0]
+    for f in frames[1:]:
+        u = u.unionByName(f, allowMissingColumns=True)
+    return u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in u.columns])
+
+
 def duplicates_removed(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: rows before, after and removed."""
-    b = before.agg(F.count(F.lit(1)).alias("before"), F.lit(1).alias("_k"))
-    a = after.agg(F.count(F.lit(1)).alias("after"), F.lit(1).alias("_k"))
-    return b.join(a, "_k").select("before", "after", (F.col("before") - F.col("after")).alias("removed"))
+    b = before.agg(F.count(F.lit(1)).alias("before"))
+    a = after.agg(F.count(F.lit(1)).alias("after"))
+    return combine_rows(b, a).select("before", "after", (F.col("before") - F.col("after")).alias("removed"))
 
 
 def exclusive_running_sum(df: DataFrame, order_cols: Sequence[str], value_col: str,

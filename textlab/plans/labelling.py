@@ -107,9 +107,13 @@ def compare_systems_q(spark, sf_dir):
         "truth", "s.system", "s.pred")
     per = metrics.summary_by(long, "truth", "pred", "system", ["low", "high"])
     names = list(SYSTEMS)
-    changed = wide.agg(F.count_if(~F.col(names[0]).eqNullSafe(F.col(names[1]))).alias("n_changed"),
-                       F.lit(1).alias("_k"))
-    out = per.withColumn("_k", F.lit(1)).join(changed, "_k")
+    # predictions that differ between the two systems: the same count on each
+    # system's row (a two-row table joined on the system name)
+    n_changed = wide.agg(F.count_if(~F.col(names[0]).eqNullSafe(F.col(names[1]))).alias("n_changed"))
+    changed = n_changed.select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("system"), F.col("n_changed").alias("n_changed")) for n in names])).alias("c")
+    ).select("c.*")
+    out = per.join(changed, "system")
     return out.select("system", "n", r6(F.col("accuracy")).alias("accuracy"),
                       r6(F.col("macro_f1")).alias("macro_f1"), "n_changed")
 

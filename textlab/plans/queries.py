@@ -14,6 +14,7 @@ from ..functions import patterns as P
 from ..functions import text as TX
 from ..operators import metrics as M
 from ..operators import pairing, rules
+from ..operators.tables import combine_rows
 from . import lexicons as LX
 
 
@@ -143,8 +144,7 @@ def eval_metrics_q(spark, sf_dir):
     extra = counts.agg(F.sum("n_has").alias("n_scored"), F.sum("n_hit").alias("n_hit"),
                        F.sum("n_low").alias("n_low_confidence"))
     miss = missing.agg(F.count(F.lit(1)).alias("n_missing"))
-    k = F.lit(1).alias("_k")
-    out = summ.select(k, "*").join(extra.select(k, "*"), "_k").join(miss.select(k, "*"), "_k")
+    out = combine_rows(summ, extra, miss)
     return out.select(
         F.col("n").alias("n_evaluated"), F.col("n_missing").cast("long").alias("n_missing"),
         _r6(F.col("accuracy")).alias("accuracy"),

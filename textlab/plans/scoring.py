@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as TX
 from ..operators import classify, features, retrieval, rules
+from ..operators.tables import combine_rows
 from ..session import shared_path
 from ..streaming import scoring as stream
 from . import lexicons as LX
@@ -97,9 +98,8 @@ def cv_accuracy_q(spark, sf_dir):
     docs = load(spark, sf_dir, "documents", "lang")
     majority = classify.majority_label(docs, "lang")
     acc = classify.fold_accuracy(oof, "lang")
-    base = docs.agg(F.avg(F.when(F.col("lang") == majority, 1.0).otherwise(0.0)).alias("majority_accuracy"),
-                    F.lit(1).alias("_k"))
-    return acc.withColumn("_k", F.lit(1)).join(base, "_k").drop("_k")
+    base = docs.agg(F.avg(F.when(F.col("lang") == majority, 1.0).otherwise(0.0)).alias("majority_accuracy"))
+    return combine_rows(acc, base)
 
 
 def scoring_job_q(spark, sf_dir):
