@@ -37,6 +37,8 @@ def duck():
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
     got = table(df.columns, [tuple(r) for r in df.collect()])
     res = duck.execute(E.oracle_sql()[name])
     cols = [d[0] for d in res.description]

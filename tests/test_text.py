@@ -19,7 +19,7 @@ def ref_clean(text):
 
 
 CASES = [
-    "see https://t.co/abc now", "only http://x.y", "@AmazonHelp my order", "mail me a@b.com please",
+    "see https://t.co/abc now", "only http://x.y", "@ShopHelp my order", "mail me a@b.com please",
     "awwww yes", "tab\there\nnew  line", "nbsp\u00a0here\u2003em\u3000x\x1cy\x0bz", "emoji 😀 ok", "Привет @мир тест",
     "NA", "", "   ", "trailing www.site.com/x?y=1 end", "wwwhat is this",
 ]
