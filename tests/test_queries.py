@@ -10,7 +10,7 @@ from conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
-SLOW = {"oof_classifier", "cv_accuracy", "scoring_job"}
+SLOW = {"oof_classifier", "cv_accuracy", "scoring_job", "evaluate_job"}
 
 
 def canon(v):

@@ -221,6 +221,7 @@ QUERIES = {
     "oof_classifier": scoring.oof_classifier_q,
     "cv_accuracy": scoring.cv_accuracy_q,
     "scoring_job": scoring.scoring_job_q,
+    "evaluate_job": scoring.evaluate_job_q,
     "stream_scoring": scoring.stream_scoring_q,
 }
 

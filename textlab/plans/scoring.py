@@ -106,11 +106,35 @@ def scoring_job_q(spark, sf_dir):
     """The end-to-end scoring job over every reply pair of the conversations:
     out-of-fold intent (classifier trained on lexicon weak labels), escalation
     and reason rules, the consistency fix, and the top-1 retrieved reply from
-    the other pairs (self excluded)."""
+    the other pairs (self excluded).
+
+    The classifier and the retrieval are independent: both are materialised
+    concurrently (two driver threads submitting Spark jobs), so the cluster
+    is busy with retrieval while the small logistic-regression iterations run.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from ..session import checkpoint_root
+
+    checkpoint_root(spark)
     pool = reply_pool(spark, sf_dir)
     weak = pool.select("pair_key", "customer_msg_clean", rules.first_keyword_label(
         "customer_msg_clean", LX.INTENT_LEXICON, LX.INTENT_DEFAULT).alias("intent"))
-    oof = classify.out_of_fold(weak, "pair_key", "customer_msg_clean", "intent", k=5, seed=42)
+    queries = pool.select(F.col("pair_key").alias("q_key"), "customer_msg_clean")
+
+    def classify_all():
+        return classify.out_of_fold(weak, "pair_key", "customer_msg_clean", "intent", k=5, seed=42)
+
+    def retrieve_all():
+        m = retrieval.retrieve(queries, "q_key", "customer_msg_clean", pool, "pair_key",
+                               "customer_msg_clean", k=1, max_features=5000, min_df=1,
+                               exclude_self=True)
+        return m.select(F.col("q_key").alias("pair_key"), F.col("pair_key").alias("match_key")
+                        ).checkpoint(eager=True)  # one row per query
+
+    with ThreadPoolExecutor(max_workers=2) as ex:
+        oof_f, best_f = ex.submit(classify_all), ex.submit(retrieve_all)
+        oof, best = oof_f.result(), best_f.result()
     preds = oof.join(pool.select("pair_key", "conv_id", "turn", "customer_msg_clean"), "pair_key")
     preds = preds.select(
         "pair_key", "conv_id", "turn", F.col("intent").alias("weak_intent"),
@@ -120,10 +144,6 @@ def scoring_job_q(spark, sf_dir):
         rules.reason_for("prediction", "customer_msg_clean", "hybrid",
                          rules=LX.REASON_RULES).alias("predicted_reason"))
     fixed = rules.fix_reasons(preds)
-    queries = pool.select(F.col("pair_key").alias("q_key"), "customer_msg_clean")
-    m = retrieval.retrieve(queries, "q_key", "customer_msg_clean", pool, "pair_key",
-                           "customer_msg_clean", k=1, max_features=5000, min_df=1, exclude_self=True)
-    best = m.select(F.col("q_key").alias("pair_key"), F.col("pair_key").alias("match_key"))
     replies = pool.select(F.col("pair_key").alias("match_key"), F.col("brand_reply_clean").alias("predicted_reply"))
     out = fixed.join(best, "pair_key", "left").join(replies, "match_key", "left")
     return out.select("conv_id", "turn", "weak_intent", "predicted_intent", "predicted_escalation",
@@ -131,6 +151,22 @@ def scoring_job_q(spark, sf_dir):
                       F.coalesce("predicted_reply", F.lit("")).alias("predicted_reply"))
 
 
+def evaluate_job_q(spark, sf_dir):
+    """Evaluate the scoring job: truth = lexicon intent, the policy decision on
+    it and the code-order reason; one nested metrics document."""
+    from ..operators import metrics
+
+    preds = scoring_job_q(spark, sf_dir)
+    pool = reply_pool(spark, sf_dir).select("conv_id", "turn", "customer_msg_clean")
+    truth = preds.join(pool, ["conv_id", "turn"]).select(
+        "*", F.col("weak_intent").alias("intent"),
+        rules.escalation_for("weak_intent", "customer_msg_clean", critical=LX.CRITICAL_WORDS,
+                             repeat=LX.REPEAT_WORDS).alias("escalation_ground_truth"),
+        rules.reason_for("weak_intent", "customer_msg_clean", "hybrid",
+                         rules=LX.REASON_RULES).alias("escalation_reason"))
+    return metrics.eval_document("scoring_job", truth, P.INTENTS, P.ESCALATIONS)
+
+
 def _stream_score(batch: DataFrame) -> DataFrame:
     msgs = batch.where(F.col("role") == "user").select(
         "conv_id", "turn", TX.clean_text("text").alias("msg"))
