@@ -46,6 +46,30 @@ def _labels_df(spark: SparkSession, labels: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(rows, "label string, label_order int")
 
 
+def _label_totals(counts: DataFrame, labels: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
+    """Per (group, label): tp, support, predicted -- one aggregation over the
+    count table, no join.  Every cell (t, p, n) feeds label t (support, tp)
+    and label p (predicted); the fixed label list enters as zero rows."""
+    g = [F.col(c) for c in group]
+    cells = counts.select(*g, F.explode(F.array(
+        F.struct(F.col("t").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"),
+                 F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0).cast("long").alias("tp")),
+        F.struct(F.col("p").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"),
+                 F.lit(0).cast("long").alias("tp")))).alias("c")).select(*g, "c.*")
+    zero = F.struct(F.lit(None).cast("string").alias("label"), F.lit(0).cast("long").alias("support"),
+                    F.lit(0).cast("long").alias("predicted"), F.lit(0).cast("long").alias("tp"))
+    keys = counts.select(*g).distinct() if group else counts.sparkSession.range(1).select()
+    dims = keys.select(*g, F.explode(F.array(*[zero.withField("label", F.lit(x)) for x in labels])).alias("c")
+                       ).select(*g, "c.*")
+    tot = (cells.where(F.col("label").isNotNull()).unionByName(dims)
+           .groupBy(*g, "label").agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"),
+                                     F.sum("predicted").alias("predicted")))
+    order = F.lit(None).cast("int")
+    for k, x in enumerate(labels):
+        order = F.when(F.col("label") == x, F.lit(k)).otherwise(order)
+    return tot.withColumn("label_order", order).withColumn("in_list", F.col("label_order").isNotNull())
+
+
 def per_class(counts: DataFrame, labels: Sequence[str]) -> DataFrame:
     """precision, recall, f1, support for every label of the fixed list
     (zero_division -> 0; labels never seen still appear with zeros), plus any
@@ -53,19 +77,7 @@ def per_class(counts: DataFrame, labels: Sequence[str]) -> DataFrame:
 
     The truth column must be non-null (labelled rows only).
     """
-    spark = counts.sparkSession
-    tp = counts.where(F.col("t") == F.col("p")).groupBy(F.col("t").alias("label")).agg(
-        F.sum("n").alias("tp"))
-    sup = counts.groupBy(F.col("t").alias("label")).agg(F.sum("n").alias("support"))
-    prd = counts.groupBy(F.col("p").alias("label")).agg(F.sum("n").alias("predicted"))
-    seen = (counts.select(F.col("t").alias("label"))
-            .union(counts.select(F.col("p").alias("label"))).where(F.col("label").isNotNull()))
-    dim = (_labels_df(spark, labels).withColumn("in_list", F.lit(True))
-           .unionByName(seen.join(F.broadcast(_labels_df(spark, labels)), "label", "left_anti")
-                        .distinct().select("label", F.lit(None).cast("int").alias("label_order"),
-                                           F.lit(False).alias("in_list"))))
-    out = (dim.join(tp, "label", "left").join(sup, "label", "left").join(prd, "label", "left")
-           .fillna(0, subset=["tp", "support", "predicted"]))
+    out = _label_totals(counts, labels)
     tp_, s_, p_ = (F.col(c).cast("double") for c in ("tp", "support", "predicted"))
     return out.select(
         "label", "label_order", "in_list",
@@ -97,10 +109,15 @@ def confusion_matrix(counts: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Rows = truth (every label of the list), one column per predicted label
     in list order; zero-filled.  Predictions outside the list are not shown."""
     spark = counts.sparkSession
-    piv = counts.groupBy(F.col("t").alias("label")).pivot("p", list(labels)).agg(F.sum("n"))
-    dim = F.broadcast(_labels_df(spark, labels))
-    out = dim.join(piv, "label", "left").fillna(0, subset=list(labels))
-    return out.select("label", "label_order", *[F.col(c).cast("long").alias(c) for c in labels])
+    zeros = _labels_df(spark, labels).select(F.col("label").alias("t"), F.lit(None).cast("string").alias("p"),
+                                             F.lit(0).cast("long").alias("n"))
+    cells = counts.select("t", "p", F.col("n").cast("long").alias("n")).where(F.col("t").isin(*labels))
+    piv = cells.unionByName(zeros).groupBy(F.col("t").alias("label")).pivot("p", list(labels)).agg(F.sum("n"))
+    order = F.lit(None).cast("int")
+    for k, x in enumerate(labels):
+        order = F.when(F.col("label") == x, F.lit(k)).otherwise(order)
+    return piv.fillna(0, subset=list(labels)).select(
+        "label", order.alias("label_order"), *[F.col(c).cast("long").alias(c) for c in labels])
 
 
 def masked_agreement(df: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -119,14 +136,26 @@ def eval_document(system: str, matched: DataFrame, intent_labels: Sequence[str],
                   pred_reason="predicted_reason", fill_intent="other",
                   fill_escalation="auto_handle") -> DataFrame:
     """The nested metrics document (one row): intent, escalation, reason
-    agreement and a per-intent map -- ready for ``write.json``."""
-    ci = pair_counts(matched, truth_intent, pred_intent, fill_intent)
-    ce = pair_counts(matched, truth_esc, pred_esc, fill_escalation)
+    agreement and a per-intent map -- ready for ``write.json``.
+
+    One pass over the rows: a single grouped count table carries the intent
+    cells, the escalation cells and the reason-agreement tallies; every
+    metric is derived from it.
+    """
+    has = F.coalesce(F.col(pred_reason), F.lit("")) != ""
+    hit = has & F.col(truth_reason).eqNullSafe(F.col(pred_reason))
+    cells = matched.groupBy(
+        F.col(truth_intent).cast("string").alias("ti"),
+        F.coalesce(F.col(pred_intent), F.lit(fill_intent)).cast("string").alias("pi"),
+        F.col(truth_esc).cast("string").alias("te"),
+        F.coalesce(F.col(pred_esc), F.lit(fill_escalation)).cast("string").alias("pe"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.count_if(has).alias("n_has"), F.count_if(hit).alias("n_hit"))
+    ci = cells.groupBy(F.col("ti").alias("t"), F.col("pi").alias("p")).agg(F.sum("n").alias("n"))
+    ce = cells.groupBy(F.col("te").alias("t"), F.col("pe").alias("p")).agg(F.sum("n").alias("n"))
     si = summary(ci, intent_labels).select(
         F.struct("accuracy", "macro_f1", "weighted_f1").alias("intent"), "n")
     se = summary(ce, escalation_labels).select(F.struct("accuracy", "macro_f1").alias("escalation"))
-    ra = masked_agreement(matched, truth_reason, pred_reason).select(
-        F.col("agreement").alias("reason_agreement"))
+    ra = cells.agg(F.when(F.sum("n_has") > 0, F.sum("n_hit") / F.sum("n_has")).alias("reason_agreement"))
     pc = per_class(ci, intent_labels).where("in_list").agg(F.map_from_entries(F.collect_list(
         F.struct("label", F.struct("precision", "recall", "f1", "support")))).alias("per_intent"))
     doc = combine_rows(si, se, ra, pc)
@@ -139,18 +168,11 @@ def summary_by(df: DataFrame, truth: str, pred: str, group: str, labels: Sequenc
     per ``group`` value: n, accuracy, macro F1 over the fixed list."""
     c = df.groupBy(group, F.col(truth).alias("t"), F.col(pred).alias("p")).agg(
         F.count(F.lit(1)).alias("n"))
-    tp = c.where(F.col("t") == F.col("p")).groupBy(group, F.col("t").alias("label")).agg(
-        F.sum("n").alias("tp"))
-    sup = c.groupBy(group, F.col("t").alias("label")).agg(F.sum("n").alias("support"))
-    prd = c.groupBy(group, F.col("p").alias("label")).agg(F.sum("n").alias("predicted"))
-    dim = c.select(group).distinct().select(group, F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"))
-    keys = [group, "label"]
-    j = (dim.join(tp, keys, "left").join(sup, keys, "left").join(prd, keys, "left")
-         .fillna(0, subset=["tp", "support", "predicted"]))
+    j = _label_totals(c, labels, [group])
     s_, p_ = F.col("support").cast("double"), F.col("predicted").cast("double")
     f1 = F.when(s_ + p_ > 0, 2 * F.col("tp") / (s_ + p_)).otherwise(0.0)
     L = float(len(labels))
     return j.groupBy(group).agg(
         F.sum("support").cast("long").alias("n"),
         (F.sum("tp") / F.sum("support")).alias("accuracy"),
-        (F.sum(f1) / L).alias("macro_f1"))
+        (F.sum(F.when(F.col("in_list"), f1).otherwise(0.0)) / L).alias("macro_f1"))
