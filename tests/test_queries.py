@@ -10,6 +10,8 @@ from conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+         "boolean": "BOOLEAN"}
 SLOW = {"oof_classifier", "cv_accuracy", "scoring_job", "evaluate_job"}
 
 
@@ -42,8 +44,12 @@ def test_query_matches_oracle(spark, duck, name):
     got = table(df.columns, [tuple(r) for r in df.collect()])
     res = duck.execute(E.oracle_sql()[name])
     cols = [d[0] for d in res.description]
+    duck_types = {d[0]: str(d[1]) for d in res.description}
     want = table(cols, res.fetchall())
     assert sorted(df.columns) == sorted(cols)
+    spark_types = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    assert spark_types == duck_types
     assert got == want
 
 
