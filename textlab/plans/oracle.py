@@ -637,9 +637,12 @@ WHERE br IS NOT NULL AND trim(br) <> ''"""
 BENCH = f"SELECT item_id, {clean('text')} AS qt FROM benchmark"
 
 
-def retrieval_sql(min_df: int, max_features: int, k: int) -> str:
+POOL_NONBLANK_MSG = f"SELECT * FROM ({POOL}) WHERE cm IS NOT NULL AND trim(cm) <> ''"
+
+
+def retrieval_sql(min_df: int, max_features: int, k: int, pool: str = POOL) -> str:
     return f"""
-WITH {tfidf_sql(POOL, 'pair_key', 'cm', min_df, max_features, 'pv')},
+WITH {tfidf_sql(pool, 'pair_key', 'cm', min_df, max_features, 'pv')},
 {query_vectors_sql(BENCH, 'item_id', 'qt', 'pv_v', 'qv')},
 sc AS (SELECT qv.item_id, pv.pair_key, sum(qv.w * pv.w) AS score
        FROM qv JOIN pv ON pv.term = qv.term GROUP BY qv.item_id, pv.pair_key),
@@ -659,7 +662,7 @@ FROM benchmark b LEFT JOIN top ON top.item_id = b.item_id
 LEFT JOIN ({POOL}) p ON p.pair_key = top.pair_key"""
     line = template_sql(P.PROMPT_LINE, customer=f"substr(p.cm, 1, {P.PROMPT_CUSTOMER_CHARS})",
                         reply=f"substr(p.br, 1, {P.PROMPT_REPLY_CHARS})")
-    s["retrieve_top3_prompt"] = retrieval_sql(2, 8000, 3) + f""",
+    s["retrieve_top3_prompt"] = retrieval_sql(2, 8000, 3, POOL_NONBLANK_MSG) + f""",
 lines AS (SELECT top.item_id, top.rank, {line} AS line FROM top JOIN ({POOL}) p ON p.pair_key = top.pair_key),
 agg AS (SELECT item_id, count(*) AS n, string_agg(line, chr(10) ORDER BY rank) AS prompt FROM lines GROUP BY item_id)
 SELECT b.item_id, CAST(coalesce(agg.n, 0) AS BIGINT) AS n_examples,

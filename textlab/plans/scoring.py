@@ -52,7 +52,9 @@ def retrieve_top1_q(spark, sf_dir):
 
 
 def retrieve_top3_prompt_q(spark, sf_dir):
-    pool = reply_pool(spark, sf_dir)
+    # the k=3 variant also drops pairs whose customer message is blank (it
+    # changes the document count of the idf)
+    pool = reply_pool(spark, sf_dir).where(F.length(F.trim("customer_msg_clean")) > 0)
     queries = _benchmark_queries(spark, sf_dir)
     m = retrieval.retrieve(queries, "item_id", "q", pool, "pair_key", "customer_msg_clean",
                            k=3, max_features=8000, min_df=2)
