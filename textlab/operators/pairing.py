@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def reply_pairs(messages: DataFrame, *, is_message: Column, is_reply: Column,
                 message_key: list[Column], reply_to_key: list[Column],
-                message_cols: dict[str, Column], reply_cols: dict[str, Column]) -> DataFrame:
+                message_cols: dict[str, Column], reply_cols: dict[str, Column],
+                key_names: list[str] | None = None) -> DataFrame:
     """Pair every inbound message with each outbound row that answers it.
 
     ``message_key`` identifies a message; ``reply_to_key`` is, on a reply row,
@@ -27,8 +28,9 @@ def reply_pairs(messages: DataFrame, *, is_message: Column, is_reply: Column,
         *[c.alias(n) for n, c in reply_cols.items()])
     cond = [m[f"_k{i}"] == r[f"_r{i}"] for i in range(len(message_key))]
     joined = m.join(r, on=cond, how="inner")
-    # the message key is returned as _k0.._kN; the reply-side copy is dropped
-    return joined.select(*[c for c in joined.columns if not c.startswith("_r")])
+    names = key_names or [f"key{i}" for i in range(len(message_key))]
+    return joined.select(*[F.col(f"_k{i}").alias(n) for i, n in enumerate(names)],
+                         *message_cols.keys(), *reply_cols.keys())
 
 
 def conversation_reply_pairs(conversations: DataFrame, user_role: str = "user",
@@ -43,9 +45,9 @@ def conversation_reply_pairs(conversations: DataFrame, user_role: str = "user",
         reply_to_key=[F.col("conv_id"), F.col("turn") - 1],
         message_cols={"customer_msg": F.col("text")},
         reply_cols={"brand_reply": F.col("text")},
+        key_names=["conv_id", "turn"],
     )
-    return pairs.select(F.col("_k0").alias("conv_id"), F.col("_k1").alias("turn"),
-                        "customer_msg", "brand_reply")
+    return pairs.select("conv_id", "turn", "customer_msg", "brand_reply")
 
 
 def answered_messages(conversations: DataFrame, user_role: str = "user",

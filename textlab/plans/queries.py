@@ -16,15 +16,10 @@ from ..operators import metrics as M
 from ..operators import pairing, rules
 from ..operators.tables import combine_rows
 from . import lexicons as LX
+from .common import load, r6
 
 
-def load(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*cols) if cols else df
-
-
-def _r6(c):
-    return F.round(c, 6)
+_r6 = r6
 
 
 # ---------------------------------------------------------------------------
