@@ -119,7 +119,9 @@ def scoring_job_q(spark, sf_dir):
     from ..session import checkpoint_root
 
     checkpoint_root(spark)
-    pool = reply_pool(spark, sf_dir)
+    # the pool feeds the classifier, both retrieval sides and the final joins:
+    # materialise it once instead of re-running the pairing join and cleaning
+    pool = reply_pool(spark, sf_dir).checkpoint(eager=True)
     weak = pool.select("pair_key", "customer_msg_clean", rules.first_keyword_label(
         "customer_msg_clean", LX.INTENT_LEXICON, LX.INTENT_DEFAULT).alias("intent"))
     queries = pool.select(F.col("pair_key").alias("q_key"), "customer_msg_clean")
