@@ -76,7 +76,10 @@ def retrieve_all_pairs_q(spark, sf_dir):
     """Every reply pair's message against all other pairs (self excluded):
     the case where both sides grow with the data, so the tiered exact plan
     (rare-term candidates + upper bound + exact fallback) is used."""
-    pool = reply_pool(spark, sf_dir)
+    from ..session import checkpoint_root
+
+    checkpoint_root(spark)
+    pool = reply_pool(spark, sf_dir).checkpoint(eager=True)  # read by both sides and the key join
     queries = pool.select(F.col("pair_key").alias("q_key"), "customer_msg_clean")
     m = retrieval.retrieve(queries, "q_key", "customer_msg_clean", pool, "pair_key",
                            "customer_msg_clean", k=1, max_features=5000, min_df=1,
