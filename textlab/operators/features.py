@@ -5,11 +5,12 @@ L2-normalised per document.  The vocabulary keeps terms with
 ``df >= min_df`` (and ``df <= max_df·n`` if given), then the ``max_features``
 terms with the highest corpus frequency (ties by term).
 
-Plan shape: tokens are produced per document inside the scan task; term
-counts are partially aggregated there (all of a document's tokens are in one
-task, so the partial aggregate is already exact per document); document
-frequencies are one more aggregation; the vocabulary is bounded by
-``max_features`` and broadcast; the L2 norm is a window per document.
+Plan shape: the documents are hash-partitioned by key once (a shuffle of the
+raw text; Spark reuses that exchange for the fit and the transform); tokens
+and 1/2-grams are generated without interpreted lambdas; the count per
+(document, term) and the per-document L2-norm window then need no further
+exchange; document frequencies are one more aggregation; the vocabulary is
+bounded by ``max_features`` and broadcast.
 """
 
 from __future__ import annotations
@@ -109,13 +110,8 @@ def tfidf(docs: DataFrame, key: str, text: str, ngram_max: int = 2, min_df: int
 # Spark ML form (feeds the classifier)
 
 
-def ml_stages(terms_col: str, features_col: str, vocab_size: int, min_df: int):
-    """CountVectorizer + scaled IDF + L2 normaliser producing the same weighting.
-
-    Spark's ``IDF`` is ln((m+1)/(df+1)) without the +1; the +1 is applied with
-    an ``ElementwiseProduct`` built from the fitted IDF vector, so the result is
-    tf·(idf+1), then L2-normalised.
-    """
+def count_vectorizer(terms_col: str, vocab_size: int, min_df: int):
+    """Term counts over the ``vocab_size`` most frequent terms with df >= min_df."""
     from pyspark.ml.feature import CountVectorizer
 
     return CountVectorizer(inputCol=terms_col, outputCol="_tf", vocabSize=vocab_size,
@@ -125,12 +121,17 @@ def ml_stages(terms_col: str, features_col: str, vocab_size: int, min_df: int):
 def fit_ml_features(train: DataFrame, terms_col: str, features_col: str, vocab_size: int = 5000,
                     min_df: int = 2):
     """Fit the ML feature stages on ``train``; returns a PipelineModel that
-    adds ``features_col``."""
+    adds ``features_col`` with the same weighting as :func:`tfidf`.
+
+    Spark's ``IDF`` is ln((m+1)/(df+1)) without the +1; the +1 is applied with
+    an ``ElementwiseProduct`` built from the fitted IDF vector (bounded by the
+    vocabulary size), so the result is tf·(idf+1), then L2-normalised.
+    """
     from pyspark.ml import PipelineModel
     from pyspark.ml.feature import IDF, ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import Vectors
 
-    cv_model = ml_stages(terms_col, features_col, vocab_size, min_df).fit(train)
+    cv_model = count_vectorizer(terms_col, vocab_size, min_df).fit(train)
     counted = cv_model.transform(train)
     idf_model = IDF(inputCol="_tf", outputCol="_idf_unused").fit(counted)
     scale = Vectors.dense([x + 1.0 for x in idf_model.idf.toArray()])  # bounded by vocab_size
