@@ -83,5 +83,14 @@ def test_no_dialect_dependent_classes_in_shipped_patterns():
         v = getattr(P, name)
         if isinstance(v, str):
             assert not bad.search(v), name
-    for v in (TX.URL_RE, TX.MENTION_RE, TX.WS_RUN_RE, TX.TOKEN_RE, TX.VECTOR_TOKEN_RE):
+    for v in (TX.URL_RE, TX.MENTION_RE, TX.WS_RUN_RE, TX.TOKEN_RE, TX.VECTOR_TOKEN_RE,
+              TX.URL_RE_PORTABLE, TX.WS_RUN_RE_PORTABLE):
         assert not bad.search(v)
+
+
+def test_spark_whitespace_class_equals_python_isspace(spark):
+    chars = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c <= 0xDFFF)
+    df = spark.createDataFrame([(chars,)], "t string")
+    got = df.select(F.regexp_replace("t", TX.WS_RUN_RE, "#").alias("a"),
+                    F.regexp_replace("t", TX.WS_RUN_RE_PORTABLE, "#").alias("b")).first()
+    assert got["a"] == got["b"] == re.sub(r"\s+", "#", chars)

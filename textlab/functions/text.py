@@ -13,9 +13,18 @@ from pyspark.sql import functions as F
 
 from . import patterns as P
 
-URL_RE = f"http{P.NOT_WS}+|www{P.NOT_WS}+|https{P.NOT_WS}+"
+# Portable forms (Java regex and RE2 give the same matches); the SQL oracle uses these.
+URL_RE_PORTABLE = f"http{P.NOT_WS}+|www{P.NOT_WS}+|https{P.NOT_WS}+"
+WS_RUN_RE_PORTABLE = f"{P.WS}+"
+# Spark forms: the same character set written as the Unicode White_Space
+# property plus U+001C..U+001F (exactly Python's str.isspace set, checked over
+# the whole BMP); Java matches a property about twice as fast as a long list
+# of ranges.
+JAVA_WS = r"[\p{IsWhite_Space}\x{1C}-\x{1F}]"
+JAVA_NOT_WS = r"[^\p{IsWhite_Space}\x{1C}-\x{1F}]"
+URL_RE = f"http{JAVA_NOT_WS}+|www{JAVA_NOT_WS}+|https{JAVA_NOT_WS}+"
 MENTION_RE = f"@{P.WORD}+"
-WS_RUN_RE = f"{P.WS}+"
+WS_RUN_RE = f"{JAVA_WS}+"
 TOKEN_RE = f"{P.WORD}+"
 VECTOR_TOKEN_RE = f"{P.WORD}{{2,}}"
 # a maximal word run made only of ASCII lowercase letters, >= 3 long: the

@@ -22,9 +22,9 @@ def words(col: str, alternation: str) -> str:
 
 
 def clean(col: str) -> str:
-    inner = f"regexp_replace({col}, {q(TX.URL_RE)}, '', 'g')"
+    inner = f"regexp_replace({col}, {q(TX.URL_RE_PORTABLE)}, '', 'g')"
     inner = f"regexp_replace({inner}, {q(TX.MENTION_RE)}, '', 'g')"
-    return f"trim(regexp_replace({inner}, {q(TX.WS_RUN_RE)}, ' ', 'g'))"
+    return f"trim(regexp_replace({inner}, {q(TX.WS_RUN_RE_PORTABLE)}, ' ', 'g'))"
 
 
 def first_label(col: str, dictionary, default) -> str:
