@@ -71,6 +71,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialise_table(df: DataFrame, name: str) -> DataFrame:
+    """Like :func:`materialise`, as a Parquet table below the shared folder:
+    smaller for wide rows, and later readers read only the columns they need."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name below ``spark.checkpoint.dir``."""
     sc = spark.sparkContext

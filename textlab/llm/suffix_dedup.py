@@ -14,8 +14,8 @@ little more than the repeated parts:
 3. *Suffix arrays.*  Occurrences that differ although the anchor is the same
    are cut into slices of ``STEPS`` strings.  All strings of a slice contain
    its middle, so slices meet only where their middles are equal too, and the
-   middle is a single symbol of the text that is sorted: a slice of 16
-   strings of 200 bytes has 31 symbols, and a string is 16 of them.  The
+   middle is a single symbol of the text that is sorted: a slice of 32
+   strings of 200 bytes has 63 symbols, and a string is 32 of them.  The
    slices that meet are one text, and the suffix arrays of many texts are
    built at once (:mod:`.suffix_array`); neighbours in the order that share
    a string's symbols are repeats.
@@ -44,13 +44,13 @@ from pyspark.sql import functions as F
 from . import bloom
 from .arrays import SLICE, mix, prefix_sums, text_bytes, window_hashes
 from .arrays import tables
-from .common import materialise
+from .common import materialise, materialise_table
 from .suffix_array import suffix_arrays
 
 LENGTH = 200
 GRAM = 64
-STEPS = 16
-HOT = 512
+STEPS = 32
+HOT = 4096
 ANCHOR_LOG2 = 26  # bits of the filter of repeated anchors (8 MB)
 OPEN_LOG2 = 24
 SLICES_PER_TASK = 50_000
@@ -180,15 +180,16 @@ def _around(data: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def _open_slices(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(key, row, base, left_out, right_out, sides) of the slices of occurrences
-    of filtered anchors; ``base`` is the slice's first string, the sides are the
-    bytes before and after its middle, and left_out and right_out say how many
-    of them lie outside the document."""
+    """(key, slice, row, base, left_out, right_out, sides) of the slices of
+    occurrences of filtered anchors, of equal occurrences in a task only the
+    first; ``base`` is the slice's first string, the sides are the bytes before
+    and after its middle, left_out and right_out say how many of them lie
+    outside the document, and ``slice`` hashes all of it."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    names = ["key", "row", "base", "left_out", "right_out", "sides"]
+    names = ["key", "slice", "row", "base", "left_out", "right_out", "sides"]
 
     def run(batches):
-        bits, held, total = shared.value, [[] for _ in names], 0
+        bits, held, total, known = shared.value, [[] for _ in names], 0, set()
         for row, data in _documents(batches):
             for a, piece in _slices(data):
                 anchor, at, first, n = least_grams(piece)
@@ -196,17 +197,25 @@ def _open_slices(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 if not keep.any():
                     continue
                 anchor, at, first, n = anchor[keep], at[keep], first[keep], n[keep]
+                sums = prefix_sums(piece)
+                context = _context(sums, at, first, n).tolist()
+                fresh = np.array([c not in known and not known.add(c) for c in context])
+                if not fresh.any():
+                    continue
+                anchor, at, first, n = anchor[fresh], at[fresh], first[fresh], n[fresh]
                 low, high = (at - first - n + 1) // STEPS, (at - first) // STEPS
                 count = high - low + 1
                 j = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
                 base = np.repeat(at, count) - STEPS * j - SIDE
-                sums = prefix_sums(piece)
                 key = mix(window_hashes(sums, base + SIDE, base + LENGTH)
                           + np.repeat(anchor, count) * _MULT + j.astype(np.uint64))
                 base += a
                 sides = np.concatenate([_around(data, base), _around(data, base + LENGTH)], 1)
                 left, right = np.maximum(0, -base), np.maximum(0, base + LENGTH + SIDE - len(data))
-                for h, c in zip(held, (key.view(np.int64), np.full(len(base), row), base, left, right, sides)):
+                whole = key + (left * (SIDE + 1) + right).astype(np.uint64)
+                for c in range(2 * SIDE):
+                    whole = whole * _MULT + sides[:, c]
+                for h, c in zip(held, (key.view(np.int64), mix(whole).view(np.int64), np.full(len(base), row), base, left, right, sides)):
                     h.append(c)
                 total += len(base)
             if total > 1 << 15:
@@ -216,14 +225,14 @@ def _open_slices(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             yield _flush(held)
 
     def _flush(held):
-        key, row, base, left, right, sides = (np.concatenate(h) for h in held)
+        key, whole, row, base, left, right, sides = (np.concatenate(h) for h in held)
         offsets = np.arange(len(sides) + 1, dtype=np.int32) * (2 * SIDE)
         packed = pa.BinaryArray.from_buffers(pa.binary(), len(sides), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(sides))])
         return pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(row, pa.int64()), pa.array(base), pa.array(left.astype(np.int32)),
+            [pa.array(key), pa.array(whole), pa.array(row, pa.int64()), pa.array(base), pa.array(left.astype(np.int32)),
              pa.array(right.astype(np.int32)), packed], names=names)
 
-    return docs.mapInArrow(run, "key long, row long, base long, left_out int, right_out int, sides binary")
+    return docs.mapInArrow(run, "key long, slice long, row long, base long, left_out int, right_out int, sides binary")
 
 
 def repeated_in_texts(symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -332,28 +341,36 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(row, begin, stop) of repeated bytes, overlaps included; ``docs`` has
     columns row and text."""
     anchors = _repeated_anchors(docs)
-    seen = materialise(_occurrences(docs, _bits(anchors, "anchor", ANCHOR_LOG2)))
+    seen = materialise_table(_occurrences(docs, _bits(anchors, "anchor", ANCHOR_LOG2)), "occurrences")
     contexts = seen.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("times"))
-    kinds = materialise(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least"),
-                                           F.sum("times").alias("times")).where("times > 1"))
-    again = contexts.where("times > 1").select("context").distinct()
-    whole = seen.join(again.withColumnRenamed("context", "known"), F.col("context") == F.col("known")).select(
+    open_ = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least")) \
+        .where("kinds > 1 and least = 1").select("anchor")
+    again = materialise(contexts.where("times > 1").select(F.col("context").alias("known")).distinct())
+    whole = seen.select("context", "row", "first", "n").join(again, F.col("context") == F.col("known")).select(
         "row", F.col("first").alias("begin"), (F.col("first") + F.col("n") - 1 + LENGTH).alias("stop"))
-    open_ = kinds.where("kinds > 1 and least = 1").select("anchor")
-    slices = materialise(_open_slices(docs, _bits(open_, "anchor", OPEN_LOG2)))
-    meet = slices.groupBy(F.col("key").alias("met")).agg(F.count(F.lit(1)).alias("together")).where("together > 1")
-    met = slices.join(meet, F.col("key") == F.col("met"))
+    slices = materialise_table(_open_slices(docs, _bits(open_, "anchor", OPEN_LOG2)), "slices")
+    # slices that meet: all equal, or to be sorted, or too many for a task
+    keys = materialise(slices.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("slice").alias("a"), F.max("slice").alias("b"))
+                       .where("n > 1").select(F.col("key").alias("met"), F.when(F.col("a") == F.col("b"), 0).when(
+                           F.col("n") <= HOT, 1).otherwise(2).alias("how")))
     tasks = max(1, -(-slices.count() // SLICES_PER_TASK))
+    # equal slices need no sides; only those that may have to be sorted take them along
+    same, differ = keys.where("how = 0").select("met"), keys.where("how > 0")
+    equal = bloom.probe(slices.select("key", "row", "base", "left_out", "right_out"), "key", bloom.keys_filter(same, "met"), "maybe") \
+        .where("maybe").join(same, F.col("key") == F.col("met")).select(
+            "row", (F.col("base") + F.col("left_out")).alias("begin"),
+            (F.col("base") + SIDE - F.col("right_out") + LENGTH).alias("stop"))
+    met = bloom.probe(slices, "key", bloom.keys_filter(differ, "met"), "maybe").where("maybe").join(
+        differ, F.col("key") == F.col("met"))
     columns = ["key", "row", "base", "left_out", "right_out", "sides"]
     runs = "row long, begin long, stop long"
-    cool = met.where(F.col("together") <= HOT).select(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("deal"), *columns)
-    sorted_ = cool.groupBy("deal").applyInArrow(_sorted_repeats, runs)
-    strings = met.where(F.col("together") > HOT).select(*columns).mapInArrow(
-        _string_keys, "string long, row long, first long")
+    sorted_ = met.where("how = 1").select(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("deal"), *columns) \
+        .groupBy("deal").applyInArrow(_sorted_repeats, runs)
+    strings = met.where("how = 2").select(*columns).mapInArrow(_string_keys, "string long, row long, first long")
     more = strings.groupBy(F.col("string").alias("known")).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     hot = strings.join(more, F.col("string") == F.col("known")).select(
         "row", F.col("first").alias("begin"), (F.col("first") + LENGTH).alias("stop"))
-    return whole.unionAll(sorted_).unionAll(hot)
+    return whole.unionAll(equal).unionAll(sorted_).unionAll(hot)
 
 
 def merge(spans: list) -> list[tuple[int, int]]:
@@ -374,7 +391,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     rows = docs.select(*names).withColumn("row", F.xxhash64(F.col("doc_id").cast("string"), "text"))
     spans = repeated_spans(rows.select("row", "text"))
     # runs of a document, merged as far as they go by when they are gathered
-    by_row = materialise(spans.distinct().groupBy(F.col("row").alias("of")).agg(
+    by_row = materialise(spans.groupBy(F.col("row").alias("of")).agg(
         F.collect_list(F.struct("begin", "stop")).alias("spans")))
     none = F.array().cast("array<struct<begin:bigint,stop:bigint>>")
     flagged = bloom.probe(rows, "row", bloom.keys_filter(by_row.select("of"), "of"), "maybe")
