@@ -91,7 +91,7 @@ def test_tile_links_span_the_same_classes():
     for trial in range(20):
         common = r.choice(10_000, 60, replace=False)
         sets = [np.unique(np.where(r.random(60) < r.choice([.03, .08, .15]), r.integers(0, 10_000, 60), common)) for _ in range(30)]
-        links = ngram_join.tile_links(np.array([len(s) for s in sets]), np.concatenate(sets), hub=int(r.integers(30)))
+        links = ngram_join.tile_links(np.array([len(s) for s in sets]), np.concatenate(sets))
         up = list(range(30))
 
         def top(x):
@@ -109,6 +109,23 @@ def test_tile_links_span_the_same_classes():
                 assert top(a) == top(b) or 100 * o < 80 * (len(sets[a]) + len(sets[b]) - o)
 
 
+def test_survivors_hold_every_linked_row():
+    r = np.random.default_rng(5)
+    counts = r.integers(1, 9, 1 << 10)
+    for trial in range(30):
+        common = r.choice(10_000, 60, replace=False).astype(np.uint64)
+        noise = lambda: r.choice([.02, .1, .3, .9])
+        sets = [np.unique(np.where(r.random(60) < noise(), r.integers(0, 10_000, 60).astype(np.uint64), common))[:r.integers(40, 61)]
+                for _ in range(30)]
+        lead = [ngram_join.leading(s, counts) for s in sets]
+        may = ngram_join.tile_survivors(np.array([len(s) for s in sets]), np.array([len(s) for s, _ in lead]),
+                                        np.array([c for _, c in lead]), np.concatenate([s for s, _ in lead]).view(np.int64))
+        for a in range(30):
+            for b in range(a):
+                o = len(np.intersect1d(sets[a], sets[b]))
+                assert 100 * o < 80 * (len(sets[a]) + len(sets[b]) - o) or may[a] and may[b]
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     links = [(k, k + 1) for k in range(0, 60)] + [(1000, k) for k in range(1001, 1100)] + [(5000, 5000)]
     df = spark.createDataFrame(links, "a long, b long")

@@ -9,7 +9,7 @@ formed as a whole:
 * Equal sets are one row of the matrix (``node``: a hash of the sorted set).
 * Columns: a pair that links shares a shingle among the first
   ``n - ceil(0.8 n) + 1`` of each set in one common order, rarest first.  The
-  order comes from a count sketch of 2**20 counters over all documents, a
+  order comes from a count sketch of 2**22 counters over all documents, a
   table of fixed size; it only ranks shingles, so collisions cost work, not
   links.  Only these entries shuffle.
 * Blocks: the documents of one such column are dealt to the block of the
@@ -18,11 +18,13 @@ formed as a whole:
   whose rows or entries pass a bound is tiled: its documents are dealt into
   parts and every pair of parts is a tile of its own.
 * Within a tile overlaps are counted by the product of row strips with the
-  tile, as postings accumulated by ``bincount``.  Pairs below the bound from
-  their sizes are discarded.  The hub's row comes first and joins most of a
-  family; after that only rows outside the largest class so far are multiplied
-  with the rest, because only they can still add a link between classes.  What
-  leaves a tile is a spanning set of links, never all pairs.
+  tile, as postings accumulated by ``bincount``, first over the leading columns
+  only: what two rows share there and the size of the smaller rest bound their
+  overlap, and rows for which no pair reaches its bound are discarded.
+* The remaining rows are multiplied over all columns.  The first row joins most
+  of a family; after that only rows outside the largest class so far are
+  multiplied with the rest, because only they can still add a link between
+  classes.  What leaves a tile is a spanning set of links, never all pairs.
 
 Components then come from joins over the links (:mod:`.components`), and every
 document gets the smallest doc_id that it reaches.
@@ -37,6 +39,7 @@ Sets and shingles are compared by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +53,7 @@ from .components import components
 
 WIDTH = 5
 PERCENT = 80
-SKETCH_LOG2 = 20
+SKETCH_LOG2 = 22
 SKETCH_BLOCKS = 64
 ACTIVE_LOG2 = 23  # bits of the filter of nodes that have any candidate
 TILE_ROWS = 4096
@@ -77,7 +80,7 @@ def _describe(docs: DataFrame) -> DataFrame:
     size, per = 1 << SKETCH_LOG2, (1 << SKETCH_LOG2) // SKETCH_BLOCKS
 
     def run(batches):
-        sketch, key_type, seen = np.zeros(size, np.int64), None, set()
+        sketch, key_type, seen = np.zeros(size, np.int32), None, set()
         for batch in batches:
             key_type, rows = batch.schema.field(0).type, []
             for i, s, _ in shingle_sets(batch.column(1), WHITE, WIDTH):
@@ -93,25 +96,25 @@ def _describe(docs: DataFrame) -> DataFrame:
                     [batch.column(0).take(pa.array(i)), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
                      none.cast(pa.int32()), none.cast(pa.binary())], names=["doc_id", "n", "node", "block", "counts"])
         if key_type is not None:
-            blocks = np.minimum(sketch, 0xFFFF).astype(np.uint16).reshape(SKETCH_BLOCKS, per)
+            blocks = np.minimum(sketch, 0xFF).astype(np.uint8).reshape(SKETCH_BLOCKS, per)
             some = [b for b in range(SKETCH_BLOCKS) if blocks[b].any()]
             none = pa.nulls(len(some))
             yield pa.RecordBatch.from_arrays(
                 [none.cast(key_type), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(some, pa.int32()),
-                 pa.array([blocks[b].tobytes() for b in some], pa.binary())],
+                 pa.array([zlib.compress(blocks[b].tobytes(), 1) for b in some], pa.binary())],
                 names=["doc_id", "n", "node", "block", "counts"])
 
     return docs.mapInArrow(run, f"doc_id {kind}, n long, node long, block int, counts binary")
 
 
 def _sketch(described: DataFrame) -> np.ndarray:
-    """Sum of the tasks' sketches: 2**20 counters, whatever the input."""
+    """Sum of the tasks' sketches: 2**22 counters (16 MB), whatever the input."""
 
     def add(batches):
         total = {}
         for batch in batches:
             for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = np.frombuffer(c, np.uint16).astype(np.int64)
+                got = np.frombuffer(zlib.decompress(c), np.uint8).astype(np.int64)
                 total[b] = total[b] + got if b in total else got
         if total:
             yield pa.RecordBatch.from_arrays(
@@ -130,10 +133,17 @@ def _sketch(described: DataFrame) -> np.ndarray:
 # -- pass 2: the leading columns of each row ---------------------------------
 
 
+def leading(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The leading shingles of a sorted set, rarest first and by hash on ties,
+    and the count of the last."""
+    c = counts[(s & np.uint64(len(counts) - 1)).astype(np.int64)]
+    order = np.argsort(c, kind="stable")[:prefix_length(len(s))]
+    return s[order], int(c[order[-1]])
+
+
 def _leading(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     """(gram, node, n): the leading shingles of each distinct set of a task."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    mask = np.uint64(len(sketch) - 1)
 
     def run(batches):
         counts, seen = shared.value, set()
@@ -144,8 +154,8 @@ def _leading(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 if node is None or node in seen:
                     continue
                 seen.add(node)
-                k = prefix_length(len(s))
-                first = s[np.argsort(counts[(s & mask).astype(np.int64)], kind="stable")[:k]]  # ties by hash: s is sorted
+                first, _ = leading(s, counts)
+                k = len(first)
                 grams.append(first)
                 nodes.append(np.full(k, node, np.int64))
                 sizes.append(np.full(k, len(s), np.int64))
@@ -165,38 +175,41 @@ def _leading(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(hub, hub_n, node, n): the members of each block but its hub, once each."""
+    """(hub, hub_n, node, n): the members of each block, once each."""
     from pyspark.sql import Window
 
     column = Window.partitionBy("gram")
-    return (_leading(docs, sketch)
+    pairs = (_leading(docs, sketch)
             .withColumn("first", F.min(F.struct("node", "n")).over(column))
             .where((F.col("first.node") != F.col("node")) | (F.col("first.n") != F.col("n")))
             .select(F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), "node", "n").distinct())
+    return pairs.withColumn("self", F.explode(F.array(F.lit(True), F.lit(False)))).select(
+        "hub", "hub_n", F.when(F.col("self"), F.col("hub")).otherwise(F.col("node")).alias("node"),
+        F.when(F.col("self"), F.col("hub_n")).otherwise(F.col("n")).alias("n")).distinct()
 
 
-# -- pass 3: the rows of the documents that have candidates ------------------
+# -- passes 3 and 4: the rows of the documents that have candidates ----------
 
 
-def _active_bits(pairs: DataFrame) -> np.ndarray:
-    """A filter of 2**23 bits over the nodes of ``pairs`` (1 MB at most)."""
-    nodes = pairs.select("node").unionAll(pairs.select(F.col("hub").alias("node")))
+def _active_bits(members: DataFrame) -> np.ndarray:
+    """A filter of 2**23 bits over the nodes of blocks (1 MB)."""
     bit = F.col("node").bitwiseAND(F.lit((1 << ACTIVE_LOG2) - 1)) + 1
-    made = nodes.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+    made = members.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    out = np.zeros(1 << ACTIVE_LOG2, bool)
+    out = np.zeros((1 << ACTIVE_LOG2) // 8, np.uint8)
     for bucket, bits in made:
-        on = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
-        out[(bucket - 1) * 32768:bucket * 32768] = on[:32768]
+        out[(bucket - 1) * 4096:bucket * 4096] = np.frombuffer(bits, np.uint8)
     return out
 
 
-def _sets(docs: DataFrame, active: np.ndarray) -> DataFrame:
-    """(node, n, grams) of the distinct sets that may be active."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(active))
+def _rows(docs: DataFrame, active: np.ndarray, sketch: np.ndarray | None) -> DataFrame:
+    """(node, n, last, grams) of the distinct sets that may be active: all their
+    shingles, or with a sketch the leading ones in order and the last's count."""
+    sc = docs.sparkSession.sparkContext
+    bits_, counts_ = sc.broadcast(active), sc.broadcast(sketch)
 
     def run(batches):
-        bits, seen = np.unpackbits(shared.value).view(bool), set()
+        bits, counts, seen = np.unpackbits(bits_.value, bitorder="little").view(bool), counts_.value, set()
         for batch in batches:
             out, total = [], 0
             for _, s, _ in shingle_sets(batch.column(1), WHITE, WIDTH):
@@ -204,136 +217,192 @@ def _sets(docs: DataFrame, active: np.ndarray) -> DataFrame:
                 if node is None or node in seen or not bits[node & (len(bits) - 1)]:
                     continue
                 seen.add(node)
-                out.append((node, s))
+                n, last = len(s), 0
+                if counts is not None:
+                    s, last = leading(s, counts)
+                out.append((node, n, last, s))
                 total += len(s)
-                if total > 1 << 19:
-                    yield _rows(out)
+                if total > 1 << 18:
+                    yield _flush(out)
                     out, total = [], 0
             if out:
-                yield _rows(out)
+                yield _flush(out)
 
-    def _rows(out):
-        sizes = np.array([len(s) for _, s in out], np.int32)
+    def _flush(out):
+        node, n, last, sets = zip(*out)
         return pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in out], pa.int64()), pa.array(sizes),
-             lists(np.concatenate([s for _, s in out]).view(np.int64), sizes, pa.int64())], names=["node", "n", "grams"])
+            [pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(last, pa.int32()),
+             lists(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets]), pa.int64())],
+            names=["node", "n", "last", "grams"])
 
-    made = docs.mapInArrow(run, "node long, n int, grams array<long>")
-    return made.groupBy("node", "n").agg(F.first("grams").alias("grams"))
+    made = docs.mapInArrow(run, "node long, n int, last int, grams array<long>")
+    return made.groupBy("node", "n").agg(F.first("last").alias("last"), F.first("grams").alias("grams"))
 
 
 # -- the product --------------------------------------------------------------
 
 
-class _Classes:
-    """Union-find over the rows of one tile."""
+class Product:
+    """The product of one tile's incidence matrix with its transpose, by strips
+    of rows; ``grams`` holds the rows one after the other."""
+
+    def __init__(self, sizes: np.ndarray, grams: np.ndarray):
+        self.sizes, self.m = sizes, len(sizes)
+        row_of = np.repeat(np.arange(self.m), sizes)
+        order = np.argsort(grams, kind="stable")
+        first = np.concatenate([[True], grams[order][1:] != grams[order][:-1]])
+        self.code = np.empty(len(grams), np.int64)
+        self.code[order] = np.cumsum(first) - 1
+        self.posting, self.post_at = row_of[order], np.concatenate([np.flatnonzero(first), [len(grams)]])
+        self.begin = np.concatenate([[0], np.cumsum(sizes)])
+        self.cost = np.add.reduceat(self.post_at[self.code + 1] - self.post_at[self.code], self.begin[:-1])
+
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        """Shingles that each of ``rows`` shares with every row."""
+        entries = np.concatenate([self.code[self.begin[r]:self.begin[r + 1]] for r in rows])
+        strip = np.repeat(np.arange(len(rows)), self.sizes[rows])
+        lengths = self.post_at[entries + 1] - self.post_at[entries]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1]) + np.repeat(self.post_at[entries] - (ends - lengths), lengths)
+        cells = np.repeat(strip, lengths) * self.m + self.posting[at]
+        return np.bincount(cells, minlength=len(rows) * self.m).reshape(len(rows), self.m)
 
-    def __init__(self, n: int):
-        self.up = np.arange(n)
+    def strip(self, rows: np.ndarray) -> int:
+        """How many of ``rows`` to multiply at once."""
+        n = int(np.searchsorted(np.cumsum(self.cost[rows]), STRIP_PRODUCTS, "right"))
+        return max(1, min(n, STRIP_PRODUCTS // self.m))
 
-    def top(self, x: int) -> int:
-        up = self.up
+
+def tile_links(sizes: np.ndarray, grams: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """A spanning set of the links among the rows of a tile."""
+    product, m, links, up = Product(sizes, grams), len(sizes), [], np.arange(len(sizes))
+
+    def top(x: int) -> int:
         while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def tops(self) -> np.ndarray:
-        up = self.up
-        while True:
-            again = up[up]
-            if (again == up).all():
-                return up
-            self.up = up = again
-
-
-def tile_links(sizes: np.ndarray, grams: np.ndarray, hub: int = 0, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A spanning set of the links among the rows of a tile: ``grams`` holds
-    the rows' sorted sets one after the other, ``hub`` is multiplied first."""
-    m = len(sizes)
-    row_of = np.repeat(np.arange(m), sizes)
-    order = np.argsort(grams, kind="stable")
-    first = np.concatenate([[True], grams[order][1:] != grams[order][:-1]])
-    code = np.empty(len(grams), np.int64)
-    code[order] = np.cumsum(first) - 1
-    posting, post_at = row_of[order], np.concatenate([np.flatnonzero(first), [len(grams)]])
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    classes, links = _Classes(m), []
+            up[x] = x = up[up[x]]
+        return int(x)
+
+    def tops() -> np.ndarray:
+        while (up[up] != up).any():
+            up[:] = up[up]
+        return up.copy()
 
     def multiply(rows: np.ndarray) -> None:
-        """Counts of the strip ``rows`` x tile, then links between classes."""
-        entries = np.concatenate([code[begin[r]:begin[r + 1]] for r in rows])
-        strip = np.repeat(np.arange(len(rows)), sizes[rows])
-        lengths = post_at[entries + 1] - post_at[entries]
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths) + np.repeat(post_at[entries], lengths)
-        counts = np.bincount(np.repeat(strip, lengths) * m + posting[at], minlength=len(rows) * m).reshape(len(rows), m)
-        both = sizes[rows][:, None] + sizes[None, :]
-        linked = (100 + percent) * counts >= percent * both
-        top = classes.tops()
-        linked &= top[rows][:, None] != top[None, :]
+        linked = (100 + percent) * product.counts(rows) >= percent * (sizes[rows][:, None] + sizes[None, :])
+        classes = tops()
+        linked &= classes[rows][:, None] != classes[None, :]
         r_at, c_at = np.nonzero(linked)
-        _, once = np.unique(top[rows[r_at]] * m + top[c_at], return_index=True)  # one link for two classes
-        for r, c in zip(r_at[once], c_at[once]):
-            x, y = classes.top(int(rows[r])), classes.top(int(c))
+        _, once = np.unique(classes[rows[r_at]] * m + classes[c_at], return_index=True)  # one link for two classes
+        for r, c in zip(rows[r_at[once]].tolist(), c_at[once].tolist()):
+            x, y = top(r), top(c)
             if x != y:
-                classes.up[max(x, y)] = min(x, y)
-                links.append((int(rows[r]), int(c)))
+                up[max(x, y)] = min(x, y)
+                links.append((r, c))
 
-    multiply(np.array([hub]))
-    left = np.setdiff1d(np.arange(m), [hub])
-    cost = np.add.reduceat(post_at[code + 1] - post_at[code], begin[:-1])  # products of each row
+    multiply(np.array([0]))
+    left = np.arange(1, m)
     while len(left):
-        top = classes.tops()
-        largest = np.bincount(top, minlength=m).argmax()
-        left = left[top[left] != largest]  # rows of the largest class meet all others from their side
-        if not len(left):
-            break
-        take = max(1, int(np.searchsorted(np.cumsum(cost[left]), STRIP_PRODUCTS, "right")))
-        take = min(take, max(1, STRIP_PRODUCTS // m))
-        multiply(left[:take])
-        left = left[take:]
+        classes = tops()
+        # rows of the largest class meet all others from the others' side
+        left = left[classes[left] != np.bincount(classes, minlength=m).argmax()]
+        if len(left):
+            take = product.strip(left)
+            multiply(left[:take])
+            left = left[take:]
     return links
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, a_n, b, b_n): spanning links of every block."""
-    blocks = pairs.groupBy("hub", "hub_n").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("entries")).select(
-        "hub", "hub_n", F.greatest(F.ceil((F.col("rows") + 1) / TILE_ROWS),
-                                   F.ceil((F.col("entries") + F.col("hub_n")) / TILE_ENTRIES)).alias("parts"),
-        "entries")
+def tile_survivors(sizes: np.ndarray, leads: np.ndarray, last: np.ndarray, grams: np.ndarray,
+                   percent: int = PERCENT) -> np.ndarray:
+    """Which rows may link with some other row of a tile, by their leading
+    shingles alone.  Of two rows, the one whose last leading shingle comes
+    first in the common order can share, beyond what the leading parts share,
+    at most its own rest."""
+    product, m = Product(leads, grams), len(sizes)
+    rank = np.empty(m, np.int64)
+    rank[np.lexsort((grams[product.begin[1:] - 1].view(np.uint64), last))] = np.arange(m)
+    rest, may = sizes - leads, np.zeros(m, bool)
+
+    def multiply(rows: np.ndarray) -> None:
+        counts = product.counts(rows)
+        most = counts + np.where(rank[rows][:, None] <= rank[None, :], rest[rows][:, None], rest[None, :])
+        most = np.minimum(most, np.minimum(sizes[rows][:, None], sizes[None, :]))
+        ok = (counts > 0) & ((100 + percent) * most >= percent * (sizes[rows][:, None] + sizes[None, :]))
+        ok[np.arange(len(rows)), rows] = False
+        may[rows] |= ok.any(1)
+        may[ok.any(0)] = True
+
+    multiply(np.array([0]))
+    left = np.arange(1, m)
+    while len(left := left[~may[left]]):
+        take = product.strip(left)
+        multiply(left[:take])
+        left = left[take:]
+    return may
+
+
+def _tiles(members: DataFrame, rows: DataFrame, share: float) -> DataFrame:
+    """Members of the blocks with their rows, dealt to tiles; ``share`` of a
+    set's size is how many entries its row has."""
+    blocks = members.groupBy("hub", "hub_n").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("n") * share).alias("entries"),
+        F.min("n").alias("least"), F.max("n").alias("most"))
+    blocks = blocks.where(f"rows > 2 or rows = 2 and 100 * least >= {PERCENT} * most").select(
+        "hub", "hub_n", "entries", F.greatest(F.ceil(F.col("rows") / TILE_ROWS), F.ceil(F.col("entries") / TILE_ENTRIES)).alias("parts"))
+    blocks = materialise(blocks)
     total = blocks.agg(F.sum("entries")).first()[0] or 0
-    deals = max(1, -(-total // (TILE_ENTRIES // 4)))
-    blocks = blocks.drop("entries")
-    members = pairs.join(blocks, ["hub", "hub_n"]).withColumn(
+    deals = max(1, int(total // (TILE_ENTRIES // 4)))
+    dealt = members.join(blocks.drop("entries"), ["hub", "hub_n"]).withColumn(
         "part", F.pmod(F.xxhash64("node", "n"), F.col("parts")))
-    tiles = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(
         "hub", "hub_n", "node", "n", "parts", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    hubs = blocks.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn(
-        "j", F.explode(F.sequence(F.col("i"), F.col("parts") - 1))).select(
-        "hub", "hub_n", F.col("hub").alias("node"), F.col("hub_n").alias("n"), "parts", "i", "j")
-    placed = tiles.unionByName(hubs).join(sets, ["node", "n"]).select(
+    return tiles.join(rows, ["node", "n"]).select(
         # small blocks share a task by a hash of the hub, tiles of a large one have their own
         F.when(F.col("parts") == 1, F.pmod(F.xxhash64("hub"), F.lit(deals))).otherwise(F.col("hub")).alias("deal"),
-        (F.col("parts") > 1).alias("tiled"), "i", "j", "hub", "hub_n", "node", "n", "grams")
+        (F.col("parts") > 1).alias("tiled"), "i", "j", "hub", "hub_n", "node", "n", "last", "grams")
+
+
+def _each_tile(group: pa.Table):
+    """(node, n, last, row sizes, row entries, hub, hub_n) of each tile of a group."""
+    group = group.sort_by([("hub", "ascending"), ("hub_n", "ascending"), ("node", "ascending")]).combine_chunks()
+    hub, hub_n, node, n, last = (group[c].to_numpy() for c in ("hub", "hub_n", "node", "n", "last"))
+    flat = group["grams"].chunk(0)
+    values, offsets = flat.values.to_numpy(), flat.offsets.to_numpy()
+    cut = np.flatnonzero(np.concatenate([[True], (hub[1:] != hub[:-1]) | (hub_n[1:] != hub_n[:-1]), [True]]))
+    for a, b in zip(cut[:-1], cut[1:]):
+        if b - a > 1:
+            yield (node[a:b], n[a:b].astype(np.int64), last[a:b], np.diff(offsets[a:b + 1]).astype(np.int64),
+                   values[offsets[a]:offsets[b]], int(hub[a]), int(hub_n[a]))
+
+
+def _survivors(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """(hub, hub_n, node, n): the members that may link with another of their block."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("hub", "ascending"), ("hub_n", "ascending")]).combine_chunks()
-        hub, hub_n, node, n = (group[c].to_numpy() for c in ("hub", "hub_n", "node", "n"))
-        flat = group["grams"].chunk(0) if group["grams"].num_chunks else None
-        values = flat.values.to_numpy() if flat is not None else np.zeros(0, np.int64)
-        offsets = flat.offsets.to_numpy() if flat is not None else np.zeros(1, np.int64)
-        cut = np.flatnonzero(np.concatenate([[True], (hub[1:] != hub[:-1]) | (hub_n[1:] != hub_n[:-1]), [True]]))
-        out = []
-        for a, b in zip(cut[:-1], cut[1:]):
-            own = np.flatnonzero((node[a:b] == hub[a]) & (n[a:b] == hub_n[a]))
-            for x, y in tile_links(n[a:b].astype(np.int64), values[offsets[a]:offsets[b]], int(own[0])):
-                out.append((node[a + x], n[a + x], node[a + y], n[a + y]))
-        cols = zip(*out) if out else ([], [], [], [])
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32()) * 2)],
-                                    names=["a", "a_n", "b", "b_n"])
-
-    return placed.groupBy("deal", "tiled", "i", "j").applyInArrow(run, "a long, a_n int, b long, b_n int")
+        out = [np.zeros((4, 0), np.int64)]
+        for node, n, last, leads, grams, hub, hub_n in _each_tile(group):
+            may = tile_survivors(n, leads, last, grams)
+            out.append(np.stack([np.full(may.sum(), hub), np.full(may.sum(), hub_n), node[may], n[may]]))
+        cols = np.concatenate(out, 1)
+        return pa.table([pa.array(c.astype(k)) for c, k in zip(cols, ("i8", "i4", "i8", "i4"))], names=["hub", "hub_n", "node", "n"])
+
+    share = 1 - PERCENT / 100
+    return _tiles(members, rows, share).groupBy("deal", "tiled", "i", "j").applyInArrow(
+        run, "hub long, hub_n int, node long, n int").distinct()
+
+
+def _links(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, a_n, b, b_n): spanning links of every block."""
+
+    def run(group: pa.Table) -> pa.Table:
+        out = [np.zeros((4, 0), np.int64)]
+        for node, n, _, sizes, grams, *_ in _each_tile(group):
+            links = np.array(tile_links(sizes, grams), np.int64).reshape(-1, 2).T
+            out.append(np.stack([node[links[0]], n[links[0]], node[links[1]], n[links[1]]]))
+        cols = np.concatenate(out, 1)
+        return pa.table([pa.array(c.astype(k)) for c, k in zip(cols, ("i8", "i4", "i8", "i4"))], names=["a", "a_n", "b", "b_n"])
+
+    return _tiles(members, rows, 1.0).groupBy("deal", "tiled", "i", "j").applyInArrow(run, "a long, a_n int, b long, b_n int")
 
 
 # -- the operator -------------------------------------------------------------
@@ -344,8 +413,9 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     docs = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     described = materialise(_describe(docs))
     sketch = _sketch(described)
-    pairs = materialise(_candidates(docs, sketch))
-    links = materialise(_links(pairs, _sets(docs, _active_bits(pairs))))
+    members = materialise(_candidates(docs, sketch))
+    members = materialise(_survivors(members, _rows(docs, _active_bits(members), sketch)))
+    links = materialise(_links(members, _rows(docs, _active_bits(members), None)))
     # a set is known by its hash and its size
     linked = components(links.select(F.struct(F.col("a").alias("node"), F.col("a_n").alias("n")).alias("a"),
                                      F.struct(F.col("b").alias("node"), F.col("b_n").alias("n")).alias("b")), "a", "b")
