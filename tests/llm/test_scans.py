@@ -256,14 +256,16 @@ def test_language_of_held_out_documents(small):
 def test_forward_sums_all_segmentations():
     model = language_id.Model([("a", "▁ab", 5), ("a", "a", 3), ("b", "ab", 7), ("b", "▁", 2)], tokenizer_path(PIECES))
 
+    table = {p: model.table[i] for i, p in enumerate(model.names)}
+
     def brute(s, k):
         if not s:
             return 1.0
-        return sum((model.pieces.get(s[:n]) or (model.unknown if n == 1 else (0, 0)))[k] * brute(s[n:], k)
-                   for n in range(1, min(len(s), model.longest) + 1) if s[:n] in model.pieces or n == 1)
+        return sum((table[s[:n]][k] if s[:n] in table else language_id.UNKNOWN_RATE) * brute(s[n:], k)
+                   for n in range(1, min(len(s), model.longest) + 1) if s[:n] in table or n == 1)
 
-    for w in ("ab", "abab", "xyz", "a漢b", ""):
-        assert np.allclose(model.word(w), np.log([brute("▁" + w, k) for k in (0, 1)]))
+    words = ["ab", "abab", "xyz", "a漢b", "", "the"]
+    assert np.allclose(model.words(words), np.log([[brute("▁" + w, k) for k in (0, 1)] for w in words]))
 
 
 def test_language_edge_cases(spark, empty):

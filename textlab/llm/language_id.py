@@ -10,7 +10,7 @@ largest posterior.
 
 Training counts, per language, the pieces into which the public tokenizer
 segments the words of all labelled texts, smoothed with ``ALPHA`` per piece;
-characters outside the vocabulary share the ``UNKNOWN`` piece.  Word counts
+characters outside the vocabulary share one rate.  Word counts
 are summed before they shuffle, each word is segmented once per language, and
 what reaches the driver is one table of languages by pieces (32,000 rows per
 language), whatever the input size.
@@ -23,7 +23,7 @@ as they occur in training; input columns named like an output are replaced.
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -32,15 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import chunks, text_bytes
+from .arrays import chunks, mix, text_bytes
 from .common import without
 
 ALPHA = 0.01
-UNKNOWN = "<unk>"
+MARK = "▁"
 UNKNOWN_RATE = 1e-7  # share of a language's probability for one unknown character
 MAX_WORD = 32  # longer words are scored in stretches of so many characters
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 REJECT_BELOW = 0.5
+_POWERS = np.multiply.accumulate(np.array([1] + [0x9E3779B97F4A7C15] * (2 * MAX_WORD), np.uint64))
 
 
 def _texts(column: pa.Array, limit: int = 4 << 20):
@@ -94,45 +95,78 @@ def piece_counts(labelled: DataFrame, vocabulary: str, text: str = "text", lang:
 
 
 class Model:
-    """Per-language piece log-probabilities; bounded by languages x vocabulary."""
+    """Per-language piece probabilities; bounded by languages x vocabulary."""
 
     def __init__(self, counts: list[tuple[str, str, int]], vocabulary: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
-        names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())
-                 if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+        self.names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())
+                      if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         self.langs = sorted({k for k, _, _ in counts})
-        rows = {p: i for i, p in enumerate(names)}
-        table = np.full((len(names), len(self.langs)), ALPHA)
+        self.version = uuid.uuid4().hex
+        rows = {p: i for i, p in enumerate(self.names)}
+        table = np.full((len(self.names), len(self.langs)), ALPHA)
         at = {k: i for i, k in enumerate(self.langs)}
         for k, p, n in counts:
             if p in rows:
                 table[rows[p], at[k]] += n
         table *= (1 - UNKNOWN_RATE) / table.sum(0)
-        self.pieces = {p: tuple(table[i].tolist()) for p, i in rows.items()}
-        self.longest = max(map(len, names))
-        self.unknown = (UNKNOWN_RATE,) * len(self.langs)
-
-    def word(self, word: str) -> np.ndarray:
-        """Log-probability of a word per language: the forward algorithm."""
-        s, n_langs, pieces = "▁" + word, len(self.langs), self.pieces
-        n = len(s)
-        forward: list = [None] * (n + 1)
-        forward[0] = (1.0,) * n_langs
+        self.table, self.longest = table, max(map(len, self.names))
+        # pieces by hash, behind a first look at 20 of its bits
+        hashes = np.array([_string_hashes(_code_points([p]))[0, -1] for p in self.names], np.uint64)
+        self.row = np.argsort(mix(hashes))
+        self.hashes = mix(hashes)[self.row]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashed strings are pieces, and their rows."""
+        at = np.flatnonzero(self.maybe[(hashes >> np.uint64(44)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+        hit = self.hashes[place] == hashes[at]
+        return at[hit], self.row[place[hit]]
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log-probabilities of words per language: the forward algorithm, side
+        by side over words of equal length."""
+        out = np.zeros((len(words), len(self.langs)))
+        lengths = np.array([len(w) for w in words])
+        for n in np.unique(lengths):
+            same = np.flatnonzero(lengths == n)
+            for k in range(0, len(same), 20_000):
+                some = same[k:k + 20_000]
+                out[some] = self._forward([MARK + words[i] for i in some])
+        return out
+
+    def _forward(self, words: list[str]) -> np.ndarray:
+        sums = _string_hashes(_code_points(words))
+        n, forward = sums.shape[1] - 1, [np.ones((len(words), len(self.langs)))]
         for end in range(1, n + 1):
-            total = [0.0] * n_langs
+            total = np.zeros_like(forward[0])
             for begin in range(max(0, end - self.longest), end):
-                p = pieces.get(s[begin:end])
-                if p is None:
-                    if end - begin > 1:
-                        continue
-                    p = self.unknown
-                before = forward[begin]
-                for k in range(n_langs):
-                    total[k] += before[k] * p[k]
-            forward[end] = total
-        return np.array([math.log(v) if v > 0 else -745.0 for v in forward[n]])
+                hashes = mix(sums[:, end] - sums[:, begin] * _POWERS[end - begin])
+                at, row = self.find(hashes)
+                total[at] += forward[begin][at] * self.table[row]
+                if end - begin == 1:
+                    unknown = np.ones(len(words), bool)
+                    unknown[at] = False
+                    total[unknown] += forward[begin][unknown] * UNKNOWN_RATE
+            forward.append(total)
+        return np.log(np.maximum(forward[n], 1e-320))
+
+
+def _code_points(words: list[str]) -> np.ndarray:
+    """Words of equal length as rows of code points."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1)
+
+
+def _string_hashes(points: np.ndarray) -> np.ndarray:
+    """Hashes of all prefixes, from the empty one on."""
+    out = np.zeros((len(points), points.shape[1] + 1), np.uint64)
+    for k in range(points.shape[1]):
+        out[:, k + 1] = out[:, k] * _POWERS[1] + points[:, k] + np.uint64(1)
+    return out
 
 
 def train(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang") -> Model:
@@ -145,43 +179,60 @@ class _Scorer:
 
     def __init__(self, model: Model):
         self.model, self.rows = model, {}
-        self.table = np.zeros((CACHE_WORDS + 1, len(model.langs)))
-
-    def ids(self, words: list[str]) -> list[int]:
-        rows = self.rows
-        new = set(words) - rows.keys()
-        if len(rows) + len(new) > len(self.table):
-            rows.clear()
-            new = set(words)
+        self.table = np.zeros((CACHE_WORDS, len(model.langs)))
+
+    def learn(self, words: list[str]) -> None:
+        new = list(set(words) - self.rows.keys())
+        if len(self.rows) + len(new) > len(self.table):
+            self.rows.clear()
+            new = list(set(words))
             if len(new) > len(self.table):
-                self.table = np.zeros((2 * len(new), self.table.shape[1]))
-        for w in new:
-            self.table[len(rows)] = sum(self.model.word(s) for s in _stretches(w))
-            rows[w] = len(rows)
-        return [rows[w] for w in words]
+                self.table = np.zeros((len(new), self.table.shape[1]))
+        parts = [s for w in new for s in _stretches(w)]
+        sizes = np.array([len(_stretches(w)) for w in new])
+        sums = np.add.reduceat(self.model.words(parts), np.cumsum(sizes) - sizes)
+        self.table[len(self.rows):len(self.rows) + len(new)] = sums
+        self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
 
     def texts(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.model.langs)))
         split = [t.split() for t in texts]
         sizes = np.array([len(s) for s in split])
-        if sizes.sum():
-            flat = np.array(self.ids([w for s in split for w in s]))
-            sums = np.add.reduceat(self.table[flat], np.concatenate([[0], np.cumsum(sizes[sizes > 0])[:-1]]))
-            out[sizes > 0] = sums
+        flat = [w for s in split for w in s]
+        if flat:
+            try:
+                ids = np.fromiter(map(self.rows.__getitem__, flat), np.int64, len(flat))
+            except KeyError:
+                self.learn(flat)
+                ids = np.fromiter(map(self.rows.__getitem__, flat), np.int64, len(flat))
+            out[sizes > 0] = np.add.reduceat(self.table[ids], (np.cumsum(sizes) - sizes)[sizes > 0])
         return out
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` plus ``lang_pred`` and ``score`` (posterior, equal priors)."""
+_scorers: dict[str, _Scorer] = {}
+
+
+def _scorer(model: Model) -> _Scorer:
+    """The scorer of a worker process, kept from task to task for one model."""
+    if model.version not in _scorers:
+        _scorers.clear()
+        _scorers[model.version] = _Scorer(model)
+    return _scorers[model.version]
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) plus ``lang_pred`` and
+    ``score`` (posterior, equal priors)."""
     df = without(docs, "lang_pred", "score")
-    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()),
+    keep = [k for k, c in enumerate(df.columns) if keep is None or c in keep]
+    schema = T.StructType([*(df.schema.fields[k] for k in keep), T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
     at = [c.lower() for c in df.columns].index(text.lower())
     shared = df.sparkSession.sparkContext.broadcast(model)  # languages x vocabulary
 
     def run(batches):
         m = shared.value
-        scorer = _Scorer(m) if m.langs else None
+        scorer = _scorer(m) if m.langs else None
         for batch in batches:
             for i, j, texts in _texts(batch.column(at)):
                 langs, scores = ["und"] * len(texts), [0.0] * len(texts)
@@ -192,10 +243,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     for k, t in enumerate(texts):
                         if has_letter(t):
                             langs[k], scores[k] = m.langs[best[k]], float(post[k])
-                part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                    names=[*part.schema.names, "lang_pred", "score"])
+                    [*(batch.column(k).slice(i, j - i) for k in keep), pa.array(langs, pa.string()),
+                     pa.array(scores, pa.float64())], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -210,10 +260,10 @@ def held_out(key):
 
 
 def identify(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text",
-             lang: str = "lang") -> DataFrame:
+             lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """Train on the labelled documents outside the held-out third, predict all."""
     learn = docs.where(~F.coalesce(held_out(F.col(f"`{key}`")), F.lit(False)))
-    return predict(docs, train(learn, vocabulary, text, lang), text)
+    return predict(docs, train(learn, vocabulary, text, lang), text, keep)
 
 
 def accepted(identified: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def op8_suffix_dedup(spark, sf_dir):
 
 def op9_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    found = language_id.identify(docs, tokenizer_path(PIECES))
+    found = language_id.identify(docs, tokenizer_path(PIECES), keep=["doc_id"])
     held = F.coalesce(language_id.held_out(F.col("doc_id")), F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
