@@ -36,7 +36,7 @@ WINDOW = 4096
 END_ID = 2
 GROUP_TOKENS = 8 << 20
 GROUP_PIECES = 200_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000  # of about 200 bytes each, in every worker
 #: texts are split here before the tokenizer sees them: it drops white space
 #: and none of its tokens, special ones included, holds any
 _GAP = re.compile("[ \t\n\r]+")
@@ -62,45 +62,38 @@ class WordIds(dict):
     def learn(self, stretches: set[str]) -> None:
         if len(self) + len(stretches) > self.limit:
             self.clear()
-        words, tails, plain, other = set(), {}, [], []
+        words, tailed, other = [], [], []
         for s in stretches:
-            core = s.rstrip(_TAIL)
-            if core.isascii() and core.isalpha():
-                if len(core) < len(s):
-                    tails.setdefault(s[len(core):], None)
-                words.add(core.lower())
-                plain.append((s, core.lower(), s[len(core):]))
+            if s.isalpha():
+                words.append(s)
+            elif (core := s.rstrip(_TAIL)).isalpha():
+                tailed.append((s, core))
             else:
                 other.append(s)
-        words = [w for w in words if len(w) < 100]
-        ids = {}
-        if words:
-            # letters only: one word each, and so one word-end token each
-            for at in range(0, len(words), 500):
-                some = words[at:at + 500]
-                flat = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-                ends = np.flatnonzero(self.word_end[flat]) + 1
-                if len(ends) != len(some) or ends[-1] != len(flat):
-                    raise ValueError("the tokenizer does not end every word with a word-end token")
-                raw, a = flat.tobytes(), 0
-                for w, b in zip(some, ends.tolist()):
-                    ids[w] = raw[4 * a:4 * b]
-                    a = b
-        for t in tails:
-            tails[t] = self.encode(t)
-        for s, core, t in plain:
-            if core in ids:
-                self[s] = ids[core] + (tails[t] if t else b"")
-            else:
-                other.append(s)
-        for at in range(0, len(other), 1000):
-            some = other[at:at + 1000]
+        # letters only: one word each, and so one word-end token each
+        words = [w for w in {*words, *(core for _, core in tailed)} - self.keys() if len(w) < 100]
+        for at in range(0, len(words), 500):
+            some = words[at:at + 500]
+            flat = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.word_end[flat]) + 1
+            if len(ends) == len(some) and ends[-1] == len(flat):
+                raw, cuts = flat.tobytes(), [0, *(4 * ends).tolist()]
+                self.update(zip(some, map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:]))))
+            else:  # letters that the tokenizer's normal form takes apart
+                self.encode_each(some)
+        self.encode_each([w for w in stretches - self.keys() if w.isalpha()] + other
+                         + [c for c in {core for _, core in tailed} - self.keys()])
+        tails = {s[len(core):] for s, core in tailed}
+        self.encode_each(list(tails - self.keys()))
+        for s, core in tailed:
+            self[s] = self[core] + self[s[len(core):]]
+
+    def encode_each(self, stretches: list[str]) -> None:
+        for at in range(0, len(stretches), 1000):
+            some = stretches[at:at + 1000]
             for s, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
                 self[s] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(self, stretch: str) -> bytes:
-        return np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
-
     def texts(self, texts: list[str]) -> list[bytes]:
         split = [_GAP.split(t) for t in texts]
         new = set().union(*split) - self.keys()
