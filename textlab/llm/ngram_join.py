@@ -17,6 +17,7 @@ formed as a whole:
   shares fall into the same block and each document enters it once.  A block
   whose rows or entries pass a bound is tiled: its documents are dealt into
   parts and every pair of parts is a tile of its own.
+* A block's members that no other member is close to in size are discarded.
 * Within a tile overlaps are counted by the product of row strips with the
   tile, as postings accumulated by ``bincount``, first over the leading columns
   only: what two rows share there and the size of the smaller rest bound their
@@ -156,7 +157,7 @@ def _leading(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 seen.add(node)
                 first, _ = leading(s, counts)
                 k = len(first)
-                grams.append(first)
+                grams.append(first >> np.uint64(16))  # enough to meet by; a chance meeting costs work only
                 nodes.append(np.full(k, node, np.int64))
                 sizes.append(np.full(k, len(s), np.int64))
                 total += k
@@ -183,9 +184,13 @@ def _candidates(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
             .withColumn("first", F.min(F.struct("node", "n")).over(column))
             .where((F.col("first.node") != F.col("node")) | (F.col("first.n") != F.col("n")))
             .select(F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), "node", "n").distinct())
-    return pairs.withColumn("self", F.explode(F.array(F.lit(True), F.lit(False)))).select(
+    members = pairs.withColumn("self", F.explode(F.array(F.lit(True), F.lit(False)))).select(
         "hub", "hub_n", F.when(F.col("self"), F.col("hub")).otherwise(F.col("node")).alias("node"),
         F.when(F.col("self"), F.col("hub_n")).otherwise(F.col("n")).alias("n")).distinct()
+    # of a block's members in order of size, those whose nearest are too small and too large go
+    by_size = Window.partitionBy("hub", "hub_n").orderBy("n")
+    near = members.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
+    return near.where(f"100 * less >= {PERCENT} * n or 100 * n >= {PERCENT} * more").drop("less", "more")
 
 
 # -- passes 3 and 4: the rows of the documents that have candidates ----------
