@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from pathlib import Path
 
@@ -56,18 +57,27 @@ def aside(df: DataFrame, *names: str):
     return df.toDF(*now), back
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``.  Where it
+    names none, only a local session, whose tasks run on this machine, gets one
+    of its own; on a cluster that is an error."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="textlab-checkpoints-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``;
-    it is never invented here.  Readers after the loss of an executor find the
+    Readers after the loss of an executor find the
     files in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        if not folder:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -81,8 +91,5 @@ def materialise_table(df: DataFrame, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name below ``spark.checkpoint.dir``."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    root = checkpoint_folder(spark)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
