@@ -152,3 +152,15 @@ def test_running_total_across_partitions(spark):
     df = spark.range(0, 1000).selectExpr("id AS v", "1 AS n")
     out = agreement.running_total(df, "v", "n", "before", partitions=7)
     assert all(r["before"] == r["v"] for r in out.collect())
+
+
+def test_kappa_of_marginals_beyond_a_long(spark, monkeypatch):
+    from textlab.operators import agreement
+
+    counts = spark.createDataFrame([("x", "x", 4_000_000_000), ("y", "y", 4_000_000_000), ("x", "y", 1_000_000_000)],
+                                   "a string, b string, n long")
+    monkeypatch.setattr(agreement, "joint_counts", lambda df, a, b: counts)
+    k = agreement.cohen_kappa(counts, "a", "b").first()
+    n, chance = 9e9, 5e9 * 4e9 + 4e9 * 5e9
+    assert k["n"] == 9_000_000_000
+    assert abs(k["kappa"] - (8e9 * n - chance) / (n * n - chance)) < 1e-12

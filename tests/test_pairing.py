@@ -36,3 +36,14 @@ def test_answered_messages(spark):
                                   (2, 0, "user", "d"), (2, 2, "assistant", "e")],
                                  "conv_id long, turn long, role string, text string")
     assert rows(pairing.answered_messages(conv).select("conv_id", "turn")) == [(1, 0)]
+
+
+def test_pair_keys_of_long_conversations_and_two_replies(spark, tmp_path):
+    from textlab.plans.scoring import reply_pool
+
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t}") for c, n in ((1, 1200), (2, 2)) for t in range(n)]
+    rows.append((2, 1, "assistant", "another reply"))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    pool = reply_pool(spark, str(tmp_path))
+    keys = [r["pair_key"] for r in pool.collect()]
+    assert len(keys) == len(set(keys)) == 602

@@ -116,6 +116,14 @@ def test_documented_amount_thresholds(spark):
     assert amounts == [1500, 900, 6000, 6000]
 
 
+def test_message_amounts(spark):
+    cases = [("refund of ₹12,500", 12500), ("a ₹12,000 TV", 12000), ("lost ₹8,500 order", 8500), ("₹1,00,000 gone", 100000),
+             ("hours 9000", None), ("orders 5001", None), ("Rs. 700", 700), ("INR 42", 42), ("$ 15", 15), ("₹١٢٣٤", None),
+             ("₹99999999999999999999", None), ("no amount", None), (None, None)]
+    df = spark.createDataFrame(cases, "msg string, want long").coalesce(1)
+    assert [(r["msg"], r["got"]) for r in df.select("msg", rules.message_amount("msg").alias("got")).collect()] == cases
+
+
 def test_review_workbook_shape(spark):
     from textlab.operators import tables
     df = spark.createDataFrame([(1, "msg", "rep", "complaint", "very_long")],

@@ -72,3 +72,16 @@ def test_metrics_document_json(spark, tmp_path):
 def test_first_rows_by_explicit_order(spark):
     df = spark.createDataFrame([(3,), (1,), (2,)], "k long")
     assert [r["k"] for r in io.first_rows(df, "k", 2).collect()] == [1, 2]
+
+
+def test_csv_columns_are_found_by_header(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from textlab.sources import io
+
+    path = tmp_path / "swapped.csv"
+    path.write_text("b,extra, a\n1,9,2\nx,9,3\n")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    assert [tuple(r) for r in io.read_csv(spark, str(path), schema).collect()] == [(2, 1), (3, None)]
+    with pytest.raises(ValueError):
+        io.read_csv(spark, str(path), T.StructType([T.StructField("c", T.LongType())]))

@@ -76,7 +76,8 @@ POLICY_PRIORITY = ["legal_threat", "safety_issue", "security_sensitive", "financ
 # documented amount thresholds (policy text; not applied by the coded rules):
 # intent -> amount above which the case escalates as high_value
 AMOUNT_THRESHOLDS = {"refund_return": 1000, "order_status": 5000, "product_issue": 5000}
-AMOUNT_RE = r"(?:₹|\$|rs\.? ?|inr ?)(\p{Nd}+)"
+# a currency sign or a currency word of its own, then digits with any grouping
+AMOUNT_RE = r"(?:₹ ?|\$ ?|(?<![\p{L}\p{N}_])(?:rs\.? ?|inr ?))([0-9]+(?:,[0-9]+)*)"
 
 # post-processor fallbacks
 AUTO_FALLBACK = {

@@ -36,13 +36,13 @@ def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
                  F.lit(0).cast("long").alias("agree")))).alias("c")).select("c.*")
     marg = cells.groupBy("label").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.sum("agree").alias("agree"))
     j = marg.agg(F.sum("na").alias("n"), F.sum("agree").alias("agree"),
-                 F.sum(F.col("na") * F.col("nb")).alias("chance"))
+                 F.sum(F.col("na").cast("decimal(19,0)") * F.col("nb").cast("decimal(18,0)")).alias("chance"))
     n = F.col("n").cast("double")
     num = F.col("agree").cast("double") * n - F.col("chance").cast("double")
     den = n * n - F.col("chance").cast("double")
     return j.select(F.col("n").cast("long").alias("n"),
                     (F.col("agree") / n).alias("p_observed"),
-                    (F.col("chance") / (n * n)).alias("p_expected"),
+                    (F.col("chance").cast("double") / (n * n)).alias("p_expected"),
                     F.when(den != 0, num / den).alias("kappa"))
 
 

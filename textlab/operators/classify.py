@@ -57,7 +57,7 @@ def balanced_weights(train: DataFrame, label: str, weight_col: str = "w") -> Dat
 
 
 def out_of_fold(df: DataFrame, key: str, text: str, label: str, k: int = 5, seed: int = 42,
-                vocab_size: int = 5000, min_df: int = 2, max_iter: int = 100, tol: float = 1e-4,
+                vocab_size: int = 5000, min_df: int = 2, max_iter: int = 1000, tol: float = 1e-4,
                 fit_features: str = "fold") -> DataFrame:
     """Out-of-fold predictions: (key, label, fold, prediction).
 
@@ -74,7 +74,7 @@ def out_of_fold(df: DataFrame, key: str, text: str, label: str, k: int = 5, seed
 
     checkpoint_root(df.sparkSession)
     base = with_terms(stratified_folds(df.select(key, text, label), label, key, k, seed), text)
-    base = base.select(key, label, "fold", "terms").checkpoint(eager=True).cache()
+    base = base.select(key, label, "fold", "terms").checkpoint(eager=True)
     indexer = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(base)
     labelled = indexer.transform(base)
     shared = (features.fit_ml_features(labelled, "terms", "features", vocab_size, min_df)
@@ -100,11 +100,8 @@ def out_of_fold(df: DataFrame, key: str, text: str, label: str, k: int = 5, seed
         out = out.unionByName(p)
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)
     result = back.transform(out).select(key, label, "fold", F.col("predicted").alias("prediction"))
-    # materialise the predictions (one row per input row) so the cached token
-    # table can be released instead of living for the rest of the session
-    result = result.checkpoint(eager=True)
-    base.unpersist()
-    return result
+    # materialise the predictions: readers do not score again
+    return result.checkpoint(eager=True)
 
 
 def fold_accuracy(oof: DataFrame, label: str, pred: str = "prediction") -> DataFrame:

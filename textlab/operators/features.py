@@ -110,12 +110,17 @@ def tfidf(docs: DataFrame, key: str, text: str, ngram_max: int = 2, min_df: int
 # Spark ML form (feeds the classifier)
 
 
-def count_vectorizer(terms_col: str, vocab_size: int, min_df: int):
-    """Term counts over the ``vocab_size`` most frequent terms with df >= min_df."""
-    from pyspark.ml.feature import CountVectorizer
+def count_vectorizer(train: DataFrame, terms_col: str, vocab_size: int, min_df: int):
+    """Term counts over the ``vocab_size`` most frequent terms with df >= min_df.
 
-    return CountVectorizer(inputCol=terms_col, outputCol="_tf", vocabSize=vocab_size,
-                           minDF=float(min_df))
+    Ties at the cut go by term, so the vocabulary does not depend on how the
+    rows are partitioned; it is collected in order, bounded by ``vocab_size``."""
+    from pyspark.ml.feature import CountVectorizerModel
+
+    terms = train.select(F.explode(terms_col).alias("term"), F.monotonically_increasing_id().alias("_row"))
+    tf = terms.groupBy("_row", "term").agg(F.count(F.lit(1)).alias("tf"))
+    top = fit_vocabulary(tf, 0, min_df, max_features=vocab_size).terms.select("term").collect()
+    return CountVectorizerModel.from_vocabulary([r["term"] for r in top], inputCol=terms_col, outputCol="_tf")
 
 
 def fit_ml_features(train: DataFrame, terms_col: str, features_col: str, vocab_size: int = 5000,
@@ -131,7 +136,7 @@ def fit_ml_features(train: DataFrame, terms_col: str, features_col: str, vocab_s
     from pyspark.ml.feature import IDF, ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import Vectors
 
-    cv_model = count_vectorizer(terms_col, vocab_size, min_df).fit(train)
+    cv_model = count_vectorizer(train, terms_col, vocab_size, min_df)
     counted = cv_model.transform(train)
     idf_model = IDF(inputCol="_tf", outputCol="_idf_unused").fit(counted)
     scale = Vectors.dense([x + 1.0 for x in idf_model.idf.toArray()])  # bounded by vocab_size

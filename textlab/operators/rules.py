@@ -84,9 +84,10 @@ def reason_for(intent, msg, variant: str = "hybrid",
 
 
 def message_amount(msg) -> Column:
-    """First currency amount in the message (₹ / $ / rs / inr), as a long."""
+    """First currency amount in the message (₹ / $ / rs / inr), as a long;
+    grouping commas are read, an amount beyond a long is null."""
     a = F.regexp_extract(F.lower(F.coalesce(_c(msg), F.lit(""))), P.AMOUNT_RE, 1)
-    return F.when(a != "", a.cast("long"))
+    return F.when(a != "", F.replace(a, F.lit(","), F.lit("")).try_cast("long"))
 
 
 def over_amount(intent, msg, thresholds=P.AMOUNT_THRESHOLDS) -> Column:

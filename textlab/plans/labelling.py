@@ -132,7 +132,7 @@ def majority_baseline_q(spark, sf_dir):
 def _raw_responses(spark, sf_dir):
     ev = load(spark, sf_dir, "events", "event_id", "event_type", "props")
     plain = F.concat(F.lit('{"intent": "'), _case("event_type", LX.EVENT_INTENTS, "other"),
-                     F.lit('", '), F.substring("props", 2, 1 << 20))
+                     F.lit('", '), F.expr("substring(props, 2)"))
     variant = F.pmod(F.col("event_id"), F.lit(5))
     raw = (F.when(variant == 0, plain)
            .when(variant == 1, F.concat(F.lit("```json\n"), plain, F.lit("\n```")))

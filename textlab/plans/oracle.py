@@ -600,16 +600,19 @@ SQL.update(_sql_labelling())
 # TF-IDF, retrieval, stream
 
 
-def vector_terms_sql(c: str) -> str:
-    u = f"regexp_extract_all(lower({c}), {q(TX.VECTOR_TOKEN_RE)})"
-    return f"(list_concat({u}, list_transform(range(1, len({u})), lambda i: {u}[i] || ' ' || {u}[i + 1])))"
+def vector_tokens_sql(docs: str, key: str, text: str) -> str:
+    """(key, term): words and pairs of neighbouring words; the words of a text
+    are extracted once and paired with themselves one place on."""
+    return f"""SELECT {key}, unnest(list_concat(u, list_transform(
+    list_zip(u[1:greatest(len(u) - 1, 0)], u[2:]), lambda p: p[1] || ' ' || p[2]))) AS term
+  FROM (SELECT {key}, regexp_extract_all(lower({text}), {q(TX.VECTOR_TOKEN_RE)}) AS u FROM {docs})"""
 
 
 def tfidf_sql(docs: str, key: str, text: str, min_df: int, max_features: int, out: str) -> str:
     """CTEs <out>_tf, <out>_v (vocabulary) and <out> (key, term, w normalised)."""
     return f"""
 {out}_docs AS ({docs}),
-{out}_tok AS (SELECT {key}, unnest({vector_terms_sql(text)}) AS term FROM {out}_docs),
+{out}_tok AS ({vector_tokens_sql(f"{out}_docs", key, text)}),
 {out}_tf AS (SELECT {key}, term, count(*) AS tf FROM {out}_tok GROUP BY {key}, term),
 {out}_st AS (SELECT term, count(*) AS df, sum(tf) AS ttf FROM {out}_tf GROUP BY term HAVING count(*) >= {min_df}),
 {out}_v AS (SELECT term, df, ln((1 + (SELECT count(*) FROM {out}_docs)) / (df + CAST(1 AS DOUBLE))) + 1 AS idf
@@ -621,7 +624,7 @@ def tfidf_sql(docs: str, key: str, text: str, min_df: int, max_features: int, ou
 def query_vectors_sql(docs: str, key: str, text: str, vocab: str, out: str) -> str:
     return f"""
 {out}_docs AS ({docs}),
-{out}_tok AS (SELECT {key}, unnest({vector_terms_sql(text)}) AS term FROM {out}_docs),
+{out}_tok AS ({vector_tokens_sql(f"{out}_docs", key, text)}),
 {out}_tf AS (SELECT {key}, term, count(*) AS tf FROM {out}_tok GROUP BY {key}, term),
 {out}_w0 AS (SELECT t.{key}, t.term, t.tf * v.idf AS w FROM {out}_tf t JOIN {vocab} v ON v.term = t.term),
 {out} AS (SELECT {key}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM {out}_w0)"""
@@ -629,7 +632,8 @@ def query_vectors_sql(docs: str, key: str, text: str, vocab: str, out: str) -> s
 
 POOL = f"""
 SELECT pair_key, conv_id, turn, cm, br FROM (
-  SELECT conv_id * 1000 + turn AS pair_key, conv_id, turn,
+  SELECT lpad(CAST(conv_id AS VARCHAR), 19, '0') || ':' || lpad(CAST(turn AS VARCHAR), 19, '0') || ':' || md5(brand_reply) AS pair_key,
+         conv_id, turn,
          {clean('customer_msg')} AS cm, {clean('brand_reply')} AS br
   FROM ({PAIRS}))
 WHERE br IS NOT NULL AND trim(br) <> ''"""

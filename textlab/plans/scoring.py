@@ -23,12 +23,14 @@ def tfidf_weights_q(spark, sf_dir):
 
 
 def reply_pool(spark, sf_dir) -> DataFrame:
-    """Reply pairs with cleaned texts and one numeric pair key; blank replies
-    are dropped (they cannot serve as an answer)."""
+    """Reply pairs with cleaned texts and one pair key of conversation, turn
+    and reply, which sorts as they do; blank replies are dropped (they cannot
+    serve as an answer)."""
     from .queries import reply_pairs_q
     pairs = reply_pairs_q(spark, sf_dir)
     pool = pairs.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_key"), "conv_id", "turn",
+        F.concat_ws(":", F.lpad(F.col("conv_id").cast("string"), 19, "0"), F.lpad(F.col("turn").cast("string"), 19, "0"),
+                    F.md5("brand_reply")).alias("pair_key"), "conv_id", "turn",
         TX.clean_text("customer_msg").alias("customer_msg_clean"),
         TX.clean_text("brand_reply").alias("brand_reply_clean"))
     # one reference to the cleaned reply: a pushed-down filter re-evaluates it

@@ -39,12 +39,17 @@ def build_session(master: str | None = None, app: str = "textlab",
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and tasks share one machine and process."""
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is respected as is.
-    Only when it is unset (local tests) a private folder is created and
-    registered as the checkpoint directory.
+    On a cluster this setting points at shared storage and is respected as is;
+    leaving it unset there is an error.  Only a local session, whose tasks run
+    on this machine, gets a folder of its own when it names none.
     """
     try:
         sc = spark.sparkContext
@@ -55,6 +60,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not is_local(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="textlab-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

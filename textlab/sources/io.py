@@ -51,10 +51,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
              messy: bool = False) -> DataFrame:
     """CSV with quoted multi-line fields, declared schema and the null policy.
 
-    ``messy=True`` also strips blanks after separators and padded headers;
-    numeric fields that fail to parse become null (PERMISSIVE mode).
+    Columns are found by their header, whatever their order in the file; a
+    declared column that the file lacks is an error, others are not read.
+    ``messy=True`` also strips blanks after separators.  Fields that fail to
+    parse become null.
     """
-    reader = (spark.read.schema(schema)
+    reader = (spark.read
               .option("header", True)
               .option("multiLine", True)
               .option("escape", '"')
@@ -63,7 +65,13 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
     if messy:
         reader = (reader.option("ignoreLeadingWhiteSpace", True)
                   .option("ignoreTrailingWhiteSpace", True))
-    return _blank_strings_to_null(reader.csv(path))
+    raw = reader.csv(path)
+    by_name = {c.strip(): c for c in raw.columns}
+    missing = [f.name for f in schema.fields if f.name not in by_name]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return _blank_strings_to_null(raw.select([
+        F.col(f"`{by_name[f.name]}`").try_cast(f.dataType).alias(f.name) for f in schema.fields]))
 
 
 def read_messy_scores(spark: SparkSession, path: str, numeric: list[str]) -> DataFrame:
