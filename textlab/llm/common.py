@@ -14,6 +14,23 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+_kept: dict = {}
+
+
+def kept(name: str, make):
+    """A table that a worker process keeps from task to task; of all operators
+    only the latest has one, so they never add up."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def drop_kept() -> None:
+    """Frees what an earlier operator's tasks left in this worker process."""
+    _kept.clear()
+
+
 def on_workers(spark: SparkSession) -> None:
     """Lets Python workers find this package where the driver found it; on a
     cluster the package is installed on every machine and this changes nothing."""

@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import chunks, mix, text_bytes
-from .common import without
+from .common import kept, without
 
 ALPHA = 0.01
 MARK = "▁"
 UNKNOWN_RATE = 1e-7  # share of a language's probability for one unknown character
 MAX_WORD = 32  # longer words are scored in stretches of so many characters
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 REJECT_BELOW = 0.5
 _POWERS = np.multiply.accumulate(np.array([1] + [0x9E3779B97F4A7C15] * (2 * MAX_WORD), np.uint64))
 
@@ -209,15 +209,9 @@ class _Scorer:
         return out
 
 
-_scorers: dict[str, _Scorer] = {}
-
-
 def _scorer(model: Model) -> _Scorer:
     """The scorer of a worker process, kept from task to task for one model."""
-    if model.version not in _scorers:
-        _scorers.clear()
-        _scorers[model.version] = _Scorer(model)
-    return _scorers[model.version]
+    return kept(f"language_id {model.version}", lambda: _Scorer(model))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .arrays import WHITE, lists, shingle_sets
-from .common import materialise
+from .common import drop_kept, materialise
 from .components import components
 
 WIDTH = 5
@@ -81,6 +81,7 @@ def _describe(docs: DataFrame) -> DataFrame:
     size, per = 1 << SKETCH_LOG2, (1 << SKETCH_LOG2) // SKETCH_BLOCKS
 
     def run(batches):
+        drop_kept()
         sketch, key_type, seen = np.zeros(size, np.int32), None, set()
         for batch in batches:
             key_type, rows = batch.schema.field(0).type, []
@@ -147,6 +148,7 @@ def _leading(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
+        drop_kept()
         counts, seen = shared.value, set()
         for batch in batches:
             grams, nodes, sizes, total = [], [], [], 0

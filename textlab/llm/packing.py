@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import kept, materialise
 
 WINDOW = 4096
 END_ID = 2
@@ -105,17 +105,12 @@ class WordIds(dict):
         return [b"".join(map(get, s)) for s in split]
 
 
-_known: dict[str, WordIds] = {}
-
-
 def _word_ids(path: str) -> WordIds:
     """One table per worker process and tokenizer."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _known:
-        _known[path] = WordIds(path)
-    return _known[path]
+    return kept(f"packing {path}", lambda: WordIds(path))
 
 
 def _blocks(texts: pa.Array, limit: int = 4 << 20):
