@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,14 +23,18 @@ def kept(name: str, make):
     """A table that a worker process keeps from task to task; of all operators
     only the latest has one, so they never add up."""
     if name not in _kept:
-        _kept.clear()
+        drop_kept()
         _kept[name] = make()
     return _kept[name]
 
 
 def drop_kept() -> None:
-    """Frees what an earlier operator's tasks left in this worker process."""
+    """Frees what earlier tasks left in this worker process: their tables, and
+    freed memory that the allocators still hold."""
     _kept.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
 
 
 def on_workers(spark: SparkSession) -> None:

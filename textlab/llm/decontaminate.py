@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import NOT_ALNUM, shingle_sets
+from .common import drop_kept
 
 THRESHOLD = 80  # per cent
 WIDTH = 5
@@ -103,6 +104,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
+            drop_kept()
             index = shared.value
             for batch in batches:
                 keys, out = batch.column(0), []
@@ -129,6 +131,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
+            drop_kept()
             index = shared.value
             for batch in batches:
                 held = [bool(index.search(s)) for _, s, _ in shingle_sets(batch.column(at), NOT_ALNUM, WIDTH)]

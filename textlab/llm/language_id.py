@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import chunks, mix, text_bytes
-from .common import kept, without
+from .common import drop_kept, kept, without
 
 ALPHA = 0.01
 MARK = "▁"
@@ -59,6 +59,7 @@ def piece_counts(labelled: DataFrame, vocabulary: str, text: str = "text", lang:
     """(lang, piece, n) over the whole labelled table."""
 
     def words(batches):
+        drop_kept()
         for batch in batches:
             for i, j, texts in _texts(batch.column(1)):
                 counts: dict[str, Counter] = {}

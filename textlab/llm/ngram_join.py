@@ -113,6 +113,7 @@ def _sketch(described: DataFrame) -> np.ndarray:
     """Sum of the tasks' sketches: 2**22 counters (16 MB), whatever the input."""
 
     def add(batches):
+        drop_kept()
         total = {}
         for batch in batches:
             for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -216,6 +217,7 @@ def _rows(docs: DataFrame, active: np.ndarray, sketch: np.ndarray | None) -> Dat
     bits_, counts_ = sc.broadcast(active), sc.broadcast(sketch)
 
     def run(batches):
+        drop_kept()
         bits, counts, seen = np.unpackbits(bits_.value, bitorder="little").view(bool), counts_.value, set()
         for batch in batches:
             out, total = [], 0
