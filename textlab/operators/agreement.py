@@ -19,6 +19,18 @@ def joint_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def two_passes(first: DataFrame, second: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, a, b) for the keys that both annotation passes hold.  Keys are
+    unique within a pass; rows without a key meet nothing."""
+    return (first.select(key, F.col(label).alias("a"))
+            .join(second.select(key, F.col(label).alias("b")), key))
+
+
+def disagreements(passes: DataFrame) -> DataFrame:
+    """The rows of :func:`two_passes` that both label, and label differently."""
+    return passes.where(F.col("a") != F.col("b"))
+
+
 def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n, observed agreement p_o, chance agreement p_e, kappa.
 

@@ -32,13 +32,15 @@ def _case_map(key: Column, mapping: dict, default=None) -> Column:
 def top_n_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str],
                     n: int | Column, max_n: int | None = None, rank_col: str = "rank") -> DataFrame:
     """First ``n`` rows of each group in ``order_cols`` order (``n`` may be a
-    per-row Column, then ``max_n`` is its literal upper bound)."""
+    per-row Column; a literal upper bound ``max_n`` lets Spark cap the
+    groups before the shuffle)."""
     w = W.partitionBy(*group_cols).orderBy(*[_c(o) for o in order_cols])
     ranked = df.withColumn(rank_col, F.row_number().over(w).cast("long"))
     if isinstance(n, int):
         return ranked.where(F.col(rank_col) <= n)
-    bound = max_n if max_n is not None else 1 << 30
-    return ranked.where((F.col(rank_col) <= bound) & (F.col(rank_col) <= n))
+    if max_n is not None:
+        ranked = ranked.where(F.col(rank_col) <= max_n)
+    return ranked.where(F.col(rank_col) <= n)
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -100,24 +102,19 @@ def quota_gap(df: DataFrame, class_col: str, quotas: dict[str, int]) -> DataFram
 
 
 def proportional_sample(df: DataFrame, class_col: str, key: str, total: int = 30,
-                        floor: int = 2, seed: int = 99, max_classes: int = 10000) -> DataFrame:
+                        floor: int = 2, seed: int = 99) -> DataFrame:
     """Per class ``max(floor, round_half_even(total·n_c/N))`` rows (capped by
     n_c), then trimmed or topped up to exactly ``total`` rows: order all rows
     by (chosen first, hash order) and keep ``total``."""
     counts = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("_nc"))
-    n_classes = counts.count()
-    if n_classes > max_classes:
-        raise ValueError(f"{n_classes} classes exceed max_classes={max_classes}")
-    with_n = counts.withColumn("_N", F.sum("_nc").over(W.partitionBy(F.lit(1))))
-    quotas = with_n.select(class_col, F.greatest(F.lit(floor), F.bround(
-        (F.col("_nc") * total) / F.col("_N"), 0).cast("long")).alias("_q"))
-    j = df.join(F.broadcast(quotas), class_col)  # one row per class, count checked above
+    n_rows = counts.agg(F.sum("_nc")).first()[0] or 1
+    quotas = counts.select(class_col, F.greatest(F.lit(floor), F.bround(
+        (F.col("_nc") * total) / F.lit(n_rows), 0).cast("long")).alias("_q"))
+    j = df.join(quotas, class_col)
     h = hash_order(key, seed)
     ranked = top_n_per_group(j.withColumn("_h", h), [class_col], ["_h", key], F.col("_q"),
                              max_n=total).withColumn("_chosen", F.lit(1))
-    # at most total rows per class and at most max_classes classes: bounded
-    chosen = F.broadcast(ranked.select(key, "_chosen"))
-    allrows = j.join(chosen, key, "left").withColumn("_h", h).fillna(0, subset=["_chosen"])
+    allrows = j.join(ranked.select(key, "_chosen"), key, "left").withColumn("_h", h).fillna(0, subset=["_chosen"])
     return (allrows.orderBy(F.col("_chosen").desc(), F.col("_h"), F.col(key)).limit(total)
             .drop("_q", "_h", "_chosen"))
 

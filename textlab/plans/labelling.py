@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as TX
-from ..operators import agreement, metrics, responses, rubric, rules
+from ..operators import agreement, classify, metrics, responses, rubric, rules, sampling, tables
 from . import lexicons as LX
 from .common import load, r6
 
@@ -80,6 +80,37 @@ def kappa_q(spark, sf_dir):
                     r6(F.col("p_expected")).alias("p_expected"), r6(F.col("kappa")).alias("kappa"))
 
 
+def _annotation_passes(spark, sf_dir):
+    """Pass one: the quality label; pass two: long documents are good."""
+    one = load(spark, sf_dir, "labels", "doc_id", "quality").select("doc_id", F.col("quality").cast("long").alias("label"))
+    two = load(spark, sf_dir, "documents", "doc_id", "n_chars").select(
+        "doc_id", (F.col("n_chars") >= 1000).cast("long").alias("label"))
+    return agreement.two_passes(one, two, "doc_id", "label")
+
+
+def two_pass_kappa_q(spark, sf_dir):
+    k = agreement.cohen_kappa(_annotation_passes(spark, sf_dir), "a", "b")
+    return k.select("n", r6(F.col("p_observed")).alias("p_observed"),
+                    r6(F.col("p_expected")).alias("p_expected"), r6(F.col("kappa")).alias("kappa"))
+
+
+def pass_disagreements_q(spark, sf_dir):
+    return agreement.disagreements(_annotation_passes(spark, sf_dir))
+
+
+def label_progress_q(spark, sf_dir):
+    return tables.label_progress(load(spark, sf_dir, "documents", "lang"), "lang")
+
+
+def random_sample_q(spark, sf_dir):
+    return sampling.hash_sample(load(spark, sf_dir, "documents", "doc_id", "lang"), "doc_id", 200, 42)
+
+
+def stratified_folds_q(spark, sf_dir):
+    labels = load(spark, sf_dir, "labels", "doc_id", "quality")
+    return classify.stratified_folds(labels, "quality", "doc_id").select("doc_id", "quality", "fold")
+
+
 def rank_agreement_q(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem", "l_quantity", "l_discount")
     ra = agreement.rank_agreement(li, "l_quantity", "l_discount")

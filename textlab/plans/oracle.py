@@ -461,6 +461,20 @@ SELECT CAST(n AS BIGINT) AS n,
        round(CASE WHEN CAST(n AS DOUBLE) * n - chance <> 0
                   THEN (CAST(agree AS DOUBLE) * n - chance) / (CAST(n AS DOUBLE) * n - chance) END, 6) AS kappa
 FROM t CROSS JOIN ch"""
+    passes = """SELECT l.doc_id, CAST(l.quality AS BIGINT) AS a, CAST(d.n_chars >= 1000 AS BIGINT) AS b
+FROM labels l JOIN documents d ON d.doc_id = l.doc_id"""
+    s["two_pass_kappa"] = s["kappa"].replace(
+        "SELECT quality AS a, 1 - toxic AS b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL",
+        f"SELECT * FROM ({passes}) WHERE a IS NOT NULL AND b IS NOT NULL")
+    s["pass_disagreements"] = f"SELECT * FROM ({passes}) WHERE a <> b"
+    s["label_progress"] = """
+SELECT count(*) AS n_total, count(*) FILTER (WHERE trim(lang) <> '') AS n_labelled,
+       count(*) FILTER (WHERE lang IS NULL OR trim(lang) = '') AS n_unlabelled
+FROM documents"""
+    s["random_sample"] = f"SELECT doc_id, lang FROM documents ORDER BY {md5_order('doc_id', 42)}, doc_id LIMIT 200"
+    s["stratified_folds"] = f"""
+SELECT doc_id, quality, CAST((row_number() OVER (PARTITION BY quality ORDER BY {md5_order('doc_id', 42)}, doc_id) - 1) % 5 AS INTEGER) AS fold
+FROM labels WHERE quality IS NOT NULL"""
     bands = " ".join(f"WHEN rho >= {lo} THEN {q(name)}" for lo, name in P.RHO_BANDS)
     s["rank_agreement"] = f"""
 WITH x AS (SELECT l_quantity AS a, l_discount AS b FROM lineitem

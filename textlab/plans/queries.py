@@ -203,6 +203,11 @@ QUERIES = {
     "label_drift": labelling.label_drift_q,
     "difficulty_downgrade": labelling.downgrade_q,
     "kappa": labelling.kappa_q,
+    "two_pass_kappa": labelling.two_pass_kappa_q,
+    "pass_disagreements": labelling.pass_disagreements_q,
+    "label_progress": labelling.label_progress_q,
+    "random_sample": labelling.random_sample_q,
+    "stratified_folds": labelling.stratified_folds_q,
     "rank_agreement": labelling.rank_agreement_q,
     "compare_systems": labelling.compare_systems_q,
     "majority_baseline": labelling.majority_baseline_q,
