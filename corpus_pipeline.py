@@ -17,24 +17,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textlab.llm import decontaminate, exact_dedup, language_id, ngram_join, packing
-from textlab.llm.common import aside, shared_folder, table
+from textlab.llm.common import aside, on_workers, shared_folder, table
 from textlab.llm.queries import PIECES, WORD_BPE, tokenizer_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; the rest goes."""
+    on_workers(spark)
     df, back = aside(docs, "lang_pred", "score")
     return back(language_id.accepted(language_id.identify(df, tokenizer_path(PIECES))))
 
 
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id."""
+    on_workers(spark)
     df, back = aside(docs, *exact_dedup.OUTPUT)
     return back(exact_dedup.exact_dedup(exact_dedup.with_digest(df)).where("kept"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id."""
+    on_workers(spark)
     return ngram_join.one_per_component(docs)
 
 
@@ -45,6 +48,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The remaining documents as packed sequences."""
+    on_workers(spark)
     return packing.pack_documents(docs, tokenizer_path(WORD_BPE))
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+BATCH_BYTES = "8m"
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 _kept: dict = {}
@@ -38,8 +40,13 @@ def drop_kept() -> None:
 
 
 def on_workers(spark: SparkSession) -> None:
-    """Lets Python workers find this package where the driver found it; on a
-    cluster the package is installed on every machine and this changes nothing."""
+    """Lets Python workers find this package where the driver found it (on a
+    cluster the package is installed on every machine and this changes nothing),
+    and hands them texts in batches of ``BATCH_BYTES``, however long the texts
+    are, unless the session names another limit.  A longer text is a batch of
+    its own."""
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
