@@ -56,3 +56,13 @@ def test_stream_duplicate_delivery_scored_once(spark, tmp_path):
                                ["conv_id", "turn"], sink, ckpt, max_files_per_trigger=1)
     got = rows(out.select("conv_id", "turn"))
     assert got == [(1, 0), (2, 0)]
+
+
+def test_stream_rows_that_are_not_wanted_stay_out(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.createDataFrame([(1, 0, "assistant", "hi"), (1, 0, "user", "hello there")],
+                          stream.CONVERSATION_SCHEMA).coalesce(1).write.parquet(src)
+    sink, ckpt = shared_path(spark, "t3-sink"), shared_path(spark, "t3-ckpt")
+    out = stream.run_available(spark, src, "*.parquet", stream.CONVERSATION_SCHEMA, scoring._stream_score,
+                               ["conv_id", "turn"], sink, ckpt, wanted="role = 'user'")
+    assert rows(out.select("conv_id", "turn")) == [(1, 0)]

@@ -93,3 +93,20 @@ def test_sequential_ids_after_aggregation_many_partitions(spark):
     out = tables.sequential_ids(agg, ["k"], "sid", start=1)
     got = rows(out, "k", "sid")
     assert got == [(k, k + 1) for k in range(20000)]
+
+
+def test_topup_takes_unused_texts_up_to_the_targets(spark):
+    texts = ["where is my parcel today"] + [f"i was overcharged {k} times" for k in range(30)] + ["please cancel it", "cancel"]
+    pool = spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "id long, text string").repartition(3)
+    used = spark.createDataFrame([("please cancel it",), (None,)], "t string")
+    got = sampling.topup_candidates(pool, "id", "text", used, "t", [
+        ("order_status", "where is my"), ("billing_payment", "overcharged"), ("cancellation", "cancel")])
+    # the used text and the one of fewer than 15 characters are not candidates
+    assert dict(rows(got.groupBy("tag").count())) == {"order_status": 1, "billing_payment": 10}
+
+
+def test_sorted_positions_put_nulls_last(spark):
+    df = spark.createDataFrame([(1, None), (2, "b"), (3, "a"), (4, None), (5, "b")], "id long, lang string").repartition(3)
+    got = tables.sorted_positions(df, ["lang", "id"])
+    assert [i for _, i in rows(got, "position", "id")] == [3, 2, 5, 1, 4]
+    assert [p for p, _ in rows(got, "position", "id")] == [1, 2, 3, 4, 5]

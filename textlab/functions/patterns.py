@@ -41,7 +41,6 @@ ESCALATIONS = ["auto_handle", "escalate"]
 REASONS = ["low_risk", "deterministic_action", "security_sensitive", "financial_risk",
            "high_emotion", "high_value", "repeat_failure", "legal_threat",
            "safety_issue", "kb_unavailable"]
-DIFFICULTIES = ["easy", "medium", "hard"]
 AUTO_REASONS = ["low_risk", "deterministic_action"]
 ESC_REASONS = ["security_sensitive", "financial_risk", "high_emotion", "high_value",
                "repeat_failure", "legal_threat", "safety_issue", "kb_unavailable"]
@@ -125,11 +124,6 @@ TOPUP_PATTERNS = [
 TOPUP_TARGETS = {"order_status": 25, "billing_payment": 10, "cancellation": 8, "account_access": 5}
 MIN_MINED_LENGTH = 15
 
-# stratified golden build targets
-GOLDEN_TARGETS = {"order_status": 30, "refund_return": 22, "product_issue": 22,
-                  "complaint": 25, "account_access": 15, "billing_payment": 15,
-                  "cancellation": 10, "info_request": 8, "other": 8}
-
 # length-stratified candidate sample: shares of n and band edges
 LENGTH_SHARES = (0.60, 0.25)
 LENGTH_EDGES = (80, 160)
@@ -137,10 +131,9 @@ LENGTH_EDGES = (80, 160)
 # edge-case miner: tag, per-tag count, seed (tag order is the priority)
 EDGE_MULTI_JOINERS = "and|but"
 EDGE_MULTI_TOPICS = "refund|return|cancel|deliver|order|account|charge|help"
-EDGE_ANGER_WORDS = ["unacceptable", "disgusting", "furious", "ridiculous", "never again",
-                    "worst", "terrible", "appalling"]
+EDGE_ANGER_WORDS = "unacceptable|disgusting|furious|ridiculous|never again|worst|terrible|appalling"
 EDGE_ANGER_PUNCT = "!!+"
-EDGE_IMAGE_WORDS = ["screenshot", "attached", "photo", "picture", "see below", "dm me"]
+EDGE_IMAGE_WORDS = "screenshot|attached|photo|picture|see below|dm me"
 EDGE_TAGS = [("multi_intent", 12, 1), ("anger_sarcasm", 10, 2), ("short_fragment", 8, 3),
              ("very_long", 6, 4), ("image_reference", 6, 5), ("non_english", 12, 6)]
 
@@ -197,7 +190,7 @@ ACT_AUTO_STEPS = ["here", "link", "click", "follow", "step", "visit"]
 ACT_AUTO_HELP = ["will", "help", "assist", "check"]
 SAFETY_CODE = r"[A-Z]{2,}\p{Nd}{5,}"
 SAFETY_MONEY = r"\$\p{Nd}+|₹\p{Nd}+|£\p{Nd}+"
-SAFETY_PROMISE_WORDS = ["guarantee", "will definitely"]
+SAFETY_PROMISE_WORDS = "guarantee|will definitely"
 SAFETY_PROMISE_PERCENT = "100% "
 GROUNDED_MIN_WORD = 4
 GROUNDED_STEPS = [(0.3, 5), (0.15, 4), (0.05, 3)]

@@ -30,6 +30,14 @@ def join_truth_predictions(truth: DataFrame, preds: DataFrame, key: str = "id")
     return matched, missing
 
 
+def truth_with_predictions(truth: DataFrame, preds: DataFrame, key: str = "id") -> DataFrame:
+    """Every truth row once joined, with a boolean ``has_prediction``: for
+    callers that want the metrics and the count of unmatched rows in one pass."""
+    found = preds.withColumn("has_prediction", F.lit(True))
+    return truth.join(found, on=key, how="left").withColumn(
+        "has_prediction", F.coalesce("has_prediction", F.lit(False)))
+
+
 def duplicate_keys(df: DataFrame, key: str = "id") -> DataFrame:
     return df.groupBy(key).count().where(F.col("count") > 1)
 
@@ -165,7 +173,7 @@ def eval_document(system: str, matched: DataFrame, intent_labels: Sequence[str],
 
 def summary_by(df: DataFrame, truth: str, pred: str, group: str, labels: Sequence[str]) -> DataFrame:
     """:func:`summary` for several systems at once (one ``groupBy`` pass):
-    per ``group`` value: n, accuracy, macro F1 over the fixed list."""
+    per ``group`` value: n, accuracy, macro F1 over the fixed list, weighted F1."""
     c = df.groupBy(group, F.col(truth).alias("t"), F.col(pred).alias("p")).agg(
         F.count(F.lit(1)).alias("n"))
     j = _label_totals(c, labels, [group])
@@ -175,4 +183,5 @@ def summary_by(df: DataFrame, truth: str, pred: str, group: str, labels: Sequenc
     return j.groupBy(group).agg(
         F.sum("support").cast("long").alias("n"),
         (F.sum("tp") / F.sum("support")).alias("accuracy"),
-        (F.sum(F.when(F.col("in_list"), f1).otherwise(0.0)) / L).alias("macro_f1"))
+        (F.sum(F.when(F.col("in_list"), f1).otherwise(0.0)) / L).alias("macro_f1"),
+        (F.sum(f1 * s_) / F.sum("support")).alias("weighted_f1"))

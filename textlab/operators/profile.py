@@ -24,20 +24,23 @@ def counts_having(df: DataFrame, col: str, min_count: int) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, value: Column | str, group_cols: Sequence[str] = (),
-                    exact: bool = True, accuracy: int = 10000) -> DataFrame:
+                    exact: bool = True, accuracy: int = 10000,
+                    extra: dict[str, Column] | None = None) -> DataFrame:
     """count, mean, std (sample), min, 25/50/75 % (linear interpolation), max.
 
     ``exact=True`` uses ``percentile``, whose aggregation buffer is a
     value->count map (bounded by the number of distinct values, partially
     aggregated map-side); ``exact=False`` uses ``percentile_approx``.
+    ``extra`` names further aggregates to take in the same pass.
     """
     v = _c(value).cast("double")
     q = (F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
          else F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy))
     g = df.groupBy(*group_cols) if group_cols else df.groupBy()
     out = g.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max"))
-    return out.select(*group_cols, "count", "mean", "std", "min",
+                F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max"),
+                *[c.alias(name) for name, c in (extra or {}).items()])
+    return out.select(*group_cols, *(extra or {}), "count", "mean", "std", "min",
                       F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"),
                       F.col("_q")[2].alias("q75"), "max")
 

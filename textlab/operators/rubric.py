@@ -94,7 +94,7 @@ def safety(reply) -> Column:
     lo = F.lower(r)
     code = r.rlike(f"(?:^|{P.NOT_WORD}){P.SAFETY_CODE}(?:$|{P.NOT_WORD})")
     money = r.rlike(P.SAFETY_MONEY) & ~lo.contains("refund")
-    promise = (lo.rlike(P.words("|".join(P.SAFETY_PROMISE_WORDS)))
+    promise = (lo.rlike(P.words(P.SAFETY_PROMISE_WORDS))
                | lo.rlike(f"(?:^|{P.NOT_WORD}){P.SAFETY_PROMISE_PERCENT}"))
     return (F.when(r == "", 1).when(code, 2).when(money, 3).when(promise, 3).otherwise(5))
 

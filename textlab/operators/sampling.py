@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 
 from ..functions import patterns as P
 from ..functions.text import _c, hash_order
-from . import tables
+from . import rules, tables
 
 
 def _case_map(key: Column, mapping: dict, default=None) -> Column:
@@ -119,6 +119,17 @@ def proportional_sample(df: DataFrame, class_col: str, key: str, total: int = 30
             .drop("_q", "_h", "_chosen"))
 
 
+def topup_candidates(df: DataFrame, key: str, text_col: str, used: DataFrame, used_text_col: str,
+                     patterns=P.TOPUP_PATTERNS, targets: dict[str, int] = P.TOPUP_TARGETS,
+                     seed: int = 42) -> DataFrame:
+    """Top-up mining: of the texts not used yet, up to ``targets[intent]`` per
+    under-represented intent whose pattern they match; a text that several
+    intents choose keeps the first.  Output: key, text, tag."""
+    tags = [(intent, rules.regex_filter(text_col, pat, min_len=P.MIN_MINED_LENGTH), targets[intent], seed)
+            for intent, pat in patterns]
+    return tagged_sample(tables.exclude_texts(df, text_col, used, used_text_col), key, text_col, tags)
+
+
 def tagged_sample(df: DataFrame, key: str, text_col: str,
                   tags: Sequence[tuple[str, Column, int, int]]) -> DataFrame:
     """Several tagged predicates; up to n rows per tag (hash order with the

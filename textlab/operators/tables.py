@@ -172,6 +172,15 @@ def sequential_ids(df: DataFrame, order_cols: Sequence[str], id_col: str = "id",
         id_col, F.col(id_col) + start).drop("_one")
 
 
+def sorted_positions(df: DataFrame, order_cols: Sequence[str], out_col: str = "position") -> DataFrame:
+    """1-based position in ``order_cols`` order, nulls last in every column
+    (the columns must form a total order)."""
+    flags = [f"_null{k}" for k in range(len(order_cols))]
+    flagged = df.withColumns({f: F.col(c).isNull() for f, c in zip(flags, order_cols)})
+    order = [x for pair in zip(flags, order_cols) for x in pair]
+    return sequential_ids(flagged, order, out_col).drop(*flags)
+
+
 def resume(todo: DataFrame, previous: DataFrame, key: str, done_col: str) -> tuple[DataFrame, DataFrame]:
     """Split work for a resumable job: (rows of ``previous`` that are done,
     rows of ``todo`` still to process).  A blank result is not done."""

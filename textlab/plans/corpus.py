@@ -18,13 +18,11 @@ def _clean_docs(spark, sf_dir, *extra):
 
 def text_profile_q(spark, sf_dir):
     d = _clean_docs(spark, sf_dir, "lang").withColumn("len", F.length("c"))
-    prof = profile.numeric_profile(d, "len", ["lang"])
-    flags = d.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        F.count_if(TX.is_blank("c")).alias("n_blank"),
-        F.count_if(TX.looks_non_english("c")).alias("n_non_english"))
-    j = flags.join(prof, "lang")
-    return j.select("lang", "n_docs", "n_blank", "n_non_english",
+    prof = profile.numeric_profile(d, "len", ["lang"], extra={
+        "n_docs": F.count(F.lit(1)),
+        "n_blank": F.count_if(TX.is_blank("c")),
+        "n_non_english": F.count_if(TX.looks_non_english("c"))})
+    return prof.select("lang", "n_docs", "n_blank", "n_non_english",
                     *[r6(F.col(c)).alias(f"{c}_len") for c in
                       ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
@@ -101,11 +99,11 @@ def edge_case_tags(c: str = "c"):
     preds = {
         "multi_intent": (TX.contains_words(c, P.EDGE_MULTI_JOINERS)
                          & TX.contains_words(c, P.EDGE_MULTI_TOPICS) & (n > 80)),
-        "anger_sarcasm": (TX.contains_words(c, "|".join(P.EDGE_ANGER_WORDS))
+        "anger_sarcasm": (TX.contains_words(c, P.EDGE_ANGER_WORDS)
                           | F.coalesce(F.col(c).rlike(P.EDGE_ANGER_PUNCT), F.lit(False))),
         "short_fragment": n.between(2, 10),
         "very_long": n > 240,
-        "image_reference": TX.contains_words(c, "|".join(P.EDGE_IMAGE_WORDS)),
+        "image_reference": TX.contains_words(c, P.EDGE_IMAGE_WORDS),
         "non_english": TX.looks_non_english(c),
     }
     return [(tag, F.coalesce(preds[tag], F.lit(False)), cnt, seed) for tag, cnt, seed in P.EDGE_TAGS]
@@ -124,6 +122,23 @@ def weak_labels_q(spark, sf_dir):
         "doc_id", F.col("tag").alias("keyword_label"))
 
 
+def topup_mining_q(spark, sf_dir):
+    """Top-up candidates per target intent from the documents whose text no
+    labelled document has."""
+    d = _clean_docs(spark, sf_dir)
+    used = tables.keep_keys(d, load(spark, sf_dir, "labels", "doc_id"), "doc_id")
+    return sampling.topup_candidates(d, "doc_id", "c", used, "c", LX.TOPUP_LABELS).select(
+        "doc_id", F.col("tag").alias("intent_llm_guess"))
+
+
+def review_order_q(spark, sf_dir):
+    """Review order: toxic documents last, then language (unknown last), id."""
+    docs = load(spark, sf_dir, "documents", "doc_id", "lang")
+    labels = load(spark, sf_dir, "labels", "doc_id", "toxic")
+    d = docs.join(labels, "doc_id", "left").withColumn("edge", F.coalesce("toxic", F.lit(0)))
+    return tables.sorted_positions(d, ["edge", "lang", "doc_id"]).select("doc_id", "position")
+
+
 def dedupe_keep_first_q(spark, sf_dir):
     return _dedup_pool(spark, sf_dir).select("doc_id", "lang")
 
@@ -163,7 +178,8 @@ def resume_remaining_q(spark, sf_dir):
     return done.select("doc_id", "prediction", F.lit("kept").alias("status")).unionByName(new)
 
 
-def apply_corrections_q(spark, sf_dir):
+def _corrected(spark, sf_dir):
+    """(corrected labels, ids that corrections name and the labels lack)."""
     labels = load(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     docs = load(spark, sf_dir, "documents", "doc_id", "n_chars")
     c1 = labels.where(F.col("toxic") == 1).select(F.lit(1).alias("seq"), "doc_id",
@@ -173,5 +189,13 @@ def apply_corrections_q(spark, sf_dir):
     c3 = (tables.exclude_keys(docs, labels.select("doc_id"), "doc_id").where(F.col("n_chars") > 15000)
           .select(F.lit(3).alias("seq"), "doc_id", F.lit(0).alias("quality")))
     fixes = c1.unionByName(c2).unionByName(c3)
-    out, _unknown = tables.apply_corrections(labels, fixes, "doc_id", "seq", ["quality"])
+    return tables.apply_corrections(labels, fixes, "doc_id", "seq", ["quality"])
+
+
+def unknown_corrections_q(spark, sf_dir):
+    return _corrected(spark, sf_dir)[1]
+
+
+def apply_corrections_q(spark, sf_dir):
+    out, _ = _corrected(spark, sf_dir)
     return out.select("doc_id", F.col("quality").cast("int").alias("quality"), "toxic", "corrected")

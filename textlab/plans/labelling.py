@@ -23,10 +23,10 @@ def golden_like(spark, sf_dir):
     docs = load(spark, sf_dir, "documents", "doc_id", "text", "lang", "n_chars")
     labels = load(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     j = docs.join(labels, "doc_id")
-    c = TX.clean_text("text")
+    j = j.withColumn("customer_msg_clean", TX.clean_text("text"))  # once: the labels and rules refer to it
     return j.select(
-        F.col("doc_id").alias("id"), c.alias("customer_msg_clean"),
-        rules.first_keyword_label(c, LX.INTENT_LEXICON, LX.INTENT_DEFAULT).alias("intent"),
+        F.col("doc_id").alias("id"), "customer_msg_clean",
+        rules.first_keyword_label("customer_msg_clean", LX.INTENT_LEXICON, LX.INTENT_DEFAULT).alias("intent"),
         F.when(F.col("toxic") == 1, "escalate").otherwise("auto_handle").alias("escalation_ground_truth"),
         F.when(F.col("quality") == 0, "kb_unavailable").when(F.col("toxic") == 1, "low_risk")
          .otherwise("deterministic_action").alias("escalation_reason"),
@@ -149,6 +149,25 @@ def compare_systems_q(spark, sf_dir):
                       r6(F.col("macro_f1")).alias("macro_f1"), "n_changed")
 
 
+def compare_baselines_q(spark, sf_dir):
+    """The trivial, the simple and the hybrid system's reasons side by side
+    against the documented policy's reason, in one pass over the messages."""
+    from .queries import _escalation, _scored_messages
+    s = _scored_messages(spark, sf_dir).withColumn("escalation", _escalation())
+    s = s.select(
+        "intent", "escalation", rules.policy_reason("intent", "msg", "escalation", rules=LX.REASON_RULES).alias("truth"),
+        rules.reason_for("intent", "msg", "simple", rules=LX.REASON_RULES).alias("simple"),
+        rules.reason_for("intent", "msg", "hybrid", rules=LX.REASON_RULES).alias("coded"))
+    preds = {"trivial": F.lit(P.TRIVIAL_REASON), "simple": F.col("simple"),
+             "hybrid": rules.consistent_reason("escalation", "coded", "intent")}
+    long = s.select("truth", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("system"), p.alias("pred")) for name, p in preds.items()])).alias("s")).select(
+        "truth", "s.system", "s.pred")
+    per = metrics.summary_by(long, "truth", "pred", "system", P.REASONS)
+    return per.select("system", "n", r6(F.col("accuracy")).alias("reason_agreement"),
+                      r6(F.col("macro_f1")).alias("macro_f1"), r6(F.col("weighted_f1")).alias("weighted_f1"))
+
+
 def majority_baseline_q(spark, sf_dir):
     ev = load(spark, sf_dir, "events", "event_id", "event_type")
     top = (ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -48,6 +48,14 @@ WEAK_LABELS = [
     ("spanish_function", "para|como|pero"),
 ]
 
+# top-up mining: words of the fixed target intents
+TOPUP_LABELS = [
+    ("order_status", "which|would|there"),
+    ("billing_payment", "nicht|auch|sich"),
+    ("cancellation", "avec|pour|dans"),
+    ("account_access", "para|como|pero"),
+]
+
 # per-language quota table for the quota sample
 LANG_QUOTAS = {"en": 30, "fr": 22, "de": 22, "es": 25}
 

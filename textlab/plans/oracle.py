@@ -239,11 +239,11 @@ def _edge_tags_sql() -> list:
     n = "length(c)"
     preds = {
         "multi_intent": f"({words('c', P.EDGE_MULTI_JOINERS)} AND {words('c', P.EDGE_MULTI_TOPICS)} AND {n} > 80)",
-        "anger_sarcasm": f"({words('c', '|'.join(P.EDGE_ANGER_WORDS))} OR "
+        "anger_sarcasm": f"({words('c', P.EDGE_ANGER_WORDS)} OR "
                          f"coalesce(regexp_matches(c, {q(P.EDGE_ANGER_PUNCT)}), false))",
         "short_fragment": f"({n} BETWEEN 2 AND 10)",
         "very_long": f"({n} > 240)",
-        "image_reference": words("c", "|".join(P.EDGE_IMAGE_WORDS)),
+        "image_reference": words("c", P.EDGE_IMAGE_WORDS),
         "non_english": non_english("c"),
     }
     return [(tag, preds[tag], cnt, seed) for tag, cnt, seed in P.EDGE_TAGS]
@@ -323,6 +323,15 @@ SELECT doc_id, lang FROM r ORDER BY CASE WHEN rn <= qn THEN 1 ELSE 0 END DESC, h
             for label, pat in LX.WEAK_LABELS]
     s["weak_labels"] = tagged_sample_sql(CLEAN_DOCS, weak).replace(
         "SELECT doc_id, tag FROM d WHERE k = 1", "SELECT doc_id, tag AS keyword_label FROM d WHERE k = 1")
+    topup = [(label, f"({words('c', pat)} AND length(c) >= {P.MIN_MINED_LENGTH})", P.TOPUP_TARGETS[label], 42)
+             for label, pat in LX.TOPUP_LABELS]
+    s["topup_mining"] = tagged_sample_sql(
+        f"SELECT * FROM ({CLEAN_DOCS}) d WHERE NOT EXISTS (SELECT 1 FROM ({CLEAN_DOCS}) u "
+        f"JOIN labels l ON l.doc_id = u.doc_id WHERE u.c = d.c)", topup).replace(
+        "SELECT doc_id, tag FROM d WHERE k = 1", "SELECT doc_id, tag AS intent_llm_guess FROM d WHERE k = 1")
+    s["review_order"] = """
+SELECT d.doc_id, row_number() OVER (ORDER BY coalesce(l.toxic, 0), d.lang ASC NULLS LAST, d.doc_id) AS position
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
     s["dedupe_keep_first"] = f"SELECT doc_id, lang FROM ({DEDUP_POOL})"
     s["merge_topup"] = """
 WITH m AS (SELECT 'main' AS origin, 0 AS prio, doc_id AS src_id, CAST(0 AS BIGINT) AS src_turn, text, lang
@@ -341,7 +350,7 @@ WHERE quality IS NOT NULL AND trim(CAST(quality AS VARCHAR)) <> ''
 UNION ALL
 SELECT d.doc_id, CASE WHEN d.n_chars >= 300 THEN '1' ELSE '0' END, 'new' FROM documents d
 WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality IS NOT NULL)"""
-    s["apply_corrections"] = """
+    fixes = """
 WITH c AS (SELECT 1 AS seq, doc_id, 0 AS quality FROM labels WHERE toxic = 1
            UNION ALL
            SELECT 2, l.doc_id, 1 FROM labels l JOIN documents d ON d.doc_id = l.doc_id
@@ -349,7 +358,10 @@ WITH c AS (SELECT 1 AS seq, doc_id, 0 AS quality FROM labels WHERE toxic = 1
            UNION ALL
            SELECT 3, d.doc_id, 0 FROM documents d
            WHERE d.n_chars > 15000 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)),
-lst AS (SELECT doc_id, arg_max(quality, seq) AS quality FROM c GROUP BY doc_id)
+lst AS (SELECT doc_id, arg_max(quality, seq) AS quality FROM c GROUP BY doc_id)"""
+    s["unknown_corrections"] = fixes + """
+SELECT doc_id FROM lst WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)"""
+    s["apply_corrections"] = fixes + """
 SELECT l.doc_id, CAST(CASE WHEN lst.doc_id IS NOT NULL THEN lst.quality ELSE l.quality END AS INTEGER) AS quality,
        l.toxic, lst.doc_id IS NOT NULL AS corrected
 FROM labels l LEFT JOIN lst ON lst.doc_id = l.doc_id"""
@@ -516,6 +528,27 @@ SELECT system, CAST(sum(sup) AS BIGINT) AS n, round(sum(tp) / sum(sup), 6) AS ac
        round(sum(CASE WHEN sup + prd > 0 THEN 2 * tp / (sup + prd) ELSE 0 END) / CAST(2 AS DOUBLE), 6) AS macro_f1,
        CAST((SELECT count(*) FROM j WHERE len300 IS DISTINCT FROM len1000) AS BIGINT) AS n_changed
 FROM pc GROUP BY system"""
+    reasons = ", ".join(f"({q(x)})" for x in P.REASONS)
+    s["compare_baselines"] = f"""
+WITH m AS (SELECT *, {escalation('intent', 'msg')} AS esc FROM ({SCORED})),
+t AS (SELECT intent, msg, esc, {policy_reason('intent', 'msg', 'esc')} AS truth,
+             {reason('intent', 'msg', 'simple')} AS simple, {reason('intent', 'msg', 'hybrid')} AS coded FROM m),
+lng AS (SELECT 'trivial' AS system, truth, {q(P.TRIVIAL_REASON)} AS pred FROM t
+        UNION ALL SELECT 'simple', truth, simple FROM t
+        UNION ALL SELECT 'hybrid', truth, {consistent_reason('esc', 'coded', 'intent')} FROM t),
+lab(label) AS (VALUES {reasons}),
+pc AS (SELECT sy.system, lab.label,
+              CAST(count(*) FILTER (WHERE lng.truth = lab.label AND lng.pred = lab.label) AS DOUBLE) AS tp,
+              CAST(count(*) FILTER (WHERE lng.truth = lab.label) AS DOUBLE) AS sup,
+              CAST(count(*) FILTER (WHERE lng.pred = lab.label) AS DOUBLE) AS prd
+       FROM (SELECT DISTINCT system FROM lng) sy CROSS JOIN lab
+       LEFT JOIN lng ON lng.system = sy.system AND (lng.truth = lab.label OR lng.pred = lab.label)
+       GROUP BY sy.system, lab.label),
+f AS (SELECT *, CASE WHEN sup + prd > 0 THEN 2 * tp / (sup + prd) ELSE 0 END AS f1 FROM pc)
+SELECT system, CAST(sum(sup) AS BIGINT) AS n, round(sum(tp) / sum(sup), 6) AS reason_agreement,
+       round(sum(f1) / CAST({len(P.REASONS)} AS DOUBLE), 6) AS macro_f1,
+       round(sum(f1 * sup) / sum(sup), 6) AS weighted_f1
+FROM f GROUP BY system"""
     s["majority_baseline"] = f"""
 WITH m AS (SELECT event_type FROM events GROUP BY event_type
            ORDER BY count(*) DESC, event_type ASC NULLS LAST LIMIT 1)
@@ -591,7 +624,7 @@ def _rubric_sql() -> str:
            f"WHEN {_contains_any(lo, P.ACT_AUTO_STEPS)} THEN 5 "
            f"WHEN {_contains_any(lo, P.ACT_AUTO_HELP)} THEN 4 ELSE 3 END")
     code = f"(?:^|{P.NOT_WORD}){P.SAFETY_CODE}(?:$|{P.NOT_WORD})"
-    promise = P.words("|".join(P.SAFETY_PROMISE_WORDS))
+    promise = P.words(P.SAFETY_PROMISE_WORDS)
     pct = f"(?:^|{P.NOT_WORD}){P.SAFETY_PROMISE_PERCENT}"
     safety = (f"CASE WHEN {r} = '' THEN 1 WHEN regexp_matches({r}, {q(code)}) THEN 2 "
               f"WHEN regexp_matches({r}, {q(P.SAFETY_MONEY)}) AND NOT contains({lo}, 'refund') THEN 3 "

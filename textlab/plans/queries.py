@@ -106,7 +106,7 @@ def reason_consistency_q(spark, sf_dir):
 QUALITY_LABELS = ["low", "high"]
 
 
-def _quality_eval_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def _quality_truth_and_predictions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Truth = labels.quality, prediction = a length/junk threshold rule."""
     docs = load(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
     labels = load(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
@@ -121,24 +121,26 @@ def _quality_eval_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
         "doc_id",
         F.when(F.col("quality") == 1, F.lit("high")).otherwise(F.lit("low")).alias("truth"),
         F.when(F.col("toxic") == 1, F.lit("abusive")).otherwise(F.lit("clean")).alias("truth_reason"))
-    return M.join_truth_predictions(truth, preds, key="doc_id")
+    return truth, preds
 
 
 def eval_metrics_q(spark, sf_dir):
     """All headline metrics from one grouped pass over truth ⋈ prediction:
     (truth, pred) counts carry the reason-agreement and low-confidence
     tallies, so the documents are scanned and matched once."""
-    matched, missing = _quality_eval_rows(spark, sf_dir)
+    truth, preds = _quality_truth_and_predictions(spark, sf_dir)
+    rows = M.truth_with_predictions(truth, preds, "doc_id")
     has = F.coalesce(F.col("pred_reason"), F.lit("")) != ""
-    counts = matched.groupBy(F.col("truth").alias("t"), F.col("pred").alias("p")).agg(
+    cells = rows.groupBy(F.col("truth").alias("t"), F.col("pred").alias("p"), "has_prediction").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(has).alias("n_has"),
         F.count_if(has & F.col("truth_reason").eqNullSafe(F.col("pred_reason"))).alias("n_hit"),
         F.count_if(F.col("confidence") < P.LOW_CONFIDENCE).alias("n_low"))
+    counts = cells.where("has_prediction")
     summ = M.summary(counts.select("t", "p", "n"), QUALITY_LABELS)
     extra = counts.agg(F.sum("n_has").alias("n_scored"), F.sum("n_hit").alias("n_hit"),
                        F.sum("n_low").alias("n_low_confidence"))
-    miss = missing.agg(F.count(F.lit(1)).alias("n_missing"))
+    miss = cells.agg(F.coalesce(F.sum(F.when(~F.col("has_prediction"), F.col("n"))), F.lit(0)).alias("n_missing"))
     out = combine_rows(summ, extra, miss)
     return out.select(
         F.col("n").alias("n_evaluated"), F.col("n_missing").cast("long").alias("n_missing"),
@@ -153,7 +155,7 @@ def eval_metrics_q(spark, sf_dir):
 
 
 def per_class_metrics_q(spark, sf_dir):
-    matched, _ = _quality_eval_rows(spark, sf_dir)
+    matched, _ = M.join_truth_predictions(*_quality_truth_and_predictions(spark, sf_dir), key="doc_id")
     pc = M.per_class(M.pair_counts(matched, "truth", "pred"), QUALITY_LABELS)
     return pc.select("label", _r6(F.col("precision")).alias("precision"),
                      _r6(F.col("recall")).alias("recall"), _r6(F.col("f1")).alias("f1"),
@@ -161,7 +163,7 @@ def per_class_metrics_q(spark, sf_dir):
 
 
 def confusion_matrix_q(spark, sf_dir):
-    matched, _ = _quality_eval_rows(spark, sf_dir)
+    matched, _ = M.join_truth_predictions(*_quality_truth_and_predictions(spark, sf_dir), key="doc_id")
     cm = M.confusion_matrix(M.pair_counts(matched, "truth", "pred"), QUALITY_LABELS)
     return cm.select(F.col("label").alias("truth"), *QUALITY_LABELS)
 
@@ -196,7 +198,10 @@ QUERIES = {
     "merge_topup": corpus.merge_topup_q,
     "exclude_used": corpus.exclude_used_q,
     "resume_remaining": corpus.resume_remaining_q,
+    "topup_mining": corpus.topup_mining_q,
+    "review_order": corpus.review_order_q,
     "apply_corrections": corpus.apply_corrections_q,
+    "unknown_corrections": corpus.unknown_corrections_q,
     "label_audit": labelling.label_audit_q,
     "audit_summary": labelling.audit_summary_q,
     "audit_top_rows": labelling.audit_top_rows_q,
@@ -210,6 +215,7 @@ QUERIES = {
     "stratified_folds": labelling.stratified_folds_q,
     "rank_agreement": labelling.rank_agreement_q,
     "compare_systems": labelling.compare_systems_q,
+    "compare_baselines": labelling.compare_baselines_q,
     "majority_baseline": labelling.majority_baseline_q,
     "response_parse": labelling.response_parse_q,
     "rubric_scores": labelling.rubric_scores_q,

@@ -194,5 +194,5 @@ def stream_scoring_q(spark, sf_dir):
     sink = shared_path(spark, "stream-sink")
     ckpt = shared_path(spark, "stream-ckpt")
     out = stream.run_available(spark, sf_dir, "conversations.parquet", stream.CONVERSATION_SCHEMA,
-                               _stream_score, ["conv_id", "turn"], sink, ckpt)
+                               _stream_score, ["conv_id", "turn"], sink, ckpt, wanted="role = 'user'")
     return out.select("conv_id", "turn", "intent", "escalation", "reason")

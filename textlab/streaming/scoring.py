@@ -43,12 +43,13 @@ def exactly_once_writer(sink: str, score: Callable[[DataFrame], DataFrame]):
 
 def run_available(spark: SparkSession, source_dir: str, file_glob: str, schema: T.StructType,
                   score: Callable[[DataFrame], DataFrame], keys: list[str], sink: str,
-                  checkpoint: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Process every file available now, then stop; return the sink table."""
+                  checkpoint: str, max_files_per_trigger: int | None = None, wanted: str = "true") -> DataFrame:
+    """Process every file available now, then stop; return the sink table.
+    Rows that do not meet the SQL condition ``wanted`` never enter the state."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source_dir).dropDuplicates(keys)
+    stream = reader.parquet(source_dir).where(wanted).dropDuplicates(keys)
     q = (stream.writeStream.foreachBatch(exactly_once_writer(sink, score))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
