@@ -51,7 +51,7 @@ def test_stream_duplicate_delivery_scored_once(spark, tmp_path):
     a.coalesce(1).write.parquet(src + "/part=a")
     b.coalesce(1).write.parquet(src + "/part=b")
     sink, ckpt = shared_path(spark, "t2-sink"), shared_path(spark, "t2-ckpt")
-    schema = stream.CONVERSATION_SCHEMA.add("part", "string")
+    schema = type(stream.CONVERSATION_SCHEMA)([*stream.CONVERSATION_SCHEMA.fields]).add("part", "string")
     out = stream.run_available(spark, src, "*.parquet", schema, scoring._stream_score,
                                ["conv_id", "turn"], sink, ckpt, max_files_per_trigger=1)
     got = rows(out.select("conv_id", "turn"))
