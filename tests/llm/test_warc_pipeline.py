@@ -125,3 +125,20 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [after.count() for _, _, after in _pipeline(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))] == [0] * 5
+
+
+def test_texts_reach_workers_in_bounded_batches(spark):
+    from textlab.llm.common import BATCH_LIMIT, on_workers
+
+    before = spark.conf.get(BATCH_LIMIT, None)
+    try:
+        spark.conf.unset(BATCH_LIMIT)
+        on_workers(spark)
+        big = spark.range(30, numPartitions=1).selectExpr("id", "repeat('x', 1000000) AS text")
+        sizes = big.mapInArrow(lambda batches: (b.select(["id"]).slice(0, 1) for b in batches), "id long").count()
+        assert sizes >= 3  # 30 MB in batches of about 8 MB
+        spark.conf.set(BATCH_LIMIT, "64m")
+        on_workers(spark)
+        assert spark.conf.get(BATCH_LIMIT) == "64m"
+    finally:
+        spark.conf.unset(BATCH_LIMIT) if before is None else spark.conf.set(BATCH_LIMIT, before)
