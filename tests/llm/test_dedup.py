@@ -189,6 +189,22 @@ def test_repeated_bytes_at_slice_edges_and_periods(spark, monkeypatch):
     assert rows(suffix_dedup.repeated_bytes(df), *COLUMNS) == brute_repeats(texts)
 
 
+@pytest.mark.parametrize("hot", [512, 1])
+def test_unique_texts_of_many_pieces_lose_nothing(spark, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    texts = {1: prose(70, 300_000), 2: prose(71, 900)}  # the first is over 1 MB
+    assert len(texts[1]) > 1 << 20
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    whole = [(i, len(t), 0, 0, hashlib.sha256(t.encode()).hexdigest()) for i, t in texts.items()]
+    assert rows(suffix_dedup.repeated_bytes(df), *COLUMNS) == whole
+    assert rows(suffix_dedup.remove_repeats(df.where("doc_id = 2"), size=138), *COLUMNS) == whole[1:]
+
+
+@pytest.mark.parametrize("size", [138, 500, 777])
+def test_repeated_bytes_in_small_pieces(awkward, size):
+    assert rows(suffix_dedup.remove_repeats(awkward, size=size), *COLUMNS) == brute_repeats(texts_of(awkward))
+
+
 def test_repeated_rows_repeat_each_other(spark):
     t = prose(9, 60)
     df = spark.createDataFrame([(1, t), (1, t), (None, t), (2, None)], "doc_id long, text string")

@@ -62,7 +62,7 @@ _MULT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def least_grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences of a document (of at most a slice): anchor hash, anchor
+    """Occurrences of a document (of at most a piece): anchor hash, anchor
     position, first string and number of strings."""
     sums = prefix_sums(data)
     m = len(data) - GRAM + 1
@@ -81,10 +81,21 @@ def least_grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return mix(h[at[first]]), at[first], first, np.diff(np.concatenate([first, [n]]))
 
 
-def _slices(data: np.ndarray):
-    """A document as slices whose strings part those of the document."""
-    for a in range(0, max(len(data) - LENGTH + 1, 0), SLICE):
-        yield a, data[a:a + SLICE + LENGTH - 1]
+def _pieces(data: np.ndarray, size: int):
+    """A document in pieces of at most ``size`` strings (more than ``SPREAD``):
+    the first string of each, its bytes and the occurrences of
+    :func:`least_grams`.  The next piece begins with the occurrence that may
+    cross the edge, so every occurrence is whole and in one piece only."""
+    a, strings = 0, len(data) - LENGTH + 1
+    while a < strings:
+        piece = data[a:a + size + LENGTH - 1]
+        found = least_grams(piece)
+        if a + size >= strings:
+            yield a, piece, found
+            return
+        edge = int(found[2][-1])
+        yield a, piece, tuple(c[:-1] for c in found)
+        a += edge
 
 
 def _documents(batches, column: int = 1):
@@ -101,14 +112,14 @@ def _emit(columns: list[tuple[list, pa.DataType]], names: list[str]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in columns], names=names)
 
 
-def _repeated_anchors(docs: DataFrame) -> DataFrame:
+def _repeated_anchors(docs: DataFrame, size: int) -> DataFrame:
     """(anchor): the anchors that occur at least twice."""
 
     def run(batches):
         held, total = [], 0
         for _, data in _documents(batches):
-            for _, piece in _slices(data):
-                held.append(least_grams(piece)[0])
+            for _, _, found in _pieces(data, size):
+                held.append(found[0])
                 total += len(held[-1])
             if total > 1 << 17:
                 yield _flush(held)
@@ -144,7 +155,7 @@ def _context(sums: np.ndarray, at: np.ndarray, first: np.ndarray, n: np.ndarray)
     return mix(window_hashes(sums, first, first + n - 1 + LENGTH) + (at - first).astype(np.uint64))
 
 
-def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def _occurrences(docs: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
     """(anchor, context, row, first, n) of the occurrences of filtered anchors."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
@@ -153,8 +164,7 @@ def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     def run(batches):
         bits, held, total = shared.value, [[] for _ in names], 0
         for row, data in _documents(batches):
-            for a, piece in _slices(data):
-                anchor, at, first, n = least_grams(piece)
+            for a, piece, (anchor, at, first, n) in _pieces(data, size):
                 keep = _has(bits, anchor)
                 if not keep.any():
                     continue
@@ -179,7 +189,7 @@ def _around(data: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8)
 
 
-def _open_slices(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def _open_slices(docs: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
     """(key, slice, row, base, left_out, right_out, sides) of the slices of
     occurrences of filtered anchors, of equal occurrences in a task only the
     first; ``base`` is the slice's first string, the sides are the bytes before
@@ -191,8 +201,7 @@ def _open_slices(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     def run(batches):
         bits, held, total, known = shared.value, [[] for _ in names], 0, set()
         for row, data in _documents(batches):
-            for a, piece in _slices(data):
-                anchor, at, first, n = least_grams(piece)
+            for a, piece, (anchor, at, first, n) in _pieces(data, size):
                 keep = _has(bits, anchor)
                 if not keep.any():
                     continue
@@ -337,18 +346,20 @@ def _string_keys(batches):
                                              names=["string", "row", "first"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, size: int | None = None) -> DataFrame:
     """(row, begin, stop) of repeated bytes, overlaps included; ``docs`` has
-    columns row and text."""
-    anchors = _repeated_anchors(docs)
-    seen = materialise_table(_occurrences(docs, _bits(anchors, "anchor", ANCHOR_LOG2)), "occurrences")
+    columns row and text.  Tasks take texts in pieces of ``size`` strings
+    (``SLICE`` by default)."""
+    size = size or SLICE  # read here: the workers have a module of their own
+    anchors = _repeated_anchors(docs, size)
+    seen = materialise_table(_occurrences(docs, _bits(anchors, "anchor", ANCHOR_LOG2), size), "occurrences")
     contexts = seen.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("times"))
     open_ = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least")) \
         .where("kinds > 1 and least = 1").select("anchor")
     again = materialise(contexts.where("times > 1").select(F.col("context").alias("known")).distinct())
     whole = seen.select("context", "row", "first", "n").join(again, F.col("context") == F.col("known")).select(
         "row", F.col("first").alias("begin"), (F.col("first") + F.col("n") - 1 + LENGTH).alias("stop"))
-    slices = materialise_table(_open_slices(docs, _bits(open_, "anchor", OPEN_LOG2)), "slices")
+    slices = materialise_table(_open_slices(docs, _bits(open_, "anchor", OPEN_LOG2), size), "slices")
     # slices that meet: all equal, or to be sorted, or too many for a task
     keys = materialise(slices.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("slice").alias("a"), F.max("slice").alias("b"))
                        .where("n > 1").select(F.col("key").alias("met"), F.when(F.col("a") == F.col("b"), 0).when(
@@ -384,12 +395,13 @@ def merge(spans: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept: bool = False,
+                   size: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document,
     with the kept bytes themselves if asked for."""
     names = F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")
     rows = docs.select(*names).withColumn("row", F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    spans = repeated_spans(rows.select("row", "text"))
+    spans = repeated_spans(rows.select("row", "text"), size)
     # runs of a document, merged as far as they go by when they are gathered
     by_row = materialise(spans.groupBy(F.col("row").alias("of")).agg(
         F.collect_list(F.struct("begin", "stop")).alias("spans")))
