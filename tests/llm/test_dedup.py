@@ -109,6 +109,34 @@ def test_tile_links_span_the_same_classes():
                 assert top(a) == top(b) or 100 * o < 80 * (len(sets[a]) + len(sets[b]) - o)
 
 
+@pytest.mark.parametrize("strip", [1, 2, 3])
+def test_tile_links_of_chains_when_the_largest_class_changes(strip, monkeypatch):
+    """Versions of which only neighbours link, in strips of a few rows."""
+    monkeypatch.setattr(ngram_join.Product, "strip", lambda self, rows: strip)
+    step, size = 100, 1000  # 900 of 1100 shingles in common with the next version, 800 of 1200 with the one after
+
+    def classes(versions):
+        sets = [np.arange(v * step, v * step + size) for v in versions]
+        up = list(range(len(sets)))
+
+        def top(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in ngram_join.tile_links(np.full(len(sets), size), np.concatenate(sets)):
+            assert abs(versions[a] - versions[b]) <= 1
+            up[max(top(a), top(b))] = min(top(a), top(b))
+        return len({top(x) for x in up})
+
+    assert classes([0, 3, 1, 2, 2]) == 1
+    r = np.random.default_rng(11)
+    for _ in range(200):
+        versions = r.integers(0, 9, r.integers(2, 14)).tolist()
+        known = sorted(set(versions))
+        assert classes(versions) == 1 + sum(b - a > 1 for a, b in zip(known, known[1:]))
+
+
 def test_survivors_hold_every_linked_row():
     r = np.random.default_rng(5)
     counts = r.integers(1, 9, 1 << 10)

@@ -23,9 +23,10 @@ formed as a whole:
   only: what two rows share there and the size of the smaller rest bound their
   overlap, and rows for which no pair reaches its bound are discarded.
 * The remaining rows are multiplied over all columns.  The first row joins most
-  of a family; after that only rows outside the largest class so far are
-  multiplied with the rest, because only they can still add a link between
-  classes.  What leaves a tile is a spanning set of links, never all pairs.
+  of a family; after that only rows outside the largest class of the moment are
+  multiplied with the rest, until every row outside it has been: then no pair
+  of two classes is left untested.  What leaves a tile is a spanning set of
+  links, never all pairs.
 
 Components then come from joins over the links (:mod:`.components`), and every
 document gets the smallest doc_id that it reaches.
@@ -309,16 +310,17 @@ def tile_links(sizes: np.ndarray, grams: np.ndarray, percent: int = PERCENT) ->
                 links.append((r, c))
 
     multiply(np.array([0]))
-    left = np.arange(1, m)
-    while len(left):
+    done = np.arange(m) == 0
+    while True:
         classes = tops()
-        # rows of the largest class meet all others from the others' side
-        left = left[classes[left] != np.bincount(classes, minlength=m).argmax()]
-        if len(left):
-            take = product.strip(left)
-            multiply(left[:take])
-            left = left[take:]
-    return links
+        # rows of the largest class meet all others from the others' side; they
+        # are looked at again as soon as another class is the largest
+        left = np.flatnonzero(~done & (classes != np.bincount(classes, minlength=m).argmax()))
+        if not len(left):
+            return links
+        rows = left[:product.strip(left)]
+        multiply(rows)
+        done[rows] = True
 
 
 def tile_survivors(sizes: np.ndarray, leads: np.ndarray, last: np.ndarray, grams: np.ndarray,
