@@ -29,10 +29,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
+    """Of equal texts one row with the largest doc_id."""
     on_workers(spark)
     df, back = aside(docs, *exact_dedup.OUTPUT)
-    return back(exact_dedup.exact_dedup(exact_dedup.with_digest(df)).where("kept"))
+    return back(exact_dedup.one_per_text(exact_dedup.with_digest(df)))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

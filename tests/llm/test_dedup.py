@@ -168,6 +168,22 @@ def test_one_per_component_keeps_columns(awkward):
     assert {r.doc_id for r in out.collect()} == kept
 
 
+def test_dedup_stages_keep_one_row_of_a_group(spark):
+    """Rows repeated whole, ids on two texts and near copies without ids."""
+    import corpus_pipeline
+
+    a, b, c, d = prose(80, 60), prose(81, 60), prose(82, 60), prose(83, 60)
+    data = [(1, a), (1, a), (1, a.upper()), (2, a), (2, a), (None, b), (None, b), (5, c), (6, c + " x"), (6, d), (None, b + " y"), (None, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    exact = corpus_pipeline.without_exact_copies(spark, df, "")
+    left = [(2, a), (None, b), (5, c), (6, c + " x"), (6, d), (None, b + " y"), (None, "")]
+    assert sorted(map(tuple, exact.collect()), key=str) == sorted(left, key=str)
+    for docs, a_id in ((exact, 2), (df, 1)):
+        got = [tuple(r) for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()]
+        assert sorted((i, t) for i, t in got if i) == sorted([(a_id, next(t for i, t in got if i == a_id)), (5, c), (6, d)])
+        assert len([t for i, t in got if i is None and t in (b, b + " y")]) == 1 and (None, "") in got and len(got) == 5
+
+
 def test_suffix_arrays_equal_sorting():
     r = np.random.default_rng(1)
     for _ in range(150):

@@ -9,7 +9,7 @@ import uuid
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -75,6 +75,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def first_rows(df: DataFrame, group, order) -> DataFrame:
+    """One row of each group, the first by ``order``; Spark limits the groups
+    before the shuffle."""
+    first = df.withColumn("__group", group).withColumn(
+        "__nth", F.row_number().over(Window.partitionBy("__group").orderBy(order)))
+    return first.where("__nth = 1").drop("__group", "__nth")
+
+
 def aside(df: DataFrame, *names: str):
     """``df`` with the columns that clash with ``names`` put under other names,
     and a function that gives a result the columns of ``df`` again."""

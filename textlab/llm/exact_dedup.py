@@ -9,9 +9,9 @@ them back is a plain sort-merge join whose hot partitions Spark splits.
 
 Cases: a null text counts as empty (all empty texts are one group); texts are
 equal when identical after lower-casing A-Z only; null ids sort below every
-other id; rows that repeat an id get the same decision as that id; an empty
-table gives an empty result; input columns named like an output column are
-replaced.
+other id; rows that repeat an id get the same decision as that id
+(``one_per_text`` keeps one of them); an empty table gives an empty result;
+input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import ascii_lower, without
+from .common import ascii_lower, first_rows, without
 
 OUTPUT = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -35,6 +35,20 @@ def with_digest(df: DataFrame, text: str = "text") -> DataFrame:
 def exact_dedup(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``df`` (which has ``text_sha256``) plus ``keep_id`` (the largest
     id of the group), ``group_size`` and ``kept``."""
+    alone, checked = _decided(df, key)
+    return alone.unionAll(checked)
+
+
+def one_per_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group, as :func:`exact_dedup` gives it: of the rows that
+    have the largest id, the one whose text sorts first."""
+    alone, checked = _decided(df, key)
+    # another expression than the join's, so that its hot partitions still split
+    return alone.unionAll(first_rows(checked.where("kept"), F.reverse("text_sha256"), F.col(f"`{text}`")))
+
+
+def _decided(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that are certainly alone, and the others with their groups."""
     df = without(df, *OUTPUT[:3])
     names = [F.col(f"`{c}`") for c in df.columns]
     hashed = df.withColumn("__h", F.xxhash64("text_sha256"))
@@ -48,4 +62,4 @@ def exact_dedup(df: DataFrame, key: str = "doc_id") -> DataFrame:
         F.max(f"`{key}`").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     checked = again.join(groups, F.col("text_sha256") == F.col("__digest")).select(
         *names, "keep_id", "group_size", F.col(f"`{key}`").eqNullSafe(F.col("keep_id")).alias("kept"))
-    return alone.unionAll(checked)
+    return alone, checked

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .arrays import WHITE, lists, shingle_sets
-from .common import drop_kept, materialise
+from .common import drop_kept, first_rows, materialise
 from .components import components
 
 WIDTH = 5
@@ -103,7 +103,7 @@ def _describe(docs: DataFrame) -> DataFrame:
             some = [b for b in range(SKETCH_BLOCKS) if blocks[b].any()]
             none = pa.nulls(len(some))
             yield pa.RecordBatch.from_arrays(
-                [none.cast(key_type), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(some, pa.int32()),
+                [pa.nulls(len(some), key_type), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(some, pa.int32()),
                  pa.array([zlib.compress(blocks[b].tobytes(), 1) for b in some], pa.binary())],
                 names=["doc_id", "n", "node", "block", "counts"])
 
@@ -443,8 +443,18 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
 
 def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without those that link to one of smaller id.  Only rows
-    that a Bloom filter takes for dropped shuffle."""
-    found = materialise(ngram_components(docs, key, text))
+    """One row of each component: the one of smallest id, null ids last.  Rows
+    are told apart by their id and a 64-bit hash of their text, and of rows equal
+    in both one stays; rows without words all stay.  Only rows that a Bloom
+    filter takes for dropped or repeated shuffle."""
+    own = F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("id"), F.xxhash64(f"`{text}`").alias("text"))
+    rows = docs.withColumn("__row", own)
+    found = materialise(ngram_components(rows, "__row", text))
     gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    return bloom.drop_rows(docs, key, gone)
+    left = bloom.drop_rows(rows, "__row", gone)
+    again = materialise(found.where((F.col("component_id") == F.col("doc_id")) & (F.col("n_shingles") > 0))
+                        .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if not again.isEmpty():
+        once = rows.join(again.select(F.col("doc_id").alias("__again")), F.col("__row") == F.col("__again"), "left_semi")
+        left = bloom.drop_rows(left, "__row", again).unionAll(first_rows(once, F.col("__row"), F.col(f"`{text}`")))
+    return left.drop("__row")
