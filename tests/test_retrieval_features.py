@@ -1,11 +1,13 @@
 import math
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textlab.operators import features, retrieval
+from textlab.operators import block_max, features, retrieval
 
 POOL = [
     (1, "my package was not delivered yet"),
@@ -84,7 +86,7 @@ def brute(k, queries=QUERIES, exclude_self=False):
     return out
 
 
-STRATEGIES = [("broadcast", None), ("salted", None), ("tiered", 1), ("tiered", 2), ("tiered", 100)]
+STRATEGIES = [("blocks", None), ("broadcast", None), ("salted", None), ("tiered", 1), ("tiered", 2), ("tiered", 100)]
 
 
 @pytest.mark.parametrize("strategy,common_df", STRATEGIES)
@@ -128,3 +130,86 @@ def test_fallback_first(spark):
     m = retrieval.retrieve(q, "qid", "text", pool, "pid", "text", k=1)
     fb = {r["qid"]: r["pid"] for r in retrieval.with_fallback(m, q, "qid", pool, "pid", "first").collect()}
     assert fb[13] == 1
+
+
+# -- block index ---------------------------------------------------------------
+
+
+def sparse_rows(seed, n, terms=60, most=12):
+    """Unit vectors with a few very common terms, some equal vectors and some empty."""
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        if i > 3 and r.random() < 0.1:
+            out.append((i, *out[r.randrange(i)][1:]))
+            continue
+        t = sorted({min(int(r.expovariate(0.15)), terms - 1) for _ in range(r.randint(0, most))})
+        w = [r.random() + 0.01 for _ in t]
+        norm = math.sqrt(sum(x * x for x in w)) or 1.0
+        out.append((i, t, [x / norm for x in w]))
+    return out
+
+
+def plain_top(query, pool, k, skip):
+    mine = dict(zip(query[1], query[2]))
+    found = [(-round(s, 9), p) for p, t, w in pool if p != skip
+             and (s := sum(mine.get(a, 0.0) * b for a, b in zip(t, w))) > 0]
+    return [p for _, p in sorted(found)[:k]]
+
+
+@pytest.mark.parametrize("whole,block", [(1 << 15, 64), (0, 64), (0, 1), (0, 3)])
+def test_block_search_equals_brute_force(whole, block, monkeypatch):
+    monkeypatch.setattr(block_max, "WHOLE", whole)
+    monkeypatch.setattr(block_max, "BLOCK", block)
+    for seed in range(4):
+        pool = sparse_rows(seed, 300)
+        size = np.array([len(t) for _, t, _ in pool])
+        shard = block_max.Shard(size, np.array([x for _, t, _ in pool for x in t]), np.array([x for _, _, w in pool for x in w]))
+        for query in pool[::5] + [(-1, [3, 10_000], [0.6, 0.8]), (-1, [10_000], [1.0])]:
+            for k in (1, 4):
+                docs, scores, _ = block_max.search(shard, np.array(query[1], np.int64), np.array(query[2]), k, query[0])
+                assert docs.tolist() == plain_top(query, pool, k, query[0])
+                assert list(np.round(scores, 9)) == sorted(np.round(scores, 9), reverse=True)
+
+
+def test_blocks_are_skipped(monkeypatch):
+    monkeypatch.setattr(block_max, "WHOLE", 0)
+    r = random.Random(4)
+    pool = []
+    for i in range(20_000):  # one term in every document, two rare ones in each
+        w = np.array([0.05 + 0.2 * r.random(), r.random() + 0.5, r.random() + 0.5])
+        pool.append((i, [0, 1 + i % 400, 401 + (i * 7) % 997], w / np.sqrt(w @ w)))
+    shard = block_max.Shard(np.full(len(pool), 3), np.array([x for _, t, _ in pool for x in t]),
+                            np.concatenate([w for _, _, w in pool]))
+    for query in pool[::2500]:
+        docs, _, opened = block_max.search(shard, np.array(query[1]), query[2], 2, query[0])
+        assert docs.tolist() == plain_top(query, pool, 2, query[0])
+        assert opened < 2_000  # of more than 20,000 postings
+
+
+def test_bound_holds_for_every_vector_below_the_cut_offs():
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        w, cut = r.random(6) + 0.01, r.random(6) * r.choice([0.2, 1.0])
+        top = block_max.bound(w, cut, 1.0)
+        for _ in range(50):
+            x = r.random(6) * cut
+            x = x / max(1.0, np.sqrt(x @ x))
+            assert w @ x <= top + 1e-12
+        best = np.minimum(cut, w * 1e3)
+        assert top <= w @ best + 1e-12
+
+
+def test_tiles_of_any_size_give_the_same_rows(spark):
+    rows = sparse_rows(9, 120)
+    p = spark.createDataFrame(rows, "p long, terms array<long>, weights array<double>").where("size(terms) > 0")
+    q = p.select(F.col("p").alias("q"), F.when(F.col("p") % 2 == 0, F.col("p")).alias("self"), "terms", "weights")
+    for shard, chunk in ((1 << 20, 1 << 20), (100, 1 << 20), (90, 70)):
+        found = block_max.top_k(q, p, 2, shard_entries=shard, chunk_entries=chunk, counts=True)
+        got = {}
+        for r in retrieval.top_k(found, "q", "p", 2).orderBy("q", "rank").collect():
+            assert r.opened > 0
+            got.setdefault(r.q, []).append(r.p)
+        want = {x[0]: plain_top(x, rows, 2, x[0] if x[0] % 2 == 0 else None) for x in rows}
+        assert got == {k: v for k, v in want.items() if v}
+    assert block_max.top_k(q.limit(0), p, 2).count() == block_max.top_k(q, p.limit(0), 2).count() == 0

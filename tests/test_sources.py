@@ -1,12 +1,14 @@
+import csv
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import types as T
 
 from textlab.functions import patterns as P
 from textlab.operators import metrics
-from textlab.sources import io
+from textlab.sources import io, split_csv
 
 
 def write(path, text):
@@ -85,3 +87,63 @@ def test_csv_columns_are_found_by_header(spark, tmp_path):
     assert [tuple(r) for r in io.read_csv(spark, str(path), schema).collect()] == [(2, 1), (3, None)]
     with pytest.raises(ValueError):
         io.read_csv(spark, str(path), T.StructType([T.StructField("c", T.LongType())]))
+
+
+# -- byte ranges of quoted CSV ---------------------------------------------------
+
+
+@pytest.fixture
+def small_ranges(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    spark.conf.set(names[1], "1")
+    yield lambda size: spark.conf.set(names[0], str(size))
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def awkward_csv(path, rows, **style):
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        w = csv.writer(f, **style)
+        w.writerow(["id", "text, long", "lang"])
+        w.writerows(rows)
+
+
+@pytest.mark.parametrize("size", [150, 1000, 1 << 20])
+def test_ranges_cut_records_anywhere(spark, tmp_path, small_ranges, size):
+    r = random.Random(2)
+    rows = [(str(i), "".join(r.choice(["a", "é", ",", '"', "\n", "\r\n", " ", "日", '""', "\r"])
+                             for _ in range(r.choice([0, 1, 5, 40, 300]))), r.choice(["", "x", "NA"])) for i in range(50)]
+    awkward_csv(tmp_path / "a.csv", rows, lineterminator="\n")
+    awkward_csv(tmp_path / "b.csv", [("1" + x[0].zfill(3), *x[1:]) for x in rows], lineterminator="\r\n", quoting=csv.QUOTE_ALL)
+    small_ranges(size)
+    df = split_csv.read_strings(spark, str(tmp_path))
+    assert df.columns == ["id", "text, long", "lang"]
+    got = {x[0]: (x[1] or "", x[2] or "") for x in df.collect()}
+    want = {x[0]: x[1:] for x in rows} | {"1" + x[0].zfill(3): x[1:] for x in rows}
+    assert got == want
+    if size < 1 << 20:
+        assert split_csv._lines(spark, str(tmp_path)).rdd.getNumPartitions() > 8
+
+
+def test_one_record_over_many_ranges(spark, tmp_path, small_ranges):
+    text = "\n".join(f"line {i} \"quoted\", and more" for i in range(200))
+    awkward_csv(tmp_path / "a.csv", [("1", "x", ""), ("2", text, "y"), ("3", "z", "")], lineterminator="\n")
+    small_ranges(200)
+    got = {x[0]: x[1] for x in split_csv.read_strings(spark, str(tmp_path)).collect()}
+    assert got == {"1": "x", "2": text, "3": "z"}
+    assert [r.record for r in split_csv.records(spark, str(tmp_path)).orderBy("record").collect()] == [0, 1, 2, 3]
+
+
+def test_csv_without_rows_with_blank_lines_and_unclosed(spark, tmp_path):
+    (tmp_path / "h.csv").write_text("a,b\n")
+    df = split_csv.read_strings(spark, str(tmp_path / "h.csv"))
+    assert df.columns == ["a", "b"] and df.count() == 0
+    (tmp_path / "l.csv").write_text('a,b\n\n1,"x\n\ny"\r\n\r\n2,\n')
+    assert sorted(map(tuple, split_csv.read_strings(spark, str(tmp_path / "l.csv")).collect())) == [("1", "x\n\ny"), ("2", None)]
+    (tmp_path / "u.csv").write_text('a,b\n1,"never closed\n2,x\n')
+    with pytest.raises(ValueError, match="inside a quoted field"):
+        split_csv.read_strings(spark, str(tmp_path / "u.csv"))
+    (tmp_path / "o.csv").write_text("b,a\n1,2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        split_csv.read_strings(spark, [str(tmp_path / "h.csv"), str(tmp_path / "o.csv")])

@@ -6,15 +6,18 @@ Pool vectors are fitted on the pool (vocabulary, idf); queries are mapped
 with the pool's vocabulary and idf and L2-normalised over in-vocabulary terms,
 exactly as a fitted vectorizer's ``transform`` does.
 
-Two physical plans, chosen by a size check on the query side:
+Physical plans:
 
+* **blocks** (the default): both vector tables in tiles, an impact-ordered
+  block index inside each (:mod:`textlab.operators.block_max`).  No pair sums
+  are shuffled, whatever the sizes of the two sides.
 * **broadcast queries** (query term rows <= ``broadcast_rows``): the pool's
   term rows stay partitioned by pool id, each task joins its pool documents
   with the broadcast query index, sums the products per (query, pool doc)
   inside the task (the aggregation needs no shuffle because the input is
   already clustered by pool id) and keeps only its local top-k per query
   (partial ``WindowGroupLimit``) before the single shuffle by query id.
-* **tiered** (large query side, the default there): terms are split at a
+* **tiered**: terms are split at a
   document-frequency threshold into rare and common.  Candidate pairs come
   from rare terms only (each rare posting list is short, so this work is
   bounded by threshold × postings); their common-term part is then added
@@ -44,7 +47,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import features
+from . import block_max, features
+from .tables import sequential_ids
 
 BROADCAST_ROWS = 2_000_000
 
@@ -136,6 +140,44 @@ def tiered_top_k(qv: DataFrame, pv: DataFrame, pool_df: DataFrame, qkey: str, pk
     return out.select(F.col("_q").alias(qkey), "rank", F.col("_p").alias(pkey), "score")
 
 
+def block_max_top_k(queries: DataFrame, qkey: str, qtext: str, pool: DataFrame, pkey: str, ptext: str, k: int,
+                    exclude_self: bool = False, ngram_max: int = 2, **vocabulary) -> DataFrame:
+    """Exact top-k per query through the block index of :mod:`block_max`.
+
+    Keys and terms become dense longs once, in key order, so that neither
+    strings nor pair sums are shuffled; keys come back with the ``k`` rows of a
+    query.  Returns (qkey, rank, pkey, score)."""
+    from ..session import checkpoint_root
+
+    checkpoint_root(queries.sparkSession)
+    pool = sequential_ids(pool.select(pkey, ptext), [pkey], "_p", start=0).checkpoint(eager=True)
+    asked = sequential_ids(queries.select(qkey, F.col(qtext).alias("_text")), [qkey], "_q", start=0)
+    if exclude_self:
+        asked = asked.join(pool.select(F.col(pkey).alias(qkey), F.col("_p").alias("_self")), qkey, "left")
+    else:
+        asked = asked.withColumn("_self", F.lit(None).cast("long"))
+    asked = asked.checkpoint(eager=True)
+    pv, vocab = features.tfidf(pool, "_p", ptext, ngram_max, **vocabulary)
+    numbers = sequential_ids(vocab.terms, ["term"], "_t", bounded=vocab.bounded).select("term", "idf", "_t")
+    numbers = numbers.checkpoint(eager=True)
+    vocab = features.Vocabulary(terms=numbers.select("term", "idf"), n_docs=vocab.n_docs, bounded=vocab.bounded)
+    numbers = F.broadcast(numbers) if vocab.bounded else numbers
+
+    def vectors(entries, key):
+        rows = block_max.vectors(entries.join(numbers.select("term", "_t"), "term"), key, "_t", "weight")
+        return rows.checkpoint(eager=True)
+
+    tf = features.term_counts(pool, "_p", ptext, ngram_max)
+    p = vectors(features.transform(tf, vocab, "_p"), "_p").toDF("p", "terms", "weights")
+    q = vectors(query_vectors(asked.withColumnRenamed("_text", qtext), "_q", qtext, vocab, ngram_max), "_q")
+    q = q.join(asked.select("_q", "_self"), "_q").select(
+        F.col("_q").alias("q"), F.col("_self").alias("self"), F.col("_terms").alias("terms"), F.col("_weights").alias("weights"))
+    best = top_k(block_max.top_k(q, p, k), "q", "p", k)
+    return (best.join(asked.select(F.col("_q").alias("q"), qkey), "q")
+            .join(pool.select(F.col("_p").alias("p"), F.col(pkey).alias("_pkey")), "p")
+            .select(qkey, "rank", F.col("_pkey").alias(pkey), "score"))
+
+
 def retrieve(queries: DataFrame, qkey: str, qtext: str, pool: DataFrame, pkey: str, ptext: str,
              k: int = 1, max_features: int | None = 5000, min_df: int = 1,
              max_df: float | None = None, exclude_self: bool = False,
@@ -143,20 +185,20 @@ def retrieve(queries: DataFrame, qkey: str, qtext: str, pool: DataFrame, pkey: s
              common_df: int | None = None) -> DataFrame:
     """Top-k pool documents for each query: (qkey, rank, pkey, score).
 
-    ``strategy``: 'auto' (broadcast when the query side's term rows fit under
-    ``broadcast_rows``, otherwise 'tiered'), 'broadcast', 'tiered' or
-    'salted'.  ``common_df``: document-frequency threshold of the tiered plan
+    ``strategy``: 'blocks' (the default, also as 'auto'), 'broadcast',
+    'tiered' or 'salted'.  ``common_df``: document-frequency threshold of the tiered plan
     (default: the larger of 100 and half the pool size, i.e. only the nearly
     ubiquitous terms are "common"; on the test corpus this settles 94 % of
     all-pairs queries by the bound).
     ``exclude_self`` drops pool documents whose key equals the query key
     (the query table was drawn from the pool).
     """
+    if strategy in ("auto", "blocks"):
+        return block_max_top_k(queries, qkey, qtext, pool, pkey, ptext, k, exclude_self, min_df=min_df, max_df=max_df,
+                               max_features=max_features)
     pv, vocab = features.tfidf(pool, pkey, ptext, 2, min_df, max_df, max_features)
     qv = query_vectors(queries, qkey, qtext, vocab)
     pool_df = vocab.terms.select("term", "df")
-    if strategy == "auto":
-        strategy = "broadcast" if qv.count() <= broadcast_rows else "tiered"
     if strategy == "tiered":
         threshold = common_df if common_df is not None else max(100, vocab.n_docs // 2)
         return tiered_top_k(qv, pv, pool_df, qkey, pkey, k, threshold, exclude_self, broadcast_rows)

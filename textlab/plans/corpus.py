@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions import text as TX
-from ..operators import profile, rules, sampling, tables
+from ..operators import pairing, profile, rules, sampling, tables
+from ..session import shared_path
+from ..sources import io
 from . import lexicons as LX
 from .common import load, r6
 
@@ -16,6 +19,56 @@ def _clean_docs(spark, sf_dir, *extra):
     return docs.select("doc_id", TX.clean_text("text").alias("c"), *extra)
 
 
+DOCUMENTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
+                          T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
+                          T.StructField("n_chars", T.LongType())])
+
+
+def csv_documents_q(spark, sf_dir):
+    """The documents written as quoted CSV and read back: line breaks, quotes
+    and commas stay, blank fields are null, an unknown language is empty."""
+    folder = shared_path(spark, "csv-documents")
+    load(spark, sf_dir, "documents").write.options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+    back = io.fill_blank(io.read_csv(spark, folder, DOCUMENTS), ["lang"])
+    return back.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("length"),
+                       "lang", "source", "n_chars")
+
+
+def raw_message_pairs_q(spark, sf_dir):
+    """Conversations as a raw message export, where ids are text and a reply
+    names its message by a padded id and a message names ``nan``; read back, ids
+    cleaned, and paired."""
+    conv = load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    key = F.concat("conv_id", F.lpad(F.col("turn").cast("string"), 6, "0"))
+    before = F.concat("conv_id", F.lpad((F.col("turn") - 1).cast("string"), 6, "0"), F.lit("  "))
+    user = F.col("role") == "user"
+    folder = shared_path(spark, "raw-messages")
+    conv.select(F.concat(F.lit(" "), key).alias("tweet_id"), F.col("role").alias("author_id"), user.alias("inbound"),
+                F.lit(None).cast("string").alias("created_at"), "text", F.lit("").alias("response_tweet_id"),
+                F.when(user, F.lit("nan")).otherwise(before).alias("in_response_to_tweet_id")
+                ).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+    raw = io.read_csv(spark, folder, io.RAW_MESSAGES)
+    pairs = pairing.reply_pairs(
+        raw, is_message=F.col("inbound"), is_reply=~F.col("inbound"), message_key=[TX.normalize_id("tweet_id")],
+        reply_to_key=[TX.normalize_id("in_response_to_tweet_id")], message_cols={"customer_msg": F.col("text")},
+        reply_cols={"brand_reply": F.col("text")}, key_names=["message_id"])
+    return pairs.select("message_id", F.md5("customer_msg").alias("customer_md5"), F.md5("brand_reply").alias("reply_md5"))
+
+
+def messy_scores_q(spark, sf_dir):
+    """Labels as a hand-edited score sheet (padded headers and fields, a last
+    empty column, unusable numbers), read back without the unusable rows."""
+    labels = load(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    score = F.when(F.col("toxic") == 1, F.lit("n/a")).otherwise(F.concat(F.col("quality").cast("string"), F.lit(".5")))
+    folder = shared_path(spark, "messy-scores")
+    labels.select(F.col("doc_id").alias("doc_id "), F.concat(F.lit(" "), score, F.lit(" ")).alias(" score "),
+                  F.concat(F.lit(" "), F.col("toxic").cast("string")).alias("toxic"), F.lit(None).cast("string").alias(" ")
+                  ).write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+    read = io.read_messy_scores(spark, folder, ["score"])
+    return read.select(F.col("doc_id").cast("long").alias("doc_id"), "score", F.col("toxic").cast("int").alias("toxic"))
+
+
 def text_profile_q(spark, sf_dir):
     d = _clean_docs(spark, sf_dir, "lang").withColumn("len", F.length("c"))
     prof = profile.numeric_profile(d, "len", ["lang"], extra={

@@ -784,3 +784,22 @@ FROM p"""}
 
 
 SQL.update(_sql_workbook())
+
+
+def _sql_sources() -> dict[str, str]:
+    blank = "CASE WHEN trim({0}, ' ') = '' THEN NULL ELSE {0} END"
+    key = "conv_id::VARCHAR || lpad(turn::VARCHAR, 6, '0')"
+    return {
+        "csv_documents": f"""
+SELECT doc_id, md5({blank.format('text')}) AS text_md5, length({blank.format('text')})::BIGINT AS length,
+       coalesce({blank.format('lang')}, '') AS lang, {blank.format('source')} AS source, n_chars FROM documents""",
+        "raw_message_pairs": f"""
+SELECT {key.replace('conv_id', 'm.conv_id').replace('turn', 'm.turn')} AS message_id,
+       md5({blank.format('m.text')}) AS customer_md5, md5({blank.format('r.text')}) AS reply_md5
+FROM conversations m JOIN conversations r ON r.conv_id = m.conv_id AND r.turn = m.turn + 1
+WHERE m.role = 'user' AND r.role <> 'user'""",
+        "messy_scores": "SELECT doc_id, quality + 0.5::DOUBLE AS score, toxic::INTEGER AS toxic FROM labels WHERE toxic <> 1",
+    }
+
+
+SQL.update(_sql_sources())

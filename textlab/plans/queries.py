@@ -181,6 +181,9 @@ QUERIES = {
     "eval_metrics": eval_metrics_q,
     "per_class_metrics": per_class_metrics_q,
     "confusion_matrix": confusion_matrix_q,
+    "csv_documents": corpus.csv_documents_q,
+    "raw_message_pairs": corpus.raw_message_pairs_q,
+    "messy_scores": corpus.messy_scores_q,
     "text_profile": corpus.text_profile_q,
     "length_histogram": corpus.length_histogram_q,
     "value_counts": corpus.value_counts_q,

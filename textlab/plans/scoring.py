@@ -76,8 +76,7 @@ def retrieve_top3_prompt_q(spark, sf_dir):
 
 def retrieve_all_pairs_q(spark, sf_dir):
     """Every reply pair's message against all other pairs (self excluded):
-    the case where both sides grow with the data, so the tiered exact plan
-    (rare-term candidates + upper bound + exact fallback) is used."""
+    the case where both sides grow with the data."""
     from ..session import checkpoint_root
 
     checkpoint_root(spark)
@@ -85,7 +84,7 @@ def retrieve_all_pairs_q(spark, sf_dir):
     queries = pool.select(F.col("pair_key").alias("q_key"), "customer_msg_clean")
     m = retrieval.retrieve(queries, "q_key", "customer_msg_clean", pool, "pair_key",
                            "customer_msg_clean", k=1, max_features=5000, min_df=1,
-                           exclude_self=True, strategy="tiered")
+                           exclude_self=True)
     keys = pool.select("pair_key", "conv_id", "turn")
     out = (m.join(keys.withColumnRenamed("pair_key", "q_key"), "q_key")
            .select(F.col("conv_id").alias("q_conv_id"), F.col("turn").alias("q_turn"), "pair_key", "score")

@@ -11,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import split_csv
+
+#: blanks beside separators do not belong to the field
+STRIP = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+
 RAW_MESSAGES = T.StructType([
     T.StructField("tweet_id", T.StringType(), False),
     T.StructField("author_id", T.StringType()),
@@ -51,21 +56,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
              messy: bool = False) -> DataFrame:
     """CSV with quoted multi-line fields, declared schema and the null policy.
 
-    Columns are found by their header, whatever their order in the file; a
+    One file is read by many tasks (:mod:`textlab.sources.split_csv`).  Columns are found by their header, whatever their order in the file; a
     declared column that the file lacks is an error, others are not read.
     ``messy=True`` also strips blanks after separators.  Fields that fail to
     parse become null.
     """
-    reader = (spark.read
-              .option("header", True)
-              .option("multiLine", True)
-              .option("escape", '"')
-              .option("nullValue", "")
-              .option("mode", "PERMISSIVE"))
-    if messy:
-        reader = (reader.option("ignoreLeadingWhiteSpace", True)
-                  .option("ignoreTrailingWhiteSpace", True))
-    raw = reader.csv(path)
+    raw = split_csv.read_strings(spark, path, STRIP if messy else None)
     by_name = {c.strip(): c for c in raw.columns}
     missing = [f.name for f in schema.fields if f.name not in by_name]
     if missing:
@@ -78,9 +74,7 @@ def read_messy_scores(spark: SparkSession, path: str, numeric: list[str]) -> Dat
     """Read a hand-edited score sheet: padded headers, blanks after commas,
     bad numbers.  Columns are read as text, names stripped, numbers parsed with
     ``try_cast`` and rows missing any numeric value dropped."""
-    raw = (spark.read.option("header", True).option("multiLine", True)
-           .option("escape", '"').option("ignoreLeadingWhiteSpace", True)
-           .option("ignoreTrailingWhiteSpace", True).csv(path))
+    raw = split_csv.read_strings(spark, path, STRIP)
     raw = raw.toDF(*[c.strip() for c in raw.columns])
     for c in numeric:
         raw = raw.withColumn(c, F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)"))
