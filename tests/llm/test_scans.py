@@ -78,13 +78,24 @@ def test_best_fit_decreasing_takes_the_tightest_window():
 
 def test_word_ids_equal_the_tokenizer(word_bpe):
     r = random.Random(5)
-    bits = ["the", "Don't", "x.", "3rd", "ÉTÉ", "ﬁ", "İi", "Σας", "é", "​", "<|endoftext|>", "a b", "\x1c", "😀", ",,", "o'll", "q" * 300, "…"]
+    bits = ["the", "Don't", "x.", "3rd", "ÉTÉ", "ﬁ", "İi", "Σας", "é", "​", "<|endoftext|>", "a b", "\x1c", "😀", ",,", "o'll", "q" * 300, "…", "İKİNCİ", "BİRİNCİ.",
+            "\u0915\u0958", "\u0924\u0915\u093c", "\u05e9\u05c1", "\ufb2a,", "\u212b", "\u0344", "İ.,", "ŉ", "ẞ"]
     words = packing.WordIds(tokenizer_path(WORD_BPE), limit=40)
-    for _ in range(50):
+    for _ in range(700):
         t = "".join(r.choice(bits) + r.choice(["", " ", "\n", "\t ", ",", ". "]) for _ in range(30))
         assert np.frombuffer(words.texts([t])[0], "<u4").tolist() == word_bpe.encode(t, add_special_tokens=False).ids
 
 
+def test_any_letters_before_a_mark_equal_the_tokenizer(word_bpe):
+    r, words = random.Random(6), packing.WordIds(tokenizer_path(WORD_BPE))
+    letters = [chr(c) for c in range(0xAA, 0x30000) if chr(c).isalpha() and (c < 0x3000 or c % 40 == 0)]
+    texts = [" ".join(r.choice(letters) + r.choice(["", "a", "\u0307", "\u093c"]) + r.choice(",.") for _ in range(3)) for _ in range(20000)]
+    for a in range(0, len(texts), 500):
+        some = texts[a:a + 500]
+        want = [e.ids for e in word_bpe.encode_batch(some, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in words.texts(some)] == want
+
+
 def test_packing_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "a b"), (3, "a b"), (3, "a b")], "doc_id long, text string")
     out = packing.pack_documents(df, tokenizer_path(WORD_BPE)).collect()

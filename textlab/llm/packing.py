@@ -66,7 +66,7 @@ class WordIds(dict):
         for s in stretches:
             if s.isalpha():
                 words.append(s)
-            elif (core := s.rstrip(_TAIL)).isalpha():
+            elif (core := s.rstrip(_TAIL)).isalpha() and self.ends_in_letter(core):
                 tailed.append((s, core))
             else:
                 other.append(s)
@@ -88,6 +88,11 @@ class WordIds(dict):
         for s, core in tailed:
             self[s] = self[core] + self[s[len(core):]]
 
+    def ends_in_letter(self, core: str) -> bool:
+        """Whether the tokenizer's form of the letters (lower case, composed) ends
+        in a letter; a mark at its end would be one stretch with the tail."""
+        return core.isascii() or self.tokenizer.normalizer.normalize_str(core)[-1:].isalpha()
+
     def encode_each(self, stretches: list[str]) -> None:
         for at in range(0, len(stretches), 1000):
             some = stretches[at:at + 1000]
