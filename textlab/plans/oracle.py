@@ -803,3 +803,4 @@ WHERE m.role = 'user' AND r.role <> 'user'""",
 
 
 SQL.update(_sql_sources())
+SQL["stream_reply_pairs"] = SQL["reply_pairs"]

@@ -231,6 +231,7 @@ QUERIES = {
     "cv_accuracy": scoring.cv_accuracy_q,
     "scoring_job": scoring.scoring_job_q,
     "evaluate_job": scoring.evaluate_job_q,
+    "stream_reply_pairs": scoring.stream_reply_pairs_q,
     "stream_scoring": scoring.stream_scoring_q,
 }
 

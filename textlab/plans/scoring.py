@@ -10,6 +10,7 @@ from ..functions import text as TX
 from ..operators import classify, features, retrieval, rules
 from ..operators.tables import combine_rows
 from ..session import shared_path
+from ..streaming import pairing as stream_pairing
 from ..streaming import scoring as stream
 from . import lexicons as LX
 from .common import load, r6
@@ -187,11 +188,24 @@ def _stream_score(batch: DataFrame) -> DataFrame:
                     rules.consistent_reason("escalation", "reason", "intent").alias("reason"))
 
 
+def _event_time():
+    """Conversations carry no clock; one starts a minute, one turn a second."""
+    return F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 60 + F.col("turn"))
+
+
+def stream_reply_pairs_q(spark, sf_dir):
+    """Reply pairs of the conversations consumed as a file stream."""
+    run = stream_pairing.run_available(spark, sf_dir, "conversations.parquet", stream.CONVERSATION_SCHEMA, _event_time(),
+                                       shared_path(spark, "pairs-sink"), shared_path(spark, "pairs-ckpt"))
+    return run.pairs.select("conv_id", "turn", "customer_msg", "brand_reply")
+
+
 def stream_scoring_q(spark, sf_dir):
     """Conversations consumed as a file stream (every file available now),
     scored per message, exactly-once by (conv_id, turn)."""
     sink = shared_path(spark, "stream-sink")
     ckpt = shared_path(spark, "stream-ckpt")
     out = stream.run_available(spark, sf_dir, "conversations.parquet", stream.CONVERSATION_SCHEMA,
-                               _stream_score, ["conv_id", "turn"], sink, ckpt, wanted="role = 'user'")
+                               _stream_score, ["conv_id", "turn"], sink, ckpt, wanted="role = 'user'",
+                               event_time=_event_time())
     return out.select("conv_id", "turn", "intent", "escalation", "reason")

@@ -4,9 +4,9 @@ New message rows arrive as files; each micro-batch is cleaned, labelled by
 the lexicon intent rule, given an escalation decision, a reason and the
 consistency fix, and written to a parquet sink.  Exactly-once by key:
 
-* ``dropDuplicates(keys)`` on the stream keeps the keys already seen in the
-  checkpointed state store (distributed by key, so no batch rereads the
-  sink); a message delivered twice is scored once;
+* the keys already seen are in the checkpointed state store (distributed by
+  key, so no batch rereads the sink); a message delivered twice is scored once.
+  Given an event time, a watermark empties the state again;
 * the query checkpoint (in the shared checkpoint folder) records which files
   each batch consumed and commits the state with the batch, so a restarted
   query replays the same batch with the same rows;
@@ -22,7 +22,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 CONVERSATION_SCHEMA = T.StructType([
@@ -43,13 +43,23 @@ def exactly_once_writer(sink: str, score: Callable[[DataFrame], DataFrame]):
 
 def run_available(spark: SparkSession, source_dir: str, file_glob: str, schema: T.StructType,
                   score: Callable[[DataFrame], DataFrame], keys: list[str], sink: str,
-                  checkpoint: str, max_files_per_trigger: int | None = None, wanted: str = "true") -> DataFrame:
+                  checkpoint: str, max_files_per_trigger: int | None = None, wanted: str = "true",
+                  event_time: Column | None = None, delay: str = "1 day") -> DataFrame:
     """Process every file available now, then stop; return the sink table.
-    Rows that do not meet the SQL condition ``wanted`` never enter the state."""
+    Rows that do not meet the SQL condition ``wanted`` never enter the state.
+
+    With ``event_time``, keys are kept until the watermark, ``delay`` behind the
+    latest event, has passed them, so the state does not grow with the stream;
+    a row that comes again after that is behind the watermark and dropped.
+    Without it every key is kept for ever."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source_dir).where(wanted).dropDuplicates(keys)
+    stream = reader.parquet(source_dir).where(wanted)
+    if event_time is None:
+        stream = stream.dropDuplicates(keys)
+    else:
+        stream = stream.withColumn("_at", event_time).withWatermark("_at", delay).dropDuplicatesWithinWatermark(keys).drop("_at")
     q = (stream.writeStream.foreachBatch(exactly_once_writer(sink, score))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
