@@ -18,8 +18,9 @@ digests of its siblings left and right of it.  In every round a self-join sends
 each pointer to its target's target and joins the two segments, so that the
 distance doubles: the logarithm of the height in rounds.  A target of more than
 ``HOT`` rows is dealt out to copies of itself, one for each ``HOT`` rows; the
-list of these targets is at most a ``HOT``-th of the inner nodes and is
-broadcast only where Spark finds it small.  Leaves take their last jump at the
+list of these targets is at most a ``HOT``-th of the inner nodes; up to
+``BROADCAST_ROWS`` it is broadcast, so that the pointers are not dealt by target
+first.  Leaves take their last jump at the
 end, one run of ``FAN`` leaves at a time, so that the proofs of all leaves
 (about a kilobyte a level) never travel.
 
@@ -45,6 +46,7 @@ from .common import materialise, materialise_table
 
 FAN = 16
 HOT = 256
+BROADCAST_ROWS = 1_000_000
 TOP = -1
 EMPTY_SEGMENT = "array<struct<left: string, right: string>>"
 
@@ -154,8 +156,10 @@ def jump(pointers: DataFrame, top_height: int, steps: int) -> DataFrame:
     distance = 1
     while distance < steps:
         moving = pointers.where(~at_root)
-        hot = moving.groupBy(*to).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(
-            *to, F.ceil(F.col("n") / HOT).alias("copies"))
+        hot = materialise(moving.groupBy(*to).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(
+            *to, F.ceil(F.col("n") / HOT).alias("copies")))
+        if hot.count() <= BROADCAST_ROWS:  # then the rows that point to one node never meet in one task
+            hot = F.broadcast(hot)
         dealt = moving.join(hot, list(to), "left").withColumn(
             "copy", F.coalesce(F.pmod(F.xxhash64(*node), F.col("copies")), F.lit(0)))
         targets = pointers.select(*(F.col(a).alias(b) for a, b in zip(node, to)), *(F.col(a).alias(f"{a}2") for a in to),
