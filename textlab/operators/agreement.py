@@ -8,6 +8,8 @@ computed from the count table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,9 +81,50 @@ def rho_band(rho: Column) -> Column:
     return F.when(rho.isNull(), F.lit(None).cast("string")).otherwise(expr.otherwise(F.lit(P.RHO_BAND_ELSE)))
 
 
+def log_gamma(z: Column) -> Column:
+    """ln of the gamma function for z > 0: Stirling's series at z + 10."""
+    s = z + 10
+    series = 1 / (12 * s) - 1 / (360 * s * s * s) + 1 / (1260 * s * s * s * s * s)
+    down = z
+    for k in range(1, 10):
+        down = down * (z + k)
+    return (s - 0.5) * F.log(s) - s + 0.5 * math.log(2 * math.pi) + series - F.log(down)
+
+
+def incomplete_beta(a: Column, b: Column, x: Column, steps: int = 400) -> Column:
+    """Regularised incomplete beta function by its continued fraction, which is
+    evaluated front to back; for x above (a + 1) / (a + b + 2) from the other
+    end, where it converges in about the square root of the larger parameter."""
+    def tail(a, b, x):
+        def term(k):  # k = 1, 2, ...: odd and even terms
+            m = F.floor(k / 2)
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            return F.when(k % 2 == 1, odd).otherwise(even)
+
+        def step(s, k):
+            d = 1 / (1 + term(k) * s["d"])
+            c = 1 + term(k) / s["c"]
+            return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
+
+        start = F.struct(F.lit(1e300).alias("c"), F.lit(1.0).alias("d"), F.lit(1.0).alias("h"))  # the first term has no c
+        h = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["h"])
+        front = log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1 - x)
+        return F.exp(front) * h / a
+
+    inner = F.when(x < (a + 1) / (a + b + 2), tail(a, b, x)).otherwise(1 - tail(b, a, 1 - x))
+    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(inner)
+
+
+def t_p_value(t: Column, freedom: Column) -> Column:
+    """Two-sided tail of Student's t distribution; null without a degree of freedom."""
+    v = freedom.cast("double")
+    return F.when(v > 0, incomplete_beta(v / 2, F.lit(0.5), v / (v + t * t)))
+
+
 def rank_agreement(df: DataFrame, judge: str, human: str) -> DataFrame:
     """Judge vs human scores, one row: n, means, Spearman rho (average ranks),
-    t statistic, MAE, exact and within-1 rates, interpretation band, bias.
+    t statistic and its two-sided p-value (0 for |rho| = 1), MAE, exact and within-1 rates, interpretation band, bias.
 
     Rows with a null on either side are dropped.  Constant input -> rho null.
     """
@@ -118,4 +161,7 @@ def rank_agreement(df: DataFrame, judge: str, human: str) -> DataFrame:
     bias = (F.when(F.col("judge_mean") > F.col("human_mean") + P.BIAS_MARGIN, F.lit("generous"))
             .when(F.col("judge_mean") < F.col("human_mean") - P.BIAS_MARGIN, F.lit("harsh"))
             .otherwise(F.lit("close")))
-    return out.select("*", t.alias("t_stat"), rho_band(F.col("rho")).alias("band"), bias.alias("bias"))
+    out = out.withColumn("t_stat", t)
+    p = (F.when(F.abs(F.col("rho")) >= 1, F.when(F.col("n") > 2, F.lit(0.0)))
+         .otherwise(t_p_value(F.col("t_stat"), F.col("n") - 2)))
+    return out.select("*", p.alias("p_value"), rho_band(F.col("rho")).alias("band"), bias.alias("bias"))

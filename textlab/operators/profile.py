@@ -8,7 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import _c, adjacent_pairs
+from ..functions.text import _c
+from . import heavy_hitters, quantiles
+from .tables import combine_rows
 
 
 def value_counts(df: DataFrame, col: str, dropna: bool = True) -> DataFrame:
@@ -28,21 +30,29 @@ def numeric_profile(df: DataFrame, value: Column | str, group_cols: Sequence[str
                     extra: dict[str, Column] | None = None) -> DataFrame:
     """count, mean, std (sample), min, 25/50/75 % (linear interpolation), max.
 
-    ``exact=True`` uses ``percentile``, whose aggregation buffer is a
-    value->count map (bounded by the number of distinct values, partially
-    aggregated map-side); ``exact=False`` uses ``percentile_approx``.
-    ``extra`` names further aggregates to take in the same pass.
+    ``exact=True`` selects the quartiles by brackets
+    (:func:`quantiles.exact_quantiles`; ``df`` is read twice), ``exact=False``
+    uses ``percentile_approx``.  ``extra`` names further aggregates to take in
+    the same pass.
     """
     v = _c(value).cast("double")
-    q = (F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-         else F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy))
-    g = df.groupBy(*group_cols) if group_cols else df.groupBy()
-    out = g.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max"),
-                *[c.alias(name) for name, c in (extra or {}).items()])
+    quartiles = [0.25, 0.5, 0.75]
+    q = [] if exact else [F.percentile_approx(v, quartiles, accuracy).alias("quantiles")]
+    out = df.groupBy(*group_cols).agg(
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
+        F.max(v).alias("max"), *q, *[c.alias(name) for name, c in (extra or {}).items()])
+    if exact:
+        found = quantiles.exact_quantiles(df, v, quartiles, group_cols, accuracy)
+        names = [f"_q_{k}" for k in range(len(group_cols))]
+        found = found.select(*[F.col(g).alias(k) for g, k in zip(group_cols, names)], "quantiles")
+        if group_cols:  # one row per group on both sides
+            same = [out[g].eqNullSafe(found[k]) for g, k in zip(group_cols, names)]
+            out = out.join(found, same, "left")
+        else:
+            out = combine_rows(out, found)
     return out.select(*group_cols, *(extra or {}), "count", "mean", "std", "min",
-                      F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"),
-                      F.col("_q")[2].alias("q75"), "max")
+                      F.col("quantiles")[0].alias("q25"), F.col("quantiles")[1].alias("q50"),
+                      F.col("quantiles")[2].alias("q75"), "max")
 
 
 def histogram(df: DataFrame, value: Column | str, bins: int = 30) -> DataFrame:
@@ -72,16 +82,19 @@ def histogram(df: DataFrame, value: Column | str, bins: int = 30) -> DataFrame:
 
 def top_terms(df: DataFrame, tokens: Column | str, n: int) -> DataFrame:
     """The n most frequent tokens: (term, count), ties by term."""
-    ex = df.select(F.explode(_c(tokens)).alias("term"))
-    return (ex.groupBy("term").agg(F.count(F.lit(1)).alias("count"))
-            .orderBy(F.desc("count"), F.asc("term")).limit(n))
+    return heavy_hitters.top_ngrams(df, _c(tokens), n).withColumnRenamed("gram", "term")
+
+
+def top_ngrams(df: DataFrame, tokens: Column | str, n: int, sizes: Sequence[int]) -> DataFrame:
+    """The n most frequent runs of tokens of the given sizes: (gram, count)."""
+    return heavy_hitters.top_ngrams(df, _c(tokens), n, sizes)
 
 
 def top_bigrams(df: DataFrame, tokens: Column | str, n: int) -> DataFrame:
     """The n most frequent adjacent token pairs: (w1, w2, count)."""
-    ex = df.select(F.explode(adjacent_pairs(tokens)).alias("p")).select("p.w1", "p.w2")
-    return (ex.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("count"))
-            .orderBy(F.desc("count"), F.asc("w1"), F.asc("w2")).limit(n))
+    pair = F.split("gram", " ")
+    return heavy_hitters.top_ngrams(df, _c(tokens), n, (2,)).select(
+        pair[0].alias("w1"), pair[1].alias("w2"), "count").orderBy(F.desc("count"), "w1", "w2")
 
 
 def label_drift(df: DataFrame, a: str, b: str) -> DataFrame:

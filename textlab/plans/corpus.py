@@ -7,8 +7,8 @@ from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions import text as TX
-from ..operators import pairing, profile, rules, sampling, tables
-from ..session import shared_path
+from ..operators import pairing, profile, quantiles, rules, sampling, tables
+from ..session import checkpoint_root, shared_path
 from ..sources import io
 from . import lexicons as LX
 from .common import load, r6
@@ -70,16 +70,31 @@ def messy_scores_q(spark, sf_dir):
 
 
 def text_profile_q(spark, sf_dir):
-    d = _clean_docs(spark, sf_dir, "lang").withColumn("len", F.length("c"))
+    checkpoint_root(spark)
+    docs = load(spark, sf_dir, "documents", "text", "lang").select("lang", TX.clean_text("text").alias("c"))
+    # three small columns; the texts are cleaned once
+    d = docs.select("lang", F.length("c").alias("len"), TX.is_blank("c").alias("blank"),
+                    TX.looks_non_english("c").alias("other")).checkpoint(eager=True)
     prof = profile.numeric_profile(d, "len", ["lang"], extra={
-        "n_docs": F.count(F.lit(1)),
-        "n_blank": F.count_if(TX.is_blank("c")),
-        "n_non_english": F.count_if(TX.looks_non_english("c"))})
+        "n_docs": F.count(F.lit(1)), "n_blank": F.count_if("blank"), "n_non_english": F.count_if("other")})
     return prof.select("lang", "n_docs", "n_blank", "n_non_english",
                     *[r6(F.col(c)).alias(f"{c}_len") for c in
                       ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
 
+def price_quantiles_q(spark, sf_dir):
+    """Exact quantiles of the line prices by return flag and line status."""
+    li = load(spark, sf_dir, "lineitem", "l_returnflag", "l_linestatus", "l_extendedprice")
+    q = quantiles.exact_quantiles(li, "l_extendedprice", [0.01, 0.25, 0.5, 0.9, 0.999], ["l_returnflag", "l_linestatus"])
+    return q.select("l_returnflag", "l_linestatus", *[
+        r6(F.col("quantiles")[k]).alias(name) for k, name in enumerate(("q01", "q25", "q50", "q90", "q999"))])
+
+
+def top_ngrams_q(spark, sf_dir):
+    d = _clean_docs(spark, sf_dir)
+    return profile.top_ngrams(d, TX.eda_tokens("c"), 60, (1, 2, 3))
+
+
 def length_histogram_q(spark, sf_dir):
     d = _clean_docs(spark, sf_dir)
     h = profile.histogram(d, F.length("c"), bins=30)

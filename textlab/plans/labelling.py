@@ -117,7 +117,7 @@ def rank_agreement_q(spark, sf_dir):
     # 9 decimals: means of 2-decimal values terminate within 7 decimals, so a
     # rounding tie (where engines round differently) cannot occur at 9
     return ra.select("n", *[F.round(F.col(c), 9).alias(c) for c in
-                            ("judge_mean", "human_mean", "rho", "t_stat", "mae", "exact", "within1")],
+                            ("judge_mean", "human_mean", "rho", "t_stat", "p_value", "mae", "exact", "within1")],
                      "band", "bias")
 
 

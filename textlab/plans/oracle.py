@@ -27,6 +27,20 @@ def clean(col: str) -> str:
     return f"trim(regexp_replace({inner}, {q(TX.WS_RUN_RE_PORTABLE)}, ' ', 'g'))"
 
 
+def beta_tail(a: str, b: str, x: str) -> str:
+    """Incomplete beta function by the same continued fraction, odd and even terms as one step."""
+    odd = f"(-({a} + m) * ({a} + {b} + m) * {x} / (({a} + 2 * m) * ({a} + 2 * m + 1)))"
+    even = f"((m + 1) * ({b} - m - 1) * {x} / (({a} + 2 * m + 1) * ({a} + 2 * m + 2)))"
+    c1, d1 = f"(1 + {odd} / s.c)", f"(1 / (1 + {odd} * s.d))"
+    c2, d2 = f"(1 + {even} / {c1})", f"(1 / (1 + {even} * {d1}))"
+    start = "{'m': -1, 'c': 1e300::DOUBLE, 'd': 1.0::DOUBLE, 'h': 1.0::DOUBLE}"
+    steps = "list_transform(range(0, 200), lambda k: {'m': k, 'c': 1.0::DOUBLE, 'd': 1.0::DOUBLE, 'h': 1.0::DOUBLE})"
+    body = f"{{'m': t.m, 'c': {c2}, 'd': {d2}, 'h': s.h * {c1} * {d1} * {c2} * {d2}}}".replace("m)", "t.m)").replace("* m", "* t.m")
+    body = body.replace("(m + 1)", "(t.m + 1)").replace(" - m - 1", " - t.m - 1")
+    front = f"lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln({x}) + {b} * ln(1 - {x})"
+    return f"(exp({front}) * list_reduce({steps}, lambda s, t: {body}, {start}).h / {a})"
+
+
 def first_label(col: str, dictionary, default) -> str:
     parts = " ".join(f"WHEN {words(col, pat)} THEN {q(label)}" for label, pat in dictionary)
     d = "NULL" if default is None else q(default)
@@ -488,6 +502,7 @@ FROM documents"""
 SELECT doc_id, quality, CAST((row_number() OVER (PARTITION BY quality ORDER BY {md5_order('doc_id', 42)}, doc_id) - 1) % 5 AS INTEGER) AS fold
 FROM labels WHERE quality IS NOT NULL"""
     bands = " ".join(f"WHEN rho >= {lo} THEN {q(name)}" for lo, name in P.RHO_BANDS)
+    p_value = f"CASE WHEN x < (a + 1) / (a + b + 2) THEN {beta_tail('a', 'b', 'x')} ELSE 1 - {beta_tail('b', 'a', '(1 - x)')} END"
     s["rank_agreement"] = f"""
 WITH x AS (SELECT l_quantity AS a, l_discount AS b FROM lineitem
            WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL),
@@ -504,11 +519,13 @@ t AS (SELECT count(*) AS n, avg(a) AS jm, avg(b) AS hm, corr(ra, rb) AS rho, avg
       FROM j)
 SELECT CAST(n AS BIGINT) AS n, round(jm, 9) AS judge_mean, round(hm, 9) AS human_mean, round(rho, 9) AS rho,
        round(CASE WHEN abs(rho) < 1 THEN rho * sqrt((n - 2) / (1 - rho * rho)) END, 9) AS t_stat,
+       round(CASE WHEN abs(rho) >= 1 THEN 0.0 ELSE {p_value} END, 9) AS p_value,
        round(mae, 9) AS mae, round(exact, 9) AS exact, round(within1, 9) AS within1,
        CASE WHEN rho IS NULL THEN NULL {bands} ELSE {q(P.RHO_BAND_ELSE)} END AS band,
        CASE WHEN jm > hm + {P.BIAS_MARGIN} THEN 'generous' WHEN jm < hm - {P.BIAS_MARGIN} THEN 'harsh'
             ELSE 'close' END AS bias
-FROM t"""
+FROM (SELECT *, (n - 2)::DOUBLE / 2 AS a, 0.5::DOUBLE AS b,
+             (n - 2) / ((n - 2) + rho * rho * (n - 2) / (1 - rho * rho)) AS x FROM t)"""
     s["compare_systems"] = """
 WITH j AS (SELECT CASE WHEN l.quality = 1 THEN 'high' ELSE 'low' END AS truth,
                   CASE WHEN d.n_chars >= 300 THEN 'high' ELSE 'low' END AS len300,
@@ -804,3 +821,12 @@ WHERE m.role = 'user' AND r.role <> 'user'""",
 
 SQL.update(_sql_sources())
 SQL["stream_reply_pairs"] = SQL["reply_pairs"]
+SQL["price_quantiles"] = "SELECT l_returnflag, l_linestatus, " + ", ".join(
+    f"round(quantile_cont(l_extendedprice::DOUBLE, {p}), 6) AS {name}"
+    for p, name in ((0.01, "q01"), (0.25, "q25"), (0.5, "q50"), (0.9, "q90"), (0.999, "q999"))
+) + " FROM lineitem GROUP BY ALL"
+SQL["top_ngrams"] = f"""
+WITH t AS MATERIALIZED (SELECT {eda_tokens('c')} AS w FROM ({CLEAN_DOCS})),
+g AS ({" UNION ALL ".join(f"SELECT array_to_string(w[i:i + {k - 1}], ' ') AS gram FROM (SELECT w, unnest(range(1, len(w) - {k - 2})) AS i FROM t)"
+                          for k in (1, 2, 3))})
+SELECT gram, count(*) AS count FROM g GROUP BY gram ORDER BY count DESC, gram LIMIT 60"""

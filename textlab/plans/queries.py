@@ -190,6 +190,8 @@ QUERIES = {
     "counts_having": corpus.counts_having_q,
     "top_unigrams": corpus.top_unigrams_q,
     "top_bigrams": corpus.top_bigrams_q,
+    "top_ngrams": corpus.top_ngrams_q,
+    "price_quantiles": corpus.price_quantiles_q,
     "length_stratified_sample": corpus.length_stratified_sample_q,
     "quota_sample": corpus.quota_sample_q,
     "quota_gap": corpus.quota_gap_q,
