@@ -139,13 +139,15 @@ def test_tile_links_of_chains_when_the_largest_class_changes(strip, monkeypatch)
 
 def test_survivors_hold_every_linked_row():
     r = np.random.default_rng(5)
-    counts = r.integers(1, 9, 1 << 10)
+    order = ngram_join.Order(r.integers(1, 9, 1 << 10).astype(np.uint16), r.integers(0, 256, 1 << 10).astype(np.uint8))
+    hashes = r.integers(0, 1 << 63, 10_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     for trial in range(30):
         common = r.choice(10_000, 60, replace=False).astype(np.uint64)
         noise = lambda: r.choice([.02, .1, .3, .9])
         sets = [np.unique(np.where(r.random(60) < noise(), r.integers(0, 10_000, 60).astype(np.uint64), common))[:r.integers(40, 61)]
                 for _ in range(30)]
-        lead = [ngram_join.leading(s, counts) for s in sets]
+        sets = [np.sort(hashes[s.astype(np.int64)]) for s in sets]
+        lead = [ngram_join.leading(s, order) for s in sets]
         may = ngram_join.tile_survivors(np.array([len(s) for s in sets]), np.array([len(s) for s, _ in lead]),
                                         np.array([c for _, c in lead]), np.concatenate([s for s, _ in lead]).view(np.int64))
         for a in range(30):
@@ -154,6 +156,26 @@ def test_survivors_hold_every_linked_row():
                 assert 100 * o < 80 * (len(sets[a]) + len(sets[b]) - o) or may[a] and may[b]
 
 
+@pytest.mark.parametrize("log2", [12, 20])
+def test_filter_knows_every_shingle_of_two_sets(log2):
+    r = np.random.default_rng(6)
+    sets = [np.unique(r.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2)) for _ in range(40)]
+    sets += [np.unique(np.concatenate([sets[k][:50], r.integers(0, 1 << 63, 300, dtype=np.uint64)])) for k in range(20)]
+    whole, parts = ngram_join.Shared(log2), [ngram_join.Shared(log2) for _ in range(3)]
+    for k, s in enumerate(sets):
+        parts[k % 3].add(s)
+        if k % 7 == 0:
+            parts[k % 3].flush()
+    for p in parts:
+        p.flush()
+        whole.merge(p.once, p.twice)
+    order = ngram_join.Order(np.ones(1 << 10, np.uint16), whole.twice)
+    values, times = np.unique(np.concatenate(sets), return_counts=True)
+    assert order.shared(values[times > 1]).all()
+    if log2 == 20:
+        assert order.shared(values[times == 1]).mean() < 0.05
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     links = [(k, k + 1) for k in range(0, 60)] + [(1000, k) for k in range(1001, 1100)] + [(5000, 5000)]
     df = spark.createDataFrame(links, "a long, b long")

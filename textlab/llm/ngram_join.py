@@ -8,10 +8,13 @@ formed as a whole:
 
 * Equal sets are one row of the matrix (``node``: a hash of the sorted set).
 * Columns: a pair that links shares a shingle among the first
-  ``n - ceil(0.8 n) + 1`` of each set in one common order, rarest first.  The
-  order comes from a count sketch of 2**22 counters over all documents, a
-  table of fixed size; it only ranks shingles, so collisions cost work, not
-  links.  Only these entries shuffle.
+  ``n - ceil(0.8 n) + 1`` of each set in one common order, rarest first.  First
+  come the shingles that only one set holds, as far as a filter of slots that
+  two sets have hit can tell, then the others by a count sketch of 2**22
+  counters; both only rank shingles, so collisions cost work, not links.  The
+  filter has about two slots a word, from 2**20 to 2**29 (64 MB); beyond some
+  300 million words it tells fewer apart.  Of the leading entries only those
+  that another set may hold shuffle.
 * Blocks: the documents of one such column are dealt to the block of the
   column's smallest node, the hub, so the many columns that a family of copies
   shares fall into the same block and each document enters it once.  A block
@@ -50,13 +53,15 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .arrays import WHITE, lists, shingle_sets
-from .common import drop_kept, first_rows, materialise
+from .common import drop_kept, first_rows, materialise, materialise_table
 from .components import components
 
 WIDTH = 5
 PERCENT = 80
 SKETCH_LOG2 = 22
 SKETCH_BLOCKS = 64
+FILTER_LOG2 = (20, 29)  # least and most slots of the filter of shared shingles
+BYTES_A_WORD = 6
 ACTIVE_LOG2 = 23  # bits of the filter of nodes that have any candidate
 TILE_ROWS = 4096
 TILE_ENTRIES = 1 << 21
@@ -72,18 +77,68 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-# -- pass 1: set sizes, set ids and the count sketch -------------------------
+# -- pass 1: set sizes, set ids, the count sketch and the filter --------------
 
 
-def _describe(docs: DataFrame) -> DataFrame:
+class Shared:
+    """Which slots the shingles of one and of two sets have hit, as bits."""
+
+    def __init__(self, log2: int):
+        self.shift = np.uint64(64 - log2)
+        self.once, self.twice = np.zeros(1 << log2 - 3, np.uint8), np.zeros(1 << log2 - 3, np.uint8)
+        self.held, self.n = [], 0
+
+    def add(self, shingles: np.ndarray) -> None:
+        self.held.append(shingles >> self.shift)
+        self.n += len(shingles)
+        if self.n > 1 << 20:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.n:
+            return
+        slots = np.sort(np.concatenate(self.held)).astype(np.int64)
+        self.held, self.n = [], 0
+        new = np.concatenate([[True], slots[1:] != slots[:-1]])
+        again = slots[~new]
+        slots = slots[new]
+        again = np.concatenate([again, slots[hit(self.once, slots)]])
+        again.sort()
+        _mark(self.twice, again)
+        _mark(self.once, slots)
+
+    def merge(self, once: np.ndarray, twice: np.ndarray) -> None:
+        self.twice |= twice | (self.once & once)
+        self.once |= once
+
+
+def hit(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _mark(bits: np.ndarray, slots: np.ndarray) -> None:
+    """Sets the bits of sorted slots."""
+    if len(slots):
+        at, value = slots >> 3, np.left_shift(1, slots & 7).astype(np.uint8)
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        bits[at[first]] |= np.bitwise_or.reduceat(value, first)
+
+
+def filter_log2(docs: DataFrame) -> int:
+    """Slots for about twice the words of all texts, within ``FILTER_LOG2``."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(max(FILTER_LOG2[0], int(2 * size // BYTES_A_WORD).bit_length()), FILTER_LOG2[1])
+
+
+def _describe(docs: DataFrame, log2: int) -> DataFrame:
     """Rows (doc_id, n, node) of the documents and, per task, the blocks of its
-    count sketch (block, counts)."""
+    count sketch and of its filter (block, counts, once, twice)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     size, per = 1 << SKETCH_LOG2, (1 << SKETCH_LOG2) // SKETCH_BLOCKS
 
     def run(batches):
         drop_kept()
-        sketch, key_type, seen = np.zeros(size, np.int32), None, set()
+        sketch, shared, key_type, seen = np.zeros(size, np.uint8), Shared(log2), None, set()
         for batch in batches:
             key_type, rows = batch.schema.field(0).type, []
             for i, s, _ in shingle_sets(batch.column(1), WHITE, WIDTH):
@@ -91,67 +146,90 @@ def _describe(docs: DataFrame) -> DataFrame:
                 rows.append((i, len(s), node))
                 if node is not None and node not in seen:  # copies within a task count once
                     seen.add(node)
-                    np.add.at(sketch, (s & np.uint64(size - 1)).astype(np.int64), 1)
+                    at = (s & np.uint64(size - 1)).astype(np.int64)
+                    sketch[at] = np.where(sketch[at] < 0xFF, sketch[at] + 1, 0xFF)
+                    shared.add(s)
             if rows:
                 i, n, node = zip(*rows)
                 none = pa.nulls(len(rows))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(i)), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
-                     none.cast(pa.int32()), none.cast(pa.binary())], names=["doc_id", "n", "node", "block", "counts"])
+                     none.cast(pa.int32()), *[none.cast(pa.binary())] * 3], names=["doc_id", "n", "node", "block", "counts", "once", "twice"])
         if key_type is not None:
-            blocks = np.minimum(sketch, 0xFF).astype(np.uint8).reshape(SKETCH_BLOCKS, per)
-            some = [b for b in range(SKETCH_BLOCKS) if blocks[b].any()]
+            shared.flush()
+            tables = [x.reshape(SKETCH_BLOCKS, -1) for x in (sketch, shared.once, shared.twice)]
+            some = [b for b in range(SKETCH_BLOCKS) if any(t[b].any() for t in tables)]
             none = pa.nulls(len(some))
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(len(some), key_type), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(some, pa.int32()),
-                 pa.array([zlib.compress(blocks[b].tobytes(), 1) for b in some], pa.binary())],
-                names=["doc_id", "n", "node", "block", "counts"])
+                 *(pa.array([zlib.compress(t[b].tobytes(), 1) for b in some], pa.binary()) for t in tables)],
+                names=["doc_id", "n", "node", "block", "counts", "once", "twice"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, node long, block int, counts binary, once binary, twice binary")
+
+
+class Order:
+    """The common order of shingles: those of one set, then by count."""
+
+    def __init__(self, counts: np.ndarray, twice: np.ndarray):
+        self.counts, self.twice = counts, twice
+        self.shift = np.uint64(64 - (8 * len(twice)).bit_length() + 1)
+
+    def shared(self, s: np.ndarray) -> np.ndarray:
+        """Which shingles another set may hold."""
+        return hit(self.twice, (s >> self.shift).astype(np.int64))
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, node long, block int, counts binary")
+    def rank(self, s: np.ndarray) -> np.ndarray:
+        return self.counts[(s & np.uint64(len(self.counts) - 1)).astype(np.int64)].astype(np.int64) + (self.shared(s) << 20)
 
 
-def _sketch(described: DataFrame) -> np.ndarray:
-    """Sum of the tasks' sketches: 2**22 counters (16 MB), whatever the input."""
+def _order(described: DataFrame, log2: int) -> Order:
+    """Sums of the tasks' tables, block by block: 2**22 counters and a bit a
+    slot come to the driver."""
+    per, bits = (1 << SKETCH_LOG2) // SKETCH_BLOCKS, (1 << log2 - 3) // SKETCH_BLOCKS
 
     def add(batches):
         drop_kept()
-        total = {}
+        total, shared = {}, {}
         for batch in batches:
-            for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = np.frombuffer(zlib.decompress(c), np.uint8).astype(np.int64)
-                total[b] = total[b] + got if b in total else got
+            for b, c, *seen in zip(*(column.to_pylist() for column in batch.columns)):
+                if b not in total:
+                    total[b], shared[b] = np.zeros(per, np.uint32), Shared(3)
+                    shared[b].once, shared[b].twice = np.zeros(bits, np.uint8), np.zeros(bits, np.uint8)
+                total[b] += np.frombuffer(zlib.decompress(c), np.uint8)
+                shared[b].merge(*(np.frombuffer(zlib.decompress(x), np.uint8) for x in seen))
         if total:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())],
-                names=["block", "counts"])
+                [pa.array(list(total), pa.int32()), pa.array([np.minimum(v, (1 << 16) - 1).astype(np.uint16).tobytes() for v in total.values()], pa.binary()),
+                 pa.array([shared[b].twice.tobytes() for b in total], pa.binary())], names=["block", "counts", "twice"])
 
-    parts = described.where("block is not null").select("block", "counts")
-    summed = parts.repartition(SKETCH_BLOCKS, "block").mapInArrow(add, "block int, counts binary")
-    per = (1 << SKETCH_LOG2) // SKETCH_BLOCKS
-    out = np.zeros((SKETCH_BLOCKS, per), np.int64)
-    for b, c in summed.collect():  # 64 rows
-        out[b] += np.frombuffer(c, np.int64)
-    return np.minimum(out.ravel(), np.iinfo(np.int32).max).astype(np.int32)
+    parts = described.where("block is not null").select("block", "counts", "once", "twice")
+    summed = parts.repartition(SKETCH_BLOCKS, "block").mapInArrow(add, "block int, counts binary, twice binary")
+    counts, twice = np.zeros((SKETCH_BLOCKS, per), np.uint16), np.zeros((SKETCH_BLOCKS, bits), np.uint8)
+    for b, c, t in summed.toLocalIterator():  # 64 rows
+        counts[b], twice[b] = np.frombuffer(c, np.uint16), np.frombuffer(t, np.uint8)
+    return Order(counts.ravel(), twice.ravel())
 
 
 # -- pass 2: the leading columns of each row ---------------------------------
 
 
-def leading(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """The leading shingles of a sorted set, rarest first and by hash on ties,
-    and the count of the last."""
-    c = counts[(s & np.uint64(len(counts) - 1)).astype(np.int64)]
-    order = np.argsort(c, kind="stable")[:prefix_length(len(s))]
-    return s[order], int(c[order[-1]])
+def leading(s: np.ndarray, order: Order) -> tuple[np.ndarray, int]:
+    """The leading shingles of a sorted set, in the common order and by hash on
+    ties, and the rank of the last."""
+    c = order.rank(s)
+    first = np.argsort(c, kind="stable")[:prefix_length(len(s))]
+    return s[first], int(c[first[-1]])
 
 
-def _leading(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(gram, node, n): the leading shingles of each distinct set of a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+def _leading(docs: DataFrame, order: Order) -> DataFrame:
+    """(gram, node, n): the leading shingles of each distinct set of a task that
+    another set may hold."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
         drop_kept()
-        counts, seen = shared.value, set()
+        order, seen = shared.value, set()
         for batch in batches:
             grams, nodes, sizes, total = [], [], [], 0
             for _, s, _ in shingle_sets(batch.column(1), WHITE, WIDTH):
@@ -159,7 +237,8 @@ def _leading(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 if node is None or node in seen:
                     continue
                 seen.add(node)
-                first, _ = leading(s, counts)
+                first, _ = leading(s, order)
+                first = first[order.shared(first)]
                 k = len(first)
                 grams.append(first >> np.uint64(16))  # enough to meet by; a chance meeting costs work only
                 nodes.append(np.full(k, node, np.int64))
@@ -179,12 +258,12 @@ def _leading(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "gram long, node long, n int")
 
 
-def _candidates(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
+def _candidates(docs: DataFrame, order: Order) -> DataFrame:
     """(hub, hub_n, node, n): the members of each block, once each."""
     from pyspark.sql import Window
 
     column = Window.partitionBy("gram")
-    pairs = (_leading(docs, sketch)
+    pairs = (_leading(docs, order)
             .withColumn("first", F.min(F.struct("node", "n")).over(column))
             .where((F.col("first.node") != F.col("node")) | (F.col("first.n") != F.col("n")))
             .select(F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), "node", "n").distinct())
@@ -211,15 +290,15 @@ def _active_bits(members: DataFrame) -> np.ndarray:
     return out
 
 
-def _rows(docs: DataFrame, active: np.ndarray, sketch: np.ndarray | None) -> DataFrame:
+def _rows(docs: DataFrame, active: np.ndarray, order: Order | None) -> DataFrame:
     """(node, n, last, grams) of the distinct sets that may be active: all their
-    shingles, or with a sketch the leading ones in order and the last's count."""
+    shingles, or with an order the leading ones and the last's rank."""
     sc = docs.sparkSession.sparkContext
-    bits_, counts_ = sc.broadcast(active), sc.broadcast(sketch)
+    bits_, order_ = sc.broadcast(active), sc.broadcast(order)
 
     def run(batches):
         drop_kept()
-        bits, counts, seen = np.unpackbits(bits_.value, bitorder="little").view(bool), counts_.value, set()
+        bits, order, seen = np.unpackbits(bits_.value, bitorder="little").view(bool), order_.value, set()
         for batch in batches:
             out, total = [], 0
             for _, s, _ in shingle_sets(batch.column(1), WHITE, WIDTH):
@@ -228,8 +307,8 @@ def _rows(docs: DataFrame, active: np.ndarray, sketch: np.ndarray | None) -> Dat
                     continue
                 seen.add(node)
                 n, last = len(s), 0
-                if counts is not None:
-                    s, last = leading(s, counts)
+                if order is not None:
+                    s, last = leading(s, order)
                 out.append((node, n, last, s))
                 total += len(s)
                 if total > 1 << 18:
@@ -422,10 +501,11 @@ def _links(members: DataFrame, rows: DataFrame) -> DataFrame:
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     docs = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    described = materialise(_describe(docs))
-    sketch = _sketch(described)
-    members = materialise(_candidates(docs, sketch))
-    members = materialise(_survivors(members, _rows(docs, _active_bits(members), sketch)))
+    log2 = filter_log2(docs)
+    described = materialise_table(_describe(docs, log2), "ngram-sets")
+    order = _order(described, log2)
+    members = materialise(_candidates(docs, order))
+    members = materialise(_survivors(members, _rows(docs, _active_bits(members), order)))
     links = materialise(_links(members, _rows(docs, _active_bits(members), None)))
     # a set is known by its hash and its size
     linked = components(links.select(F.struct(F.col("a").alias("node"), F.col("a_n").alias("n")).alias("a"),
