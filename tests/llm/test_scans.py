@@ -220,10 +220,23 @@ def alnum_shingles(text):
     return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute_contained(texts, items):
-    docs = {i: alnum_shingles(t) for i, t in texts.items()}
-    return sorted((i, k, len(q), len(q & s)) for k, t in items.items() if (q := alnum_shingles(t))
-                  for i, s in docs.items() if 100 * len(q & s) >= 80 * len(q))
+def alnum_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))
+
+
+def brute_contained(docs, items):
+    words = {i: alnum_words(t) for i, t in docs.items()}
+    docs = {i: alnum_shingles(t) for i, t in docs.items()}
+    out = []
+    for k, t in items.items():
+        q, w = alnum_shingles(t), alnum_words(t)
+        for i, s in docs.items():
+            common = len(q & s)
+            if 0 < len(w) < 5:  # a short item stands anywhere in a document
+                common = int(any(words[i][a:a + len(w)] == w for a in range(len(words[i]))))
+            if q and 100 * common >= 80 * len(q):
+                out.append((i, k, len(q), common))
+    return sorted(out)
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -234,6 +247,7 @@ def test_contained_items(name, request, spark):
     else:
         p = prose(2, 70).split()
         bench = spark.createDataFrame([(1, " ".join(p[5:40])), (2, ", ".join(p[10:30]).upper() + "!"), (3, None), (4, ""), (5, "a b c"),
+                                       (8, "B, c"), (9, p[20]), (10, " ".join(p[20:24])), (11, "a b c"), (12, "x.y"),
                                        (6, " ".join(p[:30]) + " zz " + " ".join(p[31:60])), (7, " ".join(p[:9]) + " q " + " ".join(p[10:20]))],
                                       "item_id long, text string")
     items = {r.item_id: r.text for r in bench.collect()}
@@ -245,6 +259,14 @@ def test_contained_items(name, request, spark):
     assert {r.doc_id for r in kept.collect()} == set(texts_of(df)) - {w[0] for w in want}
 
 
+def test_short_items_inside_long_documents(spark):
+    docs = spark.createDataFrame([(1, "what is the capital of france today " + prose(5, 40)), (2, "capital of spain"), (3, "Capital, of FRANCE!"),
+                                  (4, None), (5, "of")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "capital of france"), (2, "of"), (3, "of france today what is more")], "item_id long, text string")
+    got = rows(decontaminate.contained_items(docs, bench))
+    assert got == [(1, 1, 1, 1), (1, 2, 1, 1), (2, 2, 1, 1), (3, 1, 1, 1), (3, 2, 1, 1), (5, 2, 1, 1)]
+
+
 def test_benchmark_in_parts_and_empty(awkward, spark, monkeypatch):
     p = prose(2, 70).split()
     bench = spark.createDataFrame([(k, " ".join(p[k:k + 30])) for k in range(10)], "item_id int, text string")
@@ -279,6 +301,28 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(model.words(words), np.log([[brute("▁" + w, k) for k in (0, 1)] for w in words]))
 
 
+def test_forward_of_words_of_any_length(monkeypatch):
+    model = language_id.Model([("a", "▁ab", 5), ("a", "the", 50), ("b", "▁the", 9), ("b", "tion", 9), ("a", "ation", 4), ("a", "b", 1)],
+                              tokenizer_path(PIECES))
+    table = {p: model.table[i] for i, p in enumerate(model.names)}
+
+    def brute(word):
+        word, forward = "▁" + word, [np.zeros(2)]
+        for end in range(1, len(word) + 1):
+            ways = [forward[end - d] + np.log(table[p]) for d in range(1, min(model.longest, end) + 1) if (p := word[end - d:end]) in table]
+            if word[end - 1] not in table:
+                ways.append(forward[end - 1] + np.log(language_id.UNKNOWN_RATE))
+            forward.append(np.logaddexp.reduce(ways, axis=0))
+        return forward[-1]
+
+    r = random.Random(2)
+    words = ["".join(r.choice(["ab", "the", "tion", "a", "b", "日", "x", "é", "😀"]) for _ in range(n))[:n]
+             for n in (1, 5, 31, 32, 33, 40, 64, 100, 700) for _ in range(4)]
+    for block in (language_id.BLOCK, 7, 40):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        assert np.allclose(model.words(words), [brute(w) for w in words], rtol=1e-9)
+
+
 def test_language_edge_cases(spark, empty):
     df = spark.createDataFrame([(0, "ba be bi", "x"), (2, "ko ku ko", "y"), (3, None, "x"), (4, "12 34 !", "y"), (5, "ba be", None), (6, "", "x")],
                                "doc_id long, text string, lang string").selectExpr("*", "7 as SCORE")

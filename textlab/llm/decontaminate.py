@@ -11,20 +11,23 @@ of its set.  The sketch length is set per partition from its largest size u as
 most that many shingles less one, so at least one sketch value is among the
 document's shingles, however long the document is, and no pair is missed.  A
 document's shingles look up the sketches of all partitions; the items they hit
-are then verified by exact shingle containment in the same task.
+are then verified by exact shingle containment in the same task.  An item of
+fewer than five words is one shingle, its whole word sequence; it is looked up
+among the documents' runs of as many words, for the lengths the benchmark holds.
 
 Documents never shuffle.  Items are read as an index of at most
 ``INDEX_ITEMS`` items at a time, whose size is checked; a larger benchmark is
 searched in as many passes over the documents as it has such parts.
 
-Cases: null and empty items or documents match nothing; an item of fewer than
-five words is its whole word sequence and matches only a document that is the
-same sequence; repeated items are separate items; a repeated document row is
+Cases: null and empty items or documents match nothing; an item of one to four
+words is found wherever its words stand consecutively; repeated items are separate items; a repeated document row is
 reported per row; ties do not arise; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,14 +52,21 @@ class ItemIndex:
     """Sketches and full sets of a bounded number of items."""
 
     def __init__(self, items: pa.Table, threshold: int = THRESHOLD):
-        sets = [s for _, s, _ in shingle_sets(items.column(1), NOT_ALNUM, WIDTH)]
+        sets, length = [], []
+        for _, s, n in shingle_sets(items.column(1), NOT_ALNUM, WIDTH):
+            sets.append(s)
+            length.append(n)
         keep = [i for i, s in enumerate(sets) if len(s)]
+        length = np.array([length[i] for i in keep], np.int64)
         self.keys, self.sets = items.column(0).combine_chunks().take(pa.array(keep, pa.int64())), [sets[i] for i in keep]
         sizes = np.array([len(s) for s in self.sets], np.int64)
         self.needed = needed(sizes, threshold)
         largest = np.ones(0, np.int64) if not len(sizes) else 2 ** np.ceil(np.log2(sizes)).astype(np.int64)
         sketch = np.minimum(largest - needed(largest, threshold) + 1, sizes)
-        pairs = [(s[:n], np.full(n, i)) for i, (s, n) in enumerate(zip(self.sets, sketch.tolist()))]
+        pairs = [(s[:n], np.full(n, i)) for i, (s, n) in enumerate(zip(self.sets, sketch.tolist())) if length[i] >= WIDTH]
+        #: by number of words, the short items' only shingles and their numbers
+        self.short = {int(w): (np.concatenate([self.sets[i] for i in np.flatnonzero(length == w)]), np.flatnonzero(length == w))
+                      for w in np.unique(length[length < WIDTH])}
         values = np.concatenate([v for v, _ in pairs]) if pairs else np.zeros(0, np.uint64)
         owner = np.concatenate([o for _, o in pairs]) if pairs else np.zeros(0, np.int64)
         order = np.argsort(values, kind="stable")
@@ -81,6 +91,20 @@ class ItemIndex:
         return out
 
 
+def found_in(index: ItemIndex, column) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """For each document of a text column: its row and the (item, shingles in
+    common) that it contains."""
+    short: dict[int, list[tuple[int, int]]] = {}
+    for width, (values, owner) in index.short.items():
+        for i, runs, n in shingle_sets(column, NOT_ALNUM, width):
+            if n >= width:
+                at = np.minimum(np.searchsorted(runs, values), len(runs) - 1)
+                if len(hit := owner[runs[at] == values]):
+                    short.setdefault(i, []).extend((x, 1) for x in hit.tolist())
+    for i, shingles, _ in shingle_sets(column, NOT_ALNUM, WIDTH):
+        yield i, index.search(shingles) + short.get(i, [])
+
+
 def _parts(benchmark: DataFrame, key: str, text: str):
     """The benchmark's rows in parts of bounded size, by a hash of the row."""
     rows = benchmark.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
@@ -108,9 +132,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
             index = shared.value
             for batch in batches:
                 keys, out = batch.column(0), []
-                for i, s, _ in shingle_sets(batch.column(1), NOT_ALNUM, WIDTH):
-                    for item, common in index.search(s):
-                        out.append((i, item, len(index.sets[item]), common))
+                for i, items in found_in(index, batch.column(1)):
+                    out += [(i, item, len(index.sets[item]), common) for item, common in items]
                 if out:
                     i, item, sizes, commons = (pa.array(c, pa.int64()) for c in zip(*out))
                     yield pa.RecordBatch.from_arrays([keys.take(i), index.keys.take(item), sizes, commons],
@@ -134,7 +157,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
             drop_kept()
             index = shared.value
             for batch in batches:
-                held = [bool(index.search(s)) for _, s, _ in shingle_sets(batch.column(at), NOT_ALNUM, WIDTH)]
+                held = [bool(items) for _, items in found_in(index, batch.column(at))]
                 yield batch.filter(pa.array([not h for h in held], pa.bool_()))
 
         df = df.mapInArrow(run, df.schema)

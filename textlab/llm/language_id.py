@@ -8,9 +8,9 @@ its words (no piece spans white space, so this is the sum over all
 segmentations of the text), and the prediction is the language with the
 largest posterior.
 
-Training counts, per language, the pieces into which the public tokenizer
-segments the words of all labelled texts, smoothed with ``ALPHA`` per piece;
-characters outside the vocabulary share one rate.  Word counts
+Training counts, per language, the pieces of the one segmentation that the
+public tokenizer gives the words of all labelled texts (not expected counts over
+all segmentations), smoothed with ``ALPHA`` per piece; characters outside the vocabulary share one rate.  Word counts
 are summed before they shuffle, each word is segmented once per language, and
 what reaches the driver is one table of languages by pieces (32,000 rows per
 language), whatever the input size.
@@ -38,7 +38,8 @@ from .common import drop_kept, kept, without
 ALPHA = 0.01
 MARK = "▁"
 UNKNOWN_RATE = 1e-7  # share of a language's probability for one unknown character
-MAX_WORD = 32  # longer words are scored in stretches of so many characters
+MAX_WORD = 32  # longer words are scored one by one, shorter ones side by side
+BLOCK = 1 << 15  # characters of a long word whose pieces are looked up at once
 CACHE_WORDS = 300_000
 REJECT_BELOW = 0.5
 _POWERS = np.multiply.accumulate(np.array([1] + [0x9E3779B97F4A7C15] * (2 * MAX_WORD), np.uint64))
@@ -51,10 +52,6 @@ def _texts(column: pa.Array, limit: int = 4 << 20):
         yield i, j, [t or "" for t in column.slice(i, j - i).to_pylist()]
 
 
-def _stretches(word: str):
-    return [word] if len(word) <= MAX_WORD else [word[k:k + MAX_WORD] for k in range(0, len(word), MAX_WORD)]
-
-
 def piece_counts(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, piece, n) over the whole labelled table."""
 
@@ -65,7 +62,7 @@ def piece_counts(labelled: DataFrame, vocabulary: str, text: str = "text", lang:
                 counts: dict[str, Counter] = {}
                 for k, t in zip(batch.column(0).slice(i, j - i).to_pylist(), texts):
                     counts.setdefault(k, Counter()).update(t.split())
-                rows = [(k, s, n) for k, c in counts.items() for w, n in c.items() for s in _stretches(w)]
+                rows = [(k, w, n) for k, c in counts.items() for w, n in c.items()]
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))],
@@ -130,10 +127,12 @@ class Model:
 
     def words(self, words: list[str]) -> np.ndarray:
         """Log-probabilities of words per language: the forward algorithm, side
-        by side over words of equal length."""
+        by side over words of equal length, long words each by itself."""
         out = np.zeros((len(words), len(self.langs)))
         lengths = np.array([len(w) for w in words])
-        for n in np.unique(lengths):
+        for k in np.flatnonzero(lengths > MAX_WORD).tolist():
+            out[k] = self._long(MARK + words[k])
+        for n in np.unique(lengths[lengths <= MAX_WORD]):
             same = np.flatnonzero(lengths == n)
             for k in range(0, len(same), 20_000):
                 some = same[k:k + 20_000]
@@ -157,6 +156,43 @@ class Model:
         return np.log(np.maximum(forward[n], 1e-320))
 
 
+    def _long(self, word: str) -> np.ndarray:
+        """The same for one word of any length: the last ``longest`` columns are
+        kept, and scaled for each language as they become small."""
+        points, scale = _code_points([word])[0], np.zeros(len(self.langs))
+        kept_columns = np.zeros((self.longest, len(self.langs)))
+        kept_columns[-1] = 1
+        for a in range(0, len(points), BLOCK):
+            b, before = min(len(points), a + BLOCK), min(a, self.longest - 1)
+            some = points[a - before:b]
+            hashes, ends, begins, rows = np.zeros(len(some), np.uint64), [], [], []
+            for d in range(1, min(self.longest, len(some)) + 1):  # strings of d characters
+                hashes = hashes[:len(some) - d + 1] * _POWERS[1] + some[d - 1:] + np.uint64(1)
+                at, row = self.find(mix(hashes))
+                inside = at + d > before
+                ends.append(at[inside] + d - before)
+                begins.append(at[inside] - before + self.longest)
+                rows.append(row[inside])
+            ends, begins, rows = (np.concatenate(x) for x in (ends, begins, rows))
+            order = np.argsort(ends, kind="stable")
+            begins, rows = begins[order], rows[order]
+            cut = np.searchsorted(ends[order], np.arange(1, b - a + 2))
+            columns = np.concatenate([kept_columns, np.zeros((b - a, len(self.langs)))])  # column of place k: k + longest - 1
+            for k in range(1, b - a + 1):
+                from_, row = begins[cut[k - 1]:cut[k]] - 1, rows[cut[k - 1]:cut[k]]
+                here = k + self.longest - 1
+                total = (columns[from_] * self.table[row]).sum(0)
+                if not (from_ == here - 1).any():
+                    total += columns[here - 1] * UNKNOWN_RATE
+                columns[here] = total
+                if k % 8 == 0 or k == b - a:
+                    factor = np.maximum(total, 1e-300)
+                    columns[max(0, here - self.longest):here + 1] /= factor
+                    scale += np.log(factor)
+            kept_columns = columns[-self.longest:]
+        return scale + np.log(np.maximum(kept_columns[-1], 1e-320))
+
+
 def _code_points(words: list[str]) -> np.ndarray:
     """Words of equal length as rows of code points."""
     return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1)
@@ -189,9 +225,7 @@ class _Scorer:
             new = list(set(words))
             if len(new) > len(self.table):
                 self.table = np.zeros((len(new), self.table.shape[1]))
-        parts = [s for w in new for s in _stretches(w)]
-        sizes = np.array([len(_stretches(w)) for w in new])
-        sums = np.add.reduceat(self.model.words(parts), np.cumsum(sizes) - sizes)
+        sums = self.model.words(new)
         self.table[len(self.rows):len(self.rows) + len(new)] = sums
         self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
 

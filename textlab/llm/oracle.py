@@ -34,8 +34,12 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach r ON r.a = d.doc_
 
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 DECONTAMINATION = f"""
-WITH s AS MATERIALIZED ({_shingles('documents', 'doc_id', _WORD)}),
-q AS MATERIALIZED ({_shingles('benchmark', 'item_id', _WORD)}),
+WITH q AS MATERIALIZED ({_shingles('benchmark', 'item_id', _WORD)}),
+short AS (SELECT DISTINCT len(string_split(g, ' ')) AS m FROM q WHERE len(string_split(g, ' ')) < 5),
+s AS MATERIALIZED ({_shingles('documents', 'doc_id', _WORD)}
+  UNION SELECT doc_id, array_to_string(w[k:k + m - 1], ' ') FROM (
+    SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM (
+      SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '{_WORD}') AS w FROM documents) CROSS JOIN short)),
 n AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY item_id),
 c AS (SELECT s.doc_id, q.item_id, count(*) AS n_common FROM s JOIN q ON q.g = s.g GROUP BY ALL)
 SELECT c.doc_id, c.item_id, n.n_item, c.n_common FROM c JOIN n ON n.item_id = c.item_id WHERE 100 * n_common >= 80 * n_item
