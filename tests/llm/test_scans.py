@@ -175,6 +175,52 @@ def test_markov_models_tell_random_strings_from_identifiers(spark):
     assert caught > 180 and wrong < 10
 
 
+def plain_markov(text, base, ratio):
+    """Character by character: the parts of stretches outside base spans."""
+    inside = {k for a, b, _ in base for k in range(a, b)}
+    out, at = [], 0
+    good = set(secret_scan.CHARACTERS.decode())
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in good and end not in inside:
+            end += 1
+        if end > at:
+            total, before = 0.0, secret_scan.START
+            for c in text[at:end]:
+                code = secret_scan.CHARACTERS.index(c.encode())
+                total += ratio[before * (secret_scan.START + 1) + code]
+                before = code
+            if total >= secret_scan.EVIDENCE and total >= secret_scan.PER_CHAR * (end - at):
+                out.append((at, end, 3))
+        at = max(end, at + 1)
+    return out
+
+
+def test_markov_spans_equal_a_plain_ratio(spark, awkward):
+    texts = [t for t in texts_of(awkward).values() if t] + [
+        "k=deadbeefdeadbeefdeadbeefXYZ9QWERTYUIOP123456 é zqxjkvbwpyfgzqxjkvbwpyfgQZ", "日本 Zx9Kq2Lw8Pv4Rt6Yb1Nc7Md3é", "password=hunter2hunter2!q9Zx7Kw2Pq"]
+    r = random.Random(9)
+    texts += [prose(k, 4) + " " + "".join(r.choice("abcXYZ0189_=-") for _ in range(r.randint(5, 60))) + "é " + prose(k, 2) for k in range(60)]
+    ratio = np.random.default_rng(3).normal(1.5, 1.2, secret_scan.SIZE)
+    found = 0
+    for t in texts:
+        base = secret_scan.base_spans(t)
+        want = plain_markov(t, base, ratio)
+        assert secret_scan.markov_spans(t, base, ratio) == want
+        found += len(want)
+    assert found > 20
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in secret_scan.scan(df, ratio=ratio).collect():
+        base = secret_scan.base_spans(texts[r.doc_id])
+        every = sorted(base + plain_markov(texts[r.doc_id], base, ratio), key=lambda s: (s[0], s[2]))
+        assert r.spans == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, b, k in every)
+
+
+def test_ordinary_sample_holds_no_secret_values(spark):
+    one = spark.createDataFrame([("token=Zq9Xw2Kv",)], "text string")  # a short value is no identifier
+    assert secret_scan.pair_counts(one).where("model = 0").count() == 0
+
+
 # -- licences -----------------------------------------------------------------
 
 
@@ -198,14 +244,73 @@ def test_licences_base(name, request):
         assert labels <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
-def test_templates_accept_optional_and_replaced_wording_only():
-    scan = lambda t: license_scan.scan_text(t.lower().encode())[4].split(",")
-    assert "tpl-mit" in scan("x Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-                             "associated documentation files (the \"Software\"), to deal in the Software without restriction y")
-    assert "tpl-mit" in scan("permission is hereby granted free of charge to any person obtaining a copy of Foo "
-                             "and associated documentation files to deal in Foo without restriction")
-    assert "tpl-mit" not in scan("permission is hereby granted free of any charge to any person obtaining a copy of Foo "
-                                 "and associated documentation files to deal in Foo without restriction")
+def labels_of(text):
+    return license_scan.scan_text(text.lower().encode())[4].split(",")
+
+
+def test_whole_licences_only():
+    """A template's own wording is accepted, and no text that lacks or changes a mandatory word."""
+    r = random.Random(5)
+    for label, markup in license_scan.TEMPLATES.items():
+        plain = re.sub(r"<<var[^>]*>>", "Foo", license_scan._MARKUP.sub(lambda m: m.group() if m.group(1).startswith("var") else "", markup))
+        assert label in labels_of("before " + plain + " after"), label
+        bare = re.sub(r"<<var[^>]*>>", "", re.sub(r"(?s)<<beginOptional>>.*?<<endOptional>>", "", markup))
+        assert label in labels_of(bare), label
+        wording = license_scan.text_words(bare)
+        for _ in range(6):
+            k = r.randrange(len(wording))
+            changed = b" ".join(wording[:k] + r.choice([[], [b"zz"]]) + wording[k + 1:]).decode()
+            accepted = license_scan.automata()[label].found(license_scan.text_words(changed))
+            assert not accepted or label.endswith("notice") or "var" in markup and k == 0, (label, k)
+    mit = re.sub(r"<<[^>]*>>", "", license_scan.TEMPLATES["tpl-mit"])
+    opening = mit[:mit.index("including")]
+    assert "tpl-mit" not in labels_of(opening + "EXCEPT that commercial use is forbidden and the notice may be dropped")
+
+
+def brute_expansion(markup, limit=3):
+    """All word sequences of a small template, replaceable words as None."""
+    def parse(tokens):
+        out = [[]]
+        while tokens:
+            t = tokens.pop(0)
+            if t == "end":
+                break
+            if t == "begin":
+                inner = parse(tokens)
+                out = [x + y for x in out for y in [[]] + inner]
+            elif isinstance(t, int):
+                out = [x + [None] * k for x in out for k in range(t + 1)]
+            else:
+                out = [x + [t] for x in out]
+        return out
+
+    tokens, pos = [], 0
+    for m in [*license_scan._MARKUP.finditer(markup), None]:
+        tokens += license_scan.text_words(markup[pos:m.start()] if m else markup[pos:])
+        if m:
+            pos, what = m.end(), m.group(1)
+            tokens.append({"beginOptional": "begin", "endOptional": "end"}.get(what) or int(re.search(r'words="(\d+)"', what).group(1)))
+    return parse(tokens)
+
+
+def test_automaton_equals_its_expansion():
+    r = random.Random(7)
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randint(2, 5)):
+            parts.append(r.choice(["a", "b c", "<<beginOptional>>a b<<endOptional>>", "<<beginOptional>>c <<beginOptional>>a<<endOptional>><<endOptional>>",
+                                   '<<var;name="x";words="2">>']))
+        markup = " ".join(["q", *parts])
+        expansions = brute_expansion(markup)
+        automaton = license_scan.Automaton(markup)
+        for _ in range(30):
+            text = [r.choice([b"a", b"b", b"c", b"q", b"z"]) for _ in range(r.randint(0, 9))]
+            want = any(len(e) + k <= len(text) and all(w is None or w == t for w, t in zip(e, text[k:])) for k in range(len(text)) for e in expansions)
+            assert automaton.found(text) == want, (markup, text)
+
+
+def test_notices_accept_optional_and_replaced_wording_only():
+    scan = labels_of
     assert "tpl-apache-2.0-notice" in scan("Licensed under the Apache License 2.0")
     assert "tpl-apache-2.0-notice" not in scan("Licensed under the Apache License 1.1")
     assert "tpl-mit-notice" in scan("Released under the terms of the MIT License.")

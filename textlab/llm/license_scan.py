@@ -34,28 +34,70 @@ from .common import without
 #: fixed values: phrase and label
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: fixed values: label and wording in template markup
+#: fixed values: the parts that the BSD licences have in common
+BSD_START = """Redistribution and use in source and binary forms, with or without modification, are permitted
+    provided that the following conditions are met: <<beginOptional>>1<<endOptional>> <<beginOptional>>a<<endOptional>>
+    Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+    disclaimer. <<beginOptional>>2<<endOptional>> <<beginOptional>>b<<endOptional>> Redistributions in binary form must
+    reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+    and/or other materials provided with the distribution."""
+BSD_END = """THIS SOFTWARE IS PROVIDED BY <<var;name="holder";words="8">> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+    INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+    DISCLAIMED. IN NO EVENT SHALL <<var;name="holder";words="8">> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+    SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+    SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+    WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE
+    USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: fixed values: label and wording in template markup, each a whole notice or licence text
 TEMPLATES = {
     "tpl-apache-2.0-notice": """Licensed under the Apache License<<beginOptional>>, <<endOptional>>
         <<beginOptional>>Version<<endOptional>> 2.0""",
-    "tpl-apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License");
-        you may not use this file except in compliance with the License. You may obtain a copy of the License at
-        <<beginOptional>>http://www.apache.org/licenses/LICENSE-2.0<<endOptional>>
-        <<var;name="where";words="8">> Unless required by applicable law or agreed to in writing, software
-        distributed under the License is distributed on an "AS IS" BASIS""",
+    "tpl-apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use
+        <<var;name="what";words="4">> except in compliance with the License. You may obtain a copy of the License at
+        <<beginOptional>>http<<endOptional>> <<beginOptional>>https<<endOptional>>
+        <<beginOptional>>://www.apache.org/licenses/LICENSE-2.0<<endOptional>>
+        <<beginOptional>>.txt<<endOptional>> Unless required by applicable law or agreed to in writing, software
+        distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+        either express or implied. See the License for the specific language governing permissions and limitations
+        under the License.""",
     "tpl-mit-notice": """<<var;name="verb";words="1">> under the <<beginOptional>>terms of the<<endOptional>>
         MIT License""",
     "tpl-mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of
         <<var;name="object";words="6">> and associated documentation files<<beginOptional>> (the
-        "Software")<<endOptional>>, to deal in <<var;name="software";words="4">> without restriction""",
+        "Software")<<endOptional>>, to deal in <<var;name="software";words="4">> without restriction, including
+        without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies
+        of <<var;name="software";words="4">>, and to permit persons to whom <<var;name="software";words="4">> is
+        furnished to do so, subject to the following conditions: The above copyright notice and this permission
+        notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or
+        substantial portions of <<var;name="software";words="4">>.
+        <<var;name="software";words="4">> IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+        INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT. IN NO EVENT SHALL <<var;name="holder";words="8">> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+        LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH
+        <<var;name="software";words="4">> OR THE USE OR OTHER DEALINGS IN <<var;name="software";words="4">>.""",
     "tpl-gpl-notice": """under the <<beginOptional>>terms of the<<endOptional>> <<beginOptional>>GNU<<endOptional>>
         General Public License <<beginOptional>>as published by the Free Software Foundation<<endOptional>>
         <<beginOptional>>either<<endOptional>> <<beginOptional>>version<<endOptional>>
         <<beginOptional>>v<<endOptional>> <<var;name="version";words="1">>""",
-    "tpl-bsd": """Redistribution and use in source and binary forms, with or without modification, are permitted
-        provided that the following conditions are met""",
+    "tpl-gpl-header": """<<var;name="program";words="4">> is free software<<beginOptional>>:<<endOptional>> you can
+        redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free
+        Software Foundation<<beginOptional>>;<<endOptional>> either version <<var;name="version";words="2">> of the
+        License, or (at your option) any later version. <<var;name="program";words="4">> is distributed in the hope
+        that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "tpl-bsd-2-clause": f"""{BSD_START} {BSD_END}""",
+    "tpl-bsd-3-clause": f"""{BSD_START} <<beginOptional>>3<<endOptional>>
+        <<beginOptional>>c<<endOptional>> Neither the name of <<var;name="holder";words="8">> nor the names of
+        <<var;name="whose";words="3">> contributors may be used to endorse or promote products derived from this
+        software without specific prior written permission. {BSD_END}""",
     "tpl-isc": """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software
-        for any purpose with or without fee is hereby granted""",
+        for any purpose with or without fee is hereby granted, provided that the above copyright notice and this
+        permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name="holder";words="6">>
+        DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+        FITNESS. IN NO EVENT SHALL <<var;name="holder";words="6">> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+        ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+        PERFORMANCE OF THIS SOFTWARE.""",
     "tpl-cc-by-nc": """Licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>Creative
         Commons<<endOptional>> CC BY-NC 4.0""",
     "tpl-cc-by": "Licensed under <<beginOptional>>a Creative Commons<<endOptional>> CC BY 4.0",

@@ -3,14 +3,14 @@
 Base kinds are patterns (``BASE``), each matched leftmost and non-overlapping
 over the whole text, with matches under the kind's least length dropped.
 
-The method adds the kind ``markov``: stretches of ``[A-Za-z0-9+/_=-]`` of at
-least ``LEAST`` characters that hold a letter and a digit and overlap no base
-span, whose first-order character model of random strings gives them a higher
-log-likelihood than the model of ordinary identifiers, by at least
-``PER_CHAR`` per character.  Both models are trained on labelled samples from
-the table itself: the values of base matches are the random strings, and
-stretches of the same alphabet of ``WORD`` to ``LEAST`` - 1 characters are
-ordinary identifiers.  Pair frequencies are smoothed with the frequencies of
+The method adds the kind ``markov``: stretches of ``[A-Za-z0-9+/_=-]``, of any
+length and outside the base spans (a stretch that one cuts is scored in parts),
+whose first-order character model of random strings gives them a higher
+log-likelihood than the model of ordinary identifiers, by at least ``PER_CHAR``
+per character and ``EVIDENCE`` in all.  Both models are trained on labelled
+samples from the table itself: the values of base matches are the random
+strings, and stretches outside base spans of the same alphabet, of ``WORD`` to
+``LEAST`` - 1 characters, are ordinary identifiers.  Pair frequencies are smoothed with the frequencies of
 single characters.  Training counts character pairs over all
 documents; what a task returns and what the driver sees is one table of pairs,
 of fixed size.
@@ -47,13 +47,12 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 LEAST = 16
 WORD = 3
 PER_CHAR = 1.0
+EVIDENCE = 24.0
 BACKOFF = 5.0  # weight of single characters in a pair's frequency, in counts
 #: a run of its alphabet that reaches the least length; the same spans as the pattern with its least length
 _ASSIGN = re.compile(BASE[0][1], re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(BASE[1][1])
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_STRETCH = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
-_MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
 CHARACTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 START = len(CHARACTERS)  # the mark before a stretch
 SIZE = (START + 1) ** 2
@@ -87,18 +86,38 @@ def pairs(stretch: str) -> np.ndarray:
     return np.concatenate([[START], c[:-1]]) * (START + 1) + c
 
 
-def _ordinary(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Pair counts of the ordinary identifiers in the bytes of some texts."""
+def _outside(column: pa.Array, i: int, j: int, offsets: np.ndarray, data: np.ndarray):
+    """Texts ``i`` to ``j``, their base spans, and their bytes with those spans
+    blanked, with the texts' edges."""
+    texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
+    base = [base_spans(t) for t in texts]
+    edges = offsets[i:j + 1] - offsets[i]
+    left = data[offsets[i]:offsets[j]].copy()
+    for k, (t, spans) in enumerate(zip(texts, base)):
+        if spans:
+            ascii_only = edges[k + 1] - edges[k] == len(t)
+            for a, b, _ in spans:
+                if not ascii_only:
+                    a, b = (len(t[:x].encode()) for x in (a, b))
+                left[edges[k] + a:edges[k] + b] = 0x20
+    return texts, base, left, edges
+
+
+def _stretch_pairs(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and sizes of the stretches of some texts and the pair codes of all."""
     start, stop = words(data, edges, _NOT_WORD)
-    ordinary = (stop - start >= WORD) & (stop - start < LEAST)
-    start, sizes = start[ordinary], (stop - start)[ordinary]
-    if not len(start):
-        return np.zeros(SIZE, np.int64)
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    sizes = stop - start
+    begin = np.cumsum(sizes) - sizes
     c = _CODE[data[np.repeat(start - begin, sizes) + np.arange(sizes.sum())]]
-    before = np.concatenate([[START], c[:-1]])
+    before = np.concatenate([[START], c[:-1]]) if len(c) else c
     before[begin] = START
-    return np.bincount(before * (START + 1) + c, minlength=SIZE)
+    return start, sizes, before * (START + 1) + c
+
+
+def _ordinary(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Pair counts of the ordinary identifiers in the bytes of some texts."""
+    _, sizes, codes = _stretch_pairs(data, edges)
+    return np.bincount(codes[np.repeat((sizes >= WORD) & (sizes < LEAST), sizes)], minlength=SIZE)
 
 
 def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -109,9 +128,10 @@ def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             for i, j in chunks(offsets, 1 << 20):
-                total[0] += _ordinary(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-                for t in batch.column(0).slice(i, j - i).to_pylist():
-                    for span in base_spans(t or ""):
+                texts, base, left, edges = _outside(batch.column(0), i, j, offsets, data)
+                total[0] += _ordinary(left, edges)
+                for t, spans in zip(texts, base):
+                    for span in spans:
                         value = re.sub(r"[^A-Za-z0-9+/_=-]", "", _secret_value(t, span))
                         if len(value) >= LEAST:
                             np.add.at(total[1], pairs(value), 1)
@@ -141,15 +161,30 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     return ratio.ravel()
 
 
+def _markov(left: np.ndarray, edges: np.ndarray, ratio: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, start, end) in bytes of the stretches that are more likely random."""
+    start, sizes, codes = _stretch_pairs(left, edges)
+    if not len(sizes):
+        return []
+    sums = np.add.reduceat(ratio[codes], np.cumsum(sizes) - sizes)
+    at = np.flatnonzero((sums >= EVIDENCE) & (sums >= PER_CHAR * sizes))
+    owner = np.searchsorted(edges, start[at], "right") - 1
+    return list(zip(owner.tolist(), (start[at] - edges[owner]).tolist(), (start[at] + sizes[at] - edges[owner]).tolist()))
+
+
 def markov_spans(text: str, base: list[tuple[int, int, int]], ratio: np.ndarray) -> list[tuple[int, int, int]]:
-    out = []
-    for m in _STRETCH.finditer(text):
-        a, b = m.span()
-        if not _MIXED.match(m.group()) or any(x < b and a < y for x, y, _ in base):
-            continue
-        if ratio[pairs(m.group())].sum() >= PER_CHAR * (b - a):
-            out.append((a, b, 3))
-    return out
+    """The added spans of one text, in code points."""
+    raw = np.frombuffer(text.encode(), np.uint8).copy()
+    for a, b, _ in base:
+        raw[len(text[:a].encode()):len(text[:b].encode())] = 0x20
+    return _in_code_points(text, [(a, b) for _, a, b in _markov(raw, np.array([0, len(raw)]), ratio)])
+
+
+def _in_code_points(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    if text.isascii():
+        return [(a, b, 3) for a, b in spans]
+    raw = text.encode()
+    return [(x := len(raw[:a].decode()), x + b - a, 3) for a, b in spans]  # a stretch is ASCII
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -171,12 +206,14 @@ def scan(docs: DataFrame, text: str = "text", ratio: np.ndarray | None = None) -
     def run(batches):
         ratio = shared.value
         for batch in batches:
-            _, offsets = text_bytes(batch.column(at))
+            data, offsets = text_bytes(batch.column(at))
             for i, j in chunks(offsets, 1 << 20):
-                rows = []
-                for t in batch.column(at).slice(i, j - i).to_pylist():
-                    base = base_spans(t or "")
-                    every = sorted(base + markov_spans(t or "", base, ratio), key=lambda s: (s[0], s[2]))
+                rows, found = [], {}
+                texts, bases, left, edges = _outside(batch.column(at), i, j, offsets, data)
+                for k, a, b in _markov(left, edges, ratio):
+                    found.setdefault(k, []).append((a, b))
+                for k, (t, base) in enumerate(zip(texts, bases)):
+                    every = sorted(base + _in_code_points(t, found.get(k, [])), key=lambda s: (s[0], s[2]))
                     n = [sum(k == x for _, _, k in every) for x in range(4)]
                     rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every)))
                 cols = list(zip(*rows))
