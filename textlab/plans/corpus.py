@@ -9,7 +9,7 @@ from ..functions import patterns as P
 from ..functions import text as TX
 from ..operators import pairing, profile, quantiles, rules, sampling, tables
 from ..session import checkpoint_root, shared_path
-from ..sources import io
+from ..sources import io, versions
 from . import lexicons as LX
 from .common import load, r6
 
@@ -246,8 +246,8 @@ def resume_remaining_q(spark, sf_dir):
     return done.select("doc_id", "prediction", F.lit("kept").alias("status")).unionByName(new)
 
 
-def _corrected(spark, sf_dir):
-    """(corrected labels, ids that corrections name and the labels lack)."""
+def _fixes(spark, sf_dir):
+    """(labels, corrections of their quality)."""
     labels = load(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     docs = load(spark, sf_dir, "documents", "doc_id", "n_chars")
     c1 = labels.where(F.col("toxic") == 1).select(F.lit(1).alias("seq"), "doc_id",
@@ -256,10 +256,27 @@ def _corrected(spark, sf_dir):
           .select(F.lit(2).alias("seq"), "doc_id", F.lit(1).alias("quality")))
     c3 = (tables.exclude_keys(docs, labels.select("doc_id"), "doc_id").where(F.col("n_chars") > 15000)
           .select(F.lit(3).alias("seq"), "doc_id", F.lit(0).alias("quality")))
-    fixes = c1.unionByName(c2).unionByName(c3)
+    return labels, c1.unionByName(c2).unionByName(c3)
+
+
+def _corrected(spark, sf_dir):
+    """(corrected labels, ids that corrections name and the labels lack)."""
+    labels, fixes = _fixes(spark, sf_dir)
     return tables.apply_corrections(labels, fixes, "doc_id", "seq", ["quality"])
 
 
+def correct_files_q(spark, sf_dir):
+    """The same corrections on a table of many files, of which only those with a
+    named id are rewritten; the version before them is read again beside it."""
+    labels, fixes = _fixes(spark, sf_dir)
+    base = shared_path(spark, "versioned-labels")
+    first = versions.create(labels.repartitionByRange(16, "doc_id"), base)
+    second, _, _ = versions.correct(spark, base, first, labels.schema, fixes, "doc_id", "seq", ["quality"])
+    before = versions.read(spark, base, first, labels.schema).withColumnRenamed("quality", "quality_before").drop("toxic")
+    return versions.read(spark, base, second, labels.schema).join(before, "doc_id").select(
+        "doc_id", "quality", "toxic", "quality_before")
+
+
 def unknown_corrections_q(spark, sf_dir):
     return _corrected(spark, sf_dir)[1]
 

@@ -830,3 +830,4 @@ WITH t AS MATERIALIZED (SELECT {eda_tokens('c')} AS w FROM ({CLEAN_DOCS})),
 g AS ({" UNION ALL ".join(f"SELECT array_to_string(w[i:i + {k - 1}], ' ') AS gram FROM (SELECT w, unnest(range(1, len(w) - {k - 2})) AS i FROM t)"
                           for k in (1, 2, 3))})
 SELECT gram, count(*) AS count FROM g GROUP BY gram ORDER BY count DESC, gram LIMIT 60"""
+SQL["correct_files"] = SQL["apply_corrections"].replace("lst.doc_id IS NOT NULL AS corrected", "l.quality AS quality_before")

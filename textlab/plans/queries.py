@@ -207,6 +207,7 @@ QUERIES = {
     "review_order": corpus.review_order_q,
     "apply_corrections": corpus.apply_corrections_q,
     "unknown_corrections": corpus.unknown_corrections_q,
+    "correct_files": corpus.correct_files_q,
     "label_audit": labelling.label_audit_q,
     "audit_summary": labelling.audit_summary_q,
     "audit_top_rows": labelling.audit_top_rows_q,
