@@ -10,8 +10,9 @@ formed as a whole:
 * Columns: a pair that links shares a shingle among the first
   ``n - ceil(0.8 n) + 1`` of each set in one common order, rarest first.  First
   come the shingles that only one set holds, as far as a filter of slots that
-  two sets have hit can tell, then the others by a count sketch of 2**22
-  counters; both only rank shingles, so collisions cost work, not links.  The
+  two sets have hit can tell, then the others by how often tasks met them
+  again, in 2**22 counters; both only rank shingles, so collisions cost work,
+  not links.  The
   filter has about two slots a word, from 2**20 to 2**29 (64 MB); beyond some
   300 million words it tells fewer apart.  Of the leading entries only those
   that another set may hold shuffle.
@@ -77,15 +78,17 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-# -- pass 1: set sizes, set ids, the count sketch and the filter --------------
+# -- pass 1: the counters and the filter ---------------------------------------
 
 
 class Shared:
-    """Which slots the shingles of one and of two sets have hit, as bits."""
+    """Which slots the shingles of one and of two sets have hit, as bits, and
+    counters of the later hits."""
 
     def __init__(self, log2: int):
         self.shift = np.uint64(64 - log2)
         self.once, self.twice = np.zeros(1 << log2 - 3, np.uint8), np.zeros(1 << log2 - 3, np.uint8)
+        self.counts = np.zeros(1 << min(log2, SKETCH_LOG2), np.uint16)
         self.held, self.n = [], 0
 
     def add(self, shingles: np.ndarray) -> None:
@@ -104,6 +107,8 @@ class Shared:
         slots = slots[new]
         again = np.concatenate([again, slots[hit(self.once, slots)]])
         again.sort()
+        at, hits = np.unique(again & (len(self.counts) - 1), return_counts=True)
+        self.counts[at] = np.minimum(self.counts[at] + hits, 0xFF)
         _mark(self.twice, again)
         _mark(self.once, slots)
 
@@ -130,42 +135,27 @@ def filter_log2(docs: DataFrame) -> int:
     return min(max(FILTER_LOG2[0], int(2 * size // BYTES_A_WORD).bit_length()), FILTER_LOG2[1])
 
 
-def _describe(docs: DataFrame, log2: int) -> DataFrame:
-    """Rows (doc_id, n, node) of the documents and, per task, the blocks of its
-    count sketch and of its filter (block, counts, once, twice)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    size, per = 1 << SKETCH_LOG2, (1 << SKETCH_LOG2) // SKETCH_BLOCKS
+def _task_tables(docs: DataFrame, log2: int) -> DataFrame:
+    """Per task, the blocks of its counters and of its filter."""
 
     def run(batches):
         drop_kept()
-        sketch, shared, key_type, seen = np.zeros(size, np.uint8), Shared(log2), None, set()
+        shared, seen = Shared(log2), set()
         for batch in batches:
-            key_type, rows = batch.schema.field(0).type, []
-            for i, s, _ in shingle_sets(batch.column(1), WHITE, WIDTH):
+            for _, s, _ in shingle_sets(batch.column(0), WHITE, WIDTH):
                 node = node_id(s) if len(s) else None
-                rows.append((i, len(s), node))
                 if node is not None and node not in seen:  # copies within a task count once
                     seen.add(node)
-                    at = (s & np.uint64(size - 1)).astype(np.int64)
-                    sketch[at] = np.where(sketch[at] < 0xFF, sketch[at] + 1, 0xFF)
                     shared.add(s)
-            if rows:
-                i, n, node = zip(*rows)
-                none = pa.nulls(len(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(i)), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
-                     none.cast(pa.int32()), *[none.cast(pa.binary())] * 3], names=["doc_id", "n", "node", "block", "counts", "once", "twice"])
-        if key_type is not None:
+        if seen:
             shared.flush()
-            tables = [x.reshape(SKETCH_BLOCKS, -1) for x in (sketch, shared.once, shared.twice)]
-            some = [b for b in range(SKETCH_BLOCKS) if any(t[b].any() for t in tables)]
-            none = pa.nulls(len(some))
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(some), key_type), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(some, pa.int32()),
-                 *(pa.array([zlib.compress(t[b].tobytes(), 1) for b in some], pa.binary()) for t in tables)],
-                names=["doc_id", "n", "node", "block", "counts", "once", "twice"])
+            tables = [x.reshape(SKETCH_BLOCKS, -1) for x in (shared.counts.astype(np.uint8), shared.once, shared.twice)]
+            for b in range(SKETCH_BLOCKS):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b], pa.int32()), *(pa.array([zlib.compress(t[b].tobytes(), 1)], pa.binary()) for t in tables)],
+                    names=["block", "counts", "once", "twice"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, node long, block int, counts binary, once binary, twice binary")
+    return docs.select("text").mapInArrow(run, "block int, counts binary, once binary, twice binary")
 
 
 class Order:
@@ -180,13 +170,15 @@ class Order:
         return hit(self.twice, (s >> self.shift).astype(np.int64))
 
     def rank(self, s: np.ndarray) -> np.ndarray:
-        return self.counts[(s & np.uint64(len(self.counts) - 1)).astype(np.int64)].astype(np.int64) + (self.shared(s) << 20)
+        slots = (s >> self.shift).astype(np.int64)
+        return self.counts[slots & (len(self.counts) - 1)].astype(np.int64) + (hit(self.twice, slots).astype(np.int64) << 20)
 
 
-def _order(described: DataFrame, log2: int) -> Order:
+def _order(docs: DataFrame) -> Order:
     """Sums of the tasks' tables, block by block: 2**22 counters and a bit a
     slot come to the driver."""
-    per, bits = (1 << SKETCH_LOG2) // SKETCH_BLOCKS, (1 << log2 - 3) // SKETCH_BLOCKS
+    log2 = filter_log2(docs)
+    per, bits = (1 << min(log2, SKETCH_LOG2)) // SKETCH_BLOCKS, (1 << log2 - 3) // SKETCH_BLOCKS
 
     def add(batches):
         drop_kept()
@@ -198,20 +190,19 @@ def _order(described: DataFrame, log2: int) -> Order:
                     shared[b].once, shared[b].twice = np.zeros(bits, np.uint8), np.zeros(bits, np.uint8)
                 total[b] += np.frombuffer(zlib.decompress(c), np.uint8)
                 shared[b].merge(*(np.frombuffer(zlib.decompress(x), np.uint8) for x in seen))
-        if total:
+        for b, v in total.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.int32()), pa.array([np.minimum(v, (1 << 16) - 1).astype(np.uint16).tobytes() for v in total.values()], pa.binary()),
-                 pa.array([shared[b].twice.tobytes() for b in total], pa.binary())], names=["block", "counts", "twice"])
+                [pa.array([b], pa.int32()), pa.array([np.minimum(v, (1 << 16) - 1).astype(np.uint16).tobytes()], pa.binary()),
+                 pa.array([shared[b].twice.tobytes()], pa.binary())], names=["block", "counts", "twice"])
 
-    parts = described.where("block is not null").select("block", "counts", "once", "twice")
-    summed = parts.repartition(SKETCH_BLOCKS, "block").mapInArrow(add, "block int, counts binary, twice binary")
+    summed = _task_tables(docs, log2).repartition(SKETCH_BLOCKS, "block").mapInArrow(add, "block int, counts binary, twice binary")
     counts, twice = np.zeros((SKETCH_BLOCKS, per), np.uint16), np.zeros((SKETCH_BLOCKS, bits), np.uint8)
-    for b, c, t in summed.toLocalIterator():  # 64 rows
+    for b, c, t in summed.collect():  # 64 rows
         counts[b], twice[b] = np.frombuffer(c, np.uint16), np.frombuffer(t, np.uint8)
     return Order(counts.ravel(), twice.ravel())
 
 
-# -- pass 2: the leading columns of each row ---------------------------------
+# -- pass 2: set sizes, set ids and the leading columns of each row -------------
 
 
 def leading(s: np.ndarray, order: Order) -> tuple[np.ndarray, int]:
@@ -222,48 +213,50 @@ def leading(s: np.ndarray, order: Order) -> tuple[np.ndarray, int]:
     return s[first], int(c[first[-1]])
 
 
-def _leading(docs: DataFrame, order: Order) -> DataFrame:
-    """(gram, node, n): the leading shingles of each distinct set of a task that
+def _describe(docs: DataFrame, order: Order) -> DataFrame:
+    """(doc_id, n, node, grams) of the documents: the size and the id of the
+    set and, for the first of a task that has it, the leading shingles that
     another set may hold."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
         drop_kept()
         order, seen = shared.value, set()
         for batch in batches:
-            grams, nodes, sizes, total = [], [], [], 0
-            for _, s, _ in shingle_sets(batch.column(1), WHITE, WIDTH):
-                node = node_id(s) if len(s) else None
-                if node is None or node in seen:
-                    continue
-                seen.add(node)
-                first, _ = leading(s, order)
-                first = first[order.shared(first)]
-                k = len(first)
-                grams.append(first >> np.uint64(16))  # enough to meet by; a chance meeting costs work only
-                nodes.append(np.full(k, node, np.int64))
-                sizes.append(np.full(k, len(s), np.int64))
-                total += k
+            rows, grams, total = [], [], 0
+            for i, s, _ in shingle_sets(batch.column(1), WHITE, WIDTH):
+                node, first = node_id(s) if len(s) else None, s[:0]
+                if node is not None and node not in seen:
+                    seen.add(node)
+                    first, _ = leading(s, order)
+                    first = first[order.shared(first)] >> np.uint64(16)  # enough to meet by; a chance meeting costs work only
+                rows.append((i, len(s), node))
+                grams.append(first)
+                total += len(first)
                 if total > 1 << 18:
-                    yield _flush(grams, nodes, sizes)
-                    grams, nodes, sizes, total = [], [], [], 0
-            if total:
-                yield _flush(grams, nodes, sizes)
+                    yield _flush(batch, rows, grams)
+                    rows, grams, total = [], [], 0
+            if rows:
+                yield _flush(batch, rows, grams)
 
-    def _flush(grams, nodes, sizes):
+    def _flush(batch, rows, grams):
+        i, n, node = zip(*rows)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(nodes)),
-             pa.array(np.concatenate(sizes).astype(np.int32))], names=["gram", "node", "n"])
+            [batch.column(0).take(pa.array(i)), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
+             lists(np.concatenate(grams).view(np.int64), np.array([len(g) for g in grams]), pa.int64())],
+            names=["doc_id", "n", "node", "grams"])
 
-    return docs.mapInArrow(run, "gram long, node long, n int")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, node long, grams array<long>")
 
 
-def _candidates(docs: DataFrame, order: Order) -> DataFrame:
+def _candidates(described: DataFrame) -> DataFrame:
     """(hub, hub_n, node, n): the members of each block, once each."""
     from pyspark.sql import Window
 
     column = Window.partitionBy("gram")
-    pairs = (_leading(docs, order)
+    leads = described.select(F.explode("grams").alias("gram"), "node", F.col("n").cast("int").alias("n"))
+    pairs = (leads
             .withColumn("first", F.min(F.struct("node", "n")).over(column))
             .where((F.col("first.node") != F.col("node")) | (F.col("first.n") != F.col("n")))
             .select(F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), "node", "n").distinct())
@@ -501,16 +494,15 @@ def _links(members: DataFrame, rows: DataFrame) -> DataFrame:
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     docs = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    log2 = filter_log2(docs)
-    described = materialise_table(_describe(docs, log2), "ngram-sets")
-    order = _order(described, log2)
-    members = materialise(_candidates(docs, order))
+    order = _order(docs)
+    described = materialise_table(_describe(docs, order), "ngram-sets")
+    members = materialise(_candidates(described))
     members = materialise(_survivors(members, _rows(docs, _active_bits(members), order)))
     links = materialise(_links(members, _rows(docs, _active_bits(members), None)))
     # a set is known by its hash and its size
     linked = components(links.select(F.struct(F.col("a").alias("node"), F.col("a_n").alias("n")).alias("a"),
                                      F.struct(F.col("b").alias("node"), F.col("b_n").alias("n")).alias("b")), "a", "b")
-    members = described.where("block is null").select("doc_id", "n", "node")
+    members = described.select("doc_id", "n", "node")
     sets = members.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("least"))
     labels = linked.select("node.node", F.col("node.n").cast("long").alias("n"), "label")
     labelled = labels.join(sets, ["node", "n"])
