@@ -89,7 +89,8 @@ def test_word_ids_equal_the_tokenizer(word_bpe):
 def test_any_letters_before_a_mark_equal_the_tokenizer(word_bpe):
     r, words = random.Random(6), packing.WordIds(tokenizer_path(WORD_BPE))
     letters = [chr(c) for c in range(0xAA, 0x30000) if chr(c).isalpha() and (c < 0x3000 or c % 40 == 0)]
-    texts = [" ".join(r.choice(letters) + r.choice(["", "a", "\u0307", "\u093c"]) + r.choice(",.") for _ in range(3)) for _ in range(20000)]
+    texts = [" ".join(r.choice(letters) + r.choice(["", "a", "\u0307", "\u093c"])
+                     + "".join(r.choices(packing._TAIL + "'" + "\x1c\u00a0\u2003", k=r.randint(1, 3))) for _ in range(3)) for _ in range(20000)]
     for a in range(0, len(texts), 500):
         some = texts[a:a + 500]
         want = [e.ids for e in word_bpe.encode_batch(some, add_special_tokens=False)]

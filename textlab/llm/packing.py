@@ -40,7 +40,10 @@ CACHE_WORDS = 1_000_000  # of about 200 bytes each, in every worker
 #: texts are split here before the tokenizer sees them: it drops white space
 #: and none of its tokens, special ones included, holds any
 _GAP = re.compile("[ \t\n\r]+")
-_TAIL = ".,"
+#: marks that are one piece behind letters, whatever they are (an apostrophe may start an ending)
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: white space to Python, not to the tokenizer
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class WordIds(dict):
@@ -71,7 +74,8 @@ class WordIds(dict):
             else:
                 other.append(s)
         # letters only: one word each, and so one word-end token each
-        words = [w for w in {*words, *(core for _, core in tailed)} - self.keys() if len(w) < 100]
+        # (a set less self.keys() would walk through all keys)
+        words = [w for w in {*words, *(core for _, core in tailed)} if w not in self and len(w) < 100]
         for at in range(0, len(words), 500):
             some = words[at:at + 500]
             flat = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
@@ -81,10 +85,10 @@ class WordIds(dict):
                 self.update(zip(some, map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:]))))
             else:  # letters that the tokenizer's normal form takes apart
                 self.encode_each(some)
-        self.encode_each([w for w in stretches - self.keys() if w.isalpha()] + other
-                         + [c for c in {core for _, core in tailed} - self.keys()])
+        self.encode_each([w for w in stretches if w not in self and w.isalpha()] + other
+                         + [c for c in {core for _, core in tailed} if c not in self])
         tails = {s[len(core):] for s, core in tailed}
-        self.encode_each(list(tails - self.keys()))
+        self.encode_each([t for t in tails if t not in self])
         for s, core in tailed:
             self[s] = self[core] + self[s[len(core):]]
 
@@ -100,11 +104,12 @@ class WordIds(dict):
                 self[s] = np.array(e.ids, "<u4").tobytes()
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        split = [_GAP.split(t) for t in texts]
-        new = set().union(*split) - self.keys()
+        split = [_GAP.split(t) if any(c in t for c in _SEPARATORS) else t.split() for t in texts]
+        every = set().union(*split)
+        new = {s for s in every if s not in self}
         if new:
             if len(self) + len(new) > self.limit:
-                new = set().union(*split)
+                new = every
             self.learn(new)
         get = self.__getitem__
         return [b"".join(map(get, s)) for s in split]
