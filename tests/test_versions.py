@@ -1,4 +1,4 @@
-"""Corrections that rewrite touched files only, and rules as data."""
+"""Corrections that rewrite touched files only."""
 
 import hashlib
 import os

@@ -69,10 +69,13 @@ def reason(intent: str, msg: str, variant: str, rules=LX.REASON_RULES) -> str:
     return f"CASE {' '.join(parts)} ELSE {tail} END"
 
 
-def policy_reason(intent: str, msg: str, esc: str, rules=LX.REASON_RULES) -> str:
+def policy_reason(intent: str, msg: str, esc: str, rules=LX.REASON_RULES, amount: str | None = None) -> str:
     rank = {tag: n for n, tag in enumerate(P.POLICY_PRIORITY)}
     cands = [f"CASE WHEN {words(msg, alt)} THEN {rank[tag]} END" for tag, alt in rules]
     cands += [f"CASE WHEN {intent} = {q(name)} THEN {rank[tag]} END" for name, tag in P.REASON_BY_INTENT]
+    if amount:
+        cands += [f"CASE WHEN {intent} = {q(name)} AND {amount} > {limit} THEN {rank['high_value']} END"
+                  for name, limit in P.AMOUNT_THRESHOLDS.items()]
     cands.append(f"CASE WHEN {esc} = 'auto_handle' AND NOT {in_list(intent, P.HYBRID_LOW_RISK_INTENTS)} "
                  f"THEN {rank['deterministic_action']} END")
     cands.append(str(rank["low_risk"]))
@@ -831,3 +834,8 @@ g AS ({" UNION ALL ".join(f"SELECT array_to_string(w[i:i + {k - 1}], ' ') AS gra
                           for k in (1, 2, 3))})
 SELECT gram, count(*) AS count FROM g GROUP BY gram ORDER BY count DESC, gram LIMIT 60"""
 SQL["correct_files"] = SQL["apply_corrections"].replace("lst.doc_id IS NOT NULL AS corrected", "l.quality AS quality_before")
+SQL["policy_from_rules"] = f"""
+SELECT conv_id, turn, intent, escalation, {reason('intent', 'msg', 'hybrid')} AS reason_hybrid,
+       {reason('intent', 'msg', 'simple')} AS reason_simple,
+       {policy_reason('intent', 'msg', 'escalation', amount='(conv_id * 37 % 9000)')} AS reason_policy
+FROM (SELECT *, {escalation('intent', 'msg')} AS escalation FROM ({SCORED}))"""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as TX
 from ..operators import metrics as M
-from ..operators import pairing, rules
+from ..operators import pairing, rule_table, rules
 from ..operators.tables import combine_rows
 from . import lexicons as LX
 from .common import load, r6
@@ -90,6 +90,17 @@ def reason_priority_q(spark, sf_dir):
         rules.policy_reason("intent", "msg", "escalation", rules=LX.REASON_RULES).alias("reason_policy_order"))
 
 
+def policy_from_rules_q(spark, sf_dir):
+    """The policy as rows of a rules table, with the amount thresholds; every
+    message names an amount that follows from its conversation."""
+    s = _scored_messages(spark, sf_dir).select(
+        "conv_id", "turn", "intent", F.concat("msg", F.lit(" $"), (F.col("conv_id") * 37 % 9000).cast("string")).alias("msg"))
+    rows = rule_table.policy_table(critical=LX.CRITICAL_WORDS, repeat=LX.REPEAT_WORDS, reasons=LX.REASON_RULES,
+                                   amounts=P.AMOUNT_THRESHOLDS)
+    decisions = ["escalation", "reason_hybrid", "reason_simple", "reason_policy"]
+    return rule_table.decide(s, spark.createDataFrame(rows, rule_table.SCHEMA), decisions, "msg", "intent").drop("msg")
+
+
 def reason_consistency_q(spark, sf_dir):
     s = _scored_messages(spark, sf_dir).select(
         "conv_id", "turn", F.col("intent").alias("predicted_intent"),
@@ -177,6 +188,7 @@ QUERIES = {
     "clean_pages": clean_pages_q,
     "policy_decision": policy_decision_q,
     "reason_priority": reason_priority_q,
+    "policy_from_rules": policy_from_rules_q,
     "reason_consistency": reason_consistency_q,
     "eval_metrics": eval_metrics_q,
     "per_class_metrics": per_class_metrics_q,
