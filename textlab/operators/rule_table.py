@@ -17,7 +17,7 @@ whatever their number, the others one regular expression each.  A text gets the
 numbers of the patterns it holds; a decision is then one filter over the table,
 which is broadcast as one row.  Adding a rule adds a row and changes no plan.
 
-Cases: null text holds no pattern; a null intent meets no ``intents`` and every
+Cases: null text holds no pattern; a null intent meets no ``intents`` and no
 ``not_intents``; without a rule that applies the outcome is null; an empty table
 decides nothing; a table of more than ``MOST_RULES`` rows is an error, as it is
 broadcast.
@@ -28,7 +28,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,6 +108,22 @@ def with_hits(df: DataFrame, text: str, patterns: list[str], hits: str = "hits")
     return low.mapInArrow(run, schema)
 
 
+def _test(decision: str, intent: str, escalation: Column):
+    """Whether a rule is of the decision and all its conditions hold."""
+    def applies(r: Column) -> Column:
+        conditions = [r["number"].isNull() | F.array_contains(F.col("_hits"), r["number"]),
+                      r["intents"].isNull() | F.array_contains(r["intents"], F.col(intent)),
+                      r["not_intents"].isNull() | ~F.array_contains(r["not_intents"], F.col(intent)),
+                      r["escalation"].isNull() | (r["escalation"] == escalation),
+                      r["above"].isNull() | (F.col("_amount") > r["above"])]
+        every = r["decision"] == decision
+        for condition in conditions:
+            every = every & F.coalesce(condition, F.lit(False))
+        return every
+
+    return applies
+
+
 def decide(df: DataFrame, rules: DataFrame, decisions: list[str], text: str, intent: str, amounts: bool = True) -> DataFrame:
     """``df`` plus one column per decision, in order; a decision named
     ``escalation`` is seen by those after it."""
@@ -124,18 +140,8 @@ def decide(df: DataFrame, rules: DataFrame, decisions: list[str], text: str, int
     out = out.withColumn("_amount", message_amount(text) if amounts else F.lit(None).cast("long")).withColumn("_one", F.lit(1))
     out = out.join(F.broadcast(table.withColumn("_one", F.lit(1))), "_one")  # one row
     for decision in decisions:
-        def applies(r, decision=decision):
-            escalation = F.col("escalation") if "escalation" in out.columns else F.lit(None).cast("string")
-            tests = [r["number"].isNull() | F.array_contains(F.col("_hits"), r["number"]),
-                     r["intents"].isNull() | F.array_contains(r["intents"], F.col(intent)),
-                     r["not_intents"].isNull() | ~F.coalesce(F.array_contains(r["not_intents"], F.col(intent)), F.lit(False)),
-                     r["escalation"].isNull() | (r["escalation"] == escalation),
-                     r["above"].isNull() | (F.col("_amount") > r["above"])]
-            every = r["decision"] == decision
-            for t in tests:
-                every = every & F.coalesce(t, F.lit(False))
-            return every
-
+        escalation = F.col("escalation") if "escalation" in out.columns else F.lit(None).cast("string")
+        applies = _test(decision, intent, escalation)
         first = F.array_min(F.transform(F.filter("_rules", applies), lambda r: F.struct(r["priority"].alias("p"), r["tag"].alias("t"))))
         out = out.withColumn(decision, first["t"])
     return out.select(*names, *decisions)
