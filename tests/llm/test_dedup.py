@@ -176,6 +176,17 @@ def test_filter_knows_every_shingle_of_two_sets(log2):
         assert order.shared(values[times == 1]).mean() < 0.05
 
 
+def test_packed_bits_come_back():
+    r = np.random.default_rng(8)
+    for share in (0.0, 0.0005, 0.01, 0.4, 1.0):
+        bits = np.packbits(r.random(1 << 14) < share, bitorder="little")
+        for ends in ((0, 0), (1, 128)):  # the first and the last bit
+            bits[0], bits[-1] = bits[0] | ends[0], bits[-1] | ends[1]
+            raw = ngram_join.packed(bits)
+            assert (ngram_join.unpacked(raw, len(bits)) == bits).all()
+    assert len(ngram_join.packed(np.packbits(np.arange(1 << 14) % 1000 == 5, bitorder="little"))) < 80
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     links = [(k, k + 1) for k in range(0, 60)] + [(1000, k) for k in range(1001, 1100)] + [(5000, 5000)]
     df = spark.createDataFrame(links, "a long, b long")

@@ -129,6 +129,23 @@ def _mark(bits: np.ndarray, slots: np.ndarray) -> None:
         bits[at[first]] |= np.bitwise_or.reduceat(value, first)
 
 
+def packed(bits: np.ndarray) -> bytes:
+    """Set bits as the gaps between them, a byte for a gap below 255 and a byte
+    more for every 255."""
+    gaps = np.diff(np.flatnonzero(np.unpackbits(bits, bitorder="little")), prepend=0)
+    more = gaps // 255
+    out = np.full(len(gaps) + int(more.sum()), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = gaps % 255
+    return out.tobytes()
+
+
+def unpacked(raw: bytes, size: int) -> np.ndarray:
+    """The ``size`` bytes of bits that :func:`packed` made."""
+    gaps, bits = np.frombuffer(raw, np.uint8), np.zeros(size, np.uint8)
+    _mark(bits, np.cumsum(gaps, dtype=np.int64)[gaps != 255])
+    return bits
+
+
 def filter_log2(docs: DataFrame) -> int:
     """Slots for about twice the words of all texts, within ``FILTER_LOG2``."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -149,11 +166,11 @@ def _task_tables(docs: DataFrame, log2: int) -> DataFrame:
                     shared.add(s)
         if seen:
             shared.flush()
-            tables = [x.reshape(SKETCH_BLOCKS, -1) for x in (shared.counts.astype(np.uint8), shared.once, shared.twice)]
+            counts, once, twice = (x.reshape(SKETCH_BLOCKS, -1) for x in (shared.counts.astype(np.uint8), shared.once, shared.twice))
             for b in range(SKETCH_BLOCKS):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b], pa.int32()), *(pa.array([zlib.compress(t[b].tobytes(), 1)], pa.binary()) for t in tables)],
-                    names=["block", "counts", "once", "twice"])
+                parts = zlib.compress(counts[b].tobytes(), 1), packed(once[b]), packed(twice[b])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in parts)],
+                                                 names=["block", "counts", "once", "twice"])
 
     return docs.select("text").mapInArrow(run, "block int, counts binary, once binary, twice binary")
 
@@ -189,7 +206,7 @@ def _order(docs: DataFrame) -> Order:
                     total[b], shared[b] = np.zeros(per, np.uint32), Shared(3)
                     shared[b].once, shared[b].twice = np.zeros(bits, np.uint8), np.zeros(bits, np.uint8)
                 total[b] += np.frombuffer(zlib.decompress(c), np.uint8)
-                shared[b].merge(*(np.frombuffer(zlib.decompress(x), np.uint8) for x in seen))
+                shared[b].merge(*(unpacked(x, bits) for x in seen))
         for b, v in total.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b], pa.int32()), pa.array([np.minimum(v, (1 << 16) - 1).astype(np.uint16).tobytes()], pa.binary()),
