@@ -10,7 +10,8 @@
    ``n``.  If even an n-gram that no task lists could reach it, the counters
    were too few and step 1 is repeated with ``MORE`` times as many, up to
    ``MOST_COUNTERS``.
-3. The n-grams that are left are counted in a second pass; where counts are so
+3. If the bounds of the n-grams that are left are sure counts, as those of very
+   frequent ones are, that is the result.  Otherwise a second pass counts them; where counts are so
    alike that more than ``BROADCAST_ROWS`` are left, all n-grams are counted.
 
 Shuffled rows are ``counters`` a task and the candidates a task, whatever the
@@ -37,44 +38,62 @@ BROADCAST_ROWS = 1_000_000
 
 
 class SpaceSaving:
-    """Counters with upper bounds; batches of counts at a time."""
+    """Counters with upper bounds; batches of counts at a time.
+
+    A batch may leave out n-grams that occurred in it at most ``cut`` times: the
+    bounds of all that it does not list then rise by ``cut``.  ``lift`` is the sum
+    of the cuts; what is stored is less by it."""
 
     def __init__(self, counters: int):
-        self.counters, self.floor = counters, 0
-        self.upper: dict[str, int] = {}
-        self.wrong: dict[str, int] = {}
+        self.counters, self.lift, self.low = counters, 0, 0
+        self.stored: dict[str, int] = {}
+        self.doubt: dict[str, int] = {}
+
+    @property
+    def floor(self) -> int:
+        return self.low + self.lift
+
+    @property
+    def upper(self) -> dict[str, int]:
+        return {g: b + self.lift for g, b in self.stored.items()}
 
-    def add(self, grams: Sequence[str], counts: Sequence[int]) -> None:
-        upper, floor = self.upper, self.floor
+    @property
+    def wrong(self) -> dict[str, int]:
+        return {g: w + self.lift for g, w in self.doubt.items()}
+
+    def add(self, grams: Sequence[str], counts: Sequence[int], cut: int = 0) -> None:
+        stored, doubt, low = self.stored, self.doubt, self.low - cut
         for gram, count in zip(grams, counts):
-            if gram in upper:
-                upper[gram] += count
+            if gram in stored:
+                stored[gram] += count - cut
+                doubt[gram] -= cut
             else:
-                upper[gram] = floor + count
-                self.wrong[gram] = floor
-        if len(upper) > 2 * self.counters:
+                stored[gram] = low + count
+                doubt[gram] = low
+        self.lift += cut
+        if len(stored) > 2 * self.counters:
             self.shrink()
 
     def shrink(self) -> None:
-        if len(self.upper) <= self.counters:
+        if len(self.stored) <= self.counters:
             return
-        bounds = np.fromiter(self.upper.values(), np.int64, len(self.upper))
+        bounds = np.fromiter(self.stored.values(), np.int64, len(self.stored))
         cut = int(np.partition(bounds, len(bounds) - self.counters)[len(bounds) - self.counters])
-        keep, room = {}, self.counters
-        for gram, bound in self.upper.items():
+        keep, room = {}, self.counters - int((bounds > cut).sum())
+        for gram, bound in self.stored.items():
             if bound > cut:
                 keep[gram] = bound
-                room -= 1
-        for gram, bound in self.upper.items():
-            if bound == cut and room:
+            elif bound == cut and room:
                 keep[gram] = bound
                 room -= 1
-        self.floor = max(self.floor, cut)
-        self.upper, self.wrong = keep, {g: self.wrong[g] for g in keep}
+        self.low = max(self.low, cut)
+        self.stored, self.doubt = keep, {g: self.doubt[g] for g in keep}
 
 
-def gram_counts(tokens: pa.Array, sizes: Sequence[int]) -> Iterator[tuple[list[str], list[int]]]:
-    """The different n-grams of a batch of token lists and their counts, by size."""
+def gram_counts(tokens: pa.Array, sizes: Sequence[int], most: int = 1 << 62) -> Iterator[tuple[list[str], list[int], int]]:
+    """The different n-grams of a batch of token lists and their counts, by size.
+    Where there are more than ``most``, only those that occur more often than the
+    third value."""
     lists = tokens.combine_chunks() if isinstance(tokens, pa.ChunkedArray) else tokens
     flat = lists.flatten()
     owner = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -95,21 +114,26 @@ def gram_counts(tokens: pa.Array, sizes: Sequence[int]) -> Iterator[tuple[list[s
         for k in range(1, size):  # numbers of different prefixes stay below the number of tokens
             _, group = np.unique(group * len(words) + code[at + k], return_inverse=True)
         _, first, counts = np.unique(group, return_index=True, return_counts=True)
+        cut = 0
+        if len(counts) > most:
+            cut = int(np.partition(counts, len(counts) - most)[len(counts) - most])
+            first, counts = first[counts > cut], counts[counts > cut]
         columns = [code[at[first] + k].tolist() for k in range(size)]
-        yield [" ".join([words[c] for c in row]) for row in zip(*columns)], counts.tolist()
+        yield [" ".join([words[c] for c in row]) for row in zip(*columns)], counts.tolist(), cut
 
 
 def _summaries(tokens: DataFrame, sizes: Sequence[int], counters: int) -> DataFrame:
     def run(batches):
         kept = SpaceSaving(counters)
         for batch in batches:
-            for grams, counts in gram_counts(batch.column(0), sizes):
-                kept.add(grams, counts)
+            for counted in gram_counts(batch.column(0), sizes, counters):
+                kept.add(*counted)
         kept.shrink()
-        names = [None, *kept.upper]
+        upper, wrong = kept.upper, kept.wrong
+        names = [None, *upper]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array([0, *kept.upper.values()], pa.int64()),
-             pa.array([0, *(b - kept.wrong[g] for g, b in kept.upper.items())], pa.int64()),
+            [pa.array(names, pa.string()), pa.array([0, *upper.values()], pa.int64()),
+             pa.array([0, *(b - wrong[g] for g, b in upper.items())], pa.int64()),
              pa.array([kept.floor] * len(names), pa.int64())], names=["gram", "upper", "sure", "floor"])
 
     return tokens.mapInArrow(run, "gram string, upper long, sure long, floor long")
@@ -119,7 +143,7 @@ def _all_counts(tokens: DataFrame, sizes: Sequence[int]) -> DataFrame:
     """Counts per batch of all n-grams."""
     def run(batches):
         for batch in batches:
-            for grams, counts in gram_counts(batch.column(0), sizes):
+            for grams, counts, _ in gram_counts(batch.column(0), sizes):
                 yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["gram", "n"])
 
     return tokens.mapInArrow(run, "gram string, n long")
@@ -130,7 +154,7 @@ def _counted(tokens: DataFrame, sizes: Sequence[int], wanted) -> DataFrame:
     def run(batches):
         counts = dict.fromkeys(wanted.value, 0)
         for batch in batches:
-            for grams, some in gram_counts(batch.column(0), sizes):
+            for grams, some, _ in gram_counts(batch.column(0), sizes):
                 for gram, count in zip(grams, some):
                     if gram in counts:
                         counts[gram] += count
@@ -164,7 +188,10 @@ def top_ngrams(df: DataFrame, tokens: Column | str, n: int, sizes: Sequence[int]
     if floors == 0:
         counted = listed.select("gram", F.col("upper").alias("count"))
     else:
-        left = listed.where(F.col("upper") + floors - F.col("floor") >= threshold).select("gram")
+        bound = F.col("upper") + floors - F.col("floor")
+        left = listed.where(bound >= threshold)
+        if floors < threshold and left.where(bound > F.col("sure")).isEmpty():  # the counts are sure already
+            return left.select("gram", F.col("sure").alias("count")).orderBy(F.desc("count"), F.asc("gram")).limit(n)
         if floors >= threshold or left.count() > BROADCAST_ROWS:  # too many nearly equal counts to tell apart
             counts = _all_counts(lists, sizes)
         else:
