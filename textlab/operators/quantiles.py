@@ -48,7 +48,10 @@ def _selected(src: DataFrame, groups: Sequence[str], brackets: DataFrame) -> Dat
             same = same & src[g].eqNullSafe(b[k])
         rows = src.join(b, same)
     else:  # one row
-        rows = src.withColumn("_one", F.lit(1)).join(F.broadcast(b.withColumn("_one", F.lit(1))), "_one")
+        row = b.first()
+        known = [F.struct(F.lit(x["k"]).alias("k"), F.lit(x["p"]).alias("p"), F.lit(x["lo"]).cast("double").alias("lo"),
+                          F.lit(x["hi"]).cast("double").alias("hi")) for x in row["_b"]]
+        rows = src.withColumns({"_n": F.lit(row["_n"]).cast("long"), "_b": F.array(*known)})
     hit = rows.select(*groups, "_n", "_v", F.explode("_b").alias("_s")).select(
         *groups, "_n", "_v", F.col("_s.k").alias("k"), F.col("_s.p").alias("p"), "_s.lo", "_s.hi")
     hit = hit.where(F.col("hi").isNull() | (F.col("_v") <= F.col("hi")))

@@ -15,16 +15,18 @@ All patterns of a table are compiled into one matcher: alternatives that are
 plain words or phrases into one Aho-Corasick automaton, which reads a text once
 whatever their number, the others one regular expression each.  A text gets the
 numbers of the patterns it holds; a decision is then one filter over the table,
-which is broadcast as one row.  Adding a rule adds a row and changes no plan.
+which every row sees as one constant.  Adding a rule adds a row and changes no
+plan.
 
 Cases: null text holds no pattern; a null intent meets no ``intents`` and no
 ``not_intents``; without a rule that applies the outcome is null; an empty table
 decides nothing; a table of more than ``MOST_RULES`` rows is an error, as it is
-broadcast.
+part of every task.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark.sql import types as T
 from ..functions import patterns as P
 from .rules import message_amount
 
-MOST_RULES = 100_000
+MOST_RULES = 10_000
 SCHEMA = ("decision string, priority int, tag string, pattern string, intents array<string>, not_intents array<string>, "
           "escalation string, above long")
 _PLAIN = re.compile(r"[\w' ]+\Z")
@@ -130,15 +132,14 @@ def decide(df: DataFrame, rules: DataFrame, decisions: list[str], text: str, int
     rows = rules.limit(MOST_RULES + 1).collect()
     if len(rows) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
-    spark, names = df.sparkSession, df.columns
+    names = df.columns
     patterns = sorted({r["pattern"] for r in rows if r["pattern"] is not None})
     number = {p: n for n, p in enumerate(patterns)}
-    table = spark.createDataFrame(
-        [(*r, number.get(r["pattern"])) for r in rows], SCHEMA + ", number int").groupBy().agg(
-        F.collect_list(F.struct(*[c.split()[0] for c in (SCHEMA + ", number int").split(", ")])).alias("_rules"))
-    out = with_hits(df, text, patterns, "_hits")
-    out = out.withColumn("_amount", message_amount(text) if amounts else F.lit(None).cast("long")).withColumn("_one", F.lit(1))
-    out = out.join(F.broadcast(table.withColumn("_one", F.lit(1))), "_one")  # one row
+    fields = SCHEMA + ", number int"
+    table = json.dumps([{**r.asDict(), "number": number.get(r["pattern"])} for r in rows])
+    out = with_hits(df, text, patterns, "_hits").withColumn("_rules", F.from_json(
+        F.lit(table), f"array<struct<{', '.join(f.replace(' ', ': ', 1) for f in fields.split(', '))}>>"))
+    out = out.withColumn("_amount", message_amount(text) if amounts else F.lit(None).cast("long"))
     for decision in decisions:
         escalation = F.col("escalation") if "escalation" in out.columns else F.lit(None).cast("string")
         applies = _test(decision, intent, escalation)
