@@ -13,7 +13,7 @@ formed as a whole:
   two sets have hit can tell, then the others by how often tasks met them
   again, in 2**22 counters; both only rank shingles, so collisions cost work,
   not links.  The
-  filter has about two slots a word, from 2**20 to 2**29 (64 MB); beyond some
+  filter has one to two slots a word, from 2**20 to 2**28 (32 MB); beyond some
   300 million words it tells fewer apart.  Of the leading entries only those
   that another set may hold shuffle.
 * Blocks: the documents of one such column are dealt to the block of the
@@ -61,7 +61,7 @@ WIDTH = 5
 PERCENT = 80
 SKETCH_LOG2 = 22
 SKETCH_BLOCKS = 64
-FILTER_LOG2 = (20, 29)  # least and most slots of the filter of shared shingles
+FILTER_LOG2 = (20, 28)  # least and most slots of the filter of shared shingles
 BYTES_A_WORD = 6
 ACTIVE_LOG2 = 23  # bits of the filter of nodes that have any candidate
 TILE_ROWS = 4096
@@ -147,9 +147,9 @@ def unpacked(raw: bytes, size: int) -> np.ndarray:
 
 
 def filter_log2(docs: DataFrame) -> int:
-    """Slots for about twice the words of all texts, within ``FILTER_LOG2``."""
+    """Slots for the words of all texts and up to twice as many, within ``FILTER_LOG2``."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(max(FILTER_LOG2[0], int(2 * size // BYTES_A_WORD).bit_length()), FILTER_LOG2[1])
+    return min(max(FILTER_LOG2[0], int(size // BYTES_A_WORD).bit_length()), FILTER_LOG2[1])
 
 
 def _task_tables(docs: DataFrame, log2: int) -> DataFrame:
