@@ -14,7 +14,7 @@ formed as a whole:
   again, in 2**22 counters; both only rank shingles, so collisions cost work,
   not links.  The
   filter has one to two slots a word, from 2**20 to 2**28 (32 MB); beyond some
-  300 million words it tells fewer apart.  Of the leading entries only those
+  250 million words it tells fewer apart.  Of the leading entries only those
   that another set may hold shuffle.
 * Blocks: the documents of one such column are dealt to the block of the
   column's smallest node, the hub, so the many columns that a family of copies
