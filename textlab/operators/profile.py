@@ -102,8 +102,3 @@ def label_drift(df: DataFrame, a: str, b: str) -> DataFrame:
     return (df.where(~F.col(a).eqNullSafe(F.col(b)))
             .groupBy(F.col(a).alias("from"), F.col(b).alias("to"))
             .agg(F.count(F.lit(1)).alias("count")))
-
-
-def group_mean_count(df: DataFrame, group: str, value: str, decimals: int = 2) -> DataFrame:
-    return df.groupBy(group).agg(F.round(F.avg(value), decimals).alias("mean"),
-                                 F.count(value).alias("count"))

@@ -16,11 +16,6 @@ from pyspark.sql import Window as W
 from ..functions.text import _c
 
 
-def labelled(df: DataFrame, col: str = "intent") -> DataFrame:
-    """Rows whose label is present: not null and not blank."""
-    return df.where(F.col(col).isNotNull() & (F.trim(F.col(col)) != ""))
-
-
 def label_progress(df: DataFrame, col: str = "intent") -> DataFrame:
     """One row: total, labelled and unlabelled counts."""
     lab = F.col(col).isNotNull() & (F.trim(F.col(col)) != "")
@@ -33,14 +28,6 @@ def is_blank_col(col: str):
     return F.coalesce(F.length(F.trim(F.col(col))) == 0, F.lit(True))
 
 
-def non_blank(df: DataFrame, *cols: str) -> DataFrame:
-    """Drop rows where any of ``cols`` is null or blank."""
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & F.col(c).isNotNull() & (F.trim(F.col(c)) != "")
-    return df.where(cond)
-
-
 def keep_keys(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows whose key occurs in ``keys`` (left semi join; never ``IN`` lists)."""
     return df.join(keys, on=on, how="left_semi")
@@ -62,20 +49,6 @@ def exclude_texts(df: DataFrame, text_col: str, used: DataFrame, used_text_col:
     return (d.join(u, (d["_h"] == u["_h"]) & (d[text_col] == u["_t"]), "left_anti").drop("_h"))
 
 
-def align_to(df: DataFrame, columns: Sequence[str], fill: str | None = "",
-             types: dict[str, T.DataType] | None = None) -> DataFrame:
-    """Add missing columns (as ``fill``), drop extra ones, reorder to ``columns``."""
-    types = types or {}
-    have = set(df.columns)
-    out = []
-    for c in columns:
-        if c in have:
-            out.append(F.col(c))
-        else:
-            out.append(F.lit(fill).cast(types.get(c, T.StringType())).alias(c))
-    return df.select(*out)
-
-
 def union_aligned(main: DataFrame, extra: DataFrame, fill: str = "") -> DataFrame:
     """Union by name onto ``main``'s columns; columns missing from ``extra`` are
     padded with ``fill`` (text columns) or null."""
@@ -115,13 +88,6 @@ def combine_rows(*frames: DataFrame) -> DataFrame:
     return u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in u.columns])
 
 
-def duplicates_removed(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row: rows before, after and removed."""
-    b = before.agg(F.count(F.lit(1)).alias("before"))
-    a = after.agg(F.count(F.lit(1)).alias("after"))
-    return combine_rows(b, a).select("before", "after", (F.col("before") - F.col("after")).alias("removed"))
-
-
 def exclusive_running_sum(df: DataFrame, order_cols: Sequence[str], value_col: str,
                           out_col: str, partitions: int | None = None) -> DataFrame:
     """Σ value over all rows strictly before each row in ``order_cols`` order.

@@ -64,8 +64,8 @@ def retrieve_top3_prompt_q(spark, sf_dir):
     lines = m.join(pool, "pair_key").select(
         "item_id", "rank",
         TX.fill_template(P.PROMPT_LINE,
-                         customer=F.substring("customer_msg_clean", 1, P.PROMPT_CUSTOMER_CHARS),
-                         reply=F.substring("brand_reply_clean", 1, P.PROMPT_REPLY_CHARS)).alias("line"))
+                         customer=TX.truncate("customer_msg_clean", P.PROMPT_CUSTOMER_CHARS),
+                         reply=TX.truncate("brand_reply_clean", P.PROMPT_REPLY_CHARS)).alias("line"))
     per_q = lines.groupBy("item_id").agg(  # at most k rows per query
         F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("_l"))
     prompt = per_q.select("item_id", F.size("_l").cast("long").alias("n_examples"),
