@@ -74,3 +74,13 @@ def test_scoring_with_an_event_time_scores_once(spark, tmp_path):
         spark, str(tmp_path / "in"), "*.parquet", CONVERSATION_SCHEMA, lambda b: b.select("conv_id", "turn"), ["conv_id", "turn"],
         str(tmp_path / "sink"), str(tmp_path / "ckpt"), max_files_per_trigger=1, event_time=at(), delay="10 minutes")
     assert rows(out) == sorted((c, t) for c in range(6) for t in range(5))
+
+
+def test_a_table_may_be_a_folder_of_part_files(spark, tmp_path):
+    from textlab.plans import scoring
+
+    write_files(tmp_path / "conversations.parquet", [conversation(c) for c in range(3)])
+    write_files(tmp_path / "other.parquet", [conversation(9)])
+    scored = rows(scoring.stream_scoring_q(spark, str(tmp_path)), "conv_id", "turn")
+    assert scored == [(c, t) for c in range(3) for t in (0, 2)]
+    assert rows(scoring.stream_reply_pairs_q(spark, str(tmp_path)), "conv_id", "turn") == [(0, 0), (1, 0), (2, 0)]

@@ -41,6 +41,21 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     return df.select(*columns) if columns else df
 
 
+def stream_files(spark: SparkSession, source_dir: str, files: str, schema: T.StructType,
+                 max_files_per_trigger: int | None = None) -> DataFrame:
+    """Stream of Parquet files below ``source_dir``.
+
+    ``files`` with a wildcard is a pattern of file names, in any subfolder.
+    Without one it names a table, which is a single file or a folder of part files."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if any(c in files for c in "*?[{"):
+        return reader.option("pathGlobFilter", files).parquet(source_dir)
+    # a pattern that only the name meets: Spark refuses a plain file as the path of a stream
+    return reader.parquet(f"{source_dir.rstrip('/')}/{{{files}}}")
+
+
 def _blank_strings_to_null(df: DataFrame) -> DataFrame:
     out = []
     for f in df.schema.fields:

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.io import stream_files
+
 
 def paired(messages: DataFrame, event_time: Column, delay: str, max_gap: str, user_role: str = "user",
            reply_role: str = "assistant") -> DataFrame:
@@ -55,10 +57,7 @@ def run_available(spark: SparkSession, source_dir: str, file_glob: str, schema:
                   max_files_per_trigger: int | None = None) -> Run:
     """Pairs the files that are there now into ``sink`` and stops.  Spark's file
     sink commits a batch's files once, so a restarted run doubles nothing."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    out = paired(reader.parquet(source_dir), event_time, delay, max_gap)
+    out = paired(stream_files(spark, source_dir, file_glob, schema, max_files_per_trigger), event_time, delay, max_gap)
     query = (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
              .outputMode("append").trigger(availableNow=True).start())
     query.awaitTermination()

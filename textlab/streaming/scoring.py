@@ -25,6 +25,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..sources.io import stream_files
+
 CONVERSATION_SCHEMA = T.StructType([
     T.StructField("conv_id", T.LongType()),
     T.StructField("turn", T.LongType()),
@@ -52,10 +54,7 @@ def run_available(spark: SparkSession, source_dir: str, file_glob: str, schema:
     latest event, has passed them, so the state does not grow with the stream;
     a row that comes again after that is behind the watermark and dropped.
     Without it every key is kept for ever."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source_dir).where(wanted)
+    stream = stream_files(spark, source_dir, file_glob, schema, max_files_per_trigger).where(wanted)
     if event_time is None:
         stream = stream.dropDuplicates(keys)
     else:
