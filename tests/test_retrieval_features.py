@@ -124,6 +124,40 @@ def test_tfidf_vocabulary_cut_and_weights(spark):
         assert got[key] == pytest.approx(want[key], abs=1e-12)
 
 
+def random_docs(seed, n, words):
+    r = random.Random(seed)
+    return [(i, " ".join(f"w{min(int(r.expovariate(8 / words)), words - 1):03d}" for _ in range(r.randint(0, 30)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("slice_tokens,ngram_max,max_features", [(1 << 20, 2, 40), (7, 2, 40), (50, 2, 500), (50, 1, 20), (50, 2, None)])
+def test_tfidf_forms_no_row_for_each_occurrence(spark, monkeypatch, slice_tokens, ngram_max, max_features):
+    monkeypatch.setattr(features, "SLICE_TOKENS", slice_tokens)
+    docs = random_docs(3, 200, 90) + [(900, None), (901, ""), (902, "a"), (903, "new new new words")]
+    df = spark.createDataFrame(docs, "pid long, text string").repartition(3)
+    w, vocab = features.tfidf(df, "pid", "text", ngram_max, min_df=2, max_features=max_features)
+    tfs = {}
+    for p, t in docs:
+        u = re.findall(r"\w\w+", (t or "").lower())
+        tfs[p] = Counter(u + [f"{a} {b}" for a, b in zip(u, u[1:])] * (ngram_max == 2))
+    dfs, ttf = Counter(t for c in tfs.values() for t in c), sum(tfs.values(), Counter())
+    kept = sorted((t for t in dfs if dfs[t] >= 2), key=lambda t: (-ttf[t], t))[:max_features]
+    idf = {t: math.log((1 + len(docs)) / (1 + dfs[t])) + 1 for t in kept}
+    assert {r["term"]: r["df"] for r in vocab.terms.collect()} == {t: dfs[t] for t in kept}
+    want = {(p, t): v for p, c in tfs.items() for t, v in vec(c, idf).items()}
+    got = {(r["pid"], r["term"]): r["weight"] for r in w.collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    if max_features:  # neither texts nor occurrences are dealt out by key
+        assert "hashpartitioning" not in w._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_key_are_one_document(spark):
+    docs = spark.createDataFrame([(1, "aa bb"), (2, "aa cc"), (1, "cc bb")], "pid long, text string").repartition(3)
+    w, vocab = features.tfidf(docs, "pid", "text")
+    assert {r["term"]: r["df"] for r in vocab.terms.collect()} == {"aa": 2, "bb": 1, "cc": 2, "aa bb": 1, "aa cc": 1, "cc bb": 1}
+    weights = {r["term"]: r["weight"] for r in w.where("pid = 1").collect()}
+    assert set(weights) == {"aa", "bb", "cc", "aa bb", "cc bb"} and weights["bb"] > weights["aa bb"]
+
+
 def test_fallback_first(spark):
     pool = spark.createDataFrame(POOL, "pid long, text string")
     q = spark.createDataFrame(QUERIES, "qid long, text string")

@@ -12,11 +12,9 @@ Physical plans:
   block index inside each (:mod:`textlab.operators.block_max`).  No pair sums
   are shuffled, whatever the sizes of the two sides.
 * **broadcast queries** (query term rows <= ``broadcast_rows``): the pool's
-  term rows stay partitioned by pool id, each task joins its pool documents
-  with the broadcast query index, sums the products per (query, pool doc)
-  inside the task (the aggregation needs no shuffle because the input is
-  already clustered by pool id) and keeps only its local top-k per query
-  (partial ``WindowGroupLimit``) before the single shuffle by query id.
+  term rows are joined with the broadcast query index, the products are summed
+  per (query, pool doc), and each task keeps only its local top-k per query
+  (partial ``WindowGroupLimit``) before the shuffle by query id.
 * **tiered**: terms are split at a
   document-frequency threshold into rare and common.  Candidate pairs come
   from rare terms only (each rare posting list is short, so this work is
@@ -55,8 +53,7 @@ BROADCAST_ROWS = 2_000_000
 
 def query_vectors(queries: DataFrame, qkey: str, text: str, vocab: features.Vocabulary,
                   ngram_max: int = 2) -> DataFrame:
-    tf = features.term_counts(queries, qkey, text, ngram_max)
-    return features.transform(tf, vocab, qkey)
+    return features.transform(features.token_lists(queries, qkey, text)[0], vocab, qkey, ngram_max)
 
 
 def score_candidates(qv: DataFrame, pv: DataFrame, qkey: str, pkey: str,
@@ -67,8 +64,6 @@ def score_candidates(qv: DataFrame, pv: DataFrame, qkey: str, pkey: str,
     p = pv.select(F.col(pkey).alias("_p"), "term", F.col("weight").alias("wp"))
     n_q = q.count()
     if n_q <= broadcast_rows:
-        # pool rows keep their clustering by pool id (the L2-norm window
-        # partitions them so): the sum below needs no shuffle
         cand = p.join(F.broadcast(q), "term")
     else:
         hot = (pool_df if pool_df is not None else p.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
@@ -157,19 +152,22 @@ def block_max_top_k(queries: DataFrame, qkey: str, qtext: str, pool: DataFrame,
     else:
         asked = asked.withColumn("_self", F.lit(None).cast("long"))
     asked = asked.checkpoint(eager=True)
-    pv, vocab = features.tfidf(pool, "_p", ptext, ngram_max, **vocabulary)
-    numbers = sequential_ids(vocab.terms, ["term"], "_t", bounded=vocab.bounded).select("term", "idf", "_t")
-    numbers = numbers.checkpoint(eager=True)
-    vocab = features.Vocabulary(terms=numbers.select("term", "idf"), n_docs=vocab.n_docs, bounded=vocab.bounded)
-    numbers = F.broadcast(numbers) if vocab.bounded else numbers
-
-    def vectors(entries, key):
-        rows = block_max.vectors(entries.join(numbers.select("term", "_t"), "term"), key, "_t", "weight")
-        return rows.checkpoint(eager=True)
-
-    tf = features.term_counts(pool, "_p", ptext, ngram_max)
-    p = vectors(features.transform(tf, vocab, "_p"), "_p").toDF("p", "terms", "weights")
-    q = vectors(query_vectors(asked.withColumnRenamed("_text", qtext), "_q", qtext, vocab, ngram_max), "_q")
+    tokens, n_docs = features.token_lists(pool, "_p", ptext, unique=True)
+    vocab = features.fit_vocabulary(tokens, n_docs, ngram_max, **vocabulary)
+    own = features.token_lists(asked, "_q", "_text")[0]
+    if vocab.bounded:
+        def vectors(lists, key):
+            return features.vectors(lists, vocab, key, ngram_max).checkpoint(eager=True)
+    else:
+        numbers = sequential_ids(vocab.terms, ["term"], "_t").select("term", "idf", "_t").checkpoint(eager=True)
+        vocab = features.Vocabulary(terms=numbers.select("term", "idf"), n_docs=vocab.n_docs, bounded=False)
+
+        def vectors(lists, key):
+            entries = features.transform(lists, vocab, key, ngram_max)
+            return block_max.vectors(entries.join(numbers.select("term", "_t"), "term"), key, "_t", "weight").checkpoint(eager=True)
+
+    p = vectors(tokens, "_p").toDF("p", "terms", "weights")
+    q = vectors(own, "_q")
     q = q.join(asked.select("_q", "_self"), "_q").select(
         F.col("_q").alias("q"), F.col("_self").alias("self"), F.col("_terms").alias("terms"), F.col("_weights").alias("weights"))
     best = top_k(block_max.top_k(q, p, k), "q", "p", k)
