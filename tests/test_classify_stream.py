@@ -32,6 +32,36 @@ def test_out_of_fold_predicts_each_row_once(spark):
     assert acc > majority
 
 
+def test_vocabularies_of_all_folds_come_from_one_count(spark):
+    from textlab.operators import features
+
+    base = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", (F.col("doc_id") % 3).cast("int").alias("fold"))
+    lists = features.token_lists(base, "doc_id", "text")[0].join(base.select("doc_id", "fold"), "doc_id")
+    sizes = {r["fold"]: r["count"] for r in base.groupBy("fold").count().collect()}
+    got = features.fit_without_each(lists, "fold", sizes, 2, 300)
+    for f in range(3):
+        train = base.where(F.col("fold") != f)
+        _, vocab = features.tfidf(train, "doc_id", "text", min_df=2, max_features=300)
+        want = {r["term"]: round(r["idf"], 12) for r in vocab.terms.collect()}
+        assert {t: round(x, 12) for t, x in got[f].items()} == want
+
+
+def test_out_of_fold_writes_counts_not_terms(spark, monkeypatch):
+    from textlab import session
+
+    written = []
+    monkeypatch.setattr(session, "shared_path", lambda s, name, f=session.shared_path: written.append(f(s, name)) or written[-1])
+    data = [(i, " ".join(["red blue", "green gold"][i % 2] + f" only{i} rare{i}" for _ in range(40)), "ab"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(data, "id long, t string, y string").repartition(3)
+    out = classify.out_of_fold(df, "id", "t", "y", k=4, max_iter=20).collect()
+    assert len(out) == len({r["id"] for r in out}) == 40 and all(r["y"] == r["prediction"] for r in out)
+    counts = spark.read.parquet(written[0])
+    assert set(counts.columns) == {"id", "y", "fold", "_tf"}
+    assert {v["_tf"].size for v in counts.collect()} == {6}  # the terms with a document frequency of 2, none of single documents
+    twice = classify.out_of_fold(df.union(df.where("id = 3")), "id", "t", "y", k=4, max_iter=20)
+    assert twice.count() == 41
+
+
 def test_stream_equals_batch_and_is_idempotent(spark):
     sink, ckpt = shared_path(spark, "t-sink"), shared_path(spark, "t-ckpt")
     args = (spark, SF_SMALL, "conversations.parquet", stream.CONVERSATION_SCHEMA,

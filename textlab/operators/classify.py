@@ -2,8 +2,9 @@
 logistic regression with out-of-fold predictions, and the scoring job.
 
 The classifier is Spark ML (JVM); the k-fold loop launches k fits, k is a
-small constant.  The token table is checkpointed once to the shared
-checkpoint folder so every fold starts from a short lineage.
+small constant.  Terms are counted once for all folds; the documents are then
+written once to the shared checkpoint folder as counts over the folds' terms, in
+Parquet, which every fold weights by its own vocabulary.
 """
 
 from __future__ import annotations
@@ -40,6 +41,16 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int
             .drop("_h", "_g", "_g0"))
 
 
+def with_folds(df: DataFrame, label: str, key: str, k: int, seed: int) -> DataFrame:
+    """``df`` with :func:`stratified_folds`: only keys and labels are ranked, the
+    other columns meet their fold by key.  Keys that repeat keep their rows."""
+    most = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > 1:
+        return stratified_folds(df, label, key, k, seed)
+    folds = stratified_folds(df.select(key, label), label, key, k, seed).select(F.col(key).alias("_key"), "fold")
+    return df.join(folds.checkpoint(eager=True), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
 def with_terms(df: DataFrame, text: str, terms_col: str = "terms") -> DataFrame:
     """Adds the 1- and 2-gram term array used by the vectorizer."""
     u = df.withColumn("_u", vector_unigrams(text))
@@ -70,19 +81,30 @@ def out_of_fold(df: DataFrame, key: str, text: str, label: str, k: int = 5, seed
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IndexToString, StringIndexer
 
-    from ..session import checkpoint_root
-
-    checkpoint_root(df.sparkSession)
-    base = with_terms(stratified_folds(df.select(key, text, label), label, key, k, seed), text)
-    base = base.select(key, label, "fold", "terms").checkpoint(eager=True)
+    from ..session import checkpoint_root, shared_path
+
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    docs = with_folds(df.select(key, text, label), label, key, k, seed)
+    tokens = docs.select(F.array(vector_unigrams(text)).alias("_u"), "fold")
+    sizes = dict.fromkeys(range(k), 0) | {r["fold"]: r["count"] for r in docs.groupBy("fold").count().collect()}
+    if fit_features == "all":
+        vocab = features.fit_vocabulary(tokens, sum(sizes.values()), 2, min_df, max_features=vocab_size)
+        idfs = [{r["term"]: r["idf"] for r in vocab.terms.collect()}] * k
+    else:
+        idfs = features.fit_without_each(tokens, "fold", sizes, min_df, vocab_size)
+    terms = sorted(set().union(*idfs))  # bounded by k vocabularies
+    path = shared_path(spark, "counts")
+    counter = features.term_counter(terms or [""], "terms", "_tf")
+    counter.transform(with_terms(docs, text)).select(key, label, "fold", "_tf").write.parquet(path)
+    base = spark.read.parquet(path)
     indexer = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(base)
     labelled = indexer.transform(base)
-    shared = (features.fit_ml_features(labelled, "terms", "features", vocab_size, min_df)
-              if fit_features == "all" else None)
+
     def fit_fold(f: int) -> DataFrame:
         train = labelled.where(F.col("fold") != f)
         test = labelled.where(F.col("fold") == f)
-        feat = shared or features.fit_ml_features(train, "terms", "features", vocab_size, min_df)
+        feat = features.weighting(terms or [""], idfs[f], "_tf", "features")
         train_w, n_train = balanced_weights(feat.transform(train), "_y")
         lr = LogisticRegression(featuresCol="features", labelCol="_y", weightCol="w",
                                 family="multinomial", regParam=1.0 / max(n_train, 1),
@@ -91,9 +113,10 @@ def out_of_fold(df: DataFrame, key: str, text: str, label: str, k: int = 5, seed
         model = lr.fit(train_w)
         return model.transform(feat.transform(test)).select(key, label, "fold", "prediction")
 
-    # the k fits are independent Spark jobs: submit them concurrently so the
-    # cluster is not idle between the small iterations of one fit
-    with ThreadPoolExecutor(max_workers=k) as pool:
+    # the k fits are independent Spark jobs.  A fit keeps its training rows in
+    # memory, so only as many run at once as leave cores idle on their own
+    at_once = spark.sparkContext.defaultParallelism // max(base.rdd.getNumPartitions(), 1)
+    with ThreadPoolExecutor(max_workers=max(1, min(k, at_once))) as pool:
         parts = list(pool.map(fit_fold, range(k)))
     out = parts[0]
     for p in parts[1:]:

@@ -117,25 +117,29 @@ def _is_in(words: pa.Array, some: pa.Array | None) -> np.ndarray:
 
 
 def _sums(tokens: DataFrame, pairs: bool, words: pa.Array | None = None, group: str | None = None) -> DataFrame:
-    """(term, df, ttf) of the single words, or of the pairs of ``words``; by
-    ``group``, a small whole number beside each document, if it is given."""
+    """Rows (term, df, ttf, _group) of the single words, or of the pairs of
+    ``words``, to be added up by term; ``_group`` is the small whole number
+    ``group`` beside the document, or 0."""
     def run(batches):
         for whole in batches:
             for batch in _slices(whole):
                 some = _Terms(batch.column(0))
-                found = some.pairs(_is_in(some.words, words)) if pairs else some.single()
-                doc, term, n = some.counts(*found)
-                kinds = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[doc] if group else np.zeros(len(doc), np.int64)
-                cell = kinds * max(len(found[2]), 1) + term
-                cells, place, df = np.unique(cell, return_inverse=True, return_counts=True)
-                kind, term = np.divmod(cells, max(len(found[2]), 1))
+                doc, number, terms = some.pairs(_is_in(some.words, words)) if pairs else some.single()
+                doc, term, n = some.counts(doc, number, terms)
+                kind = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[doc]
+                m = max(len(terms), 1)
+                cells, place, df = np.unique(kind * m + term, return_inverse=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [found[2].take(pa.array(term)), pa.array(kind, pa.int32()), pa.array(df, pa.int64()),
-                     pa.array(np.bincount(place, n, len(cells)).astype(np.int64))], names=["term", "_group", "df", "ttf"])
+                    [terms.take(pa.array(cells % m)), pa.array(df, pa.int64()),
+                     pa.array(np.bincount(place, n, len(cells)).astype(np.int64)), pa.array(cells // m, pa.int32())],
+                    names=["term", "df", "ttf", "_group"])
 
-    by = ["term", "_group"] if group else ["term"]
-    return (tokens.select("_u", *[group][:group is not None]).mapInArrow(run, "term string, _group int, df long, ttf long")
-            .groupBy(*by).agg(F.sum("df").alias("df"), F.sum("ttf").alias("ttf")))
+    of = F.col(group) if group else F.lit(0)
+    return tokens.select("_u", of.cast("int").alias("_group")).mapInArrow(run, "term string, df long, ttf long, _group int")
+
+
+def _total(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("term").agg(F.sum("df").alias("df"), F.sum("ttf").alias("ttf"))
 
 
 def _reached(stats: DataFrame, n_docs: int, min_df: int, max_df: float | None) -> DataFrame:
@@ -158,14 +162,14 @@ def fit_vocabulary(tokens: DataFrame, n_docs: int, ngram_max: int = 2, min_df: i
     from ..session import checkpoint_root
 
     checkpoint_root(tokens.sparkSession)
-    stats = _sums(tokens, pairs=False)
+    stats = _total(_sums(tokens, pairs=False))
     if ngram_max > 1:
         bounded = max_features is not None and max_features <= BROADCAST_VOCAB_MAX
         words = None
         if bounded:
             stats = stats.checkpoint(eager=True)
             words = _frequent_words(stats, n_docs, min_df, max_df, max_features)
-        stats = stats.unionByName(_sums(tokens, True, words))
+        stats = stats.unionByName(_total(_sums(tokens, True, words)))
     stats = _reached(stats, n_docs, min_df, max_df)
     if max_features is not None:
         stats = stats.orderBy(F.desc("ttf"), F.asc("term")).limit(max_features)
@@ -275,36 +279,52 @@ def tfidf(docs: DataFrame, key: str, text: str, ngram_max: int = 2, min_df: int
 # Spark ML form (feeds the classifier)
 
 
-def count_vectorizer(train: DataFrame, terms_col: str, vocab_size: int, min_df: int):
-    """Term counts over the ``vocab_size`` most frequent terms with df >= min_df.
+def fit_without_each(tokens: DataFrame, group: str, sizes: dict[int, int], min_df: int, max_features: int) -> list[dict[str, float]]:
+    """For each group, the vocabulary (term to idf) of the documents outside it.
 
-    Ties at the cut go by term, so the vocabulary does not depend on how the
-    rows are partitioned; it is collected in order, bounded by ``vocab_size``."""
-    from pyspark.ml.feature import CountVectorizerModel
+    ``sizes``: the number of documents of each group, 0 to k-1.  The words of all
+    documents are counted once; a sum outside a group is the total without it.
+    Words and then pairs cost one pass each, whatever the number of groups."""
+    from ..session import checkpoint_root
 
-    # the terms are joined already: each is a single word here
-    top = fit_vocabulary(train.select(F.array(terms_col).alias("_u")), 0, 1, min_df, max_features=vocab_size).terms
-    top = top.orderBy("term").select("term").collect()
-    return CountVectorizerModel.from_vocabulary([r["term"] for r in top], inputCol=terms_col, outputCol="_tf")
+    checkpoint_root(tokens.sparkSession)
+    k = len(sizes)
+
+    def outside(sums: DataFrame) -> DataFrame:
+        other = lambda c, g: F.sum(F.when(F.col("_group") != g, F.col(c)).otherwise(0))
+        wide = sums.groupBy("term").agg(*[other(c, g).alias(f"{c}{g}") for g in range(k) for c in ("df", "ttf")])
+        reached = F.greatest(*[F.col(f"df{g}") for g in range(k)], F.lit(0)) >= min_df
+        return wide.where(reached).checkpoint(eager=True)
+
+    def of(stats: DataFrame, g: int) -> DataFrame:
+        return stats.select("term", F.col(f"df{g}").alias("df"), F.col(f"ttf{g}").alias("ttf"))
+
+    single = outside(_sums(tokens, False, group=group))
+    words = [_frequent_words(of(single, g), 0, min_df, None, max_features) for g in range(k)]
+    words = None if any(w is None for w in words) else pa.array(sorted({w for some in words for w in some.to_pylist()}), pa.string())
+    stats = single.unionByName(outside(_sums(tokens, True, words, group)))
+    found = []
+    for g in range(k):
+        best = _reached(of(stats, g), 0, min_df, None).orderBy(F.desc("ttf"), F.asc("term")).limit(max_features).collect()
+        n = sum(sizes.values()) - sizes[g]
+        found.append({r["term"]: math.log((1.0 + n) / (1.0 + r["df"])) + 1.0 for r in best})
+    return found
+
+
+def term_counter(terms: list[str], terms_col: str, out_col: str):
+    """The stage that counts the given terms: one vector entry for each."""
+    from pyspark.ml.feature import CountVectorizerModel
 
+    return CountVectorizerModel.from_vocabulary(terms, inputCol=terms_col, outputCol=out_col)
 
-def fit_ml_features(train: DataFrame, terms_col: str, features_col: str, vocab_size: int = 5000,
-                    min_df: int = 2):
-    """Fit the ML feature stages on ``train``; returns a PipelineModel that
-    adds ``features_col`` with the same weighting as :func:`tfidf`.
 
-    Spark's ``IDF`` is ln((m+1)/(df+1)) without the +1; the +1 is applied with
-    an ``ElementwiseProduct`` built from the fitted IDF vector (bounded by the
-    vocabulary size), so the result is tf·(idf+1), then L2-normalised.
-    """
+def weighting(terms: list[str], idf: dict[str, float], counts_col: str, features_col: str):
+    """The stages that give counts over ``terms`` the weighting of :func:`tfidf`:
+    tf·idf, 0 for a term outside the vocabulary ``idf``, L2-normalised."""
     from pyspark.ml import PipelineModel
-    from pyspark.ml.feature import IDF, ElementwiseProduct, Normalizer
+    from pyspark.ml.feature import ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import Vectors
 
-    cv_model = count_vectorizer(train, terms_col, vocab_size, min_df)
-    counted = cv_model.transform(train)
-    idf_model = IDF(inputCol="_tf", outputCol="_idf_unused").fit(counted)
-    scale = Vectors.dense([x + 1.0 for x in idf_model.idf.toArray()])  # bounded by vocab_size
-    prod = ElementwiseProduct(scalingVec=scale, inputCol="_tf", outputCol="_tfidf")
-    norm = Normalizer(p=2.0, inputCol="_tfidf", outputCol=features_col)
-    return PipelineModel(stages=[cv_model, prod, norm])
+    scale = Vectors.dense([idf.get(t, 0.0) for t in terms])  # bounded by the vocabularies' sizes
+    return PipelineModel(stages=[ElementwiseProduct(scalingVec=scale, inputCol=counts_col, outputCol="_tfidf"),
+                                 Normalizer(p=2.0, inputCol="_tfidf", outputCol=features_col)])
