@@ -102,6 +102,25 @@ def test_gram_counts_stay_inside_a_row():
     assert {g: c for gs, cs, _ in heavy_hitters.gram_counts(lists, (2,)) for g, c in zip(gs, cs)} == {"a b": 2, "b a": 1}
 
 
+def test_a_batch_is_looked_at_in_slices(spark, monkeypatch):
+    lists = [words(s, 60, 200)[:s % 30] for s in range(200)] + [[], None, words(7, 60, 900)]
+    tokens = pa.array(lists, pa.list_(pa.string()))
+    parts = list(heavy_hitters.slices(tokens, 100))
+    assert [x for p in parts for x in p.to_pylist()] == lists
+    assert all(len(p.flatten()) <= 100 or len(p) == 1 for p in parts) and len(parts) < 120
+    monkeypatch.setattr(heavy_hitters, "SLICE_TOKENS", 100)
+    df = spark.createDataFrame([(x,) for x in lists], "t array<string>").repartition(3)
+    for counters in (20, 20_000):
+        got = [tuple(r) for r in heavy_hitters.top_ngrams(df, "t", 15, (1, 2, 3), counters).collect()]
+        assert got == plain_top([x for x in lists if x], (1, 2, 3), 15)
+
+
+def test_the_second_pass_forms_only_ngrams_of_wanted_words():
+    lists = pa.array([["a", "b", "c", "a", "b"], [None, "a", "b"], ["b"], []], pa.list_(pa.string()))
+    got = {g: n for gs, ns, _ in heavy_hitters.gram_counts(lists, (1, 2, 3), of=pa.array(["a", "b"])) for g, n in zip(gs, ns)}
+    assert got == {"a": 3, "b": 4, "a b": 3}
+
+
 def test_t_p_values(spark):
     # (t, degrees of freedom, two-sided p) from tables of Student's t distribution
     known = [(12.706, 1, 0.05), (2.571, 5, 0.05), (2.228, 10, 0.05), (3.169, 10, 0.01), (1.812, 10, 0.10), (2.750, 30, 0.01),

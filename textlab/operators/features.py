@@ -62,16 +62,15 @@ def token_lists(docs: DataFrame, key: str, text: str, unique: bool = False) -> t
     return tokens.select(key, F.array("_u").alias("_u")), n or 0
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch with about ``SLICE_TOKENS`` tokens together."""
-    ends = np.cumsum(pc.list_value_length(batch.column(batch.schema.get_field_index("_u"))).fill_null(0).to_numpy(zero_copy_only=False))
-    sizes = batch.column(batch.schema.get_field_index("_u"))
-    lists = pc.list_value_length(sizes.flatten()).fill_null(0).to_numpy(zero_copy_only=False)
-    tokens = np.concatenate([[0], np.cumsum(lists)])[ends]  # tokens up to the end of each row
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with at most ``most`` tokens together, or one row."""
+    size = lambda x: np.cumsum(pc.list_value_length(x).fill_null(0).to_numpy(zero_copy_only=False))
+    lists = batch.column(batch.schema.get_field_index("_u"))
+    tokens = np.append(0, size(lists.flatten()))[size(lists)]  # up to the end of each row
     start = 0
     while start < batch.num_rows:
         done = tokens[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(tokens, done + SLICE_TOKENS, "right")))
+        stop = max(start + 1, int(np.searchsorted(tokens, done + most, "right")))
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -122,7 +121,7 @@ def _sums(tokens: DataFrame, pairs: bool, words: pa.Array | None = None, group:
     ``group`` beside the document, or 0."""
     def run(batches):
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in _slices(whole, SLICE_TOKENS):
                 some = _Terms(batch.column(0))
                 doc, number, terms = some.pairs(_is_in(some.words, words)) if pairs else some.single()
                 doc, term, n = some.counts(doc, number, terms)
@@ -212,7 +211,7 @@ def _weighted(tokens: DataFrame, key: str, vocab: Vocabulary, ngram_max: int, ar
     def run(batches):
         names, idf, inside = shared.value
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in _slices(whole, SLICE_TOKENS):
                 some = _Terms(batch.column(1))
                 doc, place, n = _vocabulary_entries(some, names, _is_in(some.words, inside), ngram_max > 1)
                 w = n * idf[place]
@@ -235,7 +234,7 @@ def _term_counts(tokens: DataFrame, key: str, ngram_max: int) -> DataFrame:
     """(key, term, tf), each term of a document once."""
     def run(batches):
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in _slices(whole, SLICE_TOKENS):
                 some = _Terms(batch.column(1))
                 for found in [some.single()] + [some.pairs(_is_in(some.words, None))] * (ngram_max > 1):
                     doc, term, n = some.counts(*found)

@@ -14,6 +14,10 @@
    frequent ones are, that is the result.  Otherwise a second pass counts them; where counts are so
    alike that more than ``BROADCAST_ROWS`` are left, all n-grams are counted.
 
+A task looks at ``SLICE_TOKENS`` tokens at a time and the second pass at the
+n-grams of wanted words only, so its memory depends on the counters and not on
+how many n-grams a batch of rows holds.
+
 Shuffled rows are ``counters`` a task and the candidates a task, whatever the
 number of different n-grams.  Ties go by the n-gram.
 
@@ -28,6 +32,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +40,8 @@ COUNTERS = 20_000
 MORE = 8
 MOST_COUNTERS = 2_000_000
 BROADCAST_ROWS = 1_000_000
+#: tokens that a task looks at together, unless one row has more
+SLICE_TOKENS = 1 << 18
 
 
 class SpaceSaving:
@@ -90,16 +97,30 @@ class SpaceSaving:
         self.stored, self.doubt = keep, {g: self.doubt[g] for g in keep}
 
 
-def gram_counts(tokens: pa.Array, sizes: Sequence[int], most: int = 1 << 62) -> Iterator[tuple[list[str], list[int], int]]:
+def slices(tokens: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Consecutive rows with at most ``most`` tokens together, or one row."""
+    ends = np.cumsum(pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(tokens):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield tokens.slice(start, stop - start)
+        start = stop
+
+
+def gram_counts(tokens: pa.Array, sizes: Sequence[int], most: int = 1 << 62,
+                of: pa.Array | None = None) -> Iterator[tuple[list[str], list[int], int]]:
     """The different n-grams of a batch of token lists and their counts, by size.
     Where there are more than ``most``, only those that occur more often than the
-    third value."""
+    third value.  With ``of``, only the n-grams whose words are all in it."""
     lists = tokens.combine_chunks() if isinstance(tokens, pa.ChunkedArray) else tokens
     flat = lists.flatten()
     owner = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     coded = flat.dictionary_encode()
     words = coded.dictionary.to_pylist()
     code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    if of is not None:
+        known = pc.is_in(coded.dictionary, of).to_numpy(zero_copy_only=False).astype(bool)
+        code = np.where(np.append(known, False)[code], code, -1)
     for size in sizes:
         m = len(code) - size + 1
         if m <= 0:
@@ -126,8 +147,9 @@ def _summaries(tokens: DataFrame, sizes: Sequence[int], counters: int) -> DataFr
     def run(batches):
         kept = SpaceSaving(counters)
         for batch in batches:
-            for counted in gram_counts(batch.column(0), sizes, counters):
-                kept.add(*counted)
+            for some in slices(batch.column(0), SLICE_TOKENS):
+                for counted in gram_counts(some, sizes, counters):
+                    kept.add(*counted)
         kept.shrink()
         upper, wrong = kept.upper, kept.wrong
         names = [None, *upper]
@@ -140,11 +162,12 @@ def _summaries(tokens: DataFrame, sizes: Sequence[int], counters: int) -> DataFr
 
 
 def _all_counts(tokens: DataFrame, sizes: Sequence[int]) -> DataFrame:
-    """Counts per batch of all n-grams."""
+    """Counts per slice of all n-grams."""
     def run(batches):
         for batch in batches:
-            for grams, counts, _ in gram_counts(batch.column(0), sizes):
-                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["gram", "n"])
+            for some in slices(batch.column(0), SLICE_TOKENS):
+                for grams, counts, _ in gram_counts(some, sizes):
+                    yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["gram", "n"])
 
     return tokens.mapInArrow(run, "gram string, n long")
 
@@ -153,11 +176,13 @@ def _counted(tokens: DataFrame, sizes: Sequence[int], wanted) -> DataFrame:
     """Counts per task of the n-grams in the broadcast set ``wanted``."""
     def run(batches):
         counts = dict.fromkeys(wanted.value, 0)
+        words = pa.array(sorted({w for gram in counts for w in gram.split(" ")}), pa.string())
         for batch in batches:
-            for grams, some, _ in gram_counts(batch.column(0), sizes):
-                for gram, count in zip(grams, some):
-                    if gram in counts:
-                        counts[gram] += count
+            for part in slices(batch.column(0), SLICE_TOKENS):
+                for grams, some, _ in gram_counts(part, sizes, of=words):
+                    for gram, count in zip(grams, some):
+                        if gram in counts:
+                            counts[gram] += count
         rows = [(g, c) for g, c in counts.items() if c]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())],
                                          names=["gram", "n"])
