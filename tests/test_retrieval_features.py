@@ -221,6 +221,25 @@ def test_blocks_are_skipped(monkeypatch):
         assert opened < 2_000  # of more than 20,000 postings
 
 
+def test_no_more_is_read_than_all_postings_hold(monkeypatch):
+    monkeypatch.setattr(block_max, "WHOLE", 0)
+    r = random.Random(8)
+    pool = []
+    for i in range(3000):  # long documents of common terms: many bounds reach the threshold
+        t = sorted({min(int(r.expovariate(0.05)), 99) for _ in range(25)})
+        w = np.array([r.random() + 0.2 for _ in t])
+        pool.append((i, t, (w / np.sqrt(w @ w)).tolist()))
+    size = np.array([len(t) for _, t, _ in pool])
+    shard = block_max.Shard(size, np.array([x for _, t, _ in pool for x in t]), np.array([x for _, _, w in pool for x in w]))
+    for query in pool[::150]:
+        term = np.array(query[1])
+        for k in (1, 3):
+            docs, _, opened = block_max.search(shard, term, np.array(query[2]), k, query[0])
+            assert docs.tolist() == plain_top(query, pool, k, query[0])
+            seeds = block_max.SEED_BLOCKS * block_max.BLOCK + 4 * k * size.max()
+            assert opened <= 2 * np.diff(shard.start)[np.searchsorted(shard.terms, term)].sum() + seeds
+
+
 def test_bound_holds_for_every_vector_below_the_cut_offs():
     r = np.random.default_rng(5)
     for _ in range(300):

@@ -22,8 +22,10 @@ cut into blocks of ``BLOCK`` postings, each with its largest weight.  A query
 
 All other blocks are skipped, and nothing is left out: the bounds hold for
 every document.  A query whose lists have at most ``WHOLE`` postings in the
-shard opens them all, which costs less than to find what can be skipped.  Ties
-go to the smaller document id, at 9 decimals.
+shard opens them all, which costs less than to find what can be skipped.  So
+does one whose documents left to score in full have more entries than there are
+postings in its closed blocks.  Ties go to the smaller document id, at 9
+decimals.
 
 Cases: a query without a common term has no rows; empty tables give no rows;
 null terms or weights are an error of the caller.
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 64
 SEED_BLOCKS = 8
-WHOLE = 1 << 15
+WHOLE = 1 << 18
 SHARD_ENTRIES = 1 << 21
 CHUNK_ENTRIES = 1 << 18
 MARGIN = 1e-8
@@ -66,9 +68,22 @@ class Shard:
 
     def open(self, term: np.ndarray, weight: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The first ``count`` postings of each term: documents, products, weights."""
-        at = np.concatenate([np.arange(a, a + n) for a, n in zip(self.start[term], count)])
-        found = self.post_weight[at]
-        return self.post_doc[at], found * np.repeat(weight, count), found
+        spans = [slice(a, a + n) for a, n in zip(self.start[term].tolist(), count.tolist())]
+        found = np.concatenate([self.post_weight[x] for x in spans])
+        return np.concatenate([self.post_doc[x] for x in spans]), found * np.repeat(weight, count), found
+
+    def whole(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The ``k`` best from all postings of the terms."""
+        docs, products, _ = self.open(term, weight, np.diff(self.start)[term])
+        if len(docs) * 8 < self.n:  # few postings: no sums for all documents of the shard
+            some, docs = np.unique(docs, return_inverse=True)
+            return *_best(some, np.bincount(docs, products), k, skip), len(docs)
+        sums = np.bincount(docs, products, self.n)
+        if skip >= 0:
+            sums[skip] = 0
+        least = sums.max() if k == 1 else np.partition(sums, -k)[-k] if k < self.n else 0.0
+        some = np.flatnonzero(sums >= least - MARGIN)
+        return *_best(some, sums[some], k, skip), len(docs)
 
     def score(self, docs: np.ndarray, dense: np.ndarray) -> np.ndarray:
         """Full products of the documents with a query spread over all terms."""
@@ -119,9 +134,7 @@ def search(shard: Shard, term: np.ndarray, weight: np.ndarray, k: int, skip: int
         return np.zeros(0, np.int64), np.zeros(0), 0
     count = np.diff(shard.start)[at]
     if count.sum() <= WHOLE:
-        docs, products, _ = shard.open(at, weight, count)
-        some, place = np.unique(docs, return_inverse=True)
-        return *_best(some, np.bincount(place, products), k, skip), len(docs)
+        return shard.whole(at, weight, k, skip)
     dense, top = np.zeros(len(shard.terms)), shard.top[at]
     dense[at] = weight
     heavy = np.argsort(-weight * top)[:SEED_BLOCKS]
@@ -147,7 +160,11 @@ def search(shard: Shard, term: np.ndarray, weight: np.ndarray, k: int, skip: int
     some = some[(sums + rest >= threshold - MARGIN) & (some != skip)]
     if not len(some):
         return some, np.zeros(0), opened
-    opened += int((shard.row[some + 1] - shard.row[some]).sum())
+    entries = int((shard.row[some + 1] - shard.row[some]).sum())
+    if entries > count.sum() - length.sum():  # the closed blocks hold less than these documents
+        *best, read = shard.whole(at, weight, k, skip)
+        return *best, opened - len(docs) + read
+    opened += entries
     return *_best(some, shard.score(some, dense), k, skip), opened
 
 
